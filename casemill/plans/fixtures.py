@@ -87,7 +87,7 @@ HOUSEHOLD_RULES: dict[str, str] = {
     "tanf_indicator": "(o_custkey % 14 = 0)",
     "amount_error": _cents("CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderkey % 19 = 0 THEN 0 - (o_orderkey * 13) % 12000"
                            " ELSE (o_orderkey * 13) % 12000 END"),
-    "household_weight": "CAST(CAST(100 + o_custkey % 700 AS DECIMAL(10,0)) * 0.125 AS DECIMAL(18,8))",
+    "household_weight": "CAST(CAST(100 + o_custkey % 700 AS DECIMAL(10,0)) * 0.25 AS DECIMAL(18,8))",
     "fiscal_year_weight": "CAST(CAST(100 + o_custkey % 700 AS DECIMAL(10,0)) * 1.5 AS DECIMAL(18,8))",
 }
 
