@@ -46,3 +46,15 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def percent(numerator: Column, denominator: Column, digits: int | None = 4) -> Column:
     value = ratio(numerator, denominator) * 100
     return value if digits is None else F.round(value, digits)
+
+
+def round_for_summary(df, columns: list[str], digits: int = 2):
+    """Floats rounded; numeric text rounded and kept as text, other text unchanged."""
+    kinds = dict(df.dtypes)
+    out = {}
+    for name in columns:
+        if kinds[name] in ("double", "float"):
+            out[name] = F.round(F.col(name), digits)
+        elif kinds[name] == "string":
+            out[name] = F.coalesce(F.round(F.col(name).try_cast("double"), digits).cast("string"), F.col(name))
+    return df.withColumns(out)

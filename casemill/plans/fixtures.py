@@ -11,6 +11,7 @@ purpose to leave orphans.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casemill import spec
 from casemill.codes import CODE_LISTS
@@ -144,6 +145,64 @@ ERROR_RULES: dict[str, str] = {
 }
 
 
+# Wide survey rows of an order. ``{n}`` is the slot number; NULL, empty and "NA" gates and
+# unparseable amounts are spread over the slots.
+WIDE_PERSON_RULES: dict[str, str] = {
+    "FSAFIL": "CASE WHEN {n} > 1 + o_orderkey % 17 THEN CASE o_orderkey % 3 WHEN 0 THEN 'NA' WHEN 1 THEN '' END"
+    " WHEN (o_orderkey + {n}) % 5 = 0 THEN NULL ELSE CAST(1 + (o_orderkey + {n}) % 4 AS STRING) END",
+    "AGE": "CASE WHEN (o_orderkey + {n}) % 31 = 0 THEN 'N/A' ELSE CAST((o_orderkey * 7 + {n} * 13) % 100 AS STRING) END",
+    "SEX": "CAST(1 + (o_custkey + {n}) % 2 AS STRING) || '.0'",
+    "WAGES": "CASE WHEN (o_orderkey + {n}) % 4 = 0 THEN 'NULL' WHEN (o_orderkey + {n}) % 7 = 0 THEN 'abc'"
+    " ELSE CAST((o_orderkey * {n}) % 5000 AS STRING) || '.50' END",
+    "SSI": "CAST((o_custkey * {n}) % 900 AS STRING)",
+}
+WIDE_ERROR_RULES: dict[str, str] = {
+    "ELEMENT": "CASE WHEN {n} <= o_orderkey % 10 AND (o_orderkey + {n}) % 4 <> 0"
+    " THEN CAST(311 + (o_orderkey + {n}) % 60 AS STRING) END",
+    "NATURE": "CAST(6 + (o_custkey + {n}) % 40 AS STRING)",
+    "AGENCY": "CAST(1 + (o_orderkey + {n}) % 21 AS STRING)",
+    "AMOUNT": "CASE WHEN (o_custkey + {n}) % 9 = 0 THEN '' ELSE CAST((o_orderkey * {n}) % 700 AS STRING) || '.25' END",
+    "E_FINDG": "CAST(2 + (o_orderkey + {n}) % 3 AS STRING)",
+}
+
+
+def wide_columns() -> list[str]:
+    """Select list of the wide survey frame over orders and nation."""
+    out = []
+    for source, (target, kind) in spec.HOUSEHOLD_VARIABLES.items():
+        if target in HOUSEHOLD_RULES:
+            rule = _dialect(HOUSEHOLD_RULES[target], "spark")
+            rule = f"CAST({rule} AS int)" if kind == "boolean" else rule
+            out.append(f"CAST({rule} AS STRING) AS {source}")
+    for rules, slots in ((WIDE_PERSON_RULES, spec.MEMBER_SLOTS), (WIDE_ERROR_RULES, spec.ERROR_SLOTS)):
+        for n in range(1, slots + 1):
+            out += [f"{rule.replace('{n}', str(n))} AS {source}{n}" for source, rule in rules.items()]
+    return out
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide survey rows with the fiscal year in ``source_year``."""
+    nation = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS _state", "n_name", "n_regionkey")
+    orders = table(spark, sf_dir, "orders").selectExpr("*", "o_custkey % 25 AS _state").join(nation, "_state", "left")
+    return orders.selectExpr(*wide_columns(), "CAST(2017 + o_orderkey % 7 AS INT) AS source_year")
+
+
+def write_wide_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The wide rows as one CSV dataset per fiscal year, named after the year."""
+    rows = wide(spark, sf_dir)
+    named = rows.withColumn("file", F.concat(F.lit("qc_pub_fy"), F.col("source_year").cast("string"), F.lit(".csv")))
+    named.drop("source_year").write.partitionBy("file").option("header", True).csv(folder)
+
+
+def duck_slots(rules: dict[str, str], slots: int) -> str:
+    """DuckDB form of the wide rows, one per order and slot, text columns named by source variable."""
+    columns = ", ".join(f"{rule.replace('{n}', 's.n')} AS {source}" for source, rule in rules.items())
+    return (
+        f"SELECT CAST(o_orderkey AS STRING) AS case_id, CAST(2017 + o_orderkey % 7 AS INT) AS fiscal_year,"
+        f" CAST(s.n AS INT) AS n, {columns} FROM orders, range(1, {slots + 1}) AS s(n)"
+    )
+
+
 def _select(rules: dict[str, str], engine: str) -> list[str]:
     return [f"{_dialect(expression, engine)} AS {name}" for name, expression in rules.items()]
 
