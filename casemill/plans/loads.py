@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from casemill import spec
 from casemill.functions import text
+from casemill.functions.dates import fiscal_year
+from casemill.functions.money import round_for_summary
 from casemill.operators import enrich, reshape
 from casemill.plans import fixtures as fx
 from casemill.plans.registry import query
@@ -134,16 +136,13 @@ def _load_several_years(spark: SparkSession, d: str) -> DataFrame:
     "S8",
     """SELECT DISTINCT CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS INT) AS fiscal_year
        FROM orders WHERE year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END NOT IN
-       (SELECT year(o_orderdate) FROM orders WHERE o_orderkey % 2 = 0 AND year(o_orderdate) <= 1998)""",
+       (SELECT year(l_shipdate) FROM lineitem WHERE l_shipdate < DATE '1999-01-01')""",
 )
 def _years_to_load(spark: SparkSession, d: str) -> DataFrame:
-    from casemill.functions.dates import fiscal_year
-
-    orders = fx.table(spark, d, "orders")
-    existing = orders.filter("o_orderkey % 2 = 0 AND year(o_orderdate) <= 1998")
+    shipped = fx.table(spark, d, "lineitem").filter("l_shipdate < DATE '1999-01-01'")
     return tables.years_to_load(
-        orders.select(fiscal_year(F.col("o_orderdate")).alias("fiscal_year")),
-        existing.select(F.year("o_orderdate").alias("fiscal_year")).distinct(),
+        fx.table(spark, d, "orders").select(fiscal_year(F.col("o_orderdate")).alias("fiscal_year")),
+        shipped.select(F.year("l_shipdate").alias("fiscal_year")).distinct(),
     )
 
 
@@ -295,13 +294,12 @@ def _lookup_tables(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "lookup_upsert",
     "S12",
-    """SELECT CAST(p_partkey AS INT) AS code, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS description
-       FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""",
+    """SELECT CAST(p_partkey AS INT) AS code, CASE WHEN p_size > 20 THEN upper(p_name) ELSE p_name END AS description FROM part""",
 )
 def _lookup_upsert(spark: SparkSession, d: str) -> DataFrame:
-    part = fx.table(spark, d, "part").selectExpr("CAST(p_partkey AS INT) AS code", "p_name AS description")
-    incoming = part.filter("code % 3 = 0").withColumn("description", F.upper("description"))
-    return lookups.upsert(part.filter("code % 2 = 0"), incoming, ["code"])
+    part = fx.table(spark, d, "part").selectExpr("CAST(p_partkey AS INT) AS code", "p_name AS description", "p_size")
+    incoming = part.filter("p_size > 20").select("code", F.upper("description").alias("description"))
+    return lookups.upsert(part.filter("p_size <= 30").drop("p_size"), incoming, ["code"])
 
 
 _DOCUMENT_NAME = "concat('doc_', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.TXT' ELSE '.pdf' END)"
@@ -320,7 +318,7 @@ def _accepted_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _pair_json(spark: SparkSession, d: str) -> DataFrame:
+def pair_json(spark: SparkSession, d: str) -> DataFrame:
     """One example document per benchmark text; some without SQL, some without the examples key."""
     item = F.col("item_id")
     pair = F.struct(
@@ -340,7 +338,7 @@ def _pair_json(spark: SparkSession, d: str) -> DataFrame:
        FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0""",
 )
 def _example_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.example_pairs(_pair_json(spark, d))
+    return lookups.example_pairs(pair_json(spark, d))
 
 
 @query(
@@ -461,8 +459,6 @@ def _display_dates(spark: SparkSession, d: str) -> DataFrame:
        CASE WHEN l_partkey % 2 = 0 THEN round(l_tax * 0.37, 2) END AS tax_text FROM lineitem""",
 )
 def _rounded_values(spark: SparkSession, d: str) -> DataFrame:
-    from casemill.functions.money import round_for_summary
-
     lines = fx.table(spark, d, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
