@@ -15,7 +15,7 @@ def null_tokens(column: Column) -> Column:
 
 def to_integer(column: Column) -> Column:
     """Integer from text, also when the text reads ``1.0``; anything else is NULL."""
-    return F.coalesce(column.try_cast("int"), column.try_cast("double").try_cast("int"))
+    return column.try_cast("double").try_cast("int")
 
 
 def to_money(column: Column, type_name: str) -> Column:

@@ -11,7 +11,7 @@ from casemill.functions.dates import fiscal_year
 from casemill.functions.money import round_for_summary
 from casemill.operators import enrich, reshape
 from casemill.plans import fixtures as fx
-from casemill.plans.registry import query
+from casemill.plans.registry import query, rounded_sql
 from casemill.session import scratch_path
 from casemill.sources import catalog, export, lookups, tables, wide_csv
 from casemill.streaming.loads import start_file_loads
@@ -455,8 +455,8 @@ def _display_dates(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "rounded_values",
     "P18",
-    """SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * 1.0 / 7, 2) AS price_share,
-       CASE WHEN l_partkey % 2 = 0 THEN round(l_tax * 0.37, 2) END AS tax_text FROM lineitem""",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, {rounded_sql("l_extendedprice / 7", 2)} AS price_share,
+       CASE WHEN l_partkey % 2 = 0 THEN {rounded_sql("l_tax * 0.37", 2)} END AS tax_text FROM lineitem""",
 )
 def _rounded_values(spark: SparkSession, d: str) -> DataFrame:
     lines = fx.table(spark, d, "lineitem").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casemill import spec
 from casemill.operators import enrich, quality, rates, stats
 from casemill.plans import fixtures as fx
-from casemill.plans.registry import query
+from casemill.plans.registry import percent_sql, query, rounded_sql
 
 _RATES_SQL = """SELECT h.fiscal_year, state_name, state_code, coalesce(threshold_amount, 54) AS tolerance_threshold,
  count(*) AS total_sample_cases, count(*) FILTER (WHERE status <> 1) AS error_sample_cases,
@@ -31,10 +31,10 @@ _STATE_RATES = f"""SELECT fiscal_year, state_name, state_code, tolerance_thresho
  total_weighted_benefits,
  CAST(total_weighted_benefits AS DOUBLE) / CAST(estimated_total_households AS DOUBLE) AS avg_weighted_benefit,
  CAST(gross_weighted AS DOUBLE) / CAST(estimated_total_households AS DOUBLE) AS avg_weighted_gross_income,
- round(CAST(total_weighted_error_dollars AS DOUBLE) / CAST(total_weighted_benefits AS DOUBLE) * 100, 4) AS payment_error_rate,
- round(CAST(weighted_overpayment_dollars AS DOUBLE) / CAST(total_weighted_benefits AS DOUBLE) * 100, 4) AS overpayment_rate,
- round(CAST(weighted_underpayment_dollars AS DOUBLE) / CAST(total_weighted_benefits AS DOUBLE) * 100, 4) AS underpayment_rate,
- round(CAST(error_sample_cases AS DOUBLE) / total_sample_cases * 100, 2) AS case_error_rate,
+ {percent_sql("total_weighted_error_dollars", "total_weighted_benefits")} AS payment_error_rate,
+ {percent_sql("weighted_overpayment_dollars", "total_weighted_benefits")} AS overpayment_rate,
+ {percent_sql("weighted_underpayment_dollars", "total_weighted_benefits")} AS underpayment_rate,
+ {percent_sql("error_sample_cases", "total_sample_cases", 2)} AS case_error_rate,
  total_weighted_error_dollars, weighted_overpayment_dollars, weighted_underpayment_dollars FROM ({_RATES_SQL}) AS base"""
 
 _ROLLUP = """SELECT h.fiscal_year, state_name, re.code AS element_code, re.description AS element_description,
@@ -173,7 +173,6 @@ _PART_SQL = " UNION ALL ".join(
         SELECT income_source, total, recipients, CAST(total AS DOUBLE) / recipients AS average_per_recipient,
         CAST(total AS DOUBLE) / (SELECT CAST(sum(total) AS DOUBLE) FROM s) * 100 AS percent_of_total FROM s""",
     money=("total", "average_per_recipient", "percent_of_total"),
-    digits=3,
 )
 def _income_by_source(spark: SparkSession, d: str) -> DataFrame:
     return stats.income_by_source(fx.members(spark, d), fx.households(spark, d))
@@ -316,7 +315,7 @@ def _weighted_estimates(spark: SparkSession, d: str) -> DataFrame:
     "A18",
     f"""WITH r AS ({_RATES_SQL}) SELECT a.fiscal_year, a.state_name,
         sum(b.total_weighted_error_dollars) AS rolling_error_dollars, sum(b.total_weighted_benefits) AS rolling_benefits,
-        round(CAST(sum(b.total_weighted_error_dollars) AS DOUBLE) / CAST(sum(b.total_weighted_benefits) AS DOUBLE) * 100, 4)
+        {percent_sql("sum(b.total_weighted_error_dollars)", "sum(b.total_weighted_benefits)")}
         AS rolling_error_rate
         FROM r a JOIN r b ON a.state_code = b.state_code AND b.fiscal_year IN (a.fiscal_year, a.fiscal_year - 1)
         GROUP BY 1, 2""",
@@ -329,10 +328,9 @@ def _rolling(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "expedited_late_rate",
     "A19",
-    """SELECT fiscal_year, state_name, count(*) FILTER (WHERE expedited_service = 2) AS late_cases,
+    f"""SELECT fiscal_year, state_name, count(*) FILTER (WHERE expedited_service = 2) AS late_cases,
        count(*) FILTER (WHERE expedited_service IN (1, 2)) AS entitled_cases,
-       round(CAST(count(*) FILTER (WHERE expedited_service = 2) AS DOUBLE)
-         / nullif(count(*) FILTER (WHERE expedited_service IN (1, 2)), 0) * 100, 4) AS late_rate
+       {percent_sql("count(*) FILTER (WHERE expedited_service = 2)", "count(*) FILTER (WHERE expedited_service IN (1, 2))")} AS late_rate
        FROM households GROUP BY 1, 2""",
 )
 def _late_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -341,7 +339,7 @@ def _late_rate(spark: SparkSession, d: str) -> DataFrame:
 
 _NATIONAL = f"""SELECT fiscal_year, sum(total_weighted_error_dollars) AS national_error_dollars,
  sum(total_weighted_benefits) AS national_benefits,
- round(CAST(sum(total_weighted_error_dollars) AS DOUBLE) / CAST(sum(total_weighted_benefits) AS DOUBLE) * 100, 4)
+ {percent_sql("sum(total_weighted_error_dollars)", "sum(total_weighted_benefits)")}
  AS national_rate FROM ({_RATES_SQL}) AS r GROUP BY 1"""
 
 
@@ -367,10 +365,8 @@ def _above_national(spark: SparkSession, d: str) -> DataFrame:
           FROM ({_ROLLUP}) AS r GROUP BY 1, 2, 3)
         SELECT fiscal_year, element_code, element_description, weighted_error_dollars,
         CAST(rank() OVER (PARTITION BY fiscal_year ORDER BY weighted_error_dollars DESC) AS INT) AS dollar_rank,
-        round(CAST(weighted_error_dollars AS DOUBLE) / CAST(sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year) AS DOUBLE) * 100, 4) AS percent_of_total,
-        round(CAST(sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year ORDER BY weighted_error_dollars DESC, element_code
-          ROWS UNBOUNDED PRECEDING) AS DOUBLE) / CAST(sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year) AS DOUBLE) * 100, 4)
-          AS cumulative_percent FROM t""",
+        {percent_sql("weighted_error_dollars", "sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year)")} AS percent_of_total,
+        {percent_sql("sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year ORDER BY weighted_error_dollars DESC, element_code ROWS UNBOUNDED PRECEDING)", "sum(weighted_error_dollars) OVER (PARTITION BY fiscal_year)")} AS cumulative_percent FROM t""",
     money=("weighted_error_dollars",),
 )
 def _ranked_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -381,8 +377,8 @@ def _ranked_elements(spark: SparkSession, d: str) -> DataFrame:
     "rate_changes",
     "W2",
     f"""WITH s AS ({_STATE_RATES}) SELECT a.fiscal_year, a.state_name, a.payment_error_rate,
-        b.payment_error_rate AS previous_rate, round(a.payment_error_rate - b.payment_error_rate, 4) AS rate_change,
-        round(a.payment_error_rate - b.payment_error_rate, 4) < 0 AS improved
+        b.payment_error_rate AS previous_rate, {rounded_sql("a.payment_error_rate - b.payment_error_rate", 4)} AS rate_change,
+        {rounded_sql("a.payment_error_rate - b.payment_error_rate", 4)} < 0 AS improved
         FROM s a JOIN s b ON a.state_code = b.state_code AND b.fiscal_year = a.fiscal_year - 1
         WHERE b.payment_error_rate IS NOT NULL""",
 )

@@ -36,8 +36,17 @@ def query(name: str, ids: str, sql: str | None = None, money: tuple[str, ...] =
     return register
 
 
+def rounded_sql(value: str, digits: int) -> str:
+    """Half-up rounding of a double by its decimal digits, as Spark rounds; DuckDB rounds the binary value."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+
+
+def percent_sql(part: str, whole: str, digits: int = 4) -> str:
+    return rounded_sql(f"CAST({part} AS DOUBLE) / nullif(CAST({whole} AS DOUBLE), 0) * 100", digits)
+
+
 def _rounded(sql: str, money: tuple[str, ...], digits: int) -> str:
     if not money:
         return sql
-    replaced = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in money)
+    replaced = ", ".join(f"{rounded_sql(f'CAST({c} AS DOUBLE)', digits)} AS {c}" for c in money)
     return f"SELECT * REPLACE ({replaced}) FROM ({sql}) AS checked"

@@ -9,7 +9,7 @@ from casemill import spec
 from casemill.functions import dates
 from casemill.operators import classify, enrich, filters, rates
 from casemill.plans import fixtures as fx
-from casemill.plans.registry import query
+from casemill.plans.registry import percent_sql, query, rounded_sql
 
 _HH_MONEY = (
     "snap_benefit", "raw_benefit", "amount_error", "gross_income", "net_income", "earned_income", "unearned_income",
@@ -274,9 +274,7 @@ def _codes_in_result(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "computed_vs_official",
     "J10",
-    """WITH r AS (SELECT h.fiscal_year, state_name, round(CAST(sum(CASE WHEN status IN (2, 3)
-         AND amount_error > coalesce(threshold_amount, 54) THEN amount_error * household_weight ELSE 0 END) AS DOUBLE)
-         / CAST(sum(snap_benefit * household_weight) AS DOUBLE) * 100, 4) AS computed_rate
+    f"""WITH r AS (SELECT h.fiscal_year, state_name, {percent_sql("sum(CASE WHEN status IN (2, 3) AND amount_error > coalesce(threshold_amount, 54) THEN amount_error * household_weight ELSE 0 END)", "sum(snap_benefit * household_weight)")} AS computed_rate
          FROM households h LEFT JOIN thresholds t ON h.fiscal_year = t.fiscal_year
          WHERE case_classification = 1 GROUP BY 1, 2),
        o AS (SELECT CAST(2017 + c_custkey % 9 AS INT) AS fiscal_year,
@@ -284,7 +282,7 @@ def _codes_in_result(spark: SparkSession, d: str) -> DataFrame:
          CAST(max(c_custkey % 900) AS DOUBLE) / 100 AS official_rate
          FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 3 <> 0 GROUP BY 1, 2)
        SELECT coalesce(r.fiscal_year, o.fiscal_year) AS fiscal_year, coalesce(r.state_name, o.state_name) AS state_name,
-       computed_rate, official_rate, round(computed_rate - official_rate, 4) AS difference
+       computed_rate, official_rate, {rounded_sql("computed_rate - official_rate", 4)} AS difference
        FROM r FULL JOIN o ON r.fiscal_year = o.fiscal_year AND r.state_name = o.state_name""",
     money=("computed_rate", "official_rate", "difference"),
 )

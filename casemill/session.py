@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 # partitions by map output, so one key holding a large share of rows does not
 # land in a single task; forcing the split keeps that true below an aggregate.
 DEFAULTS = {
+    # Above this size the JVM interprets a generated method; Spark then compiles per operator instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
