@@ -7,7 +7,7 @@ shuffles otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +31,42 @@ def code_table(spark: SparkSession, codes: Mapping[int, str]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(code, description)")
 
 
-def reference_tables(spark: SparkSession, extra: Mapping[str, Mapping[int, str]] | None = None) -> dict[str, DataFrame]:
-    """All reference tables from the published lists; lists not published are empty unless given."""
-    lists = {**CODE_LISTS, **(extra or {})}
-    tables = {name: code_table(spark, lists.get(name, {})) for name in spec.REFERENCE_TABLES}
-    tables["ref_element"] = tables["ref_element"].withColumn(
-        "category", classify.range_category(F.col("code"), spec.ELEMENT_CATEGORY_RANGES)
-    )
-    tables["ref_nature"] = tables["ref_nature"].withColumn(
-        "category", classify.keyword_category(F.col("description"))
-    )
-    tables["ref_agency_responsibility"] = tables["ref_agency_responsibility"].withColumn(
-        "responsibility_type", classify.range_category(F.col("code"), spec.RESPONSIBILITY_RANGES)
-    )
-    return tables
+class ReferenceTables(Mapping):
+    """Reference tables by name, built when first used; lists not published are empty unless given."""
+
+    def __init__(self, spark: SparkSession, extra: Mapping[str, Mapping[int, str]] | None = None) -> None:
+        self._spark = spark
+        self._lists = {**CODE_LISTS, **(extra or {})}
+        self._built: dict[str, DataFrame] = {}
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(spec.REFERENCE_TABLES)
+
+    def __len__(self) -> int:
+        return len(spec.REFERENCE_TABLES)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in spec.REFERENCE_TABLES:
+            raise KeyError(name)
+        if name not in self._built:
+            table = code_table(self._spark, self._lists.get(name, {}))
+            self._built[name] = _categorized(name, table)
+        return self._built[name]
+
+
+def _categorized(name: str, table: DataFrame) -> DataFrame:
+    if name == "ref_element":
+        return table.withColumn("category", classify.range_category(F.col("code"), spec.ELEMENT_CATEGORY_RANGES))
+    if name == "ref_nature":
+        return table.withColumn("category", classify.keyword_category(F.col("description")))
+    if name == "ref_agency_responsibility":
+        kind = classify.range_category(F.col("code"), spec.RESPONSIBILITY_RANGES)
+        return table.withColumn("responsibility_type", kind)
+    return table
+
+
+def reference_tables(spark: SparkSession, extra: Mapping[str, Mapping[int, str]] | None = None) -> ReferenceTables:
+    return ReferenceTables(spark, extra)
 
 
 def threshold_table(spark: SparkSession, thresholds: Mapping[int, int] = spec.TOLERANCE_THRESHOLDS) -> DataFrame:

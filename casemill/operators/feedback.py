@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions.identity import content_id, pair_id
 from casemill.functions.chunking import chunks_of
+from casemill.session import spread
 from casemill.sources.lookups import upsert
 
 
@@ -36,7 +37,7 @@ def store_statistics(store: DataFrame) -> DataFrame:
 
 def rebuild_store(documents: DataFrame, pairs: DataFrame, ddl: DataFrame | None = None) -> DataFrame:
     """The whole store from its sources: chunked documents, pairs and table definitions, one row per id."""
-    chunks = documents.select(F.explode(chunks_of(F.col("text"), F.col("filename"))).alias("content"))
+    chunks = spread(documents).select(F.explode(chunks_of(F.col("text"), F.col("filename"))).alias("content"))
     parts = [
         _typed(chunks, "documentation", "doc"),
         with_pair_id(pairs).select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casemill.functions import text as tx
 from casemill.functions.chunking import chunks_of
 from casemill.operators.ranking import top_per_group
+from casemill.session import spread
 
 DISTANCE_THRESHOLD = 0.60
 OVERFETCH = 3
@@ -35,7 +36,7 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50) ->
     """
     private = F.coalesce("is_private", F.lit(False))
     document_id = F.concat(F.lit("kb_"), F.md5(F.col("filename").cast("binary")))
-    base = documents.select(
+    base = spread(documents).select(
         "filename",
         F.when(private, F.concat(F.lit("user:"), "user_id")).otherwise(F.col("category")).alias("category"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.money import percent, ratio
+from casemill.functions.money import mean, percent, ratio
 from casemill.operators import classify
 from casemill.operators.enrich import KEY, describe, with_threshold
 
@@ -65,38 +65,28 @@ def state_error_rates(households: DataFrame, thresholds: DataFrame) -> DataFrame
 def error_element_rollup(errors: DataFrame, households: DataFrame, refs: Mapping[str, DataFrame]) -> DataFrame:
     """Errors and weighted dollars by year, state, element, finding and responsibility.
 
-    The fact join and the roll-up run on codes; descriptions join the rolled-up rows and
-    rows whose codes share a description are then combined.
+    Descriptions that several codes share join the facts, so one shuffle finishes the
+    roll-up; the element's own text joins the result.
     """
     parent = households.filter("case_classification = 1").select(*KEY, "state_name", "household_weight")
     facts = errors.select(*KEY, "element_code", "error_finding", "responsible_agency", "error_amount")
-    element = refs["ref_element"].select(F.col("code").alias("element_code"))
-    by_code = (
-        facts.join(element, "element_code", "left_semi")
-        .join(parent, KEY)
-        .groupBy("fiscal_year", "state_name", "element_code", "error_finding", "responsible_agency")
+    known = refs["ref_element"].select(F.col("code").alias("element_code"))
+    facts = facts.join(known, "element_code", "left_semi")
+    facts = describe(facts, "error_finding", refs["ref_error_finding"], description="finding_type")
+    facts = describe(
+        facts, "responsible_agency", refs["ref_agency_responsibility"], responsibility_type="responsibility_type"
+    )
+    rolled = (
+        facts.join(parent, KEY)
+        .groupBy("fiscal_year", "state_name", "element_code", "finding_type", "responsibility_type")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(F.col("error_amount") * F.col("household_weight")).alias("_dollars"),
-            F.sum("error_amount").alias("_amount"),
-            F.count("error_amount").alias("_amounts"),
+            F.count(F.lit(1)).alias("sample_error_count"),
+            F.sum(F.col("error_amount") * F.col("household_weight")).alias("weighted_error_dollars"),
+            mean(F.col("error_amount")).alias("avg_sample_error_amount"),
         )
     )
-    named = describe(
-        by_code, "element_code", refs["ref_element"], description="element_description", category="element_category"
-    )
-    named = describe(named, "error_finding", refs["ref_error_finding"], description="finding_type")
-    named = describe(
-        named,
-        "responsible_agency",
-        refs["ref_agency_responsibility"],
-        responsibility_type="responsibility_type",
-    )
-    keys = ("fiscal_year", "state_name", "element_code", "element_description", "element_category", "finding_type")
-    return named.groupBy(*keys, "responsibility_type").agg(
-        F.sum("_n").alias("sample_error_count"),
-        F.sum("_dollars").alias("weighted_error_dollars"),
-        ratio(F.sum("_amount"), F.sum("_amounts")).alias("avg_sample_error_amount"),
+    return describe(
+        rolled, "element_code", refs["ref_element"], description="element_description", category="element_category"
     )
 
 
@@ -105,44 +95,41 @@ def demographic_profile(members: DataFrame, households: DataFrame, refs: Mapping
     eligible = members.filter(F.col("snap_affiliation_code").isin(1, 2)).select(
         *KEY,
         classify.age_group(F.col("age")).alias("age_group"),
-        "race_ethnicity",
-        "citizenship_status",
-        "years_education",
+        F.col("race_ethnicity").alias("_race"),
+        F.col("citizenship_status").alias("_citizenship"),
+        F.col("years_education").alias("_education"),
         classify.indicator(F.col("working_indicator"), "Working").alias("working_status"),
         classify.indicator(F.col("disability_indicator"), "Disabled").alias("disability_status"),
     )
-    joined = eligible.join(households.select(*KEY, "state_name", "household_weight"), KEY)
-    codes = ("race_ethnicity", "citizenship_status", "years_education")
-    by_code = joined.groupBy(
-        "fiscal_year", "state_name", "age_group", *codes, "working_status", "disability_status"
-    ).agg(F.count(F.lit(1)).alias("_n"), F.sum("household_weight").alias("_weight"))
-    tables = ("ref_race_ethnicity", "ref_citizenship_status", "ref_education_level")
-    for code, table in zip(codes, tables, strict=True):
-        by_code = describe(by_code, code, refs[table], description=f"_{code}")
-    return by_code.groupBy(
-        "fiscal_year",
-        "state_name",
-        "age_group",
-        F.col("_race_ethnicity").alias("race_ethnicity"),
-        F.col("_citizenship_status").alias("citizenship_status"),
-        F.col("_years_education").alias("education_level"),
-        "working_status",
-        "disability_status",
-    ).agg(
-        F.sum("_n").alias("sample_member_count"),
-        F.sum("_weight").alias("estimated_member_count"),
+    named = describe(eligible, "_race", refs["ref_race_ethnicity"], description="race_ethnicity")
+    named = describe(named, "_citizenship", refs["ref_citizenship_status"], description="citizenship_status")
+    named = describe(named, "_education", refs["ref_education_level"], description="education_level")
+    return (
+        named.join(households.select(*KEY, "state_name", "household_weight"), KEY)
+        .groupBy(
+            "fiscal_year",
+            "state_name",
+            "age_group",
+            "race_ethnicity",
+            "citizenship_status",
+            "education_level",
+            "working_status",
+            "disability_status",
+        )
+        .agg(
+            F.count(F.lit(1)).alias("sample_member_count"),
+            F.sum("household_weight").alias("estimated_member_count"),
+        )
     )
 
 
 def error_summary_by_type(errors: DataFrame, refs: Mapping[str, DataFrame]) -> DataFrame:
-    by_code = errors.groupBy("fiscal_year", "element_code").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("error_amount").alias("_sum"), F.count("error_amount").alias("_amounts")
-    )
-    named = describe(by_code, "element_code", refs["ref_element"], category="error_category", description="error_type")
+    facts = errors.select("fiscal_year", "element_code", "error_amount")
+    named = describe(facts, "element_code", refs["ref_element"], category="error_category", description="error_type")
     return named.groupBy("fiscal_year", "error_category", "error_type").agg(
-        F.sum("_n").alias("error_count"),
-        F.sum("_sum").alias("total_error_amount"),
-        ratio(F.sum("_sum"), F.sum("_amounts")).alias("avg_error_amount"),
+        F.count(F.lit(1)).alias("error_count"),
+        F.sum("error_amount").alias("total_error_amount"),
+        mean(F.col("error_amount")).alias("avg_error_amount"),
     )
 
 
@@ -150,19 +137,17 @@ def error_summary_by_responsibility(
     errors: DataFrame, households: DataFrame, refs: Mapping[str, DataFrame]
 ) -> DataFrame:
     """Errors and dollars by year, state and responsible party; errors without household keep a NULL state."""
-    joined = errors.join(households.select(*KEY, "state_name"), KEY, "left")
-    by_code = joined.groupBy("fiscal_year", "state_name", "responsible_agency").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("error_amount").alias("_sum")
-    )
+    facts = errors.select(*KEY, "responsible_agency", "error_amount")
     named = describe(
-        by_code,
+        facts,
         "responsible_agency",
         refs["ref_agency_responsibility"],
         responsibility_type="responsibility_type",
         description="responsibility_detail",
     )
-    return named.groupBy("fiscal_year", "state_name", "responsibility_type", "responsibility_detail").agg(
-        F.sum("_n").alias("error_count"), F.sum("_sum").alias("total_error_amount")
+    joined = named.join(households.select(*KEY, "state_name"), KEY, "left")
+    return joined.groupBy("fiscal_year", "state_name", "responsibility_type", "responsibility_detail").agg(
+        F.count(F.lit(1)).alias("error_count"), F.sum("error_amount").alias("total_error_amount")
     )
 
 
