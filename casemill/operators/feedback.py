@@ -35,9 +35,12 @@ def store_statistics(store: DataFrame) -> DataFrame:
     return store.groupBy("training_type").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def rebuild_store(documents: DataFrame, pairs: DataFrame, ddl: DataFrame | None = None) -> DataFrame:
+def rebuild_store(
+    documents: DataFrame, pairs: DataFrame, ddl: DataFrame | None = None, size: int = 500, overlap: int = 50
+) -> DataFrame:
     """The whole store from its sources: chunked documents, pairs and table definitions, one row per id."""
-    chunks = spread(documents).select(F.explode(chunks_of(F.col("text"), F.col("filename"))).alias("content"))
+    pieces = chunks_of(F.col("text"), F.col("filename"), size, overlap)
+    chunks = spread(documents).select(F.explode(pieces).alias("content"))
     parts = [
         _typed(chunks, "documentation", "doc"),
         with_pair_id(pairs).select(

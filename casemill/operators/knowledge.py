@@ -231,24 +231,52 @@ def _scan(chunks: DataFrame, questions: pd.DataFrame, k: int, filtered: bool) ->
     return chunks.mapInPandas(nearest, _HITS)
 
 
+def _scan_questions(questions: DataFrame, chunks: pd.DataFrame, k: int, filtered: bool) -> DataFrame:
+    """Nearest k chunks per question with all chunks, a bounded table, held by every task."""
+    shared = questions.sparkSession.sparkContext.broadcast(chunks)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = shared.value
+        for batch in batches:
+            signatures = [_signature(row) for _, row in batch.iterrows()] if filtered else [()] * len(batch)
+            groups: dict[tuple, list[int]] = {}
+            for position, signature in enumerate(signatures):
+                groups.setdefault(signature, []).append(position)
+            ids, unit = batch["question_id"].to_numpy(), _unit(batch["embedding"])
+            for signature, positions in groups.items():
+                part = held[_allowed(held, signature)] if filtered else held
+                if len(part):
+                    yield pd.concat(_score(ids[positions], unit[positions], part, k))
+
+    return questions.mapInPandas(nearest, _HITS)
+
+
+def _side(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a vector side when held in memory."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return size["n"], size["n"] * (max(size["dim"] or 1, 1) * 8 + 200)
+
+
 def nearest_chunks(chunks: DataFrame, questions: DataFrame, k: int) -> tuple[DataFrame, int]:
     """The k nearest chunks per question over all chunks, with the number of questions.
 
     ``questions`` needs a bigint ``question_id`` and ``embedding``; with the four filter
-    columns as well, each question only sees the chunks its filters allow. Questions go to
-    the tasks in slices of at most ``MAX_SIDE_BYTES``: chunks are never shuffled and only
-    k rows per question leave a task.
+    columns as well, each question only sees the chunks its filters allow. The side held
+    by every task is at most ``MAX_SIDE_BYTES``: the questions if they fit, else the
+    chunks if those fit, else the questions slice by slice, each its own scan. No side is
+    shuffled, and only k rows per question leave a task.
     """
     filtered = set(_FILTERS) <= set(questions.columns)
     extra = [F.col(name) for name in _FILTERS] if filtered else []
     asked = questions.select(F.col("question_id").cast("bigint").alias("question_id"), "embedding", *extra)
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    count, dim = size["n"], max(size["dim"] or 1, 1)
-    slices = max(1, math.ceil(count * (dim * 8 + 200) / MAX_SIDE_BYTES))
     columns = ["chunk_id", F.coalesce("parent_id", "filename").alias("document_key"), "embedding"]
     if filtered:
         columns += ["user_id", "visibility", "category", "tags"]
     scored = chunks.select(*columns)
+    count, question_bytes = _side(asked)
+    slices = max(1, math.ceil(question_bytes / MAX_SIDE_BYTES))
+    if slices > 1 and _side(scored)[1] <= MAX_SIDE_BYTES:
+        return _scan_questions(asked, scored.toPandas(), k, filtered), count
     found = []
     for position in range(slices):
         part = asked

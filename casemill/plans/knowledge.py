@@ -90,12 +90,12 @@ def _unsplit_documents(spark: SparkSession, d: str) -> DataFrame:
     "replaced_documents",
     "K4",
     f"""WITH c AS ({_CHUNKS_SQL}), n AS (SELECT DISTINCT filename FROM c WHERE category = 'fr')
-        SELECT category, count(*) AS chunks FROM c WHERE category = 'fr' OR (category IN ('en', 'de')
-        AND filename NOT IN (SELECT filename FROM n)) GROUP BY 1""",
+        SELECT category, count(*) AS chunks FROM c WHERE category = 'fr'
+        OR filename NOT IN (SELECT filename FROM n) GROUP BY 1""",
 )
 def _replaced_documents(spark: SparkSession, d: str) -> DataFrame:
     chunks = even_chunks(spark, d)
-    merged = knowledge.replace_documents(chunks.filter("category IN ('en', 'de')"), chunks.filter("category = 'fr'"))
+    merged = knowledge.replace_documents(chunks.filter("category <> 'fr'"), chunks.filter("category = 'fr'"))
     return merged.groupBy("category").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -482,12 +482,14 @@ def _streamed_feedback(spark: SparkSession, d: str) -> DataFrame:
     "F3 F4 S15",
     """SELECT 'sql' AS training_type, count(*) AS entries FROM (SELECT DISTINCT CASE WHEN item_id % 2 = 0
        THEN text || ' (note)' ELSE text END AS q, item_id FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0) AS p
-       UNION ALL SELECT 'documentation', count(DISTINCT text) FROM documents WHERE length(text) <= 500
+       UNION ALL SELECT 'documentation', count(DISTINCT text) FROM documents
        UNION ALL SELECT 'ddl', count(DISTINCT p_brand || p_type) FROM part""",
 )
 def _store_statistics(spark: SparkSession, d: str) -> DataFrame:
-    short = documents(spark, d).filter(F.length("text") <= 500)
-    return feedback.store_statistics(feedback.rebuild_store(short, lookups.example_pairs(pair_json(spark, d)), _ddl(spark, d)))
+    # A chunk size above every text keeps documents whole, which SQL can count.
+    pairs = lookups.example_pairs(pair_json(spark, d))
+    store = feedback.rebuild_store(documents(spark, d), pairs, _ddl(spark, d), size=1_000_000_000)
+    return feedback.store_statistics(store)
 
 
 def _ddl(spark: SparkSession, d: str) -> DataFrame:

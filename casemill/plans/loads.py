@@ -229,12 +229,12 @@ def _streamed_file_loads(spark: SparkSession, d: str) -> DataFrame:
     "refreshed_aggregates",
     "S20 A1 A2 A3",
     """SELECT 'state_error_rates' AS aggregate, fiscal_year, sum(n) AS cases FROM (SELECT fiscal_year, 1 AS n FROM households
-         WHERE case_classification = 1) AS a GROUP BY 2
+         WHERE case_classification = 1 AND fiscal_year <> 2018) AS a GROUP BY 2
        UNION ALL SELECT 'error_element_rollup', e.fiscal_year, count(*) FROM errors e JOIN households h
          ON e.case_id = h.case_id AND e.fiscal_year = h.fiscal_year JOIN ref_element ON element_code = code
-         WHERE case_classification = 1 GROUP BY 2
+         WHERE case_classification = 1 AND e.fiscal_year <> 2018 GROUP BY 2
        UNION ALL SELECT 'demographic_profile', m.fiscal_year, count(*) FROM members m JOIN households h
-         ON m.case_id = h.case_id AND m.fiscal_year = h.fiscal_year WHERE snap_affiliation_code IN (1, 2) GROUP BY 2""".replace(
+         ON m.case_id = h.case_id AND m.fiscal_year = h.fiscal_year WHERE snap_affiliation_code IN (1, 2) AND m.fiscal_year <> 2018 GROUP BY 2""".replace(
         "sum(n) AS cases", "CAST(sum(n) AS BIGINT) AS cases"
     ),
 )
@@ -244,13 +244,14 @@ def _refreshed_aggregates(spark: SparkSession, d: str) -> DataFrame:
     refs, thresholds = fx.refs(spark), enrich.threshold_table(spark)
     tables.refresh_aggregates(spark, root, refs, thresholds)
     tables.refresh_aggregates(spark, root, refs, thresholds, (2021,))
+    tables.delete_years(spark, root, (2018,))
     out = None
     for name, count in (
         ("state_error_rates", "total_sample_cases"),
         ("error_element_rollup", "sample_error_count"),
         ("demographic_profile", "sample_member_count"),
     ):
-        stored = spark.read.parquet(f"{root}/aggregates/{name}")
+        stored = tables.read_aggregate(spark, root, name)
         part = stored.groupBy("fiscal_year").agg(F.sum(count).alias("cases"))
         part = part.select(F.lit(name).alias("aggregate"), "fiscal_year", "cases")
         out = part if out is None else out.unionByName(part)

@@ -214,3 +214,19 @@ def refresh_aggregates(
             .partitionBy("fiscal_year")
             .parquet(f"{root}/aggregates/{name}")
         )
+
+
+def read_aggregate(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A stored aggregate, without years that have been deleted since."""
+    years = [r.fiscal_year for r in loaded_years(spark, root).collect()]
+    return spark.read.parquet(f"{root}/aggregates/{name}").filter(F.col("fiscal_year").isin(years))
+
+
+def save_bucketed(df: DataFrame, name: str, buckets: int) -> None:
+    """A catalog table bucketed on the household key, so joins between such tables need no shuffle.
+
+    For tables whose keys are known to be spread (see ``quality.duplicate_keys``): a
+    bucket is one task, and a hot key cannot be split there.
+    """
+    keys = ["case_id", "fiscal_year"]
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)

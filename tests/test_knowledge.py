@@ -89,17 +89,19 @@ def brute(made, question, allowed, k):
     return sorted(found)[:k]
 
 
-@pytest.mark.parametrize("slice_bytes", [64 * 1024 * 1024, 600])
-def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, slice_bytes):
-    # A third of all chunks are copies of one vector; the small bound forces several question slices.
+@pytest.mark.parametrize(("slice_bytes", "chosen"), [(64 * 1024 * 1024, (0, 5, 9, 33)), (600, (0, 5, 9, 33)), (32_000, range(0, 130))])
+def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, slice_bytes, chosen):
+    # A third of all chunks are copies of one vector. The bounds hold the questions whole,
+    # force several question slices, and hold the chunks instead.
     monkeypatch.setattr(knowledge, "MAX_SIDE_BYTES", slice_bytes)
     chunks, made = vectors(spark, 120, copies=40)
-    asked = [(i, made[i][8]) for i in (0, 5, 9, 33)]
+    asked = [(i, made[i % 120][8]) for i in chosen]
     questions = spark.createDataFrame(asked, "question_id bigint, embedding array<float>")
     hits, count = knowledge.nearest_chunks(chunks, questions, 6)
-    assert count == 4
+    assert count == len(asked)
+    found = hits.orderBy("question_id", "distance", "chunk_id").collect()
     for number, vector in asked:
-        got = [(r.distance, r.chunk_id) for r in hits.filter(F.col("question_id") == number).orderBy("distance", "chunk_id").collect()]
+        got = [(r.distance, r.chunk_id) for r in found if r.question_id == number]
         want = [(d, c) for d, c, _ in brute(made, vector, lambda row: True, 6)]
         assert [c for _, c in got] == [c for _, c in want]
         assert np.allclose([d for d, _ in got], [d for d, _ in want], atol=1e-8)

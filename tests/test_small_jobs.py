@@ -12,7 +12,7 @@ from casemill.functions import text as tx
 from casemill.functions.identity import pair_id
 from casemill.operators import audit, enrich, feedback, filters, rates, sessions
 from casemill.operators.ranking import top_per_group
-from casemill.sources import export, lookups
+from casemill.sources import catalog, export, lookups
 
 
 @pytest.mark.parametrize("question", ["plain", 'say "x" \\ /', "tab\tline\nend\r", "é ü 漢  ", "bell\x07 esc\x1b"])
@@ -166,3 +166,29 @@ def test_rates_of_one_state(spark):
     # 54 is not above the 2023 threshold of 54; 60 x 2 of 300 weighted benefit dollars is 40 percent.
     assert (r.payment_error_rate, r.overpayment_rate, r.underpayment_rate, r.case_error_rate) == (40.0, 40.0, 0.0, 66.67)
     assert r.avg_weighted_gross_income is None
+
+
+def test_dictionary_relationships_and_code_order(spark):
+    df = spark.createDataFrame([(1, None), (1, "x"), (2, "x")], "a int, b string")
+    notes = spark.createDataFrame([("t", "a", "the a"), ("t", "gone", "no")], "table_name string, column_name string, description string")
+    got = catalog.data_dictionary({"t": df}, notes, distinct="exact").select("column_name", "data_type", "row_count", "null_count", "distinct_count", "description")
+    assert rows(got, "column_name") == [("a", "int", 3, 0, 2, "the a"), ("b", "string", 3, 1, 1, None)]
+    lines = rows(catalog.dictionary_lines(catalog.profile("t", df)).select("line"))
+    assert lines == [("| a | int | true |",), ("| b | string | true |",)]
+    made = catalog.relationships({"members_to_households": ("m", "h", ("case_id", "fiscal_year"))}, df).first()
+    assert made.join_condition == "m.case_id = h.case_id AND m.fiscal_year = h.fiscal_year"
+    codes = spark.createDataFrame([("l", c) for c in ("b", "10", "9", "a")], "lookup string, code string")
+    assert [r[1] for r in rows(catalog.sorted_codes(codes))] == ["9", "10", "a", "b"]
+
+
+def test_markdown_and_csv_exports(spark, tmp_path):
+    df = spark.createDataFrame([(2, None), (1, 'say "a, b"')], "k int, v string")
+    assert rows(export.markdown_lines(df, ["k"])) == [
+        (0, "| k | v |"), (1, "| --- | --- |"), (2, '| 1 | say "a, b" |'), (3, "| 2 |  |"),
+    ]
+    path = str(tmp_path / "out")
+    export.write_csv(df, path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    assert rows(back, "k") == [("1", 'say "a, b"'), ("2", None)]
+    assert export.first_columns(df, 1).columns == ["k"]
+    assert rows(export.capped(df, 1, ["k"]).select("k")) == [(1,)]

@@ -88,3 +88,18 @@ def test_stream_picks_up_later_drops_with_other_columns(spark, tmp_path):
     assert rows(got["households"].groupBy("fiscal_year").count(), "fiscal_year") == [(2022, 5), (2023, 2)]
     assert rows(got["qc_errors"].select("fiscal_year", "element_code")) == [(2023, 311)] * 2
     assert got["household_members"].filter(F.col("age") == 30).count() == 7
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    h, m, _ = frames(spark, 2022)
+    tables.save_bucketed(h, "b_households", 4)
+    tables.save_bucketed(m, "b_members", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("b_members").join(spark.table("b_households"), ["case_id", "fiscal_year"])
+        assert joined.count() == 6
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_households")
+        spark.sql("DROP TABLE b_members")
