@@ -53,6 +53,6 @@ def spread(df: DataFrame) -> DataFrame:
     """A small input with fewer splits than cores, dealt out before per-row Python work; others stay as they are."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").removesuffix("b"))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size * 8 < cores * split else df
