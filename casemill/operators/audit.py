@@ -18,7 +18,12 @@ def _first_match(tests: list[tuple[Column, Column]], otherwise: Column) -> Colum
 def strict_reason(sql: Column) -> Column:
     """Why the word-bounded rule blocks a statement; NULL when it allows it."""
     upper = F.upper(sql)
-    words = [(upper.rlike(rf"\b{word}\b"), F.lit(f"forbidden keyword: {word}")) for word in spec.BLOCKED_WORDS]
+    # One pattern for all words; the word reported is the first of the list, found for blocked statements only.
+    named = _first_match(
+        [(upper.rlike(rf"\b{word}\b"), F.lit(f"forbidden keyword: {word}")) for word in spec.BLOCKED_WORDS],
+        F.lit(None).cast("string"),
+    )
+    blocked = upper.rlike(rf"\b({'|'.join(spec.BLOCKED_WORDS)})\b")
     body = F.regexp_replace(sql, r"^\s+|\s+$", "")
     semicolons = F.length(sql) - F.length(F.replace(sql, F.lit(";")))
     several = (semicolons > 1) | ((semicolons == 1) & ~body.endswith(";"))
@@ -27,7 +32,7 @@ def strict_reason(sql: Column) -> Column:
         (several, F.lit("multiple statements")),
         (sql.contains("--") | sql.contains("/*") | sql.contains("*/"), F.lit("comment")),
     ]
-    return _first_match([*words, *rest], F.lit(None).cast("string"))
+    return _first_match([(blocked, named), *rest], F.lit(None).cast("string"))
 
 
 def loose_reason(sql: Column) -> Column:

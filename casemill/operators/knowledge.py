@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casemill.functions import text as tx
 from casemill.functions.chunking import chunks_of
 from casemill.operators.ranking import top_per_group
-from casemill.session import spread
+from casemill.session import broadcast_if_small, spread
 
 DISTANCE_THRESHOLD = 0.60
 OVERFETCH = 3
@@ -64,7 +64,7 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50) ->
 
 def replace_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Chunks of incoming file names replace all stored chunks of those names."""
-    names = incoming.select("filename").distinct()
+    names = broadcast_if_small(incoming.select("filename").distinct())
     return existing.join(names, "filename", "left_anti").unionByName(incoming)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that matter for the shapes of plan used here. AQE splits hot join
 # partitions by map output, so one key holding a large share of rows does not
@@ -56,3 +57,12 @@ def spread(df: DataFrame) -> DataFrame:
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size * 8 < cores * split else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a key table after counting it; a larger one is left to a shuffled join.
+
+    For joins that keep most of a large table: estimates alone would shuffle it whole
+    before the small side turns out to be small.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

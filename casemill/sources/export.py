@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill import spec
+from casemill.functions.text import display_value
 from casemill.operators.enrich import KEY, with_descriptions
 from casemill.operators.filters import GlobalFilter, apply_filter
 
@@ -91,6 +92,26 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
 
 
+def write_tables(
+    tables: Mapping[str, DataFrame],
+    names: Sequence[str],
+    path: str,
+    chosen: GlobalFilter = GlobalFilter(),
+    limit: int | None = None,
+) -> None:
+    """Several known tables, each as its own CSV folder; unknown names fail before anything is written."""
+    chosen_tables = {name: table_export(tables, name, chosen, limit) for name in names}
+    for name, df in chosen_tables.items():
+        write_csv(df, f"{path}/{name}")
+
+
+def display_frame(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Columns rendered for reading; a column without a kind is shown by its type."""
+    defaults = {"double": "default_float", "float": "default_float", "int": "default_integer", "bigint": "default_integer"}
+    shown = [display_value(F.col(c), kinds.get(c.lower(), defaults.get(kind, "text"))).alias(c) for c, kind in df.dtypes]
+    return df.select(*shown)
+
+
 def markdown_lines(df: DataFrame, keys: list[str], rows: int = 100) -> DataFrame:
     """Numbered lines of a Markdown table of the first rows in key order."""
     shown = stable_order(df, keys).limit(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators import classify
+from casemill.session import broadcast_if_small
 
 _METADATA_KEYS = ("description", "source_field")
 _LOOKUPS = "code_lookups map<string, map<string, string>>"
@@ -52,7 +53,7 @@ def with_nature_category(codes: DataFrame) -> DataFrame:
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows replace existing rows of the same key; others stay."""
-    kept = existing.join(incoming.select(*keys), keys, "left_anti")
+    kept = existing.join(broadcast_if_small(incoming.select(*keys).distinct()), keys, "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 
 

@@ -192,3 +192,54 @@ def test_markdown_and_csv_exports(spark, tmp_path):
     assert rows(back, "k") == [("1", 'say "a, b"'), ("2", None)]
     assert export.first_columns(df, 1).columns == ["k"]
     assert rows(export.capped(df, 1, ["k"]).select("k")) == [(1,)]
+
+
+def test_several_tables_and_display_frame(spark, tmp_path):
+    known = {"a": spark.createDataFrame([(1, 2022), (2, 2023)], "n int, fiscal_year int"), "b": spark.range(3)}
+    export.write_tables(known, ["a", "b"], str(tmp_path), filters.GlobalFilter(fiscal_years=(2023,)))
+    assert rows(spark.read.option("header", True).csv(f"{tmp_path}/a")) == [("2", "2023")]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/b").count() == 3
+    with pytest.raises(ValueError):
+        export.write_tables(known, ["a", "c"], str(tmp_path))
+    df = spark.createDataFrame([(2023, 1500, -2.5, 3.0, True)], "fiscal_year int, n int, paid double, f double, ok boolean")
+    shown = export.display_frame(df, {"fiscal_year": "year", "paid": "currency", "ok": "boolean"})
+    assert rows(shown) == [("2023", "1,500", "-$2.50", "3", "Yes")]
+
+
+def test_files_of_lookups_pairs_and_documents(spark, tmp_path):
+    for name, body in {
+        "codes/map.json": json.dumps({"code_lookups": {"sex_codes": {"1": "Male", "source_field": "SEX"}}}, indent=2),
+        "pairs/a.json": json.dumps({"example_queries": [{"question": "q", "sql": "s", "explanation": "e"}, {"question": "only"}]}, indent=2),
+        "pairs/b.json": json.dumps({"something": 1}),
+        "docs/x.md": "# A\ntext",
+        "docs/deep/y.txt": "body",
+        "docs/z.pdf": "no",
+        "docs/empty.txt": " \n",
+    }.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(body)
+    assert rows(lookups.read_lookups(spark, f"{tmp_path}/codes")) == [("sex_codes", 1, "Male", None)]
+    assert rows(lookups.read_example_pairs(spark, f"{tmp_path}/pairs")) == [("q (e)", "s")]
+    assert rows(lookups.read_documents(spark, f"{tmp_path}/docs"), "filename") == [("x.md", "# A\ntext"), ("y.txt", "body")]
+
+
+def test_stream_and_batch_feedback_agree_when_a_batch_repeats(spark):
+    from casemill.session import scratch_path
+    from casemill.streaming.feedback import compact, current_pairs, start_feedback
+
+    schema = "question string, sql string, value int, ts int, event_id bigint"
+    votes = [("q", f"s{i % 7}", (i // 7) % 2, i % 11, i) for i in range(90)]
+    df = spark.createDataFrame(votes, schema)
+    drop, path, mark = (scratch_path(spark, n) for n in ("drop", "fold", "mark"))
+    df.repartition(3).write.parquet(drop)
+    store = feedback.with_pair_id(spark.createDataFrame([("q", "s1"), ("q", "old")], "question string, sql string"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(drop)
+    start_feedback(stream, path, mark).awaitTermination()
+    want = rows(feedback.apply_feedback(store, df), "pair_id")
+    assert rows(current_pairs(spark, store, path), "pair_id") == want
+    # A new checkpoint sends every batch again.
+    start_feedback(stream, path, scratch_path(spark, "mark")).awaitTermination()
+    assert rows(current_pairs(spark, store, path), "pair_id") == want
+    compact(spark, path, f"{path}-one")
+    assert rows(current_pairs(spark, store, f"{path}-one"), "pair_id") == want
