@@ -32,9 +32,15 @@ def preview(text: Column, width: int = 200) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
 
 
+def title_case(text: Column) -> Column:
+    """First letter of every run of letters in upper case, the others in lower case."""
+    parts = F.split(text, "(?<=[^\\p{L}])")
+    return F.array_join(F.transform(parts, lambda part: F.initcap(part)), "")
+
+
 def source_label(category: Column, filename: Column, tags: Column) -> Column:
-    """``Category - file #tag #tag``; private categories read ``Private``."""
-    shown = F.when(category.startswith("user:"), F.lit("Private")).otherwise(F.initcap(category))
+    """``Category - file #tag #tag``; private categories read ``Private``. The signs are fixed values."""
+    shown = F.when(category.startswith("user:"), F.lit("🔒 Private")).otherwise(F.concat(F.lit("📘 "), title_case(category)))
     suffix = F.when(F.size(tags) > 0, F.concat(F.lit(" #"), F.array_join(tags, " #"))).otherwise(F.lit(""))
     return F.concat(shown, F.lit(" - "), filename, suffix)
 

@@ -20,6 +20,8 @@ DISTANCE_THRESHOLD = 0.60
 OVERFETCH = 3
 # Relevance given to hits of the example-store collections, best first.
 COLLECTION_RELEVANCE = (("ddl", 0.9), ("documentation", 0.85), ("sql", 0.8))
+# Signs and words of the collection labels.
+COLLECTION_LABELS = {"ddl": ("🗄️", "Schema"), "documentation": ("📖", "Context"), "sql": ("💡", "Examples")}
 # Dataset names a question may start with.
 DATASETS = ("snap_qc", "state_ca")
 
@@ -325,8 +327,9 @@ def retrieve(
 
 def source_names(results: DataFrame) -> DataFrame:
     """Distinct sources per question in rank order, first three spelled out; results per question are few."""
-    ordered = F.array_sort(F.collect_list(F.struct("result_rank", "filename")))
-    names = F.array_distinct(F.transform("_ordered", lambda item: item["filename"]))
+    name = F.substring_index("source_display", " - ", -1).alias("name")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("result_rank"), name)))
+    names = F.array_distinct(F.transform("_ordered", lambda item: item["name"]))
     listed = results.groupBy("question_id").agg(ordered.alias("_ordered")).select("question_id", names.alias("sources"))
     shown = F.array_join(F.slice("sources", 1, 3), ", ")
     more = F.when(F.size("sources") > 3, F.concat(F.lit(" (+"), F.size("sources") - 3, F.lit(" more)"))).otherwise("")
@@ -334,9 +337,9 @@ def source_names(results: DataFrame) -> DataFrame:
 
 
 def retrieve_collections(
-    collections: Mapping[str, DataFrame], questions: DataFrame, n_results: int = 5
+    collections: Mapping[str, DataFrame], questions: DataFrame, n_results: int = 5, dataset: str = DATASETS[0]
 ) -> DataFrame:
-    """Nearest entries of each example-store collection, with the collection's fixed relevance."""
+    """Nearest entries of each example-store collection, with the collection's fixed relevance and label."""
     found = []
     for name, relevance in COLLECTION_RELEVANCE:
         if name not in collections:
@@ -346,7 +349,17 @@ def retrieve_collections(
             "collection_rank",
             F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id")),
         )
-        found.append(ranked.select("question_id", F.lit(name).alias("collection"), "collection_rank", "chunk_id", F.lit(relevance).alias("relevance")))
+        sign, kind = COLLECTION_LABELS[name]
+        found.append(
+            ranked.select(
+                "question_id",
+                F.lit(name).alias("collection"),
+                "collection_rank",
+                "chunk_id",
+                F.lit(relevance).alias("relevance"),
+                F.lit(f"{sign} {dataset.upper()} {kind}").alias("source_display"),
+            )
+        )
     return reduce(DataFrame.unionByName, found)
 
 
@@ -355,8 +368,13 @@ def retrieve_all(
 ) -> DataFrame:
     """Knowledge-base and collection hits in one list per question: best relevance first, equal ones in source order."""
     kb = retrieve(chunks, questions, n_results).select(
-        "question_id", F.lit("kb").alias("collection"), F.col("result_rank").alias("collection_rank"), "chunk_id", "relevance"
-    )
+        "question_id",
+        F.lit("kb").alias("collection"),
+        F.col("result_rank").alias("collection_rank"),
+        "chunk_id",
+        "relevance",
+        "source_display",
+    )
     merged = kb.unionByName(retrieve_collections(collections, questions, per_collection))
     place = F.array_position(F.array(*[F.lit(n) for n in ("kb", *[c for c, _ in COLLECTION_RELEVANCE])]), F.col("collection"))
     order = [F.desc("relevance"), place, F.col("collection_rank")]

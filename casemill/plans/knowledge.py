@@ -242,8 +242,8 @@ def _best_chunk(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "source_names",
     "K6",
-    f"""WITH {_V}, r AS (SELECT x.*, 'f' || regexp_extract(chunk_id, '\\d+')::BIGINT % 100 || '.md' AS filename
-          FROM ({_retrieval("true", 10)}) AS x),
+    f"""WITH {_V}, r AS (SELECT x.*, 'f' || CAST(vec_id % 100 AS VARCHAR) || '.md #' || tag AS filename
+          FROM ({_retrieval("true", 10)}) AS x JOIN v ON v.chunk_id = x.chunk_id),
         f AS (SELECT question_id, filename, min(result_rank) AS p FROM r GROUP BY 1, 2),
         n AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY p) AS i FROM f)
         SELECT question_id, CAST(count(*) AS INT) AS source_count, string_agg(filename, ', ' ORDER BY i) FILTER (WHERE i <= 3)
@@ -261,7 +261,8 @@ def _collections(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def _collection_sql(k: int) -> str:
     parts = [
         f"""SELECT question_id, '{name}' AS collection, CAST(n AS INT) AS collection_rank, chunk_id,
-            CAST({relevance} AS DOUBLE) AS relevance FROM ({_candidates(f"c.label % 3 = {i}", k)}) AS k{i}"""
+            CAST({relevance} AS DOUBLE) AS relevance,
+            '{" SNAP_QC ".join(knowledge.COLLECTION_LABELS[name])}' AS source_display FROM ({_candidates(f"c.label % 3 = {i}", k)}) AS k{i}"""
         for i, (name, relevance) in enumerate(knowledge.COLLECTION_RELEVANCE)
     ]
     return " UNION ALL ".join(parts)
@@ -275,10 +276,11 @@ def _retrieve_collections(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "retrieve_all",
     "K8 U1 T4",
-    f"""WITH {_V}, m AS (SELECT question_id, 'kb' AS collection, result_rank AS collection_rank, chunk_id, relevance,
-          0 AS place FROM ({_retrieval("true", 10)}) AS kb
+    f"""WITH {_V}, m AS (SELECT kb.question_id, 'kb' AS collection, result_rank AS collection_rank, kb.chunk_id, relevance,
+          '📘 Label' || CAST(label AS VARCHAR) || ' - f' || CAST(vec_id % 100 AS VARCHAR) || '.md #' || tag AS source_display,
+          0 AS place FROM ({_retrieval("true", 10)}) AS kb JOIN v ON v.chunk_id = kb.chunk_id
           UNION ALL SELECT *, CASE collection WHEN 'ddl' THEN 1 WHEN 'documentation' THEN 2 ELSE 3 END FROM ({_collection_sql(3)}) AS c)
-        SELECT question_id, collection, collection_rank, chunk_id, relevance, CAST(result_rank AS INT) AS result_rank FROM (
+        SELECT question_id, collection, collection_rank, chunk_id, relevance, source_display, CAST(result_rank AS INT) AS result_rank FROM (
           SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, place, collection_rank) AS result_rank FROM m) AS r
         WHERE result_rank <= 10""",
     money=("relevance",),

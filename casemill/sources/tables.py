@@ -21,6 +21,7 @@ from casemill.sources.wide_csv import read_wide_csv, stage_wide
 
 TABLES = ("households", "household_members", "qc_errors")
 _COMMIT = "fiscal_year INT, load_id STRING, action STRING, committed_at BIGINT"
+_DELETED = "table_name STRING, fiscal_year INT, rows_deleted BIGINT"
 _HISTORY = (
     "load_id STRING, fiscal_year INT, total_rows_in_file BIGINT, rows_loaded BIGINT, rows_skipped BIGINT,"
     " households_created BIGINT, members_created BIGINT, errors_created BIGINT, percent_complete INT,"
@@ -119,6 +120,8 @@ def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = N
     chosen = [r.fiscal_year for r in loaded_years(spark, root).collect()]
     if years is not None:
         chosen = [year for year in chosen if year in set(years)]
+    if not chosen:
+        return spark.createDataFrame([], _DELETED)
     counts = None
     for table in TABLES:
         rows = read_table(spark, root, table).filter(F.col("fiscal_year").isin(chosen))
@@ -128,7 +131,7 @@ def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = N
     removed = counts.collect()
     now = time.time_ns()
     _append(spark, f"{root}/commits", [(year, "", "delete", now) for year in chosen], _COMMIT)
-    return spark.createDataFrame(removed, "table_name STRING, fiscal_year INT, rows_deleted BIGINT")
+    return spark.createDataFrame(removed, _DELETED)
 
 
 def load_file(

@@ -146,6 +146,15 @@ def test_question_directives(spark, question, path, collections, scope, category
 
 
 def test_source_names_lists_three_and_counts_the_rest(spark):
-    data = [(1, i, f) for i, f in enumerate(["a", "b", "a", "c", "d", "e"], 1)] + [(2, 1, "z")]
-    out = knowledge.source_names(spark.createDataFrame(data, "question_id bigint, result_rank int, filename string"))
-    assert rows(out, "question_id") == [(1, 5, "a, b, c (+2 more)"), (2, 1, "z")]
+    data = [(1, i, f"Policy - {f}") for i, f in enumerate(["a", "b #t", "a", "c", "d", "e"], 1)] + [(2, 1, "z")]
+    out = knowledge.source_names(spark.createDataFrame(data, "question_id bigint, result_rank int, source_display string"))
+    assert rows(out, "question_id") == [(1, 5, "a, b #t, c (+2 more)"), (2, 1, "z")]
+
+
+def test_source_labels(spark):
+    from casemill.functions.text import source_label
+
+    data = [("business-rules_2x", "a.md", ["x", "y"]), ("user:me@x.org", "b.txt", [])]
+    df = spark.createDataFrame(data, "c string, f string, t array<string>")
+    got = [r[0] for r in df.select(source_label(F.col("c"), F.col("f"), F.col("t"))).collect()]
+    assert got == ["📘 Business-Rules_2X - a.md #x #y", "🔒 Private - b.txt"]
