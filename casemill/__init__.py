@@ -5,6 +5,13 @@ Layout: ``spec`` (fixed schema values), ``functions`` (column expressions),
 ``streaming`` (Structured Streaming forms) and ``plans`` (registered queries).
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from casemill.session import build_session, scratch_path
 
 __all__ = ["build_session", "scratch_path"]
+
+# The few Python helpers that run in tasks travel with them, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -344,7 +344,8 @@ def retrieve_collections(
     for name, relevance in COLLECTION_RELEVANCE:
         if name not in collections:
             continue
-        hits, _ = nearest_chunks(collections[name], questions, n_results)
+        # Collections belong to everybody, so access filters do not apply.
+        hits, _ = nearest_chunks(collections[name], questions.select("question_id", "embedding"), n_results)
         ranked = hits.withColumn(
             "collection_rank",
             F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id")),
@@ -379,3 +380,53 @@ def retrieve_all(
     place = F.array_position(F.array(*[F.lit(n) for n in ("kb", *[c for c, _ in COLLECTION_RELEVANCE])]), F.col("collection"))
     order = [F.desc("relevance"), place, F.col("collection_rank")]
     return top_per_group(merged, ["question_id"], order, n_results, "result_rank")
+
+
+def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], questions: DataFrame) -> DataFrame:
+    """Sources of every question where its directives send it.
+
+    Takes the output of ``parse_questions`` with ``question_id``, ``embedding`` and
+    ``user_id``. Knowledge-base questions use all their filters and get five sources, ``all``
+    questions ten over knowledge base and collections by user only, dataset questions five
+    per chosen collection.
+    """
+    kb = questions.filter("collection_path = 'kb'").select("question_id", "embedding", *_FILTERS)
+    everywhere = questions.filter("collection_path = 'all'").select(
+        "question_id",
+        "embedding",
+        "user_id",
+        F.lit("all").alias("user_scope"),
+        F.lit(None).cast("string").alias("category"),
+        F.array().cast("array<string>").alias("tags"),
+    )
+    columns = ["question_id", "result_rank", "collection", "chunk_id", "relevance", "source_display"]
+    parts = [
+        retrieve(chunks, kb, 5).withColumn("collection", F.lit("kb")).select(*columns),
+        retrieve_all(chunks, collections, everywhere, 10).select(*columns),
+    ]
+    asked = questions.filter(~F.col("collection_path").isin("kb", "all"))
+    found = []
+    for place, (name, relevance) in enumerate(COLLECTION_RELEVANCE):
+        if name not in collections:
+            continue
+        sent = asked.filter(F.array_contains("collections", name))
+        hits, _ = nearest_chunks(collections[name], sent.select("question_id", "embedding"), 5)
+        labels = sent.select(F.col("question_id").cast("bigint").alias("question_id"), F.upper("collection_path").alias("_set"))
+        sign, kind = COLLECTION_LABELS[name]
+        found.append(
+            hits.join(labels, "question_id").select(
+                "question_id",
+                F.lit(place).alias("_place"),
+                "distance",
+                F.lit(name).alias("collection"),
+                "chunk_id",
+                F.lit(relevance).alias("relevance"),
+                F.concat(F.lit(f"{sign} "), "_set", F.lit(f" {kind}")).alias("source_display"),
+            )
+        )
+    if found:
+        # At most five rows per collection and question meet here.
+        order = Window.partitionBy("question_id").orderBy("_place", "distance", "chunk_id")
+        ranked = reduce(DataFrame.unionByName, found).withColumn("result_rank", F.row_number().over(order))
+        parts.append(ranked.select(*columns))
+    return reduce(DataFrame.unionByName, parts)

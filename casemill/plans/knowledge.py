@@ -332,28 +332,71 @@ def _question_directives(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_ASKED = f"""q AS (SELECT conv_id * 100 + turn AS question_id, 'u' || CAST(turn % 4 AS VARCHAR) AS user_id, user_scope,
+ collection_path, string_split(collections, ',') AS collections, p.category, string_split(p.tags, ',') AS tags,
+ p.tags AS tag_text, v.e FROM ({_PARSED_SQL}) AS p JOIN v ON v.vec_id = p.conv_id)"""
+_ALLOWED = """(c.user_id = q.user_id OR (q.user_scope = 'all' AND c.visibility = 'shared'))
+ AND (q.category IS NULL OR q.category = c.category) AND (q.tag_text = '' OR list_contains(q.tags, c.tag))"""
+_KB_LABEL = "'📘 Label' || CAST(label AS VARCHAR) || ' - f' || CAST(vec_id % 100 AS VARCHAR) || '.md #' || tag"
+
+
+def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    vectors = fx.table(spark, d, "embeddings").selectExpr("vec_id AS conv_id", "embedding")
+    return parsed_questions(spark, d).join(vectors, "conv_id").withColumns(
+        {
+            "question_id": F.expr("conv_id * 100 + turn"),
+            "user_id": F.expr("concat('u', CAST(turn % 4 AS STRING))"),
+        }
+    )
+
+
 @query(
     "bulk_retrieval",
     "K12 K5 K6",
-    f"""WITH {_V}, q AS (SELECT conv_id * 100 + turn AS question_id, 'u' || CAST(turn % 4 AS VARCHAR) AS user_id, user_scope,
-          p.category, string_split(p.tags, ',') AS tags, p.tags AS tag_text, v.e FROM ({_PARSED_SQL}) AS p
-          JOIN v ON v.vec_id = p.conv_id)
-        {_retrieval('''(c.user_id = q.user_id OR (q.user_scope = 'all' AND c.visibility = 'shared'))
-          AND (q.category IS NULL OR q.category = c.category) AND (q.tag_text = '' OR list_contains(q.tags, c.tag))''', 5, "q")}""",
+    f"WITH {_V}, {_ASKED} {_retrieval(_ALLOWED, 5, 'q')}",
     money=("distance", "relevance"),
     digits=6,
 )
 def _bulk_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    vectors = fx.table(spark, d, "embeddings").selectExpr("vec_id AS conv_id", "embedding")
-    asked = parsed_questions(spark, d).join(vectors, "conv_id").select(
-        F.expr("conv_id * 100 + turn").alias("question_id"),
-        F.expr("concat('u', CAST(turn % 4 AS STRING))").alias("user_id"),
-        "user_scope", "category", "tags", "embedding",
-    )
+    asked = asked_questions(spark, d).select("question_id", "embedding", "user_id", "user_scope", "category", "tags")
     found = knowledge.retrieve(vector_chunks(spark, d), asked, 5)
     return found.select("question_id", "result_rank", "chunk_id", "document_key", "distance", "relevance")
 
 
+def _routed_sql() -> str:
+    parts, merged = [], []
+    for i, (name, relevance) in enumerate(knowledge.COLLECTION_RELEVANCE):
+        sign, kind = knowledge.COLLECTION_LABELS[name]
+        sent = f"(SELECT * FROM q WHERE collection_path NOT IN ('kb', 'all') AND list_contains(collections, '{name}'))"
+        parts.append(
+            f"""SELECT k.question_id, '{name}' AS collection, k.chunk_id, CAST({relevance} AS DOUBLE) AS relevance, {i} AS place, n,
+            '{sign} ' || upper(q.collection_path) || ' {kind}' AS source_display
+            FROM ({_candidates(f"c.label % 3 = {i}", 5, sent)}) AS k JOIN q ON q.question_id = k.question_id"""
+        )
+        merged.append(
+            f"""SELECT question_id, '{name}' AS collection, chunk_id, CAST({relevance} AS DOUBLE) AS relevance, {i + 1} AS place, n,
+            '{sign} SNAP_QC {kind}' AS source_display FROM ({_candidates(f"c.label % 3 = {i}", 3, "everywhere")}) AS a{i}"""
+        )
+    shared = "(c.user_id = q.user_id OR c.visibility = 'shared')"
+    return f"""WITH {_V}, {_ASKED}, kb_only AS (SELECT * FROM q WHERE collection_path = 'kb'),
+      everywhere AS (SELECT * FROM q WHERE collection_path = 'all'),
+      sets AS ({" UNION ALL ".join(parts)}),
+      merged AS (SELECT r.question_id, 'kb' AS collection, r.chunk_id, relevance, 0 AS place, result_rank AS n,
+        {_KB_LABEL} AS source_display FROM ({_retrieval(shared, 10, "everywhere")}) AS r JOIN v ON v.chunk_id = r.chunk_id
+        UNION ALL {" UNION ALL ".join(merged)}),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, place, n) AS result_rank FROM merged)
+      SELECT r.question_id, CAST(result_rank AS INT) AS result_rank, 'kb' AS collection, r.chunk_id, relevance, {_KB_LABEL} AS source_display
+      FROM ({_retrieval(_ALLOWED, 5, "kb_only")}) AS r JOIN v ON v.chunk_id = r.chunk_id
+      UNION ALL SELECT question_id, CAST(result_rank AS INT), collection, chunk_id, relevance, source_display FROM ranked WHERE result_rank <= 10
+      UNION ALL SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY place, n) AS INT), collection, chunk_id,
+      relevance, source_display FROM sets"""
+
+
+@query("routed_retrieval", "K12 K7 K8", _routed_sql(), money=("relevance",), digits=6)
+def _routed_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.route_questions(vector_chunks(spark, d), _collections(spark, d), asked_questions(spark, d))
+
+
 @query(
     "last_session_entries",
     "W4",

@@ -210,7 +210,7 @@ def _load_audit(spark: SparkSession, d: str) -> DataFrame:
     folder, root, stage = (scratch_path(spark, name) for name in ("drops", "store", "stage"))
     fx.write_wide_files(spark, d, folder)
     tables.load_file(spark, root, f"{folder}/file=qc_pub_fy2020.csv", 2020, stage)
-    return tables.load_history(spark, root).drop("load_id", "error_message", "recorded_at")
+    return tables.load_status(spark, root).drop("load_id", "error_message", "recorded_at")
 
 
 @query(

@@ -141,26 +141,34 @@ def load_file(
     fiscal_year: int,
     stage: str,
     strict: bool = False,
-    validate: bool = True,
+    references: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, int]:
-    """Wide file to the committed tables of one year, with an audit row; strict mode fails before any write."""
+    """Wide file to the committed tables of one year; returns rows written per table.
+
+    The audit log gets a row when the load starts, when the source is read and when it
+    ends. Strict mode validates first, and ``references`` must not be empty, so a failing
+    load writes nothing.
+    """
     load_id = uuid.uuid4().hex
-    history = f"{root}/load_history"
     total = 0
+    record_load(spark, root, audit_row(load_id, fiscal_year, 0, {}, "in_progress", None))
     try:
+        if references is not None:
+            quality.require_references(references)
         wide = reshape.with_case_key(read_wide_csv(spark, path, required=spec.REQUIRED_SOURCE_COLUMNS[1:], clean=False))
         seen = Observation(f"source-{load_id}")
         staged = stage_wide(wide.observe(seen, F.count(F.lit(1)).alias("rows")), str(fiscal_year), stage)
         total = seen.get["rows"]
+        record_load(spark, root, audit_row(load_id, fiscal_year, total, {}, "in_progress", None))
         frames = staged_tables(staged)
-        if validate and strict:
+        if strict:
             quality.require_valid(quality.validate(*frames, strict=True))
         written = write_all(spark, root, *frames, years=[fiscal_year], load_id=load_id)
     except Exception as problem:
         row = audit_row(load_id, fiscal_year, total, {}, "failed", str(problem))
-        _append(spark, history, [row], _HISTORY)
+        record_load(spark, root, row)
         raise
-    _append(spark, history, [audit_row(load_id, fiscal_year, total, written, "completed", None)], _HISTORY)
+    record_load(spark, root, audit_row(load_id, fiscal_year, total, written, "completed", None))
     return written
 
 
@@ -178,20 +186,32 @@ def staged_tables(staged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def audit_row(
-    load_id: str, year: int, total: int, written: Mapping[str, int], status: str, message: str | None
+    load_id: str, year: int | None, total: int, written: Mapping[str, int], status: str, message: str | None
 ) -> tuple:
     loaded = written.get("households", 0)
     percent = int(loaded / total * 100) if total else 0
+    skipped = 0 if status == "in_progress" else total - loaded
     return (
-        load_id, year, total, loaded, total - loaded, loaded, written.get("household_members", 0),
+        load_id, year, total, loaded, skipped, loaded, written.get("household_members", 0),
         written.get("qc_errors", 0), percent, status, message, time.time_ns(),
     )
 
 
 def load_history(spark: SparkSession, root: str) -> DataFrame:
+    """All audit rows, several per load."""
     return _read_log(spark, f"{root}/load_history", _HISTORY)
 
 
+def load_status(spark: SparkSession, root: str) -> DataFrame:
+    """The newest audit row of every load."""
+    newest = load_history(spark, root).groupBy("load_id").agg(F.max_by(F.struct("*"), "recorded_at").alias("row"))
+    return newest.select("row.*")
+
+
+def record_load(spark: SparkSession, root: str, row: tuple) -> None:
+    _append(spark, f"{root}/load_history", [row], _HISTORY)
+
+
 def refresh_aggregates(
     spark: SparkSession,
     root: str,

@@ -71,8 +71,11 @@ def test_load_file_audit_and_strict_mode(spark, tmp_path):
     with pytest.raises(quality.ValidationError, match="invalid_age=1"):
         tables.load_file(spark, root, bad, 2022, scratch_path(spark, "s"), strict=True)
     assert [r[0] for r in tables.loaded_years(spark, root).collect()] == [2023]
-    log = rows(tables.load_history(spark, root).select("fiscal_year", "total_rows_in_file", "rows_loaded", "percent_complete", "load_status"), "fiscal_year")
+    log = rows(tables.load_status(spark, root).select("fiscal_year", "total_rows_in_file", "rows_loaded", "percent_complete", "load_status"), "fiscal_year")
     assert log == [(2022, 3, 0, 0, "failed"), (2023, 3, 3, 100, "completed")]
+    assert tables.load_history(spark, root).filter("load_status = 'in_progress'").count() == 4
+    with pytest.raises(quality.ValidationError, match="ref_empty"):
+        tables.load_file(spark, root, path, 2021, scratch_path(spark, "s"), references={"ref_empty": spark.range(0)})
 
 
 def test_stream_picks_up_later_drops_with_other_columns(spark, tmp_path):
@@ -88,6 +91,8 @@ def test_stream_picks_up_later_drops_with_other_columns(spark, tmp_path):
     assert rows(got["households"].groupBy("fiscal_year").count(), "fiscal_year") == [(2022, 5), (2023, 2)]
     assert rows(got["qc_errors"].select("fiscal_year", "element_code")) == [(2023, 311)] * 2
     assert got["household_members"].filter(F.col("age") == 30).count() == 7
+    done = rows(tables.load_status(spark, root).select("load_id", "total_rows_in_file", "rows_loaded"), "load_id")
+    assert done == [("stream-0", 4, 4), ("stream-1", 3, 3)]
 
 
 def test_bucketed_tables_join_without_shuffle(spark):
