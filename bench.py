@@ -56,6 +56,7 @@ def timed(job) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench",
@@ -95,7 +96,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
-                "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+                "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
                 "rates": {
                     "wide_input_rows_per_sec": round(input_rows / seconds["wide_csv_three_tables"]),
                     "wide_output_rows_per_sec": round(output_rows / seconds["wide_csv_three_tables"]),

@@ -112,6 +112,16 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {table: read_table(spark, root, table) for table in TABLES}
 
 
+def compact_years(spark: SparkSession, root: str, years: Iterable[int]) -> dict[str, int]:
+    """Rewrite years collected from many small loads as one load with evenly sized files."""
+    chosen = list(years)
+    frames = [
+        read_table(spark, root, table).filter(F.col("fiscal_year").isin(chosen)).hint("rebalance", "fiscal_year")
+        for table in TABLES
+    ]
+    return write_all(spark, root, *frames, years=chosen)
+
+
 def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = None) -> DataFrame:
     """Delete years (all when None) from the three tables at once; returns the rows removed per table and year.
 

@@ -52,6 +52,9 @@ def test_repeated_load_id_does_not_add_rows(spark):
         tables.write_all(spark, root, *frames(spark, 2022), years=[2022], load_id="stream-0", action="append")
     tables.write_all(spark, root, *frames(spark, 2022, ("X", "Y")), years=[2022], load_id="stream-1", action="append")
     assert tables.read_table(spark, root, "households").count() == 5
+    assert tables.compact_years(spark, root, [2022]) == {"households": 5, "household_members": 11, "qc_errors": 3}
+    assert tables.live_loads(spark, root).count() == 1
+    assert tables.read_table(spark, root, "household_members").count() == 11
 
 
 def wide_file(folder, name, first, count, extra=""):
