@@ -80,4 +80,5 @@ def chunks_of(text: Column, filename: Column, size: int = 500, overlap: int = 50
             [None if t is None else chunk_text(t, m, size, overlap) for t, m in zip(texts, markdown, strict=True)]
         )
 
-    return split(text, F.coalesce(filename.endswith(".md"), F.lit(False)))
+    # Marked so that the optimizer never copies the call into filters: each text is split once.
+    return split.asNondeterministic()(text, F.coalesce(filename.endswith(".md"), F.lit(False)))
