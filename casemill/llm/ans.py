@@ -164,7 +164,7 @@ def _write_files(kind: str, bits: int, freq: bytes, folder: str):
         def flush():
             nonlocal out, before, docs, held
             if out is None:
-                out = store.open_output_stream(inner)
+                out = store.open_output_stream(inner, compression=None)
                 out.write(MAGIC)
             doc_ids, counts = pa.concat_arrays([p[0] for p in pending]), np.concatenate([p[2] for p in pending])
             ids = np.frombuffer(b"".join(p[1] for p in pending), kind)
@@ -281,7 +281,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     raw, table = freq.astype("<u4").tobytes(), Table(bits, freq)
     store, inner = store_of(f"{folder}/table")
     store.create_dir(store_of(folder)[1], recursive=True)
-    with store.open_output_stream(inner) as out:
+    with store.open_output_stream(inner, compression=None) as out:
         out.write(MAGIC + struct.pack("<II", bits, table.crc) + raw)
     files = max(1, -(-int(met.sum()) // FILE_TOKENS))
     dealt = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(files, "doc_id", "tie")
