@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import ans, fingerprints, neardup, packing, warc
+from casemill.llm import ans, fingerprints, linededup, neardup, packing, topk, warc
 from casemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +51,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+
+@query("op6_exact_top_k", TOP_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), 1)
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without repeated chunks, with the chunks and characters that went."""
+    out = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("removed_chunks"),
+        F.coalesce(F.expr("aggregate(removed_spans, 0L, (n, s) -> n + s.stop - s.start)"), F.lit(0)).alias("removed_chars"), "text",
+    )
+
+
 @query("op10_document_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
