@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import ans, fingerprints, linededup, neardup, packing, topk, warc
+from casemill.llm import ans, chat, fingerprints, linededup, mixing, neardup, packing, topk, toxicity, warc
 from casemill.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op2_warc_archive")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op3_role_repair")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0)
@@ -70,6 +80,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op7_source_mix")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flattest mix that leaves no document out and repeats none more than twice."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), most_repeat=2.0)
+    return mixed.select("doc_id", "source", "copy", "mix_block", "mix_order", "mix_tokens")
+
+
 @query("op8_token_files")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), 1)

@@ -28,7 +28,7 @@ LEXICON = (
 )
 PATTERNS = ("shouts", "exclaims", "two lexicon words")
 SAMPLE_ROWS = 16384  # labelled rows at most that voters are mined from and the classifier is trained on
-FEATURES, VOTERS, LEAST_ROWS, LEAST_Z = 512, 48, 3, 3.0
+FEATURES, VOTERS, LEAST_ROWS, LEAST_Z, LEAST_BOUND = 512, 48, 3, 1.645, 1.0
 BEGINNINGS = (4, 5, 6)  # bytes of a word
 ROUNDS = 8
 SLICE_BYTES = 4 << 20
@@ -129,7 +129,7 @@ def _mine(batches):
 
 
 def mined(sample: DataFrame) -> np.ndarray:
-    """Hashes of the features whose log odds ratio stands out most, ``FEATURES`` at most."""
+    """Hashes of the features with the largest lower bounds of the log odds ratio, ``FEATURES`` at most."""
     rows, rude = sample.agg(F.count("*"), F.sum("toxic")).first()
     rude = rude or 0
     if not rude or rude == rows:
@@ -138,8 +138,8 @@ def mined(sample: DataFrame) -> np.ndarray:
     counts = counts.groupBy("hash").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter(F.col("t") >= LEAST_ROWS)
     a, b = F.col("t") + 0.5, F.lit(rude + 0.5) - F.col("t")
     c, d = F.col("c") + 0.5, F.lit(rows - rude + 0.5) - F.col("c")
-    z = F.log(a * d / (b * c)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    best = counts.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "hash").limit(FEATURES).collect()
+    bound = F.log(a * d / (b * c)) - LEAST_Z * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    best = counts.withColumn("bound", bound).filter(F.col("bound") >= LEAST_BOUND).orderBy(F.desc("bound"), "hash").limit(FEATURES).collect()
     return np.array([r["hash"] for r in best], np.int64).view(np.uint64)
 
 
@@ -174,34 +174,46 @@ def unpacked(masks: np.ndarray, voters: int) -> np.ndarray:
     return (masks[:, None] >> np.arange(voters)) & 1 == 1
 
 
-def first_guess(votes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Where the estimation starts: labels nearly as given, else the share of those who vote."""
-    guess = np.where(votes.any(axis=1), 0.8, 0.02)
-    return np.where(labels == 1, 0.97, np.where(labels == 0, 0.03, guess))
+def first_guess(votes: np.ndarray, labels: np.ndarray, labelled: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where the estimation starts: probabilities of class 1 and weights of the rows.
+
+    With human labels the labelled rows start alone; else whoever gets a vote is held for toxic.
+    """
+    if labelled:
+        return np.where(labels == 1, 0.97, 0.03), (labels >= 0).astype(np.float64)
+    return np.where(votes.any(axis=1), 0.8, 0.02), np.ones(len(votes))
 
 
-def _gather(model: LabelModel | None, voters: int):
-    """Expected counts by class: of rows, of votes, of pairs of votes, of labels."""
+def _gather(model: LabelModel | None, voters: int, rows: int, labelled: int):
+    """Expected counts by class: of rows, of votes, of pairs of votes, of labels.
+
+    Rows without a label weigh no more together than those with one, or they would drift to another class.
+    """
 
     def run(batches):
         total = np.zeros((2, voters + 1, voters + 1))
-        labelled = np.zeros((2, 2))
+        judged = np.zeros((2, 2))
         for batch in batches:
             votes, labels = unpacked(np.asarray(batch.column("mask")), voters), np.asarray(batch.column("label"))
             count = np.asarray(batch.column("many")).astype(np.float64)
-            share = first_guess(votes, labels) if model is None else model.posterior(votes, labels)
+            if model is None:
+                share, weight = first_guess(votes, labels, labelled > 0)
+                count = count * weight
+            else:
+                share = model.posterior(votes, labels)
+                count = count * np.where(labels >= 0, 1.0, min(1.0, labelled / max(1, rows - labelled)) if labelled else 1.0)
             wide = np.hstack([votes, np.ones((len(votes), 1), bool)]).astype(np.float64)
             for y, weight in ((0, (1 - share) * count), (1, share * count)):
                 total[y] += wide.T @ (wide * weight[:, None])
-                labelled[y] += [weight[labels == 0].sum(), weight[labels == 1].sum()]
-        flat = np.concatenate([total.ravel(), labelled.ravel()])
+                judged[y] += [weight[labels == 0].sum(), weight[labels == 1].sum()]
+        flat = np.concatenate([total.ravel(), judged.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["at", "value"])
 
     return run
 
 
-def _expected(patterns: DataFrame, model: LabelModel | None, voters: int):
-    sums = patterns.mapInArrow(_gather(model, voters), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
+def _expected(patterns: DataFrame, model: LabelModel | None, voters: int, rows: int, labelled: int):
+    sums = patterns.mapInArrow(_gather(model, voters, rows, labelled), "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
     flat = np.zeros(2 * (voters + 1) ** 2 + 4)
     for row in sums.collect():  # two numbers for each pair of voters
         flat[row["at"]] = row["value"]
@@ -237,15 +249,16 @@ def correlated(total: np.ndarray, least: float = 0.002) -> np.ndarray:
 def fit_label_model(patterns: DataFrame, voters: int) -> LabelModel:
     """Estimate the label model from all documents' vote patterns (mask, label, many)."""
     model, parent = None, None
+    rows, labelled = patterns.agg(F.sum("many"), F.sum(F.when(F.col("label") >= 0, F.col("many")).otherwise(0))).first()
     for _ in range(ROUNDS):
-        total, labelled = _expected(patterns, model, voters)
+        total, judged = _expected(patterns, model, voters, rows, labelled)
         if parent is None:
             parent = correlated(total)
         n = total[:, -1, -1] + 1.0
         rate = np.clip((np.stack([np.diag(t)[:-1] for t in total]) + np.array([[0.01], [0.1]])) / n[:, None], 1e-6, 1 - 1e-4)
         up = np.where(parent >= 0, parent, 0)
         joint = np.stack([t[np.arange(voters), up] for t in total]) / n[:, None]
-        label_rate = np.clip((labelled[:, 1] + [0.05, 0.95]) / (labelled.sum(axis=1) + 1.0), 0.01, 0.99)
+        label_rate = np.clip((judged[:, 1] + [0.05, 0.95]) / (judged.sum(axis=1) + 1.0), [0.01, 0.8], [0.2, 0.99])
         model = LabelModel(float(np.clip(n[1] / n.sum(), 1e-4, 0.5)), rate, parent, joint, label_rate)
     return model
 
