@@ -164,10 +164,7 @@ def _count_sql(where: str, error: str = "errors", member: str = "members") -> st
 
 def _store(spark: SparkSession, d: str, root: str) -> None:
     """The derived tables of every year in one committed load."""
-    years = [r.fiscal_year for r in fx.households(spark, d).select("fiscal_year").distinct().collect()]
-    tables.write_all(
-        spark, root, fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d), [*years, max(years) + 1]
-    )
+    tables.write_all(spark, root, fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d))
 
 
 @query("committed_tables", "S6 S7", _count_sql("true"))

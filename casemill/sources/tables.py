@@ -1,9 +1,10 @@
 """The normalized tables on shared storage.
 
-Each load writes its rows under its own load id and becomes visible with one commit
-row written last, so readers see all three tables of a year or none, also when a job
-dies half way. Replacing and deleting a year are commit rows as well. The commit log
-holds one small row per load and year.
+Each load writes its rows under its own load id and becomes visible with commit rows written
+last, so readers see all three tables of a year or none, also when a job dies half way.
+A commit that replaces, compacts or deletes names the load ids it supersedes. What is named
+stays dead, what is not named stays live: neither clocks nor the order of commits matter, an append
+that lands during a compaction is kept, and a repeated load id changes nothing.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ from pyspark.sql import functions as F
 
 from casemill import spec
 from casemill.operators import quality, rates, reshape
+from casemill.session import scratch_path
+from casemill.sources import files
 from casemill.sources.wide_csv import read_wide_csv, stage_wide
 
 TABLES = ("households", "household_members", "qc_errors")
-_COMMIT = "fiscal_year INT, load_id STRING, action STRING, committed_at BIGINT"
+_COMMIT = (
+    "fiscal_year INT, load_id STRING, action STRING, supersedes ARRAY<STRING>, committed_at BIGINT,"
+    " households BIGINT, household_members BIGINT, qc_errors BIGINT"
+)
+_REFRESH = "aggregate STRING, fiscal_year INT, refresh_id STRING, version BIGINT"
 _DELETED = "table_name STRING, fiscal_year INT, rows_deleted BIGINT"
 _HISTORY = (
     "load_id STRING, fiscal_year INT, total_rows_in_file BIGINT, rows_loaded BIGINT, rows_skipped BIGINT,"
@@ -34,9 +41,7 @@ def _append(spark: SparkSession, path: str, rows: list[tuple], schema: str) -> N
 
 
 def _read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    if not location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location):
+    if not files.exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).json(path)
 
@@ -46,12 +51,31 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def live_loads(spark: SparkSession, root: str) -> DataFrame:
-    """``(fiscal_year, load_id)`` readers may see: everything since the year's last replace or delete."""
+    """``(fiscal_year, load_id)`` readers may see: what was committed and is not named as superseded."""
     log = commits(spark, root)
-    reset = F.max(F.when(F.col("action").isin("replace", "delete"), F.col("committed_at")))
-    since = log.groupBy("fiscal_year").agg(F.coalesce(reset, F.lit(0)).alias("since"))
-    kept = log.join(since, "fiscal_year").filter("committed_at >= since AND action <> 'delete'")
-    return kept.select("fiscal_year", "load_id").distinct()
+    added = log.filter("action <> 'delete'").select("fiscal_year", "load_id").distinct()
+    return added.join(superseded_loads(spark, root), ["fiscal_year", "load_id"], "left_anti")
+
+
+def superseded_loads(spark: SparkSession, root: str) -> DataFrame:
+    return commits(spark, root).select("fiscal_year", F.explode("supersedes").alias("load_id")).distinct()
+
+
+def _commit(
+    spark: SparkSession, root: str, years: Iterable[int], load_id: str, action: str, dead: DataFrame | None, written: Mapping[str, int]
+) -> None:
+    """One row per year, written in one file; ``dead`` has the loads it supersedes."""
+    counts = [written.get(table, 0) for table in TABLES]
+    rows = spark.createDataFrame(
+        [(int(year), load_id, action, time.time_ns(), *counts) for year in years],
+        "fiscal_year INT, load_id STRING, action STRING, committed_at BIGINT, households BIGINT, household_members BIGINT, qc_errors BIGINT",
+    )
+    if dead is None:
+        rows = rows.withColumn("supersedes", F.array().cast("array<string>"))
+    else:
+        named = dead.filter(F.col("load_id") != load_id).groupBy("fiscal_year").agg(F.collect_set("load_id").alias("supersedes"))
+        rows = rows.join(named, "fiscal_year", "left").withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>")))
+    rows.coalesce(1).write.mode("append").json(f"{root}/commits")
 
 
 def loaded_years(spark: SparkSession, root: str) -> DataFrame:
@@ -66,7 +90,7 @@ def years_to_load(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 def write_table(
     df: DataFrame, root: str, table: str, load_id: str, observation: Observation | None = None
 ) -> None:
-    """One table of one load, by year; running the same load again replaces its own files only."""
+    """One table of one load, by year; a load that starts over replaces its own files only."""
     out = df.withColumn("load_id", F.lit(load_id))
     if observation is not None:
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
@@ -78,34 +102,70 @@ def write_table(
     )
 
 
+def _years_of(spark: SparkSession, root: str, load_id: str) -> set[int]:
+    """Years a load has written, by its folders."""
+    found = set()
+    for table in TABLES:
+        for path in files.matching(spark, f"{root}/{table}/fiscal_year=*/load_id={load_id}"):
+            found.add(path.rstrip("/").split("/")[-2].removeprefix("fiscal_year="))
+    if any(not year.lstrip("-").isdigit() for year in found):
+        raise ValueError(f"load {load_id} has rows without a fiscal year; nothing was committed")
+    return {int(year) for year in found}
+
+
+def committed_load(spark: SparkSession, root: str, load_id: str) -> dict[str, int] | None:
+    """Rows per table of a load that has been committed, whether it is live or not; None otherwise."""
+    row = commits(spark, root).filter(F.col("load_id") == load_id).select(*TABLES).first()
+    return None if row is None else row.asDict()
+
+
 def write_all(
     spark: SparkSession,
     root: str,
     households: DataFrame,
     members: DataFrame,
     errors: DataFrame,
-    years: Iterable[int],
+    years: Iterable[int] | None = None,
     load_id: str | None = None,
     action: str = "replace",
 ) -> dict[str, int]:
-    """Write the three tables and make them visible together; returns rows written per table."""
+    """Write the three tables and make them visible together; returns rows written per table.
+
+    ``years`` are the years the load stands for, also those it has no rows of; None takes them from the
+    data. Rows of a year that is not among them fail the load before anything is visible. A load id that
+    was committed before, live or superseded since, is left as it is.
+    """
     load_id = load_id or uuid.uuid4().hex
+    known = committed_load(spark, root, load_id)
+    if known is not None:
+        return known
+    return _write_and_commit(spark, root, (households, members, errors), years, load_id, action)
+
+
+def _write_and_commit(spark, root, frames, years, load_id, action, dead: DataFrame | None = None) -> dict[str, int]:
     written = {}
-    for table, df in zip(TABLES, (households, members, errors), strict=True):
+    for table, df in zip(TABLES, frames, strict=True):
         seen = Observation(f"{table}-{load_id}")
         write_table(df, root, table, load_id, seen)
         written[table] = seen.get["rows"]
-    now = time.time_ns()
-    _append(spark, f"{root}/commits", [(int(year), load_id, action, now) for year in years], _COMMIT)
+    found = _years_of(spark, root, load_id)
+    stated = found if years is None else {int(year) for year in years}
+    if found - stated:
+        raise ValueError(f"load {load_id} has rows of years that were not stated: {sorted(found - stated)}; nothing was committed")
+    if action == "replace":
+        dead = live_loads(spark, root)
+    _commit(spark, root, sorted(stated), load_id, action, dead, written)
     return written
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Committed rows; the live loads become a partition filter, so dead loads are never opened."""
-    live = [f"{r.fiscal_year}/{r.load_id}" for r in live_loads(spark, root).collect()]
-    df = spark.read.parquet(f"{root}/{table}")
-    place = F.concat_ws("/", F.col("fiscal_year").cast("string"), F.col("load_id"))
-    return df.filter(place.isin(live)).drop("load_id")
+    """Committed rows; the join with the live loads prunes partitions, so dead loads are not read."""
+    return _of_loads(spark, root, table, live_loads(spark, root))
+
+
+def _of_loads(spark: SparkSession, root: str, table: str, loads: DataFrame) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/{table}")
+    return rows.join(loads, ["fiscal_year", "load_id"], "left_semi").select(*[c for c in rows.columns if c != "load_id"])
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -113,37 +173,60 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def compact_years(spark: SparkSession, root: str, years: Iterable[int]) -> dict[str, int]:
-    """Rewrite years collected from many small loads as one load with evenly sized files."""
-    chosen = list(years)
-    frames = [
-        read_table(spark, root, table).filter(F.col("fiscal_year").isin(chosen)).hint("rebalance", "fiscal_year")
-        for table in TABLES
-    ]
-    return write_all(spark, root, *frames, years=chosen)
+    """Rewrite years collected from many small loads as one load with evenly sized files.
+
+    The commit names the loads that were read; one that lands meanwhile stays beside the new one.
+    """
+    chosen = [int(year) for year in years]
+    live = live_loads(spark, root).filter(F.col("fiscal_year").isin(chosen))
+    path = scratch_path(spark, "compacted")
+    live.coalesce(1).write.parquet(path)
+    read = spark.read.schema(live.schema).parquet(path)
+    frames = [_of_loads(spark, root, table, read).hint("rebalance", "fiscal_year") for table in TABLES]
+    return _write_and_commit(spark, root, frames, chosen, uuid.uuid4().hex, "compact", read)
 
 
 def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = None) -> DataFrame:
     """Delete years (all when None) from the three tables at once; returns the rows removed per table and year.
 
-    The counts are taken before the commit row that hides the years.
+    The counts are of the loads that the commit row names and so hides. ``purge`` frees their files.
     """
-    chosen = [r.fiscal_year for r in loaded_years(spark, root).collect()]
+    live = live_loads(spark, root)
     if years is not None:
-        chosen = [year for year in chosen if year in set(years)]
+        live = live.filter(F.col("fiscal_year").isin([int(year) for year in years]))
+    path = scratch_path(spark, "deleted")
+    live.coalesce(1).write.parquet(path)
+    dead = spark.read.schema(live.schema).parquet(path)
+    chosen = [r.fiscal_year for r in dead.select("fiscal_year").distinct().collect()]
     if not chosen:
         return spark.createDataFrame([], _DELETED)
     counts = None
     for table in TABLES:
-        rows = read_table(spark, root, table).filter(F.col("fiscal_year").isin(chosen))
-        part = rows.groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("rows_deleted"))
+        part = _of_loads(spark, root, table, dead).groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("rows_deleted"))
         part = part.select(F.lit(table).alias("table_name"), "fiscal_year", "rows_deleted")
         counts = part if counts is None else counts.unionByName(part)
-    removed = counts.collect()
-    now = time.time_ns()
-    _append(spark, f"{root}/commits", [(year, "", "delete", now) for year in chosen], _COMMIT)
+    removed = counts.collect()  # three rows a year
+    _commit(spark, root, chosen, uuid.uuid4().hex, "delete", dead, {})
     return spark.createDataFrame(removed, _DELETED)
 
 
+def purge(spark: SparkSession, root: str) -> int:
+    """Remove the files of superseded loads and of replaced aggregates; returns the folders removed.
+
+    Loads without a commit are left alone: one may be under way. Readers that began before a load was
+    superseded must have ended.
+    """
+    removed = 0
+    for row in superseded_loads(spark, root).toLocalIterator():
+        for table in TABLES:
+            removed += files.delete(spark, f"{root}/{table}/fiscal_year={row.fiscal_year}/load_id={row.load_id}")
+    log = _read_log(spark, f"{root}/refreshes", _REFRESH)
+    old = log.join(_live_refreshes(spark, root), ["aggregate", "fiscal_year", "refresh_id"], "left_anti")
+    for row in old.toLocalIterator():
+        removed += files.delete(spark, f"{root}/aggregates/{row.aggregate}/fiscal_year={row.fiscal_year}/refresh_id={row.refresh_id}")
+    return removed
+
+
 def load_file(
     spark: SparkSession,
     root: str,
@@ -229,30 +312,50 @@ def refresh_aggregates(
     thresholds: DataFrame,
     years: Iterable[int] | None = None,
 ) -> None:
-    """Recompute the three stored aggregates and replace only the given years' partitions."""
+    """Recompute the three stored aggregates of the given years (None: all that are or were loaded).
+
+    The rows of a refresh have its id, and one commit row per aggregate and year makes them the current
+    ones, also where a year has no rows any more.
+    """
     tables = read_tables(spark, root)
+    known = _read_log(spark, f"{root}/refreshes", _REFRESH)
     if years is not None:
-        chosen = list(years)
+        chosen = sorted({int(year) for year in years})
         tables = {name: df.filter(F.col("fiscal_year").isin(chosen)) for name, df in tables.items()}
-    households = tables["households"]
+    else:
+        every = loaded_years(spark, root).union(known.select("fiscal_year")).distinct()
+        chosen = sorted(r.fiscal_year for r in every.collect())
+    households, refresh_id = tables["households"], uuid.uuid4().hex
     results = {
         "state_error_rates": rates.state_error_rates(households, thresholds),
         "error_element_rollup": rates.error_element_rollup(tables["qc_errors"], households, refs),
         "demographic_profile": rates.demographic_profile(tables["household_members"], households, refs),
     }
+    # A few aggregates and years.
+    last = {(r.aggregate, r.fiscal_year): r.v for r in known.groupBy("aggregate", "fiscal_year").agg(F.max("version").alias("v")).collect()}
+    rows = []
     for name, df in results.items():
-        (
-            df.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("fiscal_year")
-            .parquet(f"{root}/aggregates/{name}")
-        )
+        marked = df.withColumn("refresh_id", F.lit(refresh_id))
+        marked.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{root}/aggregates/{name}-schema")
+        marked.write.mode("append").partitionBy("fiscal_year", "refresh_id").parquet(f"{root}/aggregates/{name}")
+        rows += [(name, year, refresh_id, last.get((name, year), 0) + 1) for year in chosen]
+    if rows:
+        _append(spark, f"{root}/refreshes", rows, _REFRESH)
+
+
+def _live_refreshes(spark: SparkSession, root: str) -> DataFrame:
+    newest = F.max(F.struct("version", "refresh_id")).alias("newest")
+    log = _read_log(spark, f"{root}/refreshes", _REFRESH).groupBy("aggregate", "fiscal_year").agg(newest)
+    return log.select("aggregate", "fiscal_year", F.col("newest.refresh_id").alias("refresh_id"))
 
 
 def read_aggregate(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored aggregate, without years that have been deleted since."""
-    years = [r.fiscal_year for r in loaded_years(spark, root).collect()]
-    return spark.read.parquet(f"{root}/aggregates/{name}").filter(F.col("fiscal_year").isin(years))
+    """A stored aggregate as its years' newest refreshes left it, without years that have been deleted since."""
+    schema = spark.read.parquet(f"{root}/aggregates/{name}-schema").schema
+    current = _live_refreshes(spark, root).filter(F.col("aggregate") == name).join(loaded_years(spark, root), "fiscal_year", "left_semi")
+    rows = spark.read.schema(schema).parquet(f"{root}/aggregates/{name}")
+    kept = rows.join(current.select("fiscal_year", "refresh_id"), ["fiscal_year", "refresh_id"], "left_semi")
+    return kept.select(*[c for c in schema.names if c != "refresh_id"])
 
 
 def save_bucketed(df: DataFrame, name: str, buckets: int) -> None:

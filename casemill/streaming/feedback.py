@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from casemill.operators.feedback import apply_feedback, latest_feedback
+from casemill.sources import files
 
 
 def start_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Fold streamed feedback ``(question, sql, value, ts, event_id)`` into per-batch last values.
 
-    A batch writes only its own last value per pair, under its batch number; a repeated
-    batch replaces its own files. Nothing stored is rewritten, so a batch costs what it brings.
+    A batch writes only its own last value per pair, under an id kept in the checkpoint and its batch
+    number; a repeated batch replaces its own files, and a second stream on the path has other ids.
+    Nothing stored is rewritten, so a batch costs what it brings.
     """
+    stream = files.kept_id(feedback.sparkSession, f"{checkpoint}/stream-id")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         (
             latest_feedback(batch)
-            .withColumn("batch_id", F.lit(batch_id))
+            .withColumn("batch_id", F.lit(f"{stream}-{batch_id}"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id")
@@ -42,4 +45,4 @@ def current_pairs(spark: SparkSession, store: DataFrame, path: str) -> DataFrame
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Rewrite the folded batches as one, for stores with a long history."""
     folded = latest_feedback(spark.read.parquet(path).drop("batch_id"))
-    folded.withColumn("batch_id", F.lit(-1)).write.partitionBy("batch_id").parquet(target)
+    folded.withColumn("batch_id", F.lit("folded")).write.partitionBy("batch_id").parquet(target)

@@ -2,9 +2,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from casemill.operators import quality
+from casemill.operators import quality, reshape
 from casemill.session import scratch_path
-from casemill.sources import tables
+from casemill.sources import tables, wide_csv
 from casemill.streaming.loads import start_file_loads
 
 
@@ -94,8 +94,129 @@ def test_stream_picks_up_later_drops_with_other_columns(spark, tmp_path):
     assert rows(got["households"].groupBy("fiscal_year").count(), "fiscal_year") == [(2022, 5), (2023, 2)]
     assert rows(got["qc_errors"].select("fiscal_year", "element_code")) == [(2023, 311)] * 2
     assert got["household_members"].filter(F.col("age") == 30).count() == 7
-    done = rows(tables.load_status(spark, root).select("load_id", "total_rows_in_file", "rows_loaded"), "load_id")
-    assert done == [("stream-0", 4, 4), ("stream-1", 3, 3)]
+    done = rows(tables.load_status(spark, root).select("load_id", "total_rows_in_file", "rows_loaded"), "rows_loaded")
+    assert [(r[0][-2:], *r[1:]) for r in done] == [("-1", 3, 3), ("-0", 4, 4)]
+
+
+def test_two_streams_and_a_new_checkpoint_share_a_store(spark, tmp_path):
+    root, stage = scratch_path(spark, "t"), scratch_path(spark, "s")
+    for name, count in (("a", 2), ("b", 1)):
+        wide_file(tmp_path / name, "qc_fy2022.csv", 10 * count, count)
+        start_file_loads(spark, str(tmp_path / name), root, scratch_path(spark, "m"), stage).awaitTermination()
+    assert tables.read_table(spark, root, "households").count() == 3
+
+
+def test_replay_after_compaction_and_after_deletion_adds_nothing(spark):
+    root = scratch_path(spark, "t")
+    load = {"years": [2022], "load_id": "stream-x-0", "action": "append"}
+    tables.write_all(spark, root, *frames(spark, 2022), **load)
+    tables.compact_years(spark, root, [2022])
+    assert tables.write_all(spark, root, *frames(spark, 2022), **load)["households"] == 3
+    assert tables.read_table(spark, root, "households").count() == 3
+    tables.delete_years(spark, root, [2022])
+    tables.write_all(spark, root, *frames(spark, 2022), **load)
+    assert tables.read_table(spark, root, "households").count() == 0
+
+
+def test_append_during_compaction_stays(spark, monkeypatch):
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2022), years=[2022])
+    write, late = tables._write_and_commit, frames(spark, 2022, ("X", "Y"))
+
+    def interrupted(*args):
+        monkeypatch.setattr(tables, "_write_and_commit", write)
+        tables.write_all(spark, root, *late, years=[2022], action="append")
+        return write(*args)
+
+    monkeypatch.setattr(tables, "_write_and_commit", interrupted)
+    tables.compact_years(spark, root, [2022])
+    assert tables.read_table(spark, root, "households").count() == 5
+    assert tables.live_loads(spark, root).count() == 2
+
+
+def test_years_that_were_not_stated_fail_the_load(spark):
+    root = scratch_path(spark, "t")
+    with pytest.raises(ValueError, match="2023"):
+        tables.write_all(spark, root, *frames(spark, 2023), years=[2022])
+    assert tables.live_loads(spark, root).count() == 0
+    assert tables.write_all(spark, root, *frames(spark, 2023))["households"] == 3
+    assert rows(tables.loaded_years(spark, root)) == [(2023,)]
+
+
+def test_purge_frees_dead_loads_only(spark):
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2022), years=[2022], load_id="one")
+    tables.write_all(spark, root, *frames(spark, 2022, ("Z",)), years=[2022], load_id="two")
+    tables.write_table(frames(spark, 2022)[0], root, "households", "under-way")
+    assert tables.purge(spark, root) == 3
+    assert tables.purge(spark, root) == 0
+    assert {r[0] for r in spark.read.parquet(f"{root}/households").select("load_id").distinct().collect()} == {"two", "under-way"}
+    assert tables.read_table(spark, root, "households").count() == 1
+
+
+def test_files_without_year_or_columns_are_rejected_with_a_reason(spark, tmp_path):
+    folder, root = tmp_path / "drops", scratch_path(spark, "t")
+    wide_file(folder, "qc_fy2022.csv", 1, 2)
+    wide_file(folder, "no_year.csv", 1, 2)
+    (folder / "bad_fy2021.csv").write_text("A,B\n1,2\n")
+    (folder / "keyless_fy2022.csv").write_text("STATE,YRMONTH,FSBEN\n6,202201,5\n6,202201,6\n")
+    start_file_loads(spark, str(folder), root, scratch_path(spark, "m"), scratch_path(spark, "s")).awaitTermination()
+    log = rows(tables.load_status(spark, root).select("load_status", "fiscal_year", "rows_loaded", "error_message"), "load_status", "fiscal_year")
+    assert [r[:3] for r in log] == [("completed", 2022, 4), ("rejected", None, 0), ("rejected", 2021, 0)]
+    assert "no fiscal year" in log[1][3] and "Missing required columns: STATE" in log[2][3]
+    assert tables.read_table(spark, root, "households").select("case_id").distinct().count() == 4
+
+
+def test_failing_batch_leaves_an_audit_row(spark, tmp_path):
+    folder, root = tmp_path / "drops", scratch_path(spark, "t")
+    wide_file(folder, "qc_fy2022.csv", 0, 2)
+    with pytest.raises(Exception, match="invalid_age"):
+        start_file_loads(spark, str(folder), root, scratch_path(spark, "m"), scratch_path(spark, "s"), strict=True).awaitTermination()
+    assert rows(tables.load_status(spark, root).select("load_status")) == [("failed",)]
+
+
+def test_quotes_commas_and_column_orders(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('HHLDNO,STATE,STATENAME,YRMONTH,FSBEN\nk1,6,"New ""X"" York, NY",202301,1.5\n')
+    (folder / "b.csv").write_text("FSBEN,YRMONTH,STATE,HHLDNO\n2.5,202302,7,k2\n")
+    got = rows(wide_csv.read_wide_csv(spark, str(folder)).select("HHLDNO", "STATE", "STATENAME", "YRMONTH", "FSBEN"), "HHLDNO")
+    assert got == [("k1", "6", 'New "X" York, NY', "202301", "1.5"), ("k2", "7", None, "202302", "2.5")]
+    for i in range(40):
+        (folder / f"fy2022-{i}.csv").write_text(f"FSBEN,YRMONTH,STATE,HHLDNO\n1,202302,7,x{i}\n")
+    plan = wide_csv.read_wide_csv(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan csv") == 2
+
+
+def test_row_numbers_do_not_depend_on_the_splits(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, first in (("b", 500), ("a", 0)):
+        (folder / f"{name}.csv").write_text("STATE\n" + "".join(f"{i}\n" for i in range(first, first + 500)))
+    want = [(str(i + 1), str(i)) for i in range(1000)]
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = reshape.with_case_key(spark.read.option("header", True).csv(str(folder)))
+            assert sorted((tuple(r) for r in df.select("HHLDNO", "STATE").collect()), key=lambda r: int(r[0])) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_year_that_lost_its_errors_has_no_stored_rollup(spark):
+    from casemill.operators import enrich
+    from casemill.plans import fixtures as fx
+
+    root, d = scratch_path(spark, "t"), "/root/testdata/sf0.001"
+    pick = [df.filter("fiscal_year IN (2019, 2020)") for df in (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d))]
+    tables.write_all(spark, root, *pick)
+    refs, thresholds = fx.refs(spark), enrich.threshold_table(spark)
+    tables.refresh_aggregates(spark, root, refs, thresholds)
+    assert {r[0] for r in tables.read_aggregate(spark, root, "error_element_rollup").select("fiscal_year").distinct().collect()} == {2019, 2020}
+    again = [df.filter("fiscal_year = 2019") for df in pick]
+    tables.write_all(spark, root, again[0], again[1], again[2].limit(0), years=[2019])
+    tables.refresh_aggregates(spark, root, refs, thresholds, [2019])
+    assert {r[0] for r in tables.read_aggregate(spark, root, "error_element_rollup").select("fiscal_year").distinct().collect()} == {2020}
 
 
 def test_bucketed_tables_join_without_shuffle(spark):
