@@ -5,7 +5,7 @@ first separator of the list it contains, each separator staying at the start of
 piece it opens. Pieces shorter than ``size`` are packed in order into chunks of at most
 ``size``; a new chunk repeats as many trailing pieces of the previous one as fit into
 ``overlap``. A longer piece is cut again with the remaining separators. Chunks lose
-blanks at both ends, and empty ones are dropped.
+blanks at both ends, and empty ones are dropped; where one or none is left, the whole text stays.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def chunk_text(text: str, markdown: bool = False, size: int = 500, overlap: int
     if len(text) <= size:
         return [text]
     rules = MARKDOWN_SEPARATORS if markdown else _TEXT_RULES
-    return [chunk for chunk in (part.strip() for part in _cut(text, rules, size, overlap)) if chunk]
+    chunks = [chunk for chunk in (part.strip() for part in _cut(text, rules, size, overlap)) if chunk]
+    return chunks if len(chunks) > 1 else [text]
 
 
 def chunks_of(text: Column, filename: Column, size: int = 500, overlap: int = 50) -> Column:

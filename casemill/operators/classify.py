@@ -83,7 +83,11 @@ def range_category(code: Column, ranges: Sequence[tuple[str, int, int]]) -> Colu
 
 
 def with_set_category(df: DataFrame, code: str, sets: DataFrame, out: str = "category") -> DataFrame:
-    """Category from code sets ``(category, codes array)``; the first set in name order wins, none gives NULL."""
-    members = sets.select("category", F.explode("codes").alias("_code")).groupBy("_code")
-    lookup = members.agg(F.min("category").alias(out))
+    """Category from code sets ``(category, codes array)``, none gives NULL.
+
+    The first set that holds the code wins: by ``set_order`` where sets have it, else by name.
+    """
+    rank = [F.col("set_order")] if "set_order" in sets.columns else []
+    first = F.min(F.struct(*[r.alias("_rank") for r in rank], F.col("category").alias("_name"))).alias("_first")
+    lookup = sets.withColumn("_code", F.explode("codes")).groupBy("_code").agg(first).select("_code", F.col("_first._name").alias(out))
     return df.join(lookup, F.col(code) == F.col("_code"), "left").drop("_code")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from casemill.functions.identity import content_id, pair_id
 from casemill.functions.chunking import chunks_of
-from casemill.session import spread
 from casemill.sources.lookups import upsert
 
 
@@ -40,7 +39,7 @@ def rebuild_store(
 ) -> DataFrame:
     """The whole store from its sources: chunked documents, pairs and table definitions, one row per id."""
     pieces = chunks_of(F.col("text"), F.col("filename"), size, overlap)
-    chunks = spread(documents).select(F.explode(pieces).alias("content"))
+    chunks = documents.select(F.explode(pieces).alias("content"))
     parts = [
         _typed(chunks, "documentation", "doc"),
         with_pair_id(pairs).select(

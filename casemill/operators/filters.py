@@ -35,16 +35,28 @@ class GlobalFilter:
 
 
 def apply_filter(
-    df: DataFrame, chosen: GlobalFilter, parent: DataFrame | None = None, dataset: DatasetSpec = QC_DATASET
+    df: DataFrame,
+    chosen: GlobalFilter,
+    parent: DataFrame | None = None,
+    dataset: DatasetSpec = QC_DATASET,
+    without_parent: bool = False,
 ) -> DataFrame:
-    """Keep matching rows; a table without the state column is semi-joined to its parent on the full key."""
+    """Keep matching rows; a table without the state column is semi-joined to its parent on the full key.
+
+    A child handed in without its parent raises under a state filter, unless ``without_parent`` lets it
+    pass by its year alone. Tables that are no children have no state to filter by and stay whole.
+    """
     if chosen.fiscal_years and dataset.year_column in df.columns:
         df = df.filter(chosen.on(dataset.year_column, chosen.fiscal_years))
     if not chosen.states:
         return df
     if dataset.state_column in df.columns:
         return df.filter(chosen.on(dataset.state_column, chosen.states))
-    if parent is None or not set(dataset.key) <= set(df.columns):
+    if not set(dataset.key) <= set(df.columns):
+        return df
+    if parent is None:
+        if not without_parent:
+            raise ValueError("a state filter on a child table needs its parent")
         return df
     kept = apply_filter(parent, chosen, dataset=dataset).select(*dataset.key)
     return df.join(kept, list(dataset.key), "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from casemill.functions import text as tx
 from casemill.functions.chunking import chunks_of
 from casemill.operators.ranking import top_per_group
-from casemill.session import broadcast_if_small, spread
+from casemill.session import scratch_path
 
 DISTANCE_THRESHOLD = 0.60
 OVERFETCH = 3
@@ -25,20 +24,23 @@ COLLECTION_LABELS = {"ddl": ("🗄️", "Schema"), "documentation": ("📖", "Co
 # Dataset names a question may start with.
 DATASETS = ("snap_qc", "state_ca")
 
-# Bounds of the side handed to every task. A larger side is cut into slices, each its own scan.
-MAX_SIDE_BYTES = 64 * 1024 * 1024
-MAX_BROADCAST_HITS = 500_000
+# Questions a task holds while the chunks of its cell pass by, and chunks scored at once.
+QUESTION_BLOCK = 512
+CHUNK_BATCH = 2048
+# Distances are kept to this many digits, below which only the noise of the arithmetic differs.
+DISTANCE_DIGITS = 12
 
 
 def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Documents ``(filename, text, category, tags, user_id, is_private)`` to chunk rows.
 
     Ids are derived from the file name, so loading a document again gives the same ids.
-    Unsplit documents have no parent link.
+    Unsplit documents have no parent link and keep their whole text. A text that is all blanks is kept whole
+    as well, and one without text has no row.
     """
     private = F.coalesce("is_private", F.lit(False))
     document_id = F.concat(F.lit("kb_"), F.md5(F.col("filename").cast("binary")))
-    base = spread(documents).select(
+    base = documents.select(
         "filename",
         F.when(private, F.concat(F.lit("user:"), "user_id")).otherwise(F.col("category")).alias("category"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
@@ -61,13 +63,20 @@ def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50) ->
         "user_id",
         "visibility",
         "text",
+        F.current_timestamp().alias("created_at"),
     )
 
 
-def replace_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Chunks of incoming file names replace all stored chunks of those names."""
-    names = broadcast_if_small(incoming.select("filename").distinct())
-    return existing.join(names, "filename", "left_anti").unionByName(incoming)
+def replace_documents(existing: DataFrame, incoming: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Chunks of incoming file names replace all stored chunks of those names.
+
+    A chunk id that comes twice in one batch is kept once: the last by ``order``, columns of incoming, or
+    without them the one with the largest text.
+    """
+    names = incoming.select("filename").distinct()
+    rank = F.struct(*[F.col(c) for c in order], "text", F.struct(*[F.col(c) for c in incoming.columns if c != "text"]))
+    last = incoming.groupBy("chunk_id").agg(F.max_by(F.struct(*incoming.columns), rank).alias("row")).select("row.*")
+    return existing.join(names, "filename", "left_anti").unionByName(last)
 
 
 def delete_document(chunks: DataFrame, document_id: str) -> DataFrame:
@@ -155,138 +164,135 @@ def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return ordered.groupby("question_id", sort=False).head(k)
 
 
-def _score(question_ids: np.ndarray, unit_questions: np.ndarray, chunks: pd.DataFrame, k: int) -> list[pd.DataFrame]:
-    """Nearest k of one batch of chunks per question; score blocks stay small whatever the question count."""
-    chunks = chunks.sort_values("chunk_id", kind="stable")
-    unit_chunks = _unit(chunks["embedding"])
-    ids, documents = chunks["chunk_id"].to_numpy(), chunks["document_key"].to_numpy()
-    width = min(k, len(chunks))
-    out = []
-    for start in range(0, len(question_ids), 512):
-        block = slice(start, start + 512)
-        distances = np.round(1.0 - unit_questions[block] @ unit_chunks.T, 9)
+_FILTERS = ("user_id", "user_scope", "category", "tags")
+_SIDES = (
+    "cell bigint, is_chunk boolean, id string, document_key string, embedding array<double>, user_id string, category string,"
+    " tags array<string>, shared boolean, own_only boolean"
+)
+_HITS = "question_id bigint, chunk_id string, document_key string, distance double"
+
+
+def _tag_matrix(tags: pd.Series, place: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(tags), max(1, len(place))), np.float32)
+    for row, names in enumerate(tags):
+        for name in names if names is not None else ():
+            if name in place:
+                out[row, place[name]] = 1
+    return out
+
+
+class _Asked:
+    """The questions of a cell, ready to meet batches of chunks."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids = rows["id"].astype("int64").to_numpy()
+        self.unit = _unit(rows["embedding"])
+        self.user, self.own_only = rows["user_id"].to_numpy(), rows["own_only"].eq(True).to_numpy(bool)
+        self.category = rows["category"].to_numpy()
+        self.open = rows["category"].isna().to_numpy() | (rows["category"] == "").to_numpy()
+        named = {name for names in rows["tags"] if names is not None for name in names}
+        self.place = {name: i for i, name in enumerate(sorted(named))}
+        self.tags = _tag_matrix(rows["tags"], self.place)
+
+    def allowed(self, chunks: pd.DataFrame) -> np.ndarray:
+        """[questions, chunks]: own chunks in private scope, shared or own ones otherwise; category equal, any tag shared."""
+        known = ~pd.isna(chunks["user_id"]).to_numpy()
+        own = (self.user[:, None] == chunks["user_id"].to_numpy()) & known
+        mask = own | (~self.own_only[:, None] & chunks["shared"].to_numpy(bool))
+        mask &= self.open[:, None] | (self.category[:, None] == chunks["category"].to_numpy())
+        if self.place:
+            untagged = ~self.tags.any(axis=1)
+            mask &= untagged[:, None] | (self.tags @ _tag_matrix(chunks["tags"], self.place).T > 0)
+        return mask
+
+    def nearest(self, chunks: pd.DataFrame, k: int, filtered: bool) -> pd.DataFrame:
+        chunks = chunks.sort_values("id", kind="stable")
+        distances = np.round(1.0 - self.unit @ _unit(chunks["embedding"]).T, DISTANCE_DIGITS)
+        if filtered:
+            distances = np.where(self.allowed(chunks), distances, np.inf)
+        width = min(k, len(chunks))
         limit = np.partition(distances, width - 1, axis=1)[:, width - 1 : width]
-        rows, columns = np.nonzero(distances <= limit)
+        rows, columns = np.nonzero((distances <= limit) & np.isfinite(distances))
         near = distances[rows, columns]
         # Columns are in id order, so they settle equal distances.
         order = np.lexsort((columns, near, rows))
         rows, columns, near = rows[order], columns[order], near[order]
-        first = np.searchsorted(rows, rows, side="left")
-        kept = np.arange(len(rows)) - first < width
-        out.append(
-            pd.DataFrame(
-                {
-                    "question_id": question_ids[block][rows[kept]],
-                    "chunk_id": ids[columns[kept]],
-                    "document_key": documents[columns[kept]],
-                    "distance": near[kept],
-                }
-            )
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < width
+        ids, keys = chunks["id"].to_numpy(), chunks["document_key"].to_numpy()
+        return pd.DataFrame(
+            {"question_id": self.ids[rows[kept]], "chunk_id": ids[columns[kept]], "document_key": keys[columns[kept]], "distance": near[kept]}
         )
-    return out
-
-
-_FILTERS = ("user_id", "user_scope", "category", "tags")
-_HITS = "question_id bigint, chunk_id string, document_key string, distance double"
-
 
-def _signature(row: pd.Series) -> tuple:
-    tags = row["tags"]
-    category = row["category"] if isinstance(row["category"], str) and row["category"] else None
-    return row["user_id"], row["user_scope"], category, tuple(sorted(tags)) if tags is not None else ()
 
+def _meet(k: int, filtered: bool):
+    """Cells one after the other: the questions of a cell first, then its chunks, of which the nearest k are held."""
 
-def _allowed(chunks: pd.DataFrame, signature: tuple) -> np.ndarray:
-    user_id, scope, category, tags = signature
-    own = (chunks["user_id"] == user_id).to_numpy()
-    mask = own if scope == "private" else own | (chunks["visibility"] == "shared").to_numpy()
-    if category is not None:
-        mask = mask & (chunks["category"] == category).to_numpy()
-    if tags:
-        wanted = set(tags)
-        mask = mask & np.fromiter((t is not None and bool(wanted.intersection(t)) for t in chunks["tags"]), bool, len(chunks))
-    return mask
-
-
-def _scan(chunks: DataFrame, questions: pd.DataFrame, k: int, filtered: bool) -> DataFrame:
-    """Nearest k chunks per question and task; the questions are a bounded slice held by every task."""
-    shared = chunks.sparkSession.sparkContext.broadcast(questions)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        signatures = [_signature(row) for _, row in held.iterrows()] if filtered else [()] * len(held)
-        groups: dict[tuple, list[int]] = {}
-        for position, signature in enumerate(signatures):
-            groups.setdefault(signature, []).append(position)
-        ids, unit = held["question_id"].to_numpy(), _unit(held["embedding"])
-        best: list[pd.DataFrame] = []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, asked, best = None, [], None, []
         for batch in batches:
-            for signature, positions in groups.items():
-                part = batch[_allowed(batch, signature)] if filtered else batch
-                if len(part):
-                    best += _score(ids[positions], unit[positions], part, k)
-            if len(best) > 64:
-                best = [_trim(pd.concat(best), k)]
+            for at, rows in batch.groupby("cell", sort=False):
+                if at != cell:
+                    if best:
+                        yield _trim(pd.concat(best), k)
+                    cell, held, asked, best = at, [], None, []
+                questions, chunks = rows[~rows["is_chunk"]], rows[rows["is_chunk"]]
+                if len(questions):
+                    held.append(questions)
+                if not len(chunks) or not held:
+                    continue
+                asked = asked or _Asked(pd.concat(held))
+                for start in range(0, len(chunks), CHUNK_BATCH):
+                    best.append(asked.nearest(chunks.iloc[start : start + CHUNK_BATCH], k, filtered))
+                if len(best) > 16:
+                    best = [_trim(pd.concat(best), k)]
         if best:
             yield _trim(pd.concat(best), k)
 
-    return chunks.mapInPandas(nearest, _HITS)
-
-
-def _scan_questions(questions: DataFrame, chunks: pd.DataFrame, k: int, filtered: bool) -> DataFrame:
-    """Nearest k chunks per question with all chunks, a bounded table, held by every task."""
-    shared = questions.sparkSession.sparkContext.broadcast(chunks)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = shared.value
-        for batch in batches:
-            signatures = [_signature(row) for _, row in batch.iterrows()] if filtered else [()] * len(batch)
-            groups: dict[tuple, list[int]] = {}
-            for position, signature in enumerate(signatures):
-                groups.setdefault(signature, []).append(position)
-            ids, unit = batch["question_id"].to_numpy(), _unit(batch["embedding"])
-            for signature, positions in groups.items():
-                part = held[_allowed(held, signature)] if filtered else held
-                if len(part):
-                    yield pd.concat(_score(ids[positions], unit[positions], part, k))
-
-    return questions.mapInPandas(nearest, _HITS)
-
+    return run
 
-def _side(df: DataFrame) -> tuple[int, int]:
-    """Rows and bytes of a vector side when held in memory."""
-    size = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    return size["n"], size["n"] * (max(size["dim"] or 1, 1) * 8 + 200)
 
+def nearest_chunks(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """The k nearest chunks per question over all chunks.
 
-def nearest_chunks(chunks: DataFrame, questions: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """The k nearest chunks per question over all chunks, with the number of questions.
-
-    ``questions`` needs a bigint ``question_id`` and ``embedding``; with the four filter
-    columns as well, each question only sees the chunks its filters allow. The side held
-    by every task is at most ``MAX_SIDE_BYTES``: the questions if they fit, else the
-    chunks if those fit, else the questions slice by slice, each its own scan. No side is
-    shuffled, and only k rows per question leave a task.
+    ``questions`` needs a bigint ``question_id`` and ``embedding``; with the four filter columns as well, each
+    question only sees the chunks its filters allow. Questions are dealt into blocks and chunks into groups; a
+    shuffle brings each pair of them, a cell, into one task, which holds the questions while the chunks pass
+    by. There are about as many cells as shuffle partitions, or one for each block of questions if that is
+    more; k rows per question leave a cell. No questions, or no chunks, give no rows. Rows without vector
+    take no part.
     """
+    spark = chunks.sparkSession
     filtered = set(_FILTERS) <= set(questions.columns)
-    extra = [F.col(name) for name in _FILTERS] if filtered else []
-    asked = questions.select(F.col("question_id").cast("bigint").alias("question_id"), "embedding", *extra)
-    columns = ["chunk_id", F.coalesce("parent_id", "filename").alias("document_key"), "embedding"]
-    if filtered:
-        columns += ["user_id", "visibility", "category", "tags"]
-    scored = chunks.select(*columns)
-    count, question_bytes = _side(asked)
-    slices = max(1, math.ceil(question_bytes / MAX_SIDE_BYTES))
-    if slices > 1 and _side(scored)[1] <= MAX_SIDE_BYTES:
-        return _scan_questions(asked, scored.toPandas(), k, filtered), count
-    found = []
-    for position in range(slices):
-        part = asked
-        if slices > 1:
-            part = asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(slices)) == position)
-        found.append(_scan(scored, part.toPandas(), k, filtered))
-    hits = reduce(DataFrame.unionByName, found)
-    return top_per_group(hits, ["question_id"], ["distance", "chunk_id"], k), count
+    count = questions.count()
+    blocks = max(1, -(-count // QUESTION_BLOCK))
+    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    own_only = F.col("user_scope") == "private" if filtered else F.lit(False)
+    wanted = {name: F.col(name) if filtered else F.lit(None) for name in ("user_id", "category", "tags")}
+    asked = questions.filter("embedding IS NOT NULL").select(
+        F.col("question_id").cast("bigint").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        *[column.cast("array<string>" if name == "tags" else "string").alias(name) for name, column in wanted.items()],
+        own_only.alias("own_only"),
+    )
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        (block * groups + F.col("part")).alias("cell"), F.lit(False).alias("is_chunk"), "id", F.lit(None).cast("string").alias("document_key"),
+        "embedding", "user_id", "category", "tags", F.lit(None).cast("boolean").alias("shared"), "own_only",
+    )
+    access = {
+        "user_id": F.col("user_id") if filtered else F.lit(None).cast("string"),
+        "category": F.col("category") if filtered else F.lit(None).cast("string"),
+        "tags": F.col("tags") if filtered else F.lit(None).cast("array<string>"),
+    }
+    group = F.pmod(F.xxhash64("chunk_id"), F.lit(groups))
+    stored = chunks.filter("embedding IS NOT NULL").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        (F.col("_block") * groups + group).alias("cell"), F.lit(True).alias("is_chunk"), F.col("chunk_id").alias("id"),
+        F.coalesce("parent_id", "filename").alias("document_key"), F.col("embedding").cast("array<double>").alias("embedding"),
+        *[column.alias(name) for name, column in access.items()],
+        (F.col("visibility") == "shared" if filtered else F.lit(True)).alias("shared"), F.lit(None).cast("boolean").alias("own_only"),
+    )
+    cells = asked.unionByName(stored).repartition(blocks * groups, "cell").sortWithinPartitions("cell", "is_chunk")
+    hits = cells.mapInPandas(_meet(k, filtered), _HITS)
+    return hits if groups == 1 else top_per_group(hits, ["question_id"], ["distance", "chunk_id"], k)
 
 
 def best_per_document(hits: DataFrame) -> DataFrame:
@@ -306,11 +312,9 @@ def retrieve(
     Candidates are cut to three times ``n_results`` before the threshold and before the
     best chunk per document is chosen, so fewer than ``n_results`` may remain.
     """
-    candidates, count = nearest_chunks(chunks, questions, n_results * OVERFETCH)
+    candidates = nearest_chunks(chunks, questions, n_results * OVERFETCH)
     best = best_per_document(candidates.filter(F.col("distance") <= distance_threshold))
     ranked = top_per_group(best, ["question_id"], ["distance", "chunk_id"], n_results, "result_rank")
-    if count * n_results <= MAX_BROADCAST_HITS:
-        ranked = F.broadcast(ranked)
     described = chunks.select("chunk_id", "filename", "category", "tags", "text")
     return described.join(ranked, "chunk_id").select(
         "question_id",
@@ -339,26 +343,27 @@ def source_names(results: DataFrame) -> DataFrame:
 def retrieve_collections(
     collections: Mapping[str, DataFrame], questions: DataFrame, n_results: int = 5, dataset: str = DATASETS[0]
 ) -> DataFrame:
-    """Nearest entries of each example-store collection, with the collection's fixed relevance and label."""
+    """Nearest entries of each example-store collection with their text and the collection's fixed relevance and label."""
     found = []
     for name, relevance in COLLECTION_RELEVANCE:
         if name not in collections:
             continue
         # Collections belong to everybody, so access filters do not apply.
-        hits, _ = nearest_chunks(collections[name], questions.select("question_id", "embedding"), n_results)
+        hits = nearest_chunks(collections[name], questions.select("question_id", "embedding"), n_results)
         ranked = hits.withColumn(
             "collection_rank",
             F.row_number().over(Window.partitionBy("question_id").orderBy("distance", "chunk_id")),
         )
         sign, kind = COLLECTION_LABELS[name]
         found.append(
-            ranked.select(
+            ranked.join(collections[name].select("chunk_id", "text"), "chunk_id").select(
                 "question_id",
                 F.lit(name).alias("collection"),
                 "collection_rank",
                 "chunk_id",
                 F.lit(relevance).alias("relevance"),
                 F.lit(f"{sign} {dataset.upper()} {kind}").alias("source_display"),
+                "text",
             )
         )
     return reduce(DataFrame.unionByName, found)
@@ -375,6 +380,7 @@ def retrieve_all(
         "chunk_id",
         "relevance",
         "source_display",
+        "text",
     )
     merged = kb.unionByName(retrieve_collections(collections, questions, per_collection))
     place = F.array_position(F.array(*[F.lit(n) for n in ("kb", *[c for c, _ in COLLECTION_RELEVANCE])]), F.col("collection"))
@@ -382,14 +388,21 @@ def retrieve_all(
     return top_per_group(merged, ["question_id"], order, n_results, "result_rank")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "questions")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], questions: DataFrame) -> DataFrame:
     """Sources of every question where its directives send it.
 
     Takes the output of ``parse_questions`` with ``question_id``, ``embedding`` and
     ``user_id``. Knowledge-base questions use all their filters and get five sources, ``all``
     questions ten over knowledge base and collections by user only, dataset questions five
-    per chosen collection.
+    per chosen collection. Questions are written once, since every collection reads them.
     """
+    questions = _written(questions.select("question_id", "embedding", "collection_path", "collections", *_FILTERS))
     kb = questions.filter("collection_path = 'kb'").select("question_id", "embedding", *_FILTERS)
     everywhere = questions.filter("collection_path = 'all'").select(
         "question_id",
@@ -399,7 +412,7 @@ def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], que
         F.lit(None).cast("string").alias("category"),
         F.array().cast("array<string>").alias("tags"),
     )
-    columns = ["question_id", "result_rank", "collection", "chunk_id", "relevance", "source_display"]
+    columns = ["question_id", "result_rank", "collection", "chunk_id", "relevance", "source_display", "text"]
     parts = [
         retrieve(chunks, kb, 5).withColumn("collection", F.lit("kb")).select(*columns),
         retrieve_all(chunks, collections, everywhere, 10).select(*columns),
@@ -410,7 +423,8 @@ def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], que
         if name not in collections:
             continue
         sent = asked.filter(F.array_contains("collections", name))
-        hits, _ = nearest_chunks(collections[name], sent.select("question_id", "embedding"), 5)
+        hits = nearest_chunks(collections[name], sent.select("question_id", "embedding"), 5)
+        hits = hits.join(collections[name].select("chunk_id", "text"), "chunk_id")
         labels = sent.select(F.col("question_id").cast("bigint").alias("question_id"), F.upper("collection_path").alias("_set"))
         sign, kind = COLLECTION_LABELS[name]
         found.append(
@@ -422,6 +436,7 @@ def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], que
                 "chunk_id",
                 F.lit(relevance).alias("relevance"),
                 F.concat(F.lit(f"{sign} "), "_set", F.lit(f" {kind}")).alias("source_display"),
+                "text",
             )
         )
     if found:

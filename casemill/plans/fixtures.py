@@ -165,6 +165,12 @@ WIDE_ERROR_RULES: dict[str, str] = {
     "E_FINDG": "CAST(2 + (o_orderkey + {n}) % 3 AS STRING)",
 }
 
+# The variables without a rule of their own: whole numbers, or amounts where the type is one.
+for _rules, _variables in ((WIDE_PERSON_RULES, spec.PERSON_VARIABLES), (WIDE_ERROR_RULES, spec.ERROR_VARIABLES)):
+    for _i, (_source, (_, _kind)) in enumerate(_variables.items()):
+        _cents_part = " || '.75'" if _kind.startswith("decimal") else ""
+        _rules.setdefault(_source, f"CAST((o_custkey * {{n}} + o_orderkey + {_i}) % {_i % 7 + 3} AS STRING){_cents_part}")
+
 
 def wide_columns() -> list[str]:
     """Select list of the wide survey frame over orders and nation."""
@@ -187,9 +193,9 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.selectExpr(*wide_columns(), "CAST(2017 + o_orderkey % 7 AS INT) AS source_year")
 
 
-def write_wide_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+def write_wide_files(spark: SparkSession, sf_dir: str, folder: str, condition: str = "true") -> None:
     """The wide rows as one CSV dataset per fiscal year, named after the year."""
-    rows = wide(spark, sf_dir)
+    rows = wide(spark, sf_dir).filter(condition)
     named = rows.withColumn("file", F.concat(F.lit("qc_pub_fy"), F.col("source_year").cast("string"), F.lit(".csv")))
     named.drop("source_year").write.partitionBy("file").option("header", True).csv(folder)
 
@@ -218,7 +224,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'N'")
+    lines = table(spark, sf_dir, "lineitem")
     return lines.selectExpr(*_select(ERROR_RULES, "spark"))
 
 
@@ -266,7 +272,7 @@ def duck_tables() -> dict[str, str]:
         "households": "SELECT " + ", ".join(_select(HOUSEHOLD_RULES, "duckdb"))
         + " FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 25",
         "members": "SELECT " + ", ".join(_select(MEMBER_RULES, "duckdb")) + " FROM lineitem",
-        "errors": "SELECT " + ", ".join(_select(ERROR_RULES, "duckdb")) + " FROM lineitem WHERE l_returnflag <> 'N'",
+        "errors": "SELECT " + ", ".join(_select(ERROR_RULES, "duckdb")) + " FROM lineitem",
         **_duck_refs(),
     }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill import spec
 from casemill.functions import text as tx
-from casemill.functions.identity import pair_id
+from casemill.functions.identity import content_id, pair_id
 from casemill.operators import audit, feedback, knowledge, sessions
 from casemill.plans import fixtures as fx
 from casemill.plans.loads import pair_json
@@ -48,7 +48,7 @@ def even_chunks(spark: SparkSession, d: str) -> DataFrame:
         "concat('doc_', CAST(doc_id AS STRING)) AS document_id",
         "concat('file_', CAST(n_chars % 700 AS STRING), '.txt') AS filename",
         "CAST(ceil(length(text) / 400) AS INT) AS total_chunks",
-        "explode(sequence(0, CAST(ceil(length(text) / 400) AS INT) - 1)) AS chunk_index",
+        "explode(IF(length(text) > 0, sequence(0, CAST(ceil(length(text) / 400) AS INT) - 1), array())) AS chunk_index",
     )
     split = F.col("total_chunks") > 1
     return rows.select(
@@ -67,23 +67,50 @@ def even_chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("document_chunks", "K1 K2 K3")
+@query(
+    "document_chunks",
+    "K1 K2 K3",
+    f"""SELECT {_DOCUMENT["filename"]} AS filename, 'kb_' || md5({_DOCUMENT["filename"]}) AS document_id,
+        md5(regexp_replace(text, '[ \\t\\n\\r\\v\\f]+', '', 'g')) AS content,
+        CASE WHEN n_chars % 5 = 0 THEN 'user:' || source ELSE lang END AS category,
+        CASE WHEN n_chars % 5 = 0 THEN 'private' ELSE 'shared' END AS visibility, true AS contiguous, true AS within_size FROM documents""",
+)
 def _document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge.chunk_documents(documents(spark, d)).withColumn("tags", F.array_join("tags", ","))
+    """Without overlap, a document's chunks are its text but for the blanks at the cuts."""
+    chunks = knowledge.chunk_documents(documents(spark, d), overlap=0)
+    return _rejoined(chunks, F.md5(F.regexp_replace("joined", r"[ \t\n\r\x0B\f]+", "").cast("binary")).alias("content"))
+
+
+def _rejoined(chunks: DataFrame, *columns) -> DataFrame:
+    """One row per document; the chunks of a document are no more than its text."""
+    found = chunks.groupBy("filename", "category", "visibility", F.coalesce("parent_id", "chunk_id").alias("document_id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("chunk_index", F.lit(0)).alias("at"), "text", "total_chunks"))).alias("parts")
+    )
+    indexes = F.sequence(F.lit(0), F.size("parts") - 1)
+    counted = F.coalesce(F.col("parts")[0]["total_chunks"], F.lit(1)) == F.size("parts")
+    return found.withColumn("joined", F.array_join("parts.text", "")).select(
+        "filename", "document_id", "category", "visibility",
+        ((F.col("parts.at") == indexes) & counted).alias("contiguous"),
+        # One chunk keeps the whole text, blanks included.
+        ((F.size("parts") == 1) | (F.array_max(F.transform("parts.text", F.length)) <= 500)).alias("within_size"),
+        *columns,
+    )
 
 
 @query(
-    "unsplit_documents",
-    "K1 K3",
-    f"""SELECT 'kb_' || md5({_DOCUMENT["filename"]}) AS chunk_id, {_DOCUMENT["filename"]} AS filename,
-        CAST(length(text) AS INT) AS char_count, CASE WHEN n_chars % 5 = 0 THEN 'user:' || source ELSE lang END AS category,
-        CASE WHEN n_chars % 5 = 0 THEN 'private' ELSE 'shared' END AS visibility, text
-        FROM documents WHERE length(text) <= 500""",
+    "overlapping_chunks",
+    "K1 K2 K3",
+    f"""SELECT {_DOCUMENT["filename"]} AS filename, true AS contiguous, true AS within_size, length(text) <= 500 AS whole,
+        CASE WHEN length(text) <= 500 THEN CAST(length(text) AS INT) END AS char_count FROM documents""",
 )
-def _unsplit_documents(spark: SparkSession, d: str) -> DataFrame:
+def _overlapping_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """With overlap, chunks stay within the size and count up; a text within the size stays whole."""
     chunks = knowledge.chunk_documents(documents(spark, d))
-    whole = chunks.filter("parent_id IS NULL AND char_count <= 500")
-    return whole.select("chunk_id", "filename", "char_count", "category", "visibility", "text")
+    total = F.aggregate("parts.text", F.lit(0), lambda n, t: n + F.length(t))
+    whole = (F.size("parts") == 1) & (total <= 500)
+    return _rejoined(chunks, whole.alias("whole"), F.when(whole, total).alias("char_count")).select(
+        "filename", "contiguous", "within_size", "whole", "char_count"
+    )
 
 
 @query(
@@ -95,7 +122,11 @@ def _unsplit_documents(spark: SparkSession, d: str) -> DataFrame:
 )
 def _replaced_documents(spark: SparkSession, d: str) -> DataFrame:
     chunks = even_chunks(spark, d)
-    merged = knowledge.replace_documents(chunks.filter("category <> 'fr'"), chunks.filter("category = 'fr'"))
+    incoming = chunks.filter("category = 'fr'")
+    # Every incoming chunk comes twice; the later version of its text counts.
+    twice = incoming.withColumn("version", F.lit(2)).unionByName(incoming.withColumns({"version": F.lit(1), "text": F.lit("old")}))
+    merged = knowledge.replace_documents(chunks.filter("category <> 'fr'").withColumn("version", F.lit(0)), twice, ["version"])
+    merged = merged.filter("text <> 'old'")
     return merged.groupBy("category").agg(F.count(F.lit(1)).alias("chunks"))
 
 
@@ -198,8 +229,8 @@ def vector_questions(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(condition: str, k: int, questions: str = "v") -> str:
     """The k nearest chunks per question as SQL; ``q`` is the question and ``c`` the chunk."""
     return f"""SELECT * FROM (SELECT q.question_id, c.chunk_id, c.document_key,
-      round(list_cosine_distance(q.e, c.e), 9) AS distance,
-      row_number() OVER (PARTITION BY q.question_id ORDER BY round(list_cosine_distance(q.e, c.e), 9), c.chunk_id) AS n
+      round(list_cosine_distance(q.e, c.e), 12) AS distance,
+      row_number() OVER (PARTITION BY q.question_id ORDER BY round(list_cosine_distance(q.e, c.e), 12), c.chunk_id) AS n
       FROM {questions} q JOIN v c ON {condition}) AS scored WHERE n <= {k}"""
 
 
@@ -235,7 +266,7 @@ def _retrieve_sources(spark: SparkSession, d: str) -> DataFrame:
     digits=6,
 )
 def _best_chunk(spark: SparkSession, d: str) -> DataFrame:
-    hits, _ = knowledge.nearest_chunks(vector_chunks(spark, d), vector_questions(spark, d), 30)
+    hits = knowledge.nearest_chunks(vector_chunks(spark, d), vector_questions(spark, d), 30)
     return knowledge.best_per_document(hits).drop("chunk_id")
 
 
@@ -268,7 +299,11 @@ def _collection_sql(k: int) -> str:
     return " UNION ALL ".join(parts)
 
 
-@query("retrieve_collections", "K7", f"WITH {_V} {_collection_sql(5)}")
+# The text of a chunk follows from its id.
+_TEXT = "'text ' || substr(chunk_id, 2) AS text"
+
+
+@query("retrieve_collections", "K7", f"WITH {_V} SELECT *, {_TEXT} FROM ({_collection_sql(5)}) AS c")
 def _retrieve_collections(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.retrieve_collections(_collections(spark, d), vector_questions(spark, d), 5)
 
@@ -280,7 +315,7 @@ def _retrieve_collections(spark: SparkSession, d: str) -> DataFrame:
           '📘 Label' || CAST(label AS VARCHAR) || ' - f' || CAST(vec_id % 100 AS VARCHAR) || '.md #' || tag AS source_display,
           0 AS place FROM ({_retrieval("true", 10)}) AS kb JOIN v ON v.chunk_id = kb.chunk_id
           UNION ALL SELECT *, CASE collection WHEN 'ddl' THEN 1 WHEN 'documentation' THEN 2 ELSE 3 END FROM ({_collection_sql(3)}) AS c)
-        SELECT question_id, collection, collection_rank, chunk_id, relevance, source_display, CAST(result_rank AS INT) AS result_rank FROM (
+        SELECT question_id, collection, collection_rank, chunk_id, relevance, source_display, {_TEXT}, CAST(result_rank AS INT) AS result_rank FROM (
           SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY relevance DESC, place, collection_rank) AS result_rank FROM m) AS r
         WHERE result_rank <= 10""",
     money=("relevance",),
@@ -341,8 +376,9 @@ _KB_LABEL = "'📘 Label' || CAST(label AS VARCHAR) || ' - f' || CAST(vec_id % 1
 
 
 def asked_questions(spark: SparkSession, d: str) -> DataFrame:
+    """All questions; one without a vector stays and gets no sources."""
     vectors = fx.table(spark, d, "embeddings").selectExpr("vec_id AS conv_id", "embedding")
-    return parsed_questions(spark, d).join(vectors, "conv_id").withColumns(
+    return parsed_questions(spark, d).join(vectors, "conv_id", "left").withColumns(
         {
             "question_id": F.expr("conv_id * 100 + turn"),
             "user_id": F.expr("concat('u', CAST(turn % 4 AS STRING))"),
@@ -350,6 +386,18 @@ def asked_questions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "questions_without_vector",
+    "K12",
+    f"""SELECT collection_path, count(*) AS questions, count(*) FILTER (WHERE conv_id NOT IN (SELECT vec_id FROM embeddings)) AS unanswered
+        FROM ({_PARSED_SQL}) AS p GROUP BY 1""",
+)
+def _questions_without_vector(spark: SparkSession, d: str) -> DataFrame:
+    return asked_questions(spark, d).groupBy("collection_path").agg(
+        F.count("*").alias("questions"), F.count_if(F.col("embedding").isNull()).alias("unanswered")
+    )
+
+
 @query(
     "bulk_retrieval",
     "K12 K5 K6",
@@ -392,11 +440,31 @@ def _routed_sql() -> str:
       relevance, source_display FROM sets"""
 
 
-@query("routed_retrieval", "K12 K7 K8", _routed_sql(), money=("relevance",), digits=6)
+def _with_text(sql: str) -> str:
+    head, body = sql.split("SELECT r.question_id, CAST(result_rank AS INT) AS result_rank, 'kb'", 1)
+    return f"{head} SELECT *, {_TEXT} FROM (SELECT r.question_id, CAST(result_rank AS INT) AS result_rank, 'kb'{body}) AS routed"
+
+
+@query("routed_retrieval", "K12 K7 K8", _with_text(_routed_sql()), money=("relevance",), digits=6)
 def _routed_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.route_questions(vector_chunks(spark, d), _collections(spark, d), asked_questions(spark, d))
 
 
+@query(
+    "routed_retrieval_one_path",
+    "K12 K6",
+    f"""WITH {_V}, {_ASKED}, kb_only AS (SELECT * FROM q WHERE collection_path = 'kb')
+      SELECT r.question_id, r.result_rank, 'kb' AS collection, r.chunk_id, relevance, {_KB_LABEL} AS source_display,
+      'text ' || substr(r.chunk_id, 2) AS text FROM ({_retrieval(_ALLOWED, 5, "kb_only")}) AS r JOIN v ON v.chunk_id = r.chunk_id""",
+    money=("relevance",),
+    digits=6,
+)
+def _routed_retrieval_one_path(spark: SparkSession, d: str) -> DataFrame:
+    """A batch in which no question asks for the other collections."""
+    asked = asked_questions(spark, d).filter("collection_path = 'kb'")
+    return knowledge.route_questions(vector_chunks(spark, d), _collections(spark, d), asked)
+
+
 @query(
     "last_session_entries",
     "W4",
@@ -522,28 +590,45 @@ def _streamed_feedback(spark: SparkSession, d: str) -> DataFrame:
     return current_pairs(spark, _stored(spark, d), path)
 
 
+_PAIRS_SQL = """SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN text || ' (note)' ELSE text END AS question,
+ 'SELECT ' || item_id AS sql FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0"""
+
+
 @query(
     "store_statistics",
-    "F3 F4 S15",
-    """SELECT 'sql' AS training_type, count(*) AS entries FROM (SELECT DISTINCT CASE WHEN item_id % 2 = 0
-       THEN text || ' (note)' ELSE text END AS q, item_id FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0) AS p
-       UNION ALL SELECT 'documentation', count(DISTINCT text) FROM documents
+    "F3 S15",
+    f"""SELECT 'sql' AS training_type, count(*) AS entries FROM ({_PAIRS_SQL}) AS p
        UNION ALL SELECT 'ddl', count(DISTINCT p_brand || p_type) FROM part""",
 )
 def _store_statistics(spark: SparkSession, d: str) -> DataFrame:
-    # A chunk size above every text keeps documents whole, which SQL can count.
+    """Entries of the two types SQL can count; ``rebuilt_store`` has the third."""
     pairs = lookups.example_pairs(pair_json(spark, d))
-    store = feedback.rebuild_store(documents(spark, d), pairs, _ddl(spark, d), size=1_000_000_000)
-    return feedback.store_statistics(store)
+    store = feedback.rebuild_store(documents(spark, d), pairs, _ddl(spark, d))
+    return feedback.store_statistics(store).filter("training_type <> 'documentation'")
 
 
 def _ddl(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "part").select(F.concat("p_brand", "p_type").alias("content"))
 
 
-@query("rebuilt_store", "F4 K1 S15 F1")
+@query(
+    "rebuilt_store",
+    "F4 K1 S15 F1",
+    f"""SELECT 'documentation' AS training_type, {_DOCUMENT["filename"]} AS question,
+        md5(regexp_replace(text, '[ \\t\\n\\r\\v\\f]+', '', 'g')) AS content FROM documents
+        UNION ALL SELECT 'sql', question, sql FROM ({_PAIRS_SQL}) AS p
+        UNION ALL SELECT DISTINCT 'ddl', CAST(NULL AS VARCHAR), p_brand || p_type FROM part""",
+)
 def _rebuilt_store(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.rebuild_store(documents(spark, d), lookups.example_pairs(pair_json(spark, d)), _ddl(spark, d))
+    """The store's entries; documents are put together again from the stored chunks."""
+    store = feedback.rebuild_store(documents(spark, d), lookups.example_pairs(pair_json(spark, d)), _ddl(spark, d), overlap=0)
+    stored = store.filter("training_type = 'documentation'").select("id", F.col("content").alias("stored"))
+    chunks = knowledge.chunk_documents(documents(spark, d), overlap=0).withColumn("id", content_id(F.col("text"), "doc"))
+    found = chunks.join(stored, "id").withColumn("text", F.col("stored")).drop("id", "stored")
+    bare = F.regexp_replace("joined", r"[ \t\n\r\x0B\f]+", "").cast("binary")
+    whole = _rejoined(found, F.md5(bare).alias("content"))
+    others = store.filter("training_type <> 'documentation'").select("training_type", "question", "content")
+    return whole.select(F.lit("documentation").alias("training_type"), F.col("filename").alias("question"), "content").unionByName(others)
 
 
 _STATEMENT = """CASE WHEN event_type = 'view' THEN concat('SELECT * FROM households WHERE case_id = ', CAST(event_id AS STRING))

@@ -29,15 +29,23 @@ def _dollars(column: str) -> str:
     return f"coalesce(TRY_CAST({_token(column)} AS DECIMAL(10,2)), 0)"
 
 
-_MEMBERS = f"""SELECT case_id, fiscal_year, n AS member_number, {_int("FSAFIL")} AS snap_affiliation_code,
- {_int("AGE")} AS age, {_int("SEX")} AS sex, {_dollars("WAGES")} AS wages, {_dollars("SSI")} AS ssi
- FROM ({fx.duck_slots(fx.WIDE_PERSON_RULES, spec.MEMBER_SLOTS)}) AS s WHERE {_token("FSAFIL")} IS NOT NULL"""
-_ERRORS = f"""SELECT case_id, fiscal_year, n AS error_number, {_int("ELEMENT")} AS element_code,
- {_int("NATURE")} AS nature_code, {_int("AGENCY")} AS responsible_agency, {_dollars("AMOUNT")} AS error_amount,
- {_int("E_FINDG")} AS error_finding
- FROM ({fx.duck_slots(fx.WIDE_ERROR_RULES, spec.ERROR_SLOTS)}) AS s WHERE {_token("ELEMENT")} IS NOT NULL"""
-_MEMBER_COLUMNS = ("case_id", "fiscal_year", "member_number", "snap_affiliation_code", "age", "sex", "wages", "ssi")
-_ERROR_COLUMNS = ("case_id", "fiscal_year", "error_number", "element_code", "nature_code", "responsible_agency", "error_amount", "error_finding")
+def _slot_sql(variables: dict, rules: dict[str, str], slots: int, gate: str, number: str) -> str:
+    """All variables of the filled slots, typed as the reshape types them."""
+    typed = {"int": _int, "string": _token}
+    columns = [f"{typed.get(kind, _dollars)(source)} AS {target}" for source, (target, kind) in variables.items()]
+    return f"""SELECT case_id, fiscal_year, n AS {number}, {", ".join(columns)}
+ FROM ({fx.duck_slots(rules, slots)}) AS s WHERE {_token(gate)} IS NOT NULL"""
+
+
+def _slot_columns(variables: dict, number: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    names = tuple(target for target, _ in variables.values())
+    return ("case_id", "fiscal_year", number, *names), tuple(t for t, kind in variables.values() if kind.startswith("decimal"))
+
+
+_MEMBERS = _slot_sql(spec.PERSON_VARIABLES, fx.WIDE_PERSON_RULES, spec.MEMBER_SLOTS, "FSAFIL", "member_number")
+_ERRORS = _slot_sql(spec.ERROR_VARIABLES, fx.WIDE_ERROR_RULES, spec.ERROR_SLOTS, "ELEMENT", "error_number")
+_MEMBER_COLUMNS, _MEMBER_MONEY = _slot_columns(spec.PERSON_VARIABLES, "member_number")
+_ERROR_COLUMNS, _ERROR_MONEY = _slot_columns(spec.ERROR_VARIABLES, "error_number")
 _HOUSEHOLD_COLUMNS = (
     "case_id", "fiscal_year", "case_classification", "state_code", "state_name", "year_month", "status",
     "certified_household_size", "gross_income", "net_income", "snap_benefit", "working_poor_indicator",
@@ -46,12 +54,12 @@ _HOUSEHOLD_COLUMNS = (
 _HOUSEHOLD_MONEY = ("gross_income", "net_income", "snap_benefit", "amount_error", "household_weight")
 
 
-@query("wide_to_members", "R1 P4", _MEMBERS, money=("wages", "ssi"))
+@query("wide_to_members", "R1 P4", _MEMBERS, money=_MEMBER_MONEY)
 def _wide_to_members(spark: SparkSession, d: str) -> DataFrame:
     return reshape.members(fx.wide(spark, d), F.col("source_year")).select(*_MEMBER_COLUMNS)
 
 
-@query("wide_to_errors", "R2 P4", _ERRORS, money=("error_amount",))
+@query("wide_to_errors", "R2 P4", _ERRORS, money=_ERROR_MONEY)
 def _wide_to_errors(spark: SparkSession, d: str) -> DataFrame:
     return reshape.errors(fx.wide(spark, d), F.col("source_year")).select(*_ERROR_COLUMNS)
 
@@ -83,13 +91,19 @@ def _row_number_key(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "wide_csv_scan",
     "S1 S4",
-    "SELECT state_name, count(*) AS rows_read, sum(snap_benefit) AS total_benefits, count(snap_benefit) AS filled FROM households GROUP BY 1",
+    """SELECT '"' || state_name || '", QC' AS state_name, count(*) AS rows_read, sum(snap_benefit) AS total_benefits,
+       count(snap_benefit) AS filled FROM households GROUP BY 1""",
     money=("total_benefits",),
 )
 def _wide_csv_scan(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "wide")
-    fx.wide(spark, d).drop("source_year").write.option("header", True).csv(path)
-    rows = wide_csv.read_wide_csv(spark, path)
+    # Quoted commas and doubled quotes in the names; the second folder has the columns in another order.
+    wide = fx.wide(spark, d).withColumn("STATENAME", F.concat(F.lit('"'), "STATENAME", F.lit('", QC')))
+    for late in (False, True):
+        part = wide.filter("source_year >= 2020" if late else "source_year < 2020").drop("source_year")
+        part = part.select(*reversed(part.columns)) if late else part
+        part.write.option("header", True).option("escape", '"').csv(f"{path}/{'late' if late else 'early'}.csv")
+    rows = wide_csv.read_wide_csv(spark, f"{path}/*.csv")
     return rows.groupBy(F.col("STATENAME").alias("state_name")).agg(
         F.count(F.lit(1)).alias("rows_read"),
         F.sum(F.col("FSBEN").try_cast("decimal(10,2)")).alias("total_benefits"),
@@ -136,13 +150,13 @@ def _load_several_years(spark: SparkSession, d: str) -> DataFrame:
     "S8",
     """SELECT DISTINCT CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS INT) AS fiscal_year
        FROM orders WHERE year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END NOT IN
-       (SELECT year(l_shipdate) FROM lineitem WHERE l_shipdate < DATE '1999-01-01')""",
+       (SELECT year(l_shipdate) - 2 FROM lineitem)""",
 )
 def _years_to_load(spark: SparkSession, d: str) -> DataFrame:
-    shipped = fx.table(spark, d, "lineitem").filter("l_shipdate < DATE '1999-01-01'")
+    shipped = fx.table(spark, d, "lineitem")
     return tables.years_to_load(
         fx.table(spark, d, "orders").select(fiscal_year(F.col("o_orderdate")).alias("fiscal_year")),
-        shipped.select(F.year("l_shipdate").alias("fiscal_year")).distinct(),
+        shipped.select((F.year("l_shipdate") - 2).alias("fiscal_year")).distinct(),
     )
 
 
@@ -222,6 +236,67 @@ def _streamed_file_loads(spark: SparkSession, d: str) -> DataFrame:
     return _counts(tables.read_tables(spark, root))
 
 
+@query("two_streams", "X1 S6", _count_sql("true", error=f"({_ERRORS}) AS e", member=f"({_MEMBERS}) AS m"))
+def _two_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams on one store, each with its own checkpoint; the second replayed with a new one for its later years."""
+    root, stage = scratch_path(spark, "store"), scratch_path(spark, "stage")
+    for early in (True, False):
+        folder, mark = scratch_path(spark, "drops"), scratch_path(spark, "mark")
+        fx.write_wide_files(spark, d, folder, "source_year < 2020" if early else "source_year >= 2020")
+        start_file_loads(spark, folder, root, mark, stage).awaitTermination()
+        start_file_loads(spark, folder, root, mark, stage).awaitTermination()
+    return _counts(tables.read_tables(spark, root))
+
+
+@query("replayed_batch", "S6 S10", _count_sql("fiscal_year <> 2021"))
+def _replayed_batch(spark: SparkSession, d: str) -> DataFrame:
+    """A load that is replayed after its years were compacted and one of them deleted."""
+    root, frames = scratch_path(spark, "store"), (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d))
+    tables.write_all(spark, root, *frames, load_id="batch-0", action="append")
+    tables.compact_years(spark, root, (2018, 2020, 2021))
+    tables.delete_years(spark, root, (2021,))
+    tables.write_all(spark, root, *frames, load_id="batch-0", action="append")
+    return _counts(tables.read_tables(spark, root))
+
+
+@query(
+    "refreshed_after_reload",
+    "S20 A2",
+    """SELECT e.fiscal_year, count(*) AS cases FROM errors e JOIN households h ON e.case_id = h.case_id AND e.fiscal_year = h.fiscal_year
+       JOIN ref_element ON element_code = code WHERE case_classification = 1 AND e.fiscal_year <> 2019 GROUP BY 1""",
+)
+def _refreshed_after_reload(spark: SparkSession, d: str) -> DataFrame:
+    """A year that is loaded again without errors keeps no stored row of them."""
+    root, refs, thresholds = scratch_path(spark, "store"), fx.refs(spark), enrich.threshold_table(spark)
+    _store(spark, d, root)
+    tables.refresh_aggregates(spark, root, refs, thresholds)
+    again = [df.filter("fiscal_year = 2019") for df in (fx.households(spark, d), fx.members(spark, d))]
+    tables.write_all(spark, root, *again, fx.errors(spark, d).filter("false"), years=[2019])
+    tables.refresh_aggregates(spark, root, refs, thresholds, (2019,))
+    stored = tables.read_aggregate(spark, root, "error_element_rollup")
+    return stored.groupBy("fiscal_year").agg(F.sum("sample_error_count").alias("cases"))
+
+
+@query(
+    "streamed_load_audit",
+    "X1 S11",
+    """SELECT 'completed' AS load_status, CAST(NULL AS INT) AS fiscal_year, count(*) AS rows_loaded, false AS has_reason FROM households
+       UNION ALL SELECT 'rejected', NULL, 0, true UNION ALL SELECT 'rejected', 2030, 0, true""",
+)
+def _streamed_load_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Good files, one without a year in its name and one without the required columns."""
+    folder, root, stage, mark = (scratch_path(spark, name) for name in ("drops", "store", "stage", "mark"))
+    fx.write_wide_files(spark, d, folder)
+    nations = fx.table(spark, d, "nation").coalesce(1)
+    nations.selectExpr("CAST(n_nationkey AS STRING) AS HHLDNO", "'6' AS STATE", "'202301' AS YRMONTH", "'1' AS FSBEN").write.option(
+        "header", True
+    ).csv(f"{folder}/file=no_such_label.csv")
+    nations.write.option("header", True).csv(f"{folder}/file=qc_pub_fy2030.csv")
+    start_file_loads(spark, folder, root, mark, stage).awaitTermination()
+    log = tables.load_status(spark, root)
+    return log.select("load_status", "fiscal_year", "rows_loaded", F.col("error_message").isNotNull().alias("has_reason"))
+
+
 @query(
     "refreshed_aggregates",
     "S20 A1 A2 A3",
@@ -296,8 +371,12 @@ def _lookup_tables(spark: SparkSession, d: str) -> DataFrame:
 )
 def _lookup_upsert(spark: SparkSession, d: str) -> DataFrame:
     part = fx.table(spark, d, "part").selectExpr("CAST(p_partkey AS INT) AS code", "p_name AS description", "p_size")
-    incoming = part.filter("p_size > 20").select("code", F.upper("description").alias("description"))
-    return lookups.upsert(part.filter("p_size <= 30").drop("p_size"), incoming, ["code"])
+    # Every incoming code comes twice; the later version counts.
+    changed = part.filter("p_size > 20")
+    incoming = changed.select("code", F.upper("description").alias("description"), F.lit(2).alias("version")).union(
+        changed.select("code", F.lit("old"), F.lit(1))
+    )
+    return lookups.upsert(part.filter("p_size <= 30").drop("p_size"), incoming, ["code"], ["version"])
 
 
 _DOCUMENT_NAME = "concat('doc_', CAST(doc_id AS STRING), CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.TXT' ELSE '.pdf' END)"

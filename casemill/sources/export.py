@@ -62,7 +62,7 @@ def described_export(
             if extra:
                 columns.append(f"{codes[name].removeprefix('ref_')}_{extra}")
     keys = [c for c in spec_keys(table) if c in columns]
-    ordered = stable_order(described.select(*columns), keys)
+    ordered = described.select(*columns).orderBy(*keys)  # the keys are unique
     return ordered.limit(limit) if limit else ordered
 
 
@@ -73,12 +73,15 @@ def spec_keys(table: str) -> tuple[str, ...]:
 def table_export(
     tables: Mapping[str, DataFrame], name: str, chosen: GlobalFilter = GlobalFilter(), limit: int | None = None
 ) -> DataFrame:
-    """Any known table; filters apply only to columns it has, order to keys it has."""
+    """Any known table; filters apply only to columns it has, order to the keys of its layout or those it has."""
     if name not in tables:
         raise ValueError(f"Unknown table {name!r}. Available: {', '.join(sorted(tables))}")
-    df = apply_filter(tables[name], chosen)
+    df = apply_filter(tables[name], chosen, without_parent=True)
+    unique = [c for c in spec.QC_DATASET.child_keys.get(name, ()) if c in df.columns]
     keys = [c for c in KEY if c in df.columns]
-    if keys:
+    if unique and set(unique) == set(spec.QC_DATASET.child_keys[name]):
+        df = df.orderBy(*unique)
+    elif keys:
         df = stable_order(df, keys)
     return df.limit(limit) if limit else df
 

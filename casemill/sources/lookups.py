@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators import classify
-from casemill.session import broadcast_if_small
 
 _METADATA_KEYS = ("description", "source_field")
 _LOOKUPS = "code_lookups map<string, map<string, string>>"
@@ -40,21 +41,27 @@ def read_lookups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def category_sets(json: DataFrame, lookup: str, column: str = "value") -> DataFrame:
-    """``(category, codes)`` of a lookup that maps category names to code lists."""
+    """``(category, codes, set_order)`` of a lookup that maps category names to code lists, in the document's order."""
     parsed = json.select(F.from_json(column, _LOOKUPS).alias("doc"))
-    sets = parsed.select(F.explode(F.col("doc.code_lookups").getItem(lookup)).alias("category", "text"))
+    sets = parsed.select(F.posexplode(F.col("doc.code_lookups").getItem(lookup)).alias("set_order", "category", "text"))
     codes = F.from_json("text", "array<int>")
-    return sets.select("category", codes.alias("codes")).filter("codes IS NOT NULL")
+    return sets.select("category", codes.alias("codes"), "set_order").filter("codes IS NOT NULL")
 
 
 def with_nature_category(codes: DataFrame) -> DataFrame:
     return codes.withColumn("category", classify.keyword_category(F.col("description")))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace existing rows of the same key; others stay."""
-    kept = existing.join(broadcast_if_small(incoming.select(*keys).distinct()), keys, "left_anti")
-    return kept.unionByName(incoming.select(*existing.columns))
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: Sequence[str] = ()) -> DataFrame:
+    """Incoming rows replace existing rows of the same key; others stay.
+
+    Of incoming rows that share a key the last by ``order``, columns of incoming, counts; without it the
+    largest by the other columns. A null key matches no existing row.
+    """
+    rows = incoming.select(*existing.columns, *[c for c in order if c not in existing.columns])
+    rank = F.struct(*[F.col(c) for c in (*order, *existing.columns)])
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*existing.columns), rank).alias("row")).select("row.*")
+    return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(last)
 
 
 def example_pairs(json: DataFrame, column: str = "value") -> DataFrame:

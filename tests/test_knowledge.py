@@ -89,17 +89,14 @@ def brute(made, question, allowed, k):
     return sorted(found)[:k]
 
 
-@pytest.mark.parametrize(("slice_bytes", "chosen"), [(64 * 1024 * 1024, (0, 5, 9, 33)), (600, (0, 5, 9, 33)), (32_000, range(0, 130))])
-def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, slice_bytes, chosen):
-    # A third of all chunks are copies of one vector. The bounds hold the questions whole,
-    # force several question slices, and hold the chunks instead.
-    monkeypatch.setattr(knowledge, "MAX_SIDE_BYTES", slice_bytes)
+@pytest.mark.parametrize(("block", "chosen"), [(512, (0, 5, 9, 33)), (2, (0, 5, 9, 33)), (16, range(0, 130))])
+def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, block, chosen):
+    # A third of all chunks are copies of one vector; blocks hold all questions, a few of many, or one of several.
+    monkeypatch.setattr(knowledge, "QUESTION_BLOCK", block)
     chunks, made = vectors(spark, 120, copies=40)
     asked = [(i, made[i % 120][8]) for i in chosen]
     questions = spark.createDataFrame(asked, "question_id bigint, embedding array<float>")
-    hits, count = knowledge.nearest_chunks(chunks, questions, 6)
-    assert count == len(asked)
-    found = hits.orderBy("question_id", "distance", "chunk_id").collect()
+    found = knowledge.nearest_chunks(chunks, questions, 6).orderBy("question_id", "distance", "chunk_id").collect()
     for number, vector in asked:
         got = [(r.distance, r.chunk_id) for r in found if r.question_id == number]
         want = [(d, c) for d, c, _ in brute(made, vector, lambda row: True, 6)]
@@ -107,6 +104,43 @@ def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, slice_bytes
         assert np.allclose([d for d, _ in got], [d for d, _ in want], atol=1e-8)
 
 
+def test_no_questions_give_no_sources(spark):
+    chunks, made = vectors(spark, 20)
+    schema = "question string, question_id bigint, embedding array<float>, user_id string"
+    none = knowledge.parse_questions(spark.createDataFrame([], schema))
+    assert knowledge.route_questions(chunks, {"sql": chunks}, none).count() == 0
+    one = knowledge.parse_questions(spark.createDataFrame([("plain", 1, made[2][8], "u1"), ("no vector", 2, None, "u1")], schema))
+    got = knowledge.route_questions(chunks, {"sql": chunks}, one)
+    assert {r.question_id for r in got.collect()} == {1} and all(r.text.startswith("text ") for r in got.collect())
+    assert knowledge.retrieve(chunks.limit(0), one.select("question_id", "embedding")).count() == 0
+
+
+def test_threshold_uses_the_distance_itself(spark):
+    angle = np.arccos(1 - 0.6000000004)
+    chunks, _ = vectors(spark, 1)
+    chunks = chunks.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    asked = spark.createDataFrame([(1, [float(np.cos(angle)), float(np.sin(angle))])], "question_id bigint, embedding array<double>")
+    assert knowledge.retrieve(chunks, asked).count() == 0
+
+
+def test_blank_and_repeated_documents(spark):
+    data = [("a.txt", "word" + " " * 600, "c", None, None, None), ("b.txt", " " * 700, "c", None, None, None)]
+    schema = "filename string, text string, category string, tags array<string>, user_id string, is_private boolean"
+    chunks = knowledge.chunk_documents(spark.createDataFrame(data, schema))
+    assert rows(chunks.select("filename", "char_count"), "filename") == [("a.txt", 604), ("b.txt", 700)]
+    assert chunks.filter("created_at IS NULL").count() == 0
+    twice = chunks.withColumn("n", F.lit(1)).unionByName(chunks.withColumns({"text": F.lit("new"), "n": F.lit(2)}))
+    merged = knowledge.replace_documents(chunks.withColumn("n", F.lit(0)), twice, ["n"])
+    assert rows(merged.select("filename", "text"), "filename") == [("a.txt", "new"), ("b.txt", "new")]
+
+
+def test_markdown_headings_fences_and_rules():
+    text = "# One\nalpha beta gamma\n## Two\ndelta epsilon zeta\n```\ncode block here\n```\n---\nlast words of all"
+    assert chunk_text(text, True, 30, 0) == [
+        "# One\nalpha beta gamma", "## Two\ndelta epsilon zeta", "```\ncode block here", "```\n---\nlast words of all",
+    ]
+
+
 def test_filtered_retrieval_cuts_before_threshold_and_dedup(spark):
     chunks, made = vectors(spark, 90)
     asked = [(1, made[2][8], "u1", "private", None, []), (2, made[4][8], "u2", "all", "cat0", ["t0", "t1"])]

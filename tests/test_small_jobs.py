@@ -92,6 +92,8 @@ def test_filters_check_values_and_match_the_full_key(spark):
     child = spark.createDataFrame([("1", 2022, 1), ("1", 2023, 2)], "case_id string, fiscal_year int, n int")
     kept = filters.apply_filter(child, filters.GlobalFilter(states=("Ohio",)), parent)
     assert rows(kept.select("n")) == [(1,)]
+    with pytest.raises(ValueError, match="parent"):
+        filters.apply_filter(child, filters.GlobalFilter(states=("Ohio",)))
     filters.filtered_views({"households": parent, "qc_errors": child}, filters.GlobalFilter(("Utah",)))
     assert spark.sql("SELECT n FROM qc_errors").first()[0] == 2
 
@@ -144,7 +146,7 @@ def test_lookup_documents(spark):
     df = spark.createDataFrame([(text,)], "value string")
     got = rows(lookups.lookup_rows(df).filter("lookup <> 'sets'"), "lookup", "code")
     assert got == [("a_codes", 1, "one", None), ("a_codes", 2, "two", None), ("state_codes", 6, "California", "CA"), ("state_codes", 48, "Texas", None)]
-    assert rows(lookups.category_sets(df, "sets")) == [("s", [1, 2])]
+    assert rows(lookups.category_sets(df, "sets")) == [("s", [1, 2], 0)]
 
 
 def test_documents_are_accepted_or_rejected_with_reason(spark):
