@@ -6,14 +6,15 @@
    link nothing. A node that shares fewer than ``MATCHES`` keys is done.
 3. Keys are ordered by count, rare first. Two nodes that agree on ``MATCHES`` coordinates meet in the
    prefix of that order which leaves out ``MATCHES - 1`` keys, so only prefixes are posted.
-4. Under each posted key the most central node (largest sum of key counts) meets all others. What
-   this does not connect meets across components, in blocks, so no link is lost and a group of
-   copies is not expanded into its pairs.
-5. Collisions of a pair are counted by merging its sorted keys with skips; pairs with ``MATCHES``
-   or more are compared on their full sets.
+4. Under each posted key the most central node, that with the largest sum of key counts, meets all others.
+   Collisions are counted by merging sorted keys with skips; pairs with ``MATCHES`` or more are compared on
+   their full sets.
+5. Nodes that are still apart and whose keys have the same central node form a family. A family is cut into
+   blocks, any two of which meet in one task; it counts collisions and compares full sets there, and gives
+   out links alone. So no link is lost, and a group of copies is not expanded into its pairs.
 
 A pair at the limit of 0.75 has fewer than ``MATCHES`` of ``COORDINATES`` collisions with a
-probability below 1e-7. Set identities are 64 bits.
+probability below 1e-6. Set identities are 64 bits.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from casemill.llm import words
 from casemill.llm.common import settled, slices
 from casemill.llm.components import components
 
-COORDINATES, MATCHES = 48, 18
+COORDINATES, MATCHES = 96, 50
 SHARE = 75  # per cent
-BLOCK = 256
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
+COLUMNS = 4096
 SLICE_BYTES = 1 << 20
 SIGNED = "doc_id long, node long, n_shingles long, signature array<int>"
 
@@ -125,6 +127,58 @@ def _confirm(share: int):
     return run
 
 
+def common_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """[rows, columns] sizes of the intersections of different sorted sets, by products of 0-1 matrices, a band of shingles at a time."""
+    used = np.unique(np.concatenate([rows, columns]))
+    flat = np.concatenate([sets[i] for i in used])
+    owner = np.repeat(used, [len(sets[i]) for i in used])
+    value, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[code] > 1  # a shingle of one set is in no intersection
+    owner, code = owner[keep], (np.cumsum(times > 1) - 1)[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    place = [np.full(len(sets), -1) for _ in range(2)]
+    place[0][rows], place[1][columns] = np.arange(len(rows)), np.arange(len(columns))
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for start in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(code, [start, start + COLUMNS])
+        bands = []
+        for at, many in zip(place, (len(rows), len(columns)), strict=True):
+            band, mine = np.zeros((many, COLUMNS), np.float32), at[owner[a:b]]
+            band[mine[mine >= 0], code[a:b][mine >= 0] - start] = 1
+            bands.append(band)
+        out += bands[0] @ bands[1].T
+    return out.astype(np.int64)
+
+
+def _meet(matches: int, share: int):
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        mine, node, group = (table.column(c).to_numpy() for c in ("mine", "node", "group"))
+        signature = np.array(table.column("signature").to_pylist(), np.int32)
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.nonzero(mine == low)[0], np.nonzero(mine == high)[0]
+        hits = np.zeros((len(left), len(right)), np.int16)
+        for k in range(signature.shape[1]):
+            hits += signature[left, k][:, None] == signature[right, k]
+        near = (hits >= matches) & (group[left][:, None] != group[right])
+        a, b = size[left][:, None], size[right]
+        near &= 100 * np.minimum(a, b) >= share * np.maximum(a, b)
+        if low == high:
+            near &= left[:, None] < right
+        rows, columns = np.nonzero(near.any(axis=1))[0], np.nonzero(near.any(axis=0))[0]
+        found = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(rows):
+            common = common_counts(sets, left[rows], right[columns])
+            union = size[left[rows]][:, None] + size[right[columns]] - common
+            x, y = np.nonzero(near[np.ix_(rows, columns)] & (100 * common >= share * union))
+            found = node[left[rows[x]]], node[right[columns[y]]]
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    return run
+
+
 def sign(docs: DataFrame, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, node (identity of the shingle set, 0 without words), n_shingles, signature."""
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -174,26 +228,40 @@ class Matcher:
         sized = close.join(self.sets.toDF("a", "shingles_a"), "a").join(self.sets.toDF("b", "shingles_b"), "b")
         return settled(sized.select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(self.share), "a long, b long"), "links")
 
-    def hub_pairs(self) -> DataFrame:
+    def hubs(self) -> DataFrame:
         rows = self.postings()
-        hubs = rows.groupBy("key").agg(F.max(F.struct("central", "node", "n_shingles")).alias("hub"), F.count("*").alias("many"))
-        met = rows.join(hubs.filter("many > 1"), "key").filter("node <> hub.node")
+        return rows.groupBy("key").agg(F.max(F.struct("central", "node", "n_shingles")).alias("hub"))
+
+    def hub_pairs(self) -> DataFrame:
+        met = self.postings().join(self.hubs(), "key").filter(F.col("node") != F.col("hub.node"))
         met = met.filter(self.near_in_size("n_shingles", "hub.n_shingles"))
         return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
-    def rest_pairs(self, roots: DataFrame, tested: DataFrame) -> DataFrame:
-        """Pairs under one key that no link has joined yet, met in blocks of a bounded number of rows."""
+    def family_links(self, roots: DataFrame) -> DataFrame:
+        """Links between nodes that share a key and that ``roots`` (node, root) does not join yet."""
         rows = self.postings().join(roots.withColumnRenamed("root", "group"), "node", "left")
-        rows = rows.withColumn("group", F.coalesce("group", "node")).drop("central")
-        open_keys = rows.groupBy("key").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), F.count("*").alias("many"))
-        open_keys = open_keys.filter("g0 <> g1").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-        dealt = settled(rows.join(open_keys, "key").withColumn("mine", F.expr("pmod(xxhash64(node), blocks)")), "open")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = dealt.select("key", "mine", other.alias("theirs"), F.col("node").alias("a"), F.col("group").alias("group_a"), F.col("n_shingles").alias("n_a"))
-        right = dealt.select("key", F.col("mine").alias("theirs"), other.alias("mine"), F.col("node").alias("b"), F.col("group").alias("group_b"), F.col("n_shingles").alias("n_b"))
-        on = [left[c] == right[c] for c in ("key", "mine", "theirs")]
-        met = left.join(right, [*on, F.col("a") < F.col("b"), F.col("group_a") != F.col("group_b"), self.near_in_size("n_a", "n_b")])
-        return met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        rows = rows.withColumn("group", F.coalesce("group", "node"))
+        apart = rows.groupBy("key").agg(F.max(F.struct("central", "node")).alias("hub"), F.min("group").alias("g0"), F.max("group").alias("g1"))
+        apart = apart.filter("g0 <> g1").select("key", F.col("hub.node").alias("family"))
+        members = rows.join(apart, "key").select("family", "node", "group", "n_shingles").distinct()
+        members = settled(members, "families")
+        sizes = members.groupBy("family").agg(F.count("*").alias("many"), F.sum("n_shingles").alias("shingle_count"))
+        parts = F.greatest(F.ceil(F.col("many") / BLOCK_ROWS), F.ceil(F.col("shingle_count") / BLOCK_SHINGLES)).cast("int")
+        dealt = members.join(sizes.select("family", parts.alias("parts")), "family")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("node", "family"), F.col("parts")).cast("int"))
+        full = dealt.join(self.nodes.select("node", "signature"), "node").join(self.sets, "node")
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        cells = full.withColumn("other", other).select(
+            "family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "group", "signature", "shingles"
+        )
+        return settled(cells.groupBy("family", "low", "high").applyInArrow(_meet(self.matches, self.share), "a long, b long").distinct(), "links")
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of the links so far and the new ones."""
+    if roots is not None:
+        links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links, "a", "b")
 
 
 def near_duplicates(
@@ -208,12 +276,8 @@ def near_duplicates(
     """
     signed = settled(sign(docs, coordinates), "signed")
     matcher = Matcher(docs, signed.filter("doc_id is not null"), matches, share)
-    pairs = settled(matcher.hub_pairs(), "pairs")
-    links = matcher.linked(pairs)
-    roots = settled(components(links, "a", "b"), "roots")
-    more = matcher.linked(matcher.rest_pairs(roots, pairs))
-    forest = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b"))
-    roots = components(forest, "a", "b")
+    roots = settled(joined(None, matcher.linked(matcher.hub_pairs())), "roots")
+    roots = joined(roots, matcher.family_links(roots))
     members = matcher.nodes.select("node", "doc_id").join(roots, "node", "left")
     members = members.withColumn("root", F.coalesce("root", "node"))
     least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
