@@ -93,6 +93,19 @@ def _measure(pivots: np.ndarray, width: int, most: float):
     return run
 
 
+def _as_queries(pivots: np.ndarray, width: int):
+    """Distances of queries to the pivots; a query's extra component is zero."""
+
+    def run(batches):
+        for batch in batches:
+            points = stacked(batch.column("vector").to_pylist(), width)
+            near = distances(np.hstack([points, np.zeros((len(points), 1))]), pivots)
+            place = batch.schema.get_field_index("near")
+            yield batch.set_column(place, "near", pa.array([d.tobytes() for d in near], pa.binary()))
+
+    return run
+
+
 def _ranges(batches):
     """Least and largest distance to each pivot of the blocks a task has met."""
     met: dict[int, list] = {}
@@ -216,6 +229,7 @@ def top_k(
         return met.mapInArrow(_meet(width, most, k, whole), FOUND)
 
     asked = dealt.filter(is_query).select("block", F.lit(True).alias("is_query"), "vec_id", "vector", "near", F.lit(NONE).cast("long").alias("beat"))
+    asked = settled(asked.mapInArrow(_as_queries(pivots, width), MEETING), "queries")
     near = settled(meeting(asked), "near")
     known = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("many"))
     beats = asked.drop("beat").join(known, F.col("vec_id") == F.col("query_id"), "left").select(
