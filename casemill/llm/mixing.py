@@ -115,7 +115,7 @@ def mix(
     epochs = F.floor(often + F.lit(1e-9))
     rest = (often - epochs) * size_of
     taken = epochs + ((size_of > 0) & (start + F.col(count) <= rest)).cast("long")
-    place = (F.col(copy) + F.when(size_of > 0, start / size_of).otherwise(F.lit(0.0))) / F.greatest(often, F.col(copies).cast("double"), F.lit(1e-9))
+    place = (F.col(copy) + F.when(size_of > 0, start / size_of).otherwise(F.lit(0.0))) / F.greatest(often, F.lit(1e-9))
     mix_blocks = max(1, math.ceil(size * total / MIX_BLOCK_TOKENS))
     return (
         met.withColumn(copies, taken.cast("int"))
