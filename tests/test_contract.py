@@ -6,10 +6,10 @@ import check
 import pytest
 
 import __spark_entry__ as contract
-from casemill.plans import SURVEY_IDS
+from casemill.plans import QUERIES, SURVEY_IDS
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = list(contract.queries())
+NAMES = list(QUERIES)
 
 
 @pytest.fixture(scope="module")
