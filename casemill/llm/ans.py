@@ -31,6 +31,7 @@ from casemill.session import scratch_path
 MAGIC = b"RANSTOK1"
 LANES, BLOCK = 32, 16384
 FRAME_TOKENS, FILE_TOKENS = 1 << 22, 1 << 23
+MOST_TASKS = 10_000
 LOW = np.uint64(1 << 31)  # a state is at least this and below it times 2**32
 
 
@@ -301,7 +302,9 @@ def decode_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> Da
     frames = manifest.select("path", "part").mapInArrow(_frames, schema)
     dealt = frames.join(starts, F.col("path") == F.col("of_path")).withColumn("start", F.col("file_start") + F.col("before"))
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return dealt.repartition("path", "at").mapInArrow(_decode(f"{folder}/table", with_ids), columns)
+    # Frames are few and small as rows but not as work: a stated number keeps them in tasks of their own.
+    tasks = frames.count()
+    return dealt.repartition(max(1, min(tasks, MOST_TASKS)), "path", "at").mapInArrow(_decode(f"{folder}/table", with_ids), columns)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, with_ids: bool = False) -> DataFrame:
