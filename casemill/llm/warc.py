@@ -29,6 +29,7 @@ from casemill.llm.common import settled, store_of, text_or_empty
 from casemill.session import scratch_path
 
 BLOCK_LINES = 512
+TASK_RECORDS, MOST_TASKS = 2048, 10_000
 FILE_BYTES = 1 << 30
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, page_id long, file string, at long, size int, record_type string"
@@ -260,12 +261,18 @@ def _look_up(shards: list[tuple]):
     return run
 
 
-def look_up(requests: DataFrame, shards: DataFrame) -> DataFrame:
+def tasks_for(shards: DataFrame) -> int:
+    """Tasks for reading all that is indexed: the rows that lead to records are small, the reading is not."""
+    lines = shards.agg(F.sum("lines")).first()[0] or 0
+    return max(1, min(MOST_TASKS, lines // TASK_RECORDS))
+
+
+def look_up(requests: DataFrame, shards: DataFrame, tasks: int) -> DataFrame:
     """Captures of requested (key, page_id) pairs, each asked once. Neighbouring requests share a block."""
     # A row for each index shard, which is one task of the sorted write.
     bounds = [tuple(r) for r in shards.orderBy("part").select("path", "first_key", "first_id").collect()]
     asked = requests.select("key", "page_id").distinct()
-    ordered = asked.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = asked.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
     return ordered.mapInArrow(_look_up(bounds), CAPTURE)
 
 
@@ -289,9 +296,9 @@ def _read(folder: str, with_payload: bool):
     return run
 
 
-def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_records(captures: DataFrame, folder: str, tasks: int, with_payload: bool = False) -> DataFrame:
     """Read the records that captures point to, in the order of the files; a damaged response raises."""
-    ordered = captures.repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("file", "at", "size")
+    ordered = captures.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").select("file", "at", "size")
     return ordered.mapInArrow(_read(folder, with_payload), RECORD + (", payload binary" if with_payload else ""))
 
 
@@ -300,4 +307,5 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, with_payload: bool = Fals
     folder = scratch_path(pages.sparkSession, "warc")
     shards = write_index(write_archive(pages, folder, least_bytes), f"{folder}/index")
     asked = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"))
-    return read_records(look_up(asked, shards), folder, with_payload)
+    tasks = tasks_for(shards)
+    return read_records(settled(look_up(asked, shards, tasks), "found"), folder, tasks, with_payload)
