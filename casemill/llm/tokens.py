@@ -19,8 +19,8 @@ from casemill.llm.common import gather, slices
 
 # Letters, then ASCII marks; no apostrophe, since the splitting pattern treats it apart.
 PLAIN_PART = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
-WORDS_KEPT = 400_000
-SLICE_BYTES = 16 << 20
+WORDS_KEPT = 200_000
+SLICE_BYTES = 6 << 20
 
 
 def read_tokenizer(path: str) -> str:

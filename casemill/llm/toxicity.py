@@ -31,7 +31,7 @@ SAMPLE_ROWS = 16384  # labelled rows at most that voters are mined from and the
 FEATURES, VOTERS, LEAST_ROWS, LEAST_Z, LEAST_BOUND = 512, 48, 3, 1.645, 1.0
 BEGINNINGS = (4, 5, 6)  # bytes of a word
 ROUNDS = 8
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 THRESHOLD = 0.3
 
 
@@ -330,7 +330,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     ``labels`` has doc_id and toxic (1, 0; others do not count); rows of ``held_out`` doc_ids are not used.
     At most ``SAMPLE_ROWS`` labelled rows serve for mining and training; votes are counted over all
-    documents. Rows without doc_id vote but have no label; of labels that repeat a doc_id the largest counts.
+    documents. Rows without doc_id vote but have no label; of labels that repeat a doc_id, or of equal texts
+    in the sample, the largest counts.
     Without labels, the lexicon and the patterns vote alone and documents chosen by hash are the sample.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -340,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     picked = settled(known.orderBy(F.xxhash64("of_doc"), "of_doc").limit(SAMPLE_ROWS), "labels")
     # SAMPLE_ROWS rows of two numbers at most.
     sample = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("of_doc")).select("text", "toxic")
-    sample = settled(sample.repartition(F.xxhash64("text")).dropDuplicates(["text"]), "sample")
+    sample = settled(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
     hashes = np.unique(np.concatenate([lexicon_hashes(), mined(sample)]))
     if not sample.head(1):
         drawn = texts.select(F.col("doc_id").alias("of_doc")).dropDuplicates().orderBy(F.xxhash64("of_doc"), "of_doc").limit(SAMPLE_ROWS)
