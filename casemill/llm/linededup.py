@@ -5,17 +5,31 @@ lines are cut behind a line where the rolling hash over the last ``WINDOW`` line
 so a cut moves with the lines around it and not with what stands before. Chunks of two lines or
 more, or one long line, whose hash occurs again anywhere are looked at: all but the first, by doc_id and
 place, are removed if their bytes equal the first one's.
+
+Passages are found without regard to lines. A window is a run of ``LONG_WORDS`` words with the blanks between
+them. Whatever stands in a window that has occurred before, by doc_id and place, is a repeated passage, so a passage is
+as long as the texts agree. The seed of a window is its run of ``SEED`` words with the least hash; equal windows have equal
+seeds. Windows in a row with one seed form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
+occurs again are looked at: where whole contexts are equal, all but the first are repeats, and only the firsts of
+different contexts with one seed are compared window by window. Seeds and contexts or windows have 64 bits each and are
+compared together. Of equal texts only the first is searched; the others are passages as a whole.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import free_name, settled
+from casemill.llm import words
+from casemill.llm.common import free_name, settled, slices
 
 WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
+SEED, SLICE_BYTES = 16, 1 << 20
+BLANKS = " \t\n\v\f\r"
 CHUNK = "doc_id long, tie long, start int, stop int, hash long"
 _MOD, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
@@ -67,8 +81,143 @@ def _chunk(batches):
         )
 
 
+def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
+    """Of a column of texts, the row, first word, number of windows and seed of each context."""
+    hashes, counts = words.word_hashes(*words.raw_bytes(texts), powers)
+    grams, many = words.shingle_hashes(hashes, counts, SEED)
+    reach, size = LONG_WORDS - SEED + 1, 1
+    owner = np.repeat(np.arange(len(many)), many)
+    if len(grams) < reach:
+        return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
+    # Place of the least of ``size`` neighbours, the first one of equals.
+    least = np.arange(len(grams))
+    while size < reach:
+        step = min(size, reach - size)
+        left, right = least[:-step], least[step:]
+        least, size = np.where(grams[left] <= grams[right], left, right), size + step
+    starts = np.nonzero(owner[reach - 1 :] == owner[: len(least)])[0]
+    least = least[starts]
+    opens = np.nonzero(np.concatenate([np.ones(min(1, len(least)), bool), least[1:] != least[:-1]]))[0]
+    first = starts[opens]
+    row = owner[first]
+    return row, first - (np.cumsum(many) - many)[row], np.diff(np.append(opens, len(least))), grams[least[opens]]
+
+
+def _edges(text: str, start: int, stop: int) -> tuple[int, int]:
+    """Both ends doubled, and one more where a line begins or ends there."""
+    return 2 * start + (start == 0 or text[start - 1] == "\n"), 2 * stop + (stop == len(text) or text[stop] == "\n")
+
+
+SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, at array<int>, many array<int>"
+
+
+def _seed(batches):
+    from xxhash import xxh3_128_digest
+
+    powers = words.Powers()
+    for batch in batches:
+        for a, b in slices(batch.column("text"), SLICE_BYTES):
+            part = batch.slice(a, b - a)
+            row, at, many, value = seeds(part.column("text"), powers)
+            mine, first = np.unique(row, return_index=True)
+            kept = part.take(pa.array(mine, pa.int64()))
+            texts = kept.column("text").to_pylist()
+            reach = [_edges(t, len(t) - len(t.lstrip(BLANKS)), len(t.rstrip(BLANKS))) for t in texts]
+            bounds = pa.array(np.append(first, len(row)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("doc_id"), kept.column("tie"), pa.array([xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
+                 pa.array([x for x, _ in reach], pa.int64()), pa.array([x for _, x in reach], pa.int64()),
+                 *(pa.ListArray.from_arrays(bounds, x) for x in (pa.array(value.view(np.int64)), pa.array(at, pa.int32()), pa.array(many, pa.int32())))],
+                names=["doc_id", "tie", "body", "low", "high", "seeds", "at", "many"],
+            )
+
+
+CUT = (
+    "doc_id long, tie long, start long, stop long, hash long, seed long, is_first boolean, body string,"
+    " lows array<long>, highs array<long>, hashes array<long>"
+)
+_CUT = pa.schema(
+    [(n, pa.int64()) for n in ("doc_id", "tie", "start", "stop", "hash", "seed")] + [("is_first", pa.bool_()), ("body", pa.string())]
+    + [(n, pa.list_(pa.int64())) for n in ("lows", "highs", "hashes")]
+)
+
+
+def contexts(text: str, wanted: list[dict]) -> list[tuple]:
+    """Rows of ``CUT`` from start on, for contexts with their first word (``at``), number of windows (``many``) and seed."""
+    from xxhash import xxh3_64_intdigest
+
+    def digest(start, stop):
+        value = xxh3_64_intdigest(text[start:stop].encode())
+        return value - (1 << 64) if value >> 63 else value
+
+    found = [m.span() for m in re.finditer(f"[^{BLANKS}]+", text)] if wanted else []
+    out = []
+    for x in wanted:
+        ends = [(found[i][0], found[i + LONG_WORDS - 1][1]) for i in range(x["at"], x["at"] + x["many"])]
+        start, stop = ends[0][0], ends[-1][1]
+        edges = [_edges(text, *e) for e in ends]
+        out.append(
+            (edges[0][0], edges[-1][1], digest(start, stop), x["seed"], None, None,
+             [e for e, _ in edges], [e for _, e in edges], [digest(*e) for e in ends])
+        )
+    return out
+
+
+def _cut(batches):
+    """The bytes of chunks and, with ``seed``, the contexts of texts."""
+    for batch in batches:
+        for a, b in slices(batch.column("text"), SLICE_BYTES):
+            columns = [[] for _ in _CUT]
+            for doc_id, tie, text, spans, wanted in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
+                rows = [(x["start"], x["stop"], x["hash"], None, x["is_first"], text[x["start"] : x["stop"]], None, None, None) for x in spans or ()]
+                for row in rows + contexts(text, wanted or []):
+                    for column, x in zip(columns, (doc_id, tie, *row), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT, strict=True)], schema=_CUT)
+
+
+def regions(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The passages that windows (as of ``_edges``) make up, each with one blank or break that goes with it.
+
+    That is the one behind, or the one before where a passage ends a line that it does not begin: lines do not run together.
+    """
+    out, held = [], []
+    for low, high in sorted(ends):
+        if held and low >> 1 < held[1] >> 1:
+            held[1] = max(held[1], high)
+        else:
+            held = [low, high]
+            out.append(held)
+    return [(low // 2 - 1, high // 2) if high & 1 and not low & 1 else (low // 2, high // 2 + 1) for low, high in out]
+
+
+def _merge(batches):
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    for batch in batches:
+        passages, every = [], []
+        for lines, ends in zip(batch.column("lines").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+            found = regions([(x["low"], x["high"]) for x in ends or ()])
+            met = []
+            for start, stop in sorted(found + [(x["start"], x["stop"] + 1) for x in lines or ()]):
+                if met and start < met[-1][1]:
+                    met[-1][1] = max(met[-1][1], stop)
+                else:
+                    met.append([start, stop])
+            for column, rows in ((passages, found), (every, met)):
+                column.append([{"start": x, "stop": y - 1} for x, y in rows] or None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("tie"), batch.column("lines"), pa.array(passages, span), pa.array(every, span)],
+            names=["doc_id", "tie", "lines", "passages", "every"],
+        )
+
+
+def _place(start):
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie", start)
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (a hash of the text) and the ``spans`` (start, stop; in characters, ascending) to remove.
+    """doc_id, tie (a hash of the text) and spans (start, stop; in characters, ascending) to remove: the repeated chunks
+    (``lines``), the repeated ``passages`` of ``LONG_WORDS`` words or more, and ``every`` span of both, joined where they overlap.
 
     Rows of one doc_id with equal texts count as one document. A row without doc_id comes last.
     """
@@ -76,44 +225,84 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"),
         F.col("text").cast("string").alias("text"),
     ).filter("text is not null")
-    found = settled(texts.mapInArrow(_chunk, CHUNK), "chunks").withColumn("place", F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie", "start"))
+    found = settled(texts.mapInArrow(_chunk, CHUNK), "chunks").withColumn("place", _place("start"))
     firsts = found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
     again = found.join(firsts.select("hash", "first"), "hash").select(
         "doc_id", "tie", "start", "stop", "hash", (F.col("place") == F.col("first")).alias("is_first")
     )
     # A document's own spans: no more than its lines.
-    wanted = again.dropDuplicates(["doc_id", "tie", "start"]).groupBy("doc_id", "tie").agg(
+    spans = again.dropDuplicates(["doc_id", "tie", "start"]).groupBy("doc_id", "tie").agg(
         F.collect_list(F.struct("start", "stop", "hash", "is_first")).alias("spans")
-    ).toDF("of_doc", "of_tie", "spans")
-    cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie"))).select(
-        "doc_id", "tie", "text", F.explode("spans").alias("span")
-    ).select("doc_id", "tie", "span.*", F.expr("substring(text, span.start + 1, span.stop - span.start)").alias("body"))
-    cut = settled(cut, "bodies")
-    kept = cut.filter("is_first").select(F.col("hash").alias("of_hash"), F.col("body").alias("first_body"))
+    )
+    seeded = settled(texts.mapInArrow(_seed, SEEDED), "seeds")
+    least = F.min(F.struct(F.col("place.d").alias("d"), "tie", "doc_id", "seeds", "at", "many")).alias("least")
+    leaders = settled(seeded.withColumn("place", _place("low")).groupBy("body").agg(least).select("body", "least.*"), "leaders")
+    posted = leaders.select("doc_id", "tie", F.explode(F.arrays_zip("seeds", "at", "many")).alias("x")).select(
+        "doc_id", "tie", F.col("x.seeds").alias("seed"), "x.at", "x.many"
+    )
+    shared = posted.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1").select("seed")
+    near = posted.join(shared, "seed").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "many", "seed")).alias("near"))
+    wanted = spans.withColumn("near", F.lit(None).cast(near.schema["near"].dataType)).unionByName(near, allowMissingColumns=True)
+    wanted = wanted.groupBy("doc_id", "tie").agg(F.first("spans", True), F.first("near", True)).toDF("of_doc", "of_tie", "spans", "near")
+    cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")))
+    cut = settled(cut.select("doc_id", "tie", "text", "spans", "near").mapInArrow(_cut, CUT), "bodies")
+    bodies = cut.filter("seed is null")
+    kept = bodies.filter("is_first").select(F.col("hash").alias("of_hash"), F.col("body").alias("first_body"))
     # Equal rows cut the same first span more than once.
     kept = kept.dropDuplicates(["of_hash"])
-    same = cut.filter("not is_first").join(kept, (F.col("hash") == F.col("of_hash")) & (F.col("body") == F.col("first_body")))
-    return same.select("doc_id", "tie", "start", "stop").distinct().groupBy("doc_id", "tie").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans")
+    same = bodies.filter("not is_first").join(kept, (F.col("hash") == F.col("of_hash")) & (F.col("body") == F.col("first_body")))
+    lines = same.select("doc_id", "tie", "start", "stop").distinct().groupBy("doc_id", "tie").agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("lines")
+    )
+    met = cut.filter("seed is not null").withColumn("place", _place("start"))
+    kinds = settled(met.groupBy("seed", "hash").agg(F.min("place").alias("first"), (F.count("*") > 1).alias("repeated")), "contexts")
+    whole = met.join(kinds.filter("repeated"), ["seed", "hash"]).filter(F.col("place") > F.col("first"))
+    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
+    unlike = met.join(kinds.join(several, "seed"), ["seed", "hash"]).filter(F.col("place") == F.col("first"))
+    unlike = unlike.select("doc_id", "tie", "seed", F.explode(F.arrays_zip("lows", "highs", "hashes")).alias("x")).select(
+        "doc_id", "tie", "seed", F.col("x.lows").alias("low"), F.col("x.highs").alias("high"), F.col("x.hashes").alias("hash")
     )
+    unlike = settled(unlike, "windows").withColumn("place", _place("low"))
+    firsts = unlike.groupBy("seed", "hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).filter("times > 1")
+    later = unlike.join(firsts.select("seed", "hash", "first"), ["seed", "hash"]).filter(F.col("place") > F.col("first"))
+    later = later.select("doc_id", "tie", "low", "high").union(whole.select("doc_id", "tie", "start", "stop"))
+    leader = leaders.select("body", F.struct("d", "tie").alias("first"))
+    copies = seeded.join(leader, "body").filter(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie") > F.col("first"))
+    # No more than the words of a document.
+    ends = later.union(copies.select("doc_id", "tie", "low", "high")).distinct().groupBy("doc_id", "tie").agg(
+        F.collect_list(F.struct("low", "high")).alias("ends")
+    )
+    both = lines.withColumn("ends", F.lit(None).cast("array<struct<low:long,high:long>>")).unionByName(ends, allowMissingColumns=True)
+    both = both.groupBy("doc_id", "tie").agg(F.first("lines", True).alias("lines"), F.first("ends", True).alias("ends"))
+    span = "array<struct<start:long,stop:long>>"
+    return both.mapInArrow(_merge, f"doc_id long, tie long, lines {span}, passages {span}, every {span}")
+
 
+def without(text: Column, spans: Column) -> Column:
+    """The text less its spans; a span goes with the character behind it."""
+    before = F.transform(spans, lambda s: s["stop"] + 1)
+    begin = F.concat(F.array(F.lit(0).cast("long")), before)
+    end = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
+    parts = F.zip_with(begin, end, lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int")))
+    return F.when(spans.isNull(), text).otherwise(F.array_join(parts, ""))
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+
+def with_repeats(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """All rows and columns of ``docs`` with the spans of ``repeats``, and the names these have: lines, passages, every."""
+    doc, tie, *names = (free_name(docs, n) for n in ("line_doc", "line_tie", "removed_lines", "removed_passages", "removed_spans"))
+    found = repeats(docs).toDF(doc, tie, *names)
+    on = docs["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(docs["text"].cast("string")) == found[tie])
+    return docs.join(found, on, "left").drop(doc, tie), *names
+
+
+def remove_repeats(docs: DataFrame, passages: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the repeated chunks taken out of ``text``, and ``removed_spans``.
 
-    A text keeps its other lines and their breaks as they are; one that is made of repeats only becomes
+    With ``passages`` the repeated passages of ``LONG_WORDS`` words or more go too, wherever they begin and end.
+    A text keeps the rest and its breaks as they are; one that is made of repeats only becomes
     empty. ``removed_spans`` is null where nothing goes, and has another name if docs has that one.
     Null and empty texts stay. An empty table gives no rows.
     """
-    spans = repeats(docs).toDF("of_doc", "of_tie", "spans")
-    doc, tie, cut = (free_name(docs, n) for n in ("line_doc", "line_tie", "removed_spans"))
-    found = spans.toDF(doc, tie, cut)
-    on = docs["doc_id"].cast("long").eqNullSafe(found[doc]) & (F.xxhash64(docs["text"].cast("string")) == found[tie])
-    met = docs.join(found, on, "left").drop(doc, tie)
-    # A span goes with the break behind it.
-    before = f"IF(i = 0, 0, `{cut}`[i - 1].stop + 1)"
-    rest = F.expr(
-        f"array_join(transform(sequence(0, size(`{cut}`)), i -> substring(text, {before} + 1, "
-        f"greatest(0, IF(i = size(`{cut}`), length(text), `{cut}`[i].start) - {before}))), '')"
-    )
-    return met.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(rest))
+    met, lines, passage, every = with_repeats(docs)
+    met = met.drop(passage, lines) if passages else met.drop(passage, every).withColumnRenamed(lines, every)
+    return met.withColumn("text", without(F.col("text"), F.col(every)))

@@ -94,11 +94,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's text without repeated chunks, with the chunks and characters that went."""
-    out = linededup.remove_repeats(table(spark, sf_dir, "documents"))
+    """Each document's text without repeated chunks, with the chunks and characters that went; ``rest`` is the
+    text without repeated passages of 50 words and more as well, ``rest_chars`` what went from it."""
+    out, lines, passages, every = linededup.with_repeats(table(spark, sf_dir, "documents"))
+
+    def chars(spans):
+        return F.coalesce(F.expr(f"aggregate({spans}, 0L, (n, s) -> n + s.stop - s.start)"), F.lit(0))
+
     return out.select(
-        "doc_id", F.coalesce(F.size("removed_spans"), F.lit(0)).alias("removed_chunks"),
-        F.coalesce(F.expr("aggregate(removed_spans, 0L, (n, s) -> n + s.stop - s.start)"), F.lit(0)).alias("removed_chars"), "text",
+        "doc_id", F.coalesce(F.size(lines), F.lit(0)).alias("removed_chunks"), chars(lines).alias("removed_chars"),
+        linededup.without(F.col("text"), F.col(lines)).alias("text"), F.coalesce(F.size(passages), F.lit(0)).alias("removed_passages"),
+        chars(every).alias("rest_chars"), linededup.without(F.col("text"), F.col(every)).alias("rest"),
     )
 
 

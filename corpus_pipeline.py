@@ -24,11 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the chunks of lines that stand elsewhere before; ``n_chars`` follows the text.
+    """Documents without the chunks of lines and the passages of 50 words or more that stand elsewhere before; ``n_chars`` follows the text.
 
     A document of which nothing is left goes; one that was null or empty before stays.
     """
-    cut = linededup.remove_repeats(docs)
+    cut = linededup.remove_repeats(docs, passages=True)
     spans = F.col(next(c for c in cut.columns if c not in docs.columns))
     left = cut.filter(spans.isNull() | (F.col("text") != ""))
     if "n_chars" in docs.columns:

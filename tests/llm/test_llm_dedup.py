@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +123,54 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def spared(rows, many=50):
+    """Words that stay by brute force: those in no run of ``many`` words that has occurred before."""
+    seen, out = set(), {}
+    for doc_id, text in sorted({(i, t) for i, t, _ in rows if t}):
+        spans = [m.span() for m in re.finditer("[^ \\t-\\r]+", text)]
+        gone = set()
+        for i in range(len(spans) - many + 1):
+            window = text[spans[i][0] : spans[i + many - 1][1]]
+            if window in seen:
+                gone |= set(range(i, i + many))
+            seen.add(window)
+        out[doc_id] = [text[a:b] for i, (a, b) in enumerate(spans) if i not in gone]
+    return out
+
+
+def test_passages_within_lines_go_whole(spark):
+    rng = random.Random(11)
+    passage, longer = words(rng, 50), words(rng, 140)
+    short = words(rng, 49)
+    rows = [(i, f"{words(rng, 20 + i)} {passage} {words(rng, 30)}\n{words(rng, 5)}", "s") for i in range(6)]
+    # The first text shares less with the last than the second does.
+    cut = " ".join(longer.split(" ")[:70])
+    rows += [(10, f"{words(rng, 60)} {cut} {words(rng, 60)}", "s"), (11, f"{words(rng, 8)} {longer}", "s"), (12, f"{words(rng, 9)} {longer}\nnext line", "s")]
+    rows += [(20, f"{words(rng, 40)} {short} {words(rng, 3)}", "s"), (21, f"{words(rng, 50)} {short} {words(rng, 2)}", "s")]
+    rows += [(30, rows[0][1], "s"), (31, None, "s"), (32, "", "s"), (33, passage, "s"), (33, passage, "s"), (34, " ".join(["again"] * 120), "s")]
+    got = {r.doc_id: r.text for r in linededup.remove_repeats(frame(spark, rows).repartition(3), passages=True).collect()}
+    want = spared(rows)
+    assert {i: t.split() for i, t in got.items() if t} == {i: w for i, w in want.items() if w}
+    assert got[33] == "" and got[30] == "" and got[31] is None and got[32] == "" and short in got[21] and got[12].endswith("\nnext line")
+    assert all(passage not in got[i] and "\n" in got[i] for i in range(1, 6)) and passage in got[0]
+
+
+def test_passages_of_random_texts_equal_brute_force(spark):
+    rng = random.Random(12)
+    pool = [words(rng, rng.randrange(30, 160)) for _ in range(12)]
+    rows = []
+    for i in range(80):
+        parts = [rng.choice(pool) if rng.random() < 0.5 else words(rng, rng.randrange(1, 70)) for _ in range(rng.randrange(1, 7))]
+        text = "".join(p + rng.choice(" \n") for p in parts)
+        cut = text.split(" ")
+        rows.append((i, " ".join(cut[rng.randrange(0, 40) :] or cut), "s"))
+    spans = {r.doc_id: r.passages for r in linededup.repeats(frame(spark, rows).repartition(5)).collect()}
+    want = spared(rows)
+    for i, text, _ in rows:
+        left = "".join(" " if any(s.start <= k <= s.stop for s in spans.get(i) or ()) else c for k, c in enumerate(text))
+        assert left.split() == want[i]
+
+
 def test_chunk_boundaries_resist_shifts():
     rng = random.Random(6)
     shared = "\n".join(words(rng, 8) for _ in range(60))
