@@ -155,6 +155,20 @@ def test_passages_within_lines_go_whole(spark):
     assert all(passage not in got[i] and "\n" in got[i] for i in range(1, 6)) and passage in got[0]
 
 
+def test_runs_of_few_short_lines_go_whole(spark):
+    rng = random.Random(13)
+    rows, runs = [], {}
+    for many in range(2, 9):
+        runs[many] = "\n".join(words(rng, -(-50 // many)) for _ in range(many))
+        for i in range(3):
+            around = ["\n".join(words(rng, rng.randrange(3, 20)) for _ in range(2 + i)) for _ in range(2)]
+            rows.append((10 * many + i, f"{around[0]}\n{runs[many]}\n{around[1]}", "s"))
+    got = {r.doc_id: r.text for r in linededup.remove_repeats(frame(spark, rows).repartition(3), passages=True).collect()}
+    for doc_id, text, _ in rows:
+        run = runs[doc_id // 10]
+        assert got[doc_id] == (text if doc_id % 10 == 0 else text.replace(run + "\n", ""))
+
+
 def test_passages_of_random_texts_equal_brute_force(spark):
     rng = random.Random(12)
     pool = [words(rng, rng.randrange(30, 160)) for _ in range(12)]
