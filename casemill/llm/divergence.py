@@ -176,13 +176,14 @@ def _cell(cell: pa.Table) -> pa.Table:
     """
     rows = {r["b"].as_py(): r for r in ({n: cell.column(n)[i] for n in cell.column_names} for i in range(cell.num_rows))}
     ends = [rows[k] for k in sorted(rows)]
+    sources, items, values = [], [], []
+    # A block may have no group, since groups are dealt by hash; its cells with others have no pairs.
+    ways = [(0, 1), (1, 0)] if len(ends) == 2 else [(0, 0)] if ends[0]["i"] == ends[0]["j"] else []
     seen = [r["held"].values.field("t").to_numpy(zero_copy_only=False) for r in ends if r["held"].values is not None]
     terms = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
     unseen = ends[0]["size"].as_py() - len(terms)
     bases = [np.array([g["base"] for g in sorted(r["groups"].as_py(), key=lambda g: g["g"])], dtype=np.int64) for r in ends]
     sides = [_side(r, terms) for r in ends]
-    ways = [(0, 0)] if len(ends) == 1 else [(0, 1), (1, 0)]
-    sources, items, values = [], [], []
     for x, y in ways:
         (names, p), (others, q) = sides[x], sides[y]
         for a, name in enumerate(names):
