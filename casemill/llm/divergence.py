@@ -24,6 +24,7 @@ from casemill.llm.common import settled
 SCALE = 1_000_000_000
 GROUP_BLOCK, TERM_BLOCK = 32, 4096
 ENTRIES_HELD = 300_000
+SALTS = 64
 WINDOW_BYTES = 4 << 20
 # A term is a run of letters A-Z, a-z and of characters beyond ASCII; A-Z count as a-z.
 _FOLDED = bytes(b if b > 127 or chr(b).isalpha() and b > 96 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -84,6 +85,12 @@ def share(count: Column, total: Column, terms: Column) -> Column:
     return 1 + F.aggregate(digits, first, step, lambda state: state["whole"])
 
 
+def beside(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Join with a frame of one row for each key; a key with very many rows is dealt over ``SALTS`` parts."""
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "salt"]).drop("salt")
+
+
 def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
@@ -110,7 +117,7 @@ class Audit:
             F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(0)) / TERM_BLOCK)).cast("long").alias("term_blocks"),
         )
         block = F.pmod(F.xxhash64("term"), F.col("term_blocks"))
-        placed = kept.join(self.langs, "lang").withColumn("k", block)
+        placed = beside(kept, self.langs, ["lang"]).withColumn("k", block)
         t = F.row_number().over(Window.partitionBy("lang", "k").orderBy("term"))
         placed = placed.select("lang", "term", "k", t.alias("t"), share(F.col("total"), F.col("total_n"), F.col("size")).alias("q"))
         self.terms = settled(placed, "placed-terms")
@@ -126,7 +133,7 @@ class Audit:
     def shares(self) -> DataFrame:
         """lang, source, term and its place, the group's share p and the language's q, where the group has the term."""
         of = self.groups.select("lang", "source", "b", "g", "occurrences", "size")
-        return self.entries.join(of, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("occurrences"), F.col("size")))
+        return beside(self.entries, of, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("occurrences"), F.col("size")))
 
     def marked_terms(self, most: int) -> DataFrame:
         """The terms that a group has more often than its language, largest divergence first, up to ``most``."""
