@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions.chunking import chunks_of
+from casemill.operators.balls import FILTERS, BallIndex, written
 from casemill.operators.ranking import top_per_group
-from casemill.session import scratch_path
 
 DISTANCE_THRESHOLD = 0.60
 OVERFETCH = 3
@@ -24,12 +22,6 @@ COLLECTION_LABELS = {"ddl": ("🗄️", "Schema"), "documentation": ("📖", "Co
 # Dataset names a question may start with.
 DATASETS = ("snap_qc", "state_ca")
 
-# Questions a task holds while the chunks of its cell pass by, and chunks scored at once.
-QUESTION_BLOCK = 512
-CHUNK_BATCH = 2048
-# Distances are kept to this many digits, below which only the noise of the arithmetic differs.
-DISTANCE_DIGITS = 12
-
 
 def chunk_documents(documents: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Documents ``(filename, text, category, tags, user_id, is_private)`` to chunk rows.
@@ -151,148 +143,14 @@ def parse_questions(questions: DataFrame, column: str = "question", datasets: Se
     )
 
 
-def _unit(vectors: pd.Series | list) -> np.ndarray:
-    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    norms[norms == 0] = 1.0
-    return matrix / norms
-
-
-def _trim(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest per question, equal distances by chunk id."""
-    ordered = found.sort_values(["question_id", "distance", "chunk_id"], kind="stable")
-    return ordered.groupby("question_id", sort=False).head(k)
-
-
-_FILTERS = ("user_id", "user_scope", "category", "tags")
-_SIDES = (
-    "cell bigint, is_chunk boolean, id string, document_key string, embedding array<double>, user_id string, category string,"
-    " tags array<string>, shared boolean, own_only boolean"
-)
-_HITS = "question_id bigint, chunk_id string, document_key string, distance double"
-
-
-def _tag_matrix(tags: pd.Series, place: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(tags), max(1, len(place))), np.float32)
-    for row, names in enumerate(tags):
-        for name in names if names is not None else ():
-            if name in place:
-                out[row, place[name]] = 1
-    return out
-
-
-class _Asked:
-    """The questions of a cell, ready to meet batches of chunks."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.ids = rows["id"].astype("int64").to_numpy()
-        self.unit = _unit(rows["embedding"])
-        self.user, self.own_only = rows["user_id"].to_numpy(), rows["own_only"].eq(True).to_numpy(bool)
-        self.category = rows["category"].to_numpy()
-        self.open = rows["category"].isna().to_numpy() | (rows["category"] == "").to_numpy()
-        named = {name for names in rows["tags"] if names is not None for name in names}
-        self.place = {name: i for i, name in enumerate(sorted(named))}
-        self.tags = _tag_matrix(rows["tags"], self.place)
-
-    def allowed(self, chunks: pd.DataFrame) -> np.ndarray:
-        """[questions, chunks]: own chunks in private scope, shared or own ones otherwise; category equal, any tag shared."""
-        known = ~pd.isna(chunks["user_id"]).to_numpy()
-        own = (self.user[:, None] == chunks["user_id"].to_numpy()) & known
-        mask = own | (~self.own_only[:, None] & chunks["shared"].to_numpy(bool))
-        mask &= self.open[:, None] | (self.category[:, None] == chunks["category"].to_numpy())
-        if self.place:
-            untagged = ~self.tags.any(axis=1)
-            mask &= untagged[:, None] | (self.tags @ _tag_matrix(chunks["tags"], self.place).T > 0)
-        return mask
-
-    def nearest(self, chunks: pd.DataFrame, k: int, filtered: bool) -> pd.DataFrame:
-        chunks = chunks.sort_values("id", kind="stable")
-        distances = np.round(1.0 - self.unit @ _unit(chunks["embedding"]).T, DISTANCE_DIGITS)
-        if filtered:
-            distances = np.where(self.allowed(chunks), distances, np.inf)
-        width = min(k, len(chunks))
-        limit = np.partition(distances, width - 1, axis=1)[:, width - 1 : width]
-        rows, columns = np.nonzero((distances <= limit) & np.isfinite(distances))
-        near = distances[rows, columns]
-        # Columns are in id order, so they settle equal distances.
-        order = np.lexsort((columns, near, rows))
-        rows, columns, near = rows[order], columns[order], near[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < width
-        ids, keys = chunks["id"].to_numpy(), chunks["document_key"].to_numpy()
-        return pd.DataFrame(
-            {"question_id": self.ids[rows[kept]], "chunk_id": ids[columns[kept]], "document_key": keys[columns[kept]], "distance": near[kept]}
-        )
-
-
-def _meet(k: int, filtered: bool):
-    """Cells one after the other: the questions of a cell first, then its chunks, of which the nearest k are held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held, asked, best = None, [], None, []
-        for batch in batches:
-            for at, rows in batch.groupby("cell", sort=False):
-                if at != cell:
-                    if best:
-                        yield _trim(pd.concat(best), k)
-                    cell, held, asked, best = at, [], None, []
-                questions, chunks = rows[~rows["is_chunk"]], rows[rows["is_chunk"]]
-                if len(questions):
-                    held.append(questions)
-                if not len(chunks) or not held:
-                    continue
-                asked = asked or _Asked(pd.concat(held))
-                for start in range(0, len(chunks), CHUNK_BATCH):
-                    best.append(asked.nearest(chunks.iloc[start : start + CHUNK_BATCH], k, filtered))
-                if len(best) > 16:
-                    best = [_trim(pd.concat(best), k)]
-        if best:
-            yield _trim(pd.concat(best), k)
-
-    return run
-
-
-def nearest_chunks(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k nearest chunks per question over all chunks.
+def nearest_chunks(chunks: DataFrame, questions: DataFrame, k: int, within: float | None = None) -> DataFrame:
+    """The k nearest chunks per question over all chunks, through an index of balls (see ``operators.balls``).
 
     ``questions`` needs a bigint ``question_id`` and ``embedding``; with the four filter columns as well, each
-    question only sees the chunks its filters allow. Questions are dealt into blocks and chunks into groups; a
-    shuffle brings each pair of them, a cell, into one task, which holds the questions while the chunks pass
-    by. There are about as many cells as shuffle partitions, or one for each block of questions if that is
-    more; k rows per question leave a cell. No questions, or no chunks, give no rows. Rows without vector
-    take no part.
+    question only sees the chunks its filters allow. ``within`` leaves out chunks beyond a distance. No questions,
+    or no chunks, give no rows. Rows without vector take no part.
     """
-    spark = chunks.sparkSession
-    filtered = set(_FILTERS) <= set(questions.columns)
-    count = questions.count()
-    blocks = max(1, -(-count // QUESTION_BLOCK))
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
-    own_only = F.col("user_scope") == "private" if filtered else F.lit(False)
-    wanted = {name: F.col(name) if filtered else F.lit(None) for name in ("user_id", "category", "tags")}
-    asked = questions.filter("embedding IS NOT NULL").select(
-        F.col("question_id").cast("bigint").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
-        *[column.cast("array<string>" if name == "tags" else "string").alias(name) for name, column in wanted.items()],
-        own_only.alias("own_only"),
-    )
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
-        (block * groups + F.col("part")).alias("cell"), F.lit(False).alias("is_chunk"), "id", F.lit(None).cast("string").alias("document_key"),
-        "embedding", "user_id", "category", "tags", F.lit(None).cast("boolean").alias("shared"), "own_only",
-    )
-    access = {
-        "user_id": F.col("user_id") if filtered else F.lit(None).cast("string"),
-        "category": F.col("category") if filtered else F.lit(None).cast("string"),
-        "tags": F.col("tags") if filtered else F.lit(None).cast("array<string>"),
-    }
-    group = F.pmod(F.xxhash64("chunk_id"), F.lit(groups))
-    stored = chunks.filter("embedding IS NOT NULL").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        (F.col("_block") * groups + group).alias("cell"), F.lit(True).alias("is_chunk"), F.col("chunk_id").alias("id"),
-        F.coalesce("parent_id", "filename").alias("document_key"), F.col("embedding").cast("array<double>").alias("embedding"),
-        *[column.alias(name) for name, column in access.items()],
-        (F.col("visibility") == "shared" if filtered else F.lit(True)).alias("shared"), F.lit(None).cast("boolean").alias("own_only"),
-    )
-    cells = asked.unionByName(stored).repartition(blocks * groups, "cell").sortWithinPartitions("cell", "is_chunk")
-    hits = cells.mapInPandas(_meet(k, filtered), _HITS)
-    return hits if groups == 1 else top_per_group(hits, ["question_id"], ["distance", "chunk_id"], k)
+    return BallIndex(chunks, set(FILTERS) <= set(questions.columns)).nearest(questions, k, within)
 
 
 def best_per_document(hits: DataFrame) -> DataFrame:
@@ -312,8 +170,8 @@ def retrieve(
     Candidates are cut to three times ``n_results`` before the threshold and before the
     best chunk per document is chosen, so fewer than ``n_results`` may remain.
     """
-    candidates = nearest_chunks(chunks, questions, n_results * OVERFETCH)
-    best = best_per_document(candidates.filter(F.col("distance") <= distance_threshold))
+    candidates = nearest_chunks(chunks, questions, n_results * OVERFETCH, distance_threshold)
+    best = best_per_document(candidates)
     ranked = top_per_group(best, ["question_id"], ["distance", "chunk_id"], n_results, "result_rank")
     described = chunks.select("chunk_id", "filename", "category", "tags", "text")
     return described.join(ranked, "chunk_id").select(
@@ -388,12 +246,6 @@ def retrieve_all(
     return top_per_group(merged, ["question_id"], order, n_results, "result_rank")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "questions")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], questions: DataFrame) -> DataFrame:
     """Sources of every question where its directives send it.
 
@@ -402,8 +254,8 @@ def route_questions(chunks: DataFrame, collections: Mapping[str, DataFrame], que
     questions ten over knowledge base and collections by user only, dataset questions five
     per chosen collection. Questions are written once, since every collection reads them.
     """
-    questions = _written(questions.select("question_id", "embedding", "collection_path", "collections", *_FILTERS))
-    kb = questions.filter("collection_path = 'kb'").select("question_id", "embedding", *_FILTERS)
+    questions = written(questions.select("question_id", "embedding", "collection_path", "collections", *FILTERS), "questions")
+    kb = questions.filter("collection_path = 'kb'").select("question_id", "embedding", *FILTERS)
     everywhere = questions.filter("collection_path = 'all'").select(
         "question_id",
         "embedding",

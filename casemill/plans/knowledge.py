@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casemill import spec
 from casemill.functions import text as tx
 from casemill.functions.identity import content_id, pair_id
-from casemill.operators import audit, feedback, knowledge, sessions
+from casemill.operators import audit, balls, feedback, knowledge, sessions
 from casemill.plans import fixtures as fx
 from casemill.plans.loads import pair_json
 from casemill.plans.registry import query
@@ -284,6 +284,19 @@ def _source_names(spark: SparkSession, d: str) -> DataFrame:
     return knowledge.source_names(knowledge.retrieve(vector_chunks(spark, d), vector_questions(spark, d), 10))
 
 
+@query(
+    "visited_balls",
+    "K6",
+    f"""WITH {_V} SELECT question_id, true AS complete, true AS within_index FROM v""",
+)
+def _visited_balls(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the index each question meets; every question meets enough balls to hold its thirty candidates."""
+    chunks = vector_chunks(spark, d)
+    visits = balls.BallIndex(chunks).visits(vector_questions(spark, d), 30)
+    met = F.col("visited_first") + F.col("visited_later")
+    return visits.select("question_id", (F.col("visited_first") >= 1).alias("complete"), (met <= F.col("cells")).alias("within_index"))
+
+
 def _collections(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     chunks = vector_chunks(spark, d)
     return {name: chunks.filter(F.col("label") % 3 == i) for i, (name, _) in enumerate(knowledge.COLLECTION_RELEVANCE)}

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from casemill.functions.chunking import chunk_text
-from casemill.operators import knowledge
+from casemill.operators import balls, knowledge
 
 WORDS = st.text(alphabet=st.sampled_from("ab é.?!\n#-"), min_size=0, max_size=900)
 
@@ -89,10 +89,11 @@ def brute(made, question, allowed, k):
     return sorted(found)[:k]
 
 
-@pytest.mark.parametrize(("block", "chosen"), [(512, (0, 5, 9, 33)), (2, (0, 5, 9, 33)), (16, range(0, 130))])
-def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, block, chosen):
-    # A third of all chunks are copies of one vector; blocks hold all questions, a few of many, or one of several.
-    monkeypatch.setattr(knowledge, "QUESTION_BLOCK", block)
+@pytest.mark.parametrize(("cell", "lane", "chosen"), [(4096, 65536, (0, 5, 9, 33)), (7, 2, (0, 5, 9, 33)), (16, 5, range(0, 130))])
+def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, cell, lane, chosen):
+    # A third of all chunks are copies of one vector, a ball of several cells; cells are copied for few or no visitors.
+    for name, value in (("CELL_ROWS", cell), ("LANE_QUESTIONS", lane), ("LEAST_ROWS", 9), ("QUESTION_BATCH", 3 if cell < 10 else 512)):
+        monkeypatch.setattr(balls, name, value)
     chunks, made = vectors(spark, 120, copies=40)
     asked = [(i, made[i % 120][8]) for i in chosen]
     questions = spark.createDataFrame(asked, "question_id bigint, embedding array<float>")
@@ -192,3 +193,63 @@ def test_source_labels(spark):
     df = spark.createDataFrame(data, "c string, f string, t array<string>")
     got = [r[0] for r in df.select(source_label(F.col("c"), F.col("f"), F.col("t"))).collect()]
     assert got == ["📘 Business-Rules_2X - a.md #x #y", "🔒 Private - b.txt"]
+
+
+def clustered(spark, clusters=12, each=40, width=16, spread=0.15, seed=5):
+    """Chunks around a few directions, one all zeros, and a question near each direction."""
+    rng = np.random.default_rng(seed)
+    heads = rng.normal(size=(clusters, width))
+    heads /= np.linalg.norm(heads, axis=1, keepdims=True)
+    data = np.repeat(heads, each, axis=0) + spread / np.sqrt(width) * rng.normal(size=(clusters * each, width))
+    data[17] = 0.0
+    made = [(f"c{i:04d}", None, f"f{i}", [float(x) for x in v]) for i, v in enumerate(data)]
+    chunks = spark.createDataFrame(made, "chunk_id string, parent_id string, filename string, embedding array<double>").repartition(4)
+    asked = [(i, [float(x) for x in v]) for i, v in enumerate(heads + 0.02 * rng.normal(size=heads.shape))]
+    asked += [(100, [0.0] * width), (101, [float(x) for x in -heads[0]])]
+    return chunks, made, spark.createDataFrame(asked, "question_id bigint, embedding array<double>"), asked
+
+
+def full_search(made, vector, k, within=np.inf):
+    data = np.array([r[3] for r in made])
+    lengths = np.linalg.norm(data, axis=1) * (np.linalg.norm(vector) or 1.0)
+    distances = np.round(1 - data @ np.array(vector) / np.where(lengths == 0, 1.0, lengths), 12)
+    return [(made[i][0], d) for i in np.lexsort((np.arange(len(made)), distances))[:k] if (d := distances[i]) <= within]
+
+
+@pytest.mark.parametrize(("k", "within"), [(5, None), (60, None), (60, 0.2), (1000, None)])
+def test_balls_give_what_a_full_search_gives(spark, monkeypatch, k, within):
+    monkeypatch.setattr(balls, "CELL_ROWS", 40)
+    chunks, made, questions, asked = clustered(spark)
+    got = knowledge.nearest_chunks(chunks, questions, k, within).collect()
+    for number, vector in asked:
+        found = sorted([(r.distance, r.chunk_id) for r in got if r.question_id == number])
+        want = full_search(made, vector, k, np.inf if within is None else within)
+        assert len(found) == len(want) and np.allclose([d for d, _ in found], [d for _, d in want], atol=1e-9)
+        inner = [c for c, d in want if abs(d - want[-1][1]) > 1e-9]
+        assert set(inner) <= {c for _, c in found}
+
+
+def test_few_balls_are_visited_and_chunks_move_as_often_whatever_is_asked(spark, monkeypatch):
+    monkeypatch.setattr(balls, "CELL_ROWS", 40)
+    chunks, _, questions, _ = clustered(spark)
+    index = balls.BallIndex(chunks)
+    visits = index.visits(questions.filter("question_id < 100"), 5).collect()
+    assert len(visits) == 12 and visits[0].cells >= 8
+    assert sum(v.visited_first + v.visited_later for v in visits) < 0.4 * sum(v.cells for v in visits)
+
+    def moved(times):
+        copies = questions.filter("question_id < 100").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times))))
+        many = copies.withColumn("question_id", F.col("copy") * 1000 + F.col("question_id"))
+        _, first, _ = index._rounds(many, 5, None)
+        busy = first.select("cell").distinct()
+        return index.chunks.join(busy, "cell").count()
+
+    assert moved(0) == moved(40) <= 12 * 40
+
+
+def test_an_index_of_nothing_and_of_one_chunk(spark):
+    chunks, made, questions, _ = clustered(spark)
+    assert balls.BallIndex(chunks.limit(0)).nearest(questions, 3).count() == 0
+    assert balls.BallIndex(chunks.limit(0)).visits(questions, 3).count() == 0
+    one = balls.BallIndex(chunks.filter("chunk_id = 'c0003'")).nearest(questions, 3)
+    assert one.count() == 14 and {r.chunk_id for r in one.collect()} == {"c0003"}
