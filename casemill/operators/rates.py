@@ -7,7 +7,7 @@ whose number is bounded by states x years or codes x years.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,9 +24,13 @@ def _weighted(column: str, when: Column | None = None) -> Column:
 
 def state_error_rates(households: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Payment, over-, underpayment and case error rates by state and year; only class 1 cases count."""
+    return state_error_rates_of(state_error_sums(with_threshold(households.filter("case_classification = 1"), thresholds)))
+
+
+def state_error_sums(base: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The sums behind the rates, by state and year and what else is asked; sums of parts add up to those of the whole."""
     status, above = F.col("status"), F.col("amount_error") > F.col("tolerance_threshold")
-    base = with_threshold(households.filter("case_classification = 1"), thresholds)
-    sums = base.groupBy("fiscal_year", "state_name", "state_code", "tolerance_threshold").agg(
+    return base.groupBy(*also, "fiscal_year", "state_name", "state_code", "tolerance_threshold").agg(
         F.count(F.lit(1)).alias("total_sample_cases"),
         F.count_if(status != 1).alias("error_sample_cases"),
         F.count_if(status == 2).alias("overissuance_sample_cases"),
@@ -38,6 +42,9 @@ def state_error_rates(households: DataFrame, thresholds: DataFrame) -> DataFrame
         _weighted("amount_error", (status == 2) & above).alias("weighted_overpayment_dollars"),
         _weighted("amount_error", (status == 3) & above).alias("weighted_underpayment_dollars"),
     )
+
+
+def state_error_rates_of(sums: DataFrame) -> DataFrame:
     benefits, weight = F.col("total_weighted_benefits"), F.col("estimated_total_households")
     return sums.select(
         "fiscal_year",

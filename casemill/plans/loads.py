@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from casemill.operators import enrich, reshape
 from casemill.plans import fixtures as fx
 from casemill.plans.registry import query, rounded_sql
 from casemill.session import scratch_path
-from casemill.sources import catalog, export, lookups, tables, wide_csv
+from casemill.sources import catalog, export, keys, lookups, rollups, tables, wide_csv
 from casemill.streaming.loads import start_file_loads
 
 
@@ -259,6 +261,73 @@ def _replayed_batch(spark: SparkSession, d: str) -> DataFrame:
     return _counts(tables.read_tables(spark, root))
 
 
+_INCOMING = "CASE WHEN CAST(case_id AS BIGINT) % 3 = 0 THEN case_id WHEN CAST(case_id AS BIGINT) % 3 = 1 THEN 'hot' ELSE 'new' || case_id END"
+
+
+def _clash_sql(name: str, table: str, number: str) -> str:
+    keys = f"fiscal_year, case_id{number}"
+    return f"""SELECT '{name}' AS table_name, i.fiscal_year, count(*) FILTER (WHERE i.n > 1) AS repeated_keys,
+        count(*) FILTER (WHERE s.n IS NOT NULL) AS taken_keys, CAST(sum(i.n) AS BIGINT) AS rows_in_load
+        FROM (SELECT {keys}, count(*) AS n FROM (SELECT * REPLACE ({_INCOMING} AS case_id) FROM {table}) AS r GROUP BY ALL) AS i
+        LEFT JOIN (SELECT {keys}, count(*) AS n FROM {table} GROUP BY ALL) AS s USING ({keys})
+        WHERE i.n > 1 OR s.n IS NOT NULL GROUP BY 2"""
+
+
+@query(
+    "keys_over_loads",
+    "V6 S6",
+    " UNION ALL ".join(
+        _clash_sql(*x)
+        for x in (("households", "households", ""), ("household_members", "members", ", member_number"), ("qc_errors", "errors", ", error_number"))
+    ),
+)
+def _keys_over_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of a second load: a third are taken, a third of its rows share one case, the rest are new."""
+    root = scratch_path(spark, "store")
+    _store(spark, d, root)
+    for name, df in zip(tables.TABLES, (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d)), strict=True):
+        tables.write_table(df.withColumn("case_id", F.expr(_INCOMING)), root, name, "second")
+    return keys.report(spark, root, "second")
+
+
+@query(
+    "unique_appends",
+    "V6 S6 S10",
+    _count_sql(
+        "true",
+        "(SELECT DISTINCT fiscal_year, case_id, error_number FROM errors) AS e",
+        "(SELECT DISTINCT fiscal_year, case_id, member_number FROM members) AS m",
+    ),
+)
+def _unique_appends(spark: SparkSession, d: str) -> DataFrame:
+    """Appends with new keys stay; those that bring a key again are refused as a whole."""
+    root = scratch_path(spark, "store")
+    found = zip(tables.TABLES, (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d)), strict=True)
+    frames = [df.dropDuplicates(keys.KEYS[name]) for name, df in found]
+    for part in (0, 1, 0):
+        with contextlib.suppress(keys.KeyClash):
+            keys.append_unique(spark, root, *(df.filter(F.col("case_id").cast("bigint") % 2 == part) for df in frames))
+    return _counts(tables.read_tables(spark, root))
+
+
+@query("replaced_at_once", "S6", _count_sql("fiscal_year <> 2020 OR CAST(case_id AS BIGINT) % 2 = 1"))
+def _replaced_at_once(spark: SparkSession, d: str) -> DataFrame:
+    """Two replacements of one year that do not see each other: one of them is read, in all three tables."""
+    root = scratch_path(spark, "store")
+    _store(spark, d, root)
+    year = [df.filter("fiscal_year = 2020") for df in (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d))]
+
+    def other() -> None:
+        part = [df.filter("CAST(case_id AS BIGINT) % 2 = 0") for df in year]
+        tables.write_all(spark, root, *part, years=[2020], load_id="replacement-a")
+
+    seen = tables.claimed_loads(spark, root)
+    other()
+    part = [df.filter("CAST(case_id AS BIGINT) % 2 = 1") for df in year]
+    tables.write_all(spark, root, *part, years=[2020], load_id="replacement-b", claimed=seen)
+    return _counts(tables.read_tables(spark, root))
+
+
 @query(
     "refreshed_after_reload",
     "S20 A2",
@@ -277,6 +346,37 @@ def _refreshed_after_reload(spark: SparkSession, d: str) -> DataFrame:
     return stored.groupBy("fiscal_year").agg(F.sum("sample_error_count").alias("cases"))
 
 
+@query(
+    "refresh_after_small_load",
+    "S20",
+    _count_sql("fiscal_year = 2021").replace("fiscal_year, count(*) AS row_count", "count(*) AS rows_read").replace("GROUP BY 2", ""),
+)
+def _refresh_after_small_load(spark: SparkSession, d: str) -> DataFrame:
+    """What the refresh after one more load reads: the rows of that load."""
+    root, thresholds = scratch_path(spark, "store"), enrich.threshold_table(spark)
+    frames = fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d)
+    tables.write_all(spark, root, *(df.filter("fiscal_year <> 2021") for df in frames), action="append")
+    rollups.refresh(spark, root, thresholds)
+    tables.write_all(spark, root, *(df.filter("fiscal_year = 2021") for df in frames), action="append")
+    read = rollups.refresh(spark, root, thresholds)
+    return spark.createDataFrame(list(read.items()), "table_name string, rows_read long")
+
+
+def merged_store(spark: SparkSession, d: str) -> str:
+    """A store of several loads with their sums: one that was replaced, and one without some of its households."""
+    root, thresholds = scratch_path(spark, "store"), enrich.threshold_table(spark)
+    frames = fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d)
+    split, late = "CAST(case_id AS BIGINT) % 2 = 0", "fiscal_year = 2022 AND CAST(case_id AS BIGINT) % 7 = 1"
+    tables.write_all(spark, root, *(df.filter(f"{split} OR fiscal_year = 2019") for df in frames), action="append")
+    tables.write_all(spark, root, frames[0].filter(f"NOT {split} AND {late}"), *(df.filter("false") for df in frames[1:]), action="append")
+    rollups.refresh(spark, root, thresholds)
+    rest = f"NOT {split} AND fiscal_year <> 2019"
+    tables.write_all(spark, root, frames[0].filter(f"{rest} AND NOT ({late})"), *(df.filter(rest) for df in frames[1:]), action="append")
+    tables.write_all(spark, root, *(df.filter("fiscal_year = 2019") for df in frames), years=[2019])
+    rollups.refresh(spark, root, thresholds)
+    return root
+
+
 @query(
     "streamed_load_audit",
     "X1 S11",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from casemill import spec
 from casemill.operators import enrich, quality, rates, stats
 from casemill.plans import fixtures as fx
+from casemill.plans.loads import merged_store
 from casemill.plans.registry import percent_sql, query, rounded_sql
+from casemill.sources import rollups
 
 _RATES_SQL = """SELECT h.fiscal_year, state_name, state_code, coalesce(threshold_amount, 54) AS tolerance_threshold,
  count(*) AS total_sample_cases, count(*) FILTER (WHERE status <> 1) AS error_sample_cases,
@@ -65,6 +67,12 @@ query("state_error_rates", "A1 J6", _STATE_RATES, money=_RATE_MONEY)(state_rates
 query("error_element_rollup", "A2", _ROLLUP, money=("weighted_error_dollars", "avg_sample_error_amount"))(rollup)
 
 
+@query("merged_error_rollup", "S20 A2", _ROLLUP, money=("weighted_error_dollars", "avg_sample_error_amount"))
+def _merged_error_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """The roll-up from sums of several loads, one replaced since, one without the households of some of its errors."""
+    return rollups.error_element_rollup(spark, merged_store(spark, d), fx.refs(spark))
+
+
 @query(
     "demographic_profile",
     "A3 P6 P7",

@@ -5,13 +5,17 @@ last, so readers see all three tables of a year or none, also when a job dies ha
 A commit that replaces, compacts or deletes names the load ids it supersedes. What is named
 stays dead, what is not named stays live: neither clocks nor the order of commits matter, an append
 that lands during a compaction is kept, and a repeated load id changes nothing.
+
+Two commits that replace the same year at once can't name each other. Readers then all choose the same one:
+a replacement before a compaction, and of several the one with the largest load id. The others count as
+never committed, so what only they have named is live again if it is an append.
 """
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ from casemill.sources import files
 from casemill.sources.wide_csv import read_wide_csv, stage_wide
 
 TABLES = ("households", "household_members", "qc_errors")
+# What ``sources.rollups`` keeps for each load.
+PARTIALS = ("state_error_rates", "error_element_rollup", "demographic_profile", "orphans")
 _COMMIT = (
     "fiscal_year INT, load_id STRING, action STRING, supersedes ARRAY<STRING>, committed_at BIGINT,"
     " households BIGINT, household_members BIGINT, qc_errors BIGINT"
@@ -50,11 +56,41 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
     return _read_log(spark, f"{root}/commits", _COMMIT)
 
 
+def load_states(spark: SparkSession, root: str) -> DataFrame:
+    """Per fiscal year, the ids of committed loads: ``standing`` (nobody has superseded them), ``lost`` and ``live``.
+
+    One pass over the log, which has a row for each load and year.
+    """
+    entry = F.struct("load_id", "action", "supersedes")
+    years = commits(spark, root).groupBy("fiscal_year").agg(F.collect_list(entry).alias("log"))
+
+    def ids(entries):
+        return F.transform(entries, lambda e: e["load_id"])
+
+    def named(entries):
+        return F.flatten(F.transform(entries, lambda e: e["supersedes"]))
+
+    def of(*actions):
+        return F.filter("log", lambda e: e["action"].isin(*actions))
+
+    years = years.withColumn("standing", F.array_except(ids(of("replace", "compact", "append")), named(F.col("log"))))
+    replaced = F.array_sort(F.array_intersect("standing", ids(of("replace"))))
+    compacted = F.array_sort(F.array_intersect("standing", ids(of("compact"))))
+    years = years.withColumns({"first": F.coalesce(F.try_element_at(replaced, F.lit(-1)), F.try_element_at(compacted, F.lit(-1))), "claims": F.concat(replaced, compacted)})
+    years = years.withColumn("lost", F.filter("claims", lambda load: load != F.col("first")))
+    valid = F.filter("log", lambda e: ~F.array_contains("lost", e["load_id"]))
+    back = F.array_except(ids(of("append")), named(valid))
+    return years.select("fiscal_year", "standing", "lost", F.array_union(F.array_except("standing", "lost"), back).alias("live"))
+
+
 def live_loads(spark: SparkSession, root: str) -> DataFrame:
-    """``(fiscal_year, load_id)`` readers may see: what was committed and is not named as superseded."""
-    log = commits(spark, root)
-    added = log.filter("action <> 'delete'").select("fiscal_year", "load_id").distinct()
-    return added.join(superseded_loads(spark, root), ["fiscal_year", "load_id"], "left_anti")
+    """``(fiscal_year, load_id)`` readers may see; of replacements that met, one for each year."""
+    return load_states(spark, root).select("fiscal_year", F.explode("live").alias("load_id"))
+
+
+def lost_loads(spark: SparkSession, root: str) -> DataFrame:
+    """Replacements and compactions that stand beside another one of their year, which readers prefer."""
+    return load_states(spark, root).select("fiscal_year", F.explode("lost").alias("load_id"))
 
 
 def superseded_loads(spark: SparkSession, root: str) -> DataFrame:
@@ -128,21 +164,27 @@ def write_all(
     years: Iterable[int] | None = None,
     load_id: str | None = None,
     action: str = "replace",
+    before_commit: Callable[[], None] | None = None,
+    claimed: DataFrame | None = None,
 ) -> dict[str, int]:
     """Write the three tables and make them visible together; returns rows written per table.
 
     ``years`` are the years the load stands for, also those it has no rows of; None takes them from the
     data. Rows of a year that is not among them fail the load before anything is visible. A load id that
-    was committed before, live or superseded since, is left as it is.
+    was committed before, live or superseded since, is left as it is. What ``before_commit`` raises keeps the
+    written rows invisible. A replacement names the ``claimed`` loads, or those that stand when its rows are written;
+    what lands later stays beside it, but for another replacement of the year.
     """
     load_id = load_id or uuid.uuid4().hex
     known = committed_load(spark, root, load_id)
     if known is not None:
         return known
-    return _write_and_commit(spark, root, (households, members, errors), years, load_id, action)
+    return _write_and_commit(spark, root, (households, members, errors), years, load_id, action, claimed, before_commit)
 
 
-def _write_and_commit(spark, root, frames, years, load_id, action, dead: DataFrame | None = None) -> dict[str, int]:
+def _write_and_commit(
+    spark, root, frames, years, load_id, action, dead: DataFrame | None = None, before_commit: Callable[[], None] | None = None
+) -> dict[str, int]:
     written = {}
     for table, df in zip(TABLES, frames, strict=True):
         seen = Observation(f"{table}-{load_id}")
@@ -152,18 +194,28 @@ def _write_and_commit(spark, root, frames, years, load_id, action, dead: DataFra
     stated = found if years is None else {int(year) for year in years}
     if found - stated:
         raise ValueError(f"load {load_id} has rows of years that were not stated: {sorted(found - stated)}; nothing was committed")
+    if before_commit is not None:
+        before_commit()
     if action == "replace":
-        dead = live_loads(spark, root)
+        dead = claimed_loads(spark, root) if dead is None else dead
     _commit(spark, root, sorted(stated), load_id, action, dead, written)
     return written
 
 
+def claimed_loads(spark: SparkSession, root: str) -> DataFrame:
+    """What a replacement that begins now has to name: all that is live, and lost replacements, which would come back."""
+    found = load_states(spark, root).select("fiscal_year", F.explode(F.array_union("live", "standing")).alias("load_id"))
+    path = scratch_path(spark, "claimed")
+    found.coalesce(1).write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Committed rows; the join with the live loads prunes partitions, so dead loads are not read."""
-    return _of_loads(spark, root, table, live_loads(spark, root))
+    return rows_of_loads(spark, root, table, live_loads(spark, root))
 
 
-def _of_loads(spark: SparkSession, root: str, table: str, loads: DataFrame) -> DataFrame:
+def rows_of_loads(spark: SparkSession, root: str, table: str, loads: DataFrame) -> DataFrame:
     rows = spark.read.parquet(f"{root}/{table}")
     return rows.join(loads, ["fiscal_year", "load_id"], "left_semi").select(*[c for c in rows.columns if c != "load_id"])
 
@@ -182,8 +234,9 @@ def compact_years(spark: SparkSession, root: str, years: Iterable[int]) -> dict[
     path = scratch_path(spark, "compacted")
     live.coalesce(1).write.parquet(path)
     read = spark.read.schema(live.schema).parquet(path)
-    frames = [_of_loads(spark, root, table, read).hint("rebalance", "fiscal_year") for table in TABLES]
-    return _write_and_commit(spark, root, frames, chosen, uuid.uuid4().hex, "compact", read)
+    frames = [rows_of_loads(spark, root, table, read).hint("rebalance", "fiscal_year") for table in TABLES]
+    dead = read.unionByName(lost_loads(spark, root).filter(F.col("fiscal_year").isin(chosen))).distinct()
+    return _write_and_commit(spark, root, frames, chosen, uuid.uuid4().hex, "compact", dead)
 
 
 def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = None) -> DataFrame:
@@ -197,19 +250,28 @@ def delete_years(spark: SparkSession, root: str, years: Iterable[int] | None = N
     path = scratch_path(spark, "deleted")
     live.coalesce(1).write.parquet(path)
     dead = spark.read.schema(live.schema).parquet(path)
+    named = dead.unionByName(lost_loads(spark, root)).distinct()
     chosen = [r.fiscal_year for r in dead.select("fiscal_year").distinct().collect()]
     if not chosen:
         return spark.createDataFrame([], _DELETED)
     counts = None
     for table in TABLES:
-        part = _of_loads(spark, root, table, dead).groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("rows_deleted"))
+        part = rows_of_loads(spark, root, table, dead).groupBy("fiscal_year").agg(F.count(F.lit(1)).alias("rows_deleted"))
         part = part.select(F.lit(table).alias("table_name"), "fiscal_year", "rows_deleted")
         counts = part if counts is None else counts.unionByName(part)
     removed = counts.collect()  # three rows a year
-    _commit(spark, root, chosen, uuid.uuid4().hex, "delete", dead, {})
+    _commit(spark, root, chosen, uuid.uuid4().hex, "delete", named, {})
     return spark.createDataFrame(removed, _DELETED)
 
 
+def withdraw(spark: SparkSession, root: str, load_id: str) -> None:
+    """Take a committed load back, in all its years."""
+    dead = live_loads(spark, root).filter(F.col("load_id") == load_id)
+    years = [r.fiscal_year for r in dead.collect()]
+    if years:
+        _commit(spark, root, years, uuid.uuid4().hex, "delete", dead, {})
+
+
 def purge(spark: SparkSession, root: str) -> int:
     """Remove the files of superseded loads and of replaced aggregates; returns the folders removed.
 
@@ -217,9 +279,10 @@ def purge(spark: SparkSession, root: str) -> int:
     superseded must have ended.
     """
     removed = 0
-    for row in superseded_loads(spark, root).toLocalIterator():
-        for table in TABLES:
-            removed += files.delete(spark, f"{root}/{table}/fiscal_year={row.fiscal_year}/load_id={row.load_id}")
+    gone = superseded_loads(spark, root).join(live_loads(spark, root), ["fiscal_year", "load_id"], "left_anti")
+    for row in gone.toLocalIterator():
+        for place in (*TABLES, *(f"keys/{table}" for table in TABLES), *(f"partials/{name}" for name in PARTIALS)):
+            removed += files.delete(spark, f"{root}/{place}/fiscal_year={row.fiscal_year}/load_id={row.load_id}")
     log = _read_log(spark, f"{root}/refreshes", _REFRESH)
     old = log.join(_live_refreshes(spark, root), ["aggregate", "fiscal_year", "refresh_id"], "left_anti")
     for row in old.toLocalIterator():

@@ -2,47 +2,111 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casemill.operators.feedback import apply_feedback, latest_feedback
 from casemill.sources import files
 
+# After so many batches a stream folds what it has written into one folder with a row for each pair.
+FOLD_EVERY = 32
+_CHANGE = "question string, sql string, value int, ts timestamp, event_id bigint"
+
+
+def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest vote of a pair, given out if it changes what is known; the state is its time and id."""
+    known = state.get if state.exists else None
+    best, value = known, None
+    for part in parts:
+        rows = zip(part["ts"].astype("int64"), part["event_id"].astype("int64"), part["value"], part["ts"], strict=True)
+        for ts, event_id, vote, moment in rows:
+            if best is None or (ts, event_id) > tuple(best[:2]):
+                best, value = (ts, event_id), (int(vote), moment)
+    if value is not None:
+        state.update((int(best[0]), int(best[1])))
+        yield pd.DataFrame({"question": [key[0]], "sql": [key[1]], "value": [value[0]], "ts": [value[1]], "event_id": [int(best[1])]}).astype(
+            {"value": "int32", "event_id": "int64"}
+        )
+
+
+def changes(feedback: DataFrame) -> DataFrame:
+    """The stream of newest votes: a batch gives a row for each pair that it changes, whatever order votes come in.
+
+    State is the time and event id of each pair's newest vote; an older or repeated vote gives no row.
+    """
+    votes = feedback.select("question", "sql", F.col("value").cast("int").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("bigint").alias("event_id"))
+    return votes.groupBy("question", "sql").applyInPandasWithState(_newest, _CHANGE, "ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
+
 
 def start_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold streamed feedback ``(question, sql, value, ts, event_id)`` into per-batch last values.
+    """Fold streamed feedback ``(question, sql, value, ts, event_id)`` into the newest vote of each pair.
 
-    A batch writes only its own last value per pair, under an id kept in the checkpoint and its batch
-    number; a repeated batch replaces its own files, and a second stream on the path has other ids.
-    Nothing stored is rewritten, so a batch costs what it brings.
+    A batch writes only the pairs it changes, under an id kept in the checkpoint and its batch number; a repeated
+    batch replaces its own files, and a second stream on the path has other ids. Every ``FOLD_EVERY`` batches the
+    stream writes one folder in place of its earlier ones, which go at the next such time, so that readers
+    under way keep their files. A read costs the pairs and the changes of a few batches, not the history.
     """
-    stream = files.kept_id(feedback.sparkSession, f"{checkpoint}/stream-id")
+    spark = feedback.sparkSession
+    stream = files.kept_id(spark, f"{checkpoint}/stream-id")
+
+    def write(rows: DataFrame, name: str) -> None:
+        rows.select("question", "sql", "value", "ts", "event_id", F.lit(name).alias("batch_id")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch_id").parquet(path)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        (
-            latest_feedback(batch)
-            .withColumn("batch_id", F.lit(f"{stream}-{batch_id}"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
+        write(batch, f"{stream}-{batch_id}")
+        if batch_id % FOLD_EVERY != FOLD_EVERY - 1:
+            return
+        before = _folders(spark, path).get(stream, {})
+        write(latest_feedback(_read(spark, before["live"])), f"{stream}-fold{batch_id}")
+        for place in before["gone"]:
+            files.delete(spark, place)
 
     return (
-        feedback.writeStream.foreachBatch(fold)
+        changes(feedback)
+        .writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
 
 
+def _folders(spark: SparkSession, path: str) -> dict[str, dict[str, list[str]]]:
+    """For each stream, the folders that count and those its newest fold stands for; by their names."""
+    found: dict[str, list[tuple[int, bool, str]]] = {}
+    for place in files.matching(spark, f"{path}/batch_id=*"):
+        stream, mark, number = re.fullmatch(r"(.*?)-?(fold)?(-?\d*)", place.rstrip("/").split("/batch_id=")[-1]).groups()
+        found.setdefault(stream, []).append((int(number or 0), bool(mark), place))
+    out = {}
+    for stream, places in found.items():
+        last = max((number for number, folded, _ in places if folded), default=None)
+        live = [p for number, folded, p in places if last is None or number > last or (folded and number == last)]
+        out[stream] = {"live": live, "gone": [p for _, _, p in places if p not in live]}
+    return out
+
+
+def _read(spark: SparkSession, places: list[str]) -> DataFrame:
+    return spark.read.schema(_CHANGE).parquet(*sorted(places)) if places else spark.createDataFrame([], _CHANGE)
+
+
+def newest_votes(spark: SparkSession, path: str) -> DataFrame:
+    """question, sql, value, ts, event_id of the newest vote of each pair over all streams of the path."""
+    return latest_feedback(_read(spark, [place for found in _folders(spark, path).values() for place in found["live"]]))
+
+
 def current_pairs(spark: SparkSession, store: DataFrame, path: str) -> DataFrame:
     """The store after all folded feedback; the same table the batch form gives."""
-    return apply_feedback(store, spark.read.parquet(path).drop("batch_id"))
+    return apply_feedback(store, newest_votes(spark, path))
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
-    """Rewrite the folded batches as one, for stores with a long history."""
-    folded = latest_feedback(spark.read.parquet(path).drop("batch_id"))
-    folded.withColumn("batch_id", F.lit("folded")).write.partitionBy("batch_id").parquet(target)
+    """Write the newest votes of all streams of a path as one folder of another path."""
+    newest_votes(spark, path).withColumn("batch_id", F.lit("folded")).write.partitionBy("batch_id").parquet(target)

@@ -1,7 +1,9 @@
 """Feedback, sessions, filters, text, statement log, exports and lookups on small frames."""
 
+import datetime as dt
 import hashlib
 import json
+import random
 import uuid
 
 import pytest
@@ -245,3 +247,34 @@ def test_stream_and_batch_feedback_agree_when_a_batch_repeats(spark):
     assert rows(current_pairs(spark, store, path), "pair_id") == want
     compact(spark, path, f"{path}-one")
     assert rows(current_pairs(spark, store, f"{path}-one"), "pair_id") == want
+
+
+def test_stateful_feedback_is_the_same_for_any_order_of_batches(spark, monkeypatch):
+    from casemill.operators import feedback as fold
+    from casemill.session import scratch_path
+    from casemill.streaming import feedback as stream
+
+    monkeypatch.setattr(stream, "FOLD_EVERY", 3)
+    rng = random.Random(6)
+    moments = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(30)) for _ in range(160)]
+    votes = [(f"q{rng.choice((0, 0, 0, 1, 2, 3))}", "s", rng.randrange(2), moments[i], i) for i in range(160)]
+    schema = "question string, sql string, value int, ts timestamp, event_id bigint"
+    store = fold.with_pair_id(spark.createDataFrame([("q1", "s"), ("kept", "s")], "question string, sql string"))
+    want = rows(fold.apply_feedback(store, spark.createDataFrame(votes, schema)), "pair_id")
+    written = []
+    for seed in (0, 1):
+        shuffled = random.Random(seed).sample(votes, len(votes))
+        drop, path, mark = (scratch_path(spark, n) for n in ("drop", "votes", "mark"))
+        for k in range(8):
+            spark.createDataFrame(shuffled[k * 20 : (k + 1) * 20], schema).coalesce(1).write.mode("append").parquet(drop)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(drop)
+        stream.start_feedback(source, path, mark).awaitTermination()
+        assert rows(stream.current_pairs(spark, store, path), "pair_id") == want
+        live = [p for found in stream._folders(spark, path).values() for p in found["live"]]
+        written.append(stream._read(spark, live).count())
+        # A second stream over the same votes changes nothing.
+        stream.start_feedback(source, path, scratch_path(spark, "mark")).awaitTermination()
+        assert rows(stream.current_pairs(spark, store, path), "pair_id") == want
+    # A read costs the pairs and the changes of the batches since the last fold, of 160 votes.
+    assert all(n <= 4 + 3 * 4 for n in written)
+    assert stream.newest_votes(spark, scratch_path(spark, "none")).count() == 0

@@ -1,13 +1,19 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from casemill.operators import quality, reshape
+from casemill.operators import enrich, quality, rates, reshape
+from casemill.plans import fixtures
 from casemill.session import scratch_path
-from casemill.sources import tables, wide_csv
+from casemill.sources import keys, rollups, tables, wide_csv
 from casemill.streaming.loads import start_file_loads
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
 def frames(spark, year, cases=("CASE001", "CASE002", "CASE003")):
     h = spark.createDataFrame([(c, year, "CA") for c in cases], "case_id string, fiscal_year int, state_name string")
     m = spark.createDataFrame(
@@ -232,3 +238,131 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE b_households")
         spark.sql("DROP TABLE b_members")
+
+
+def cases(spark, root, year=2021):
+    return rows(tables.read_table(spark, root, "households").filter(F.col("fiscal_year") == year).select("case_id"), "case_id")
+
+
+@pytest.mark.parametrize("first", ["a", "z"])
+def test_two_replacements_at_once_leave_one(spark, first):
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2021), years=[2021], load_id="old")
+    tables.write_all(spark, root, *frames(spark, 2021, ("X",)), load_id="late-append", action="append")
+    seen = tables.claimed_loads(spark, root)
+    tables.write_all(spark, root, *frames(spark, 2021, ("A", "B")), years=[2021], load_id=first)
+    tables.write_all(spark, root, *frames(spark, 2021, ("C", "D")), years=[2021], load_id="m", claimed=seen)
+    kept = [("C",), ("D",)] if first == "a" else [("A",), ("B",)]
+    assert cases(spark, root) == kept
+    assert {r.load_id for r in tables.lost_loads(spark, root).collect()} == {first if first == "a" else "m"}
+    # The lost one does not come back when the year is replaced, compacted, purged or deleted.
+    tables.compact_years(spark, root, [2021])
+    assert cases(spark, root) == kept
+    tables.write_all(spark, root, *frames(spark, 2021, ("E", "F")), years=[2021])
+    tables.purge(spark, root)
+    assert cases(spark, root) == [("E",), ("F",)]
+    tables.delete_years(spark, root)
+    assert cases(spark, root) == []
+
+
+def test_a_replacement_wins_over_a_compaction_that_missed_it(spark):
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2021, ("A", "B")), load_id="a1", action="append")
+    seen = tables.claimed_loads(spark, root)
+    tables.write_all(spark, root, *frames(spark, 2021, ("N", "O")), load_id="a2", action="append")
+    tables.compact_years(spark, root, [2021])  # has read a1 and a2
+    tables.write_all(spark, root, *frames(spark, 2021, ("R", "S")), years=[2021], load_id="0", claimed=seen)
+    # The compaction counts as never committed: what it alone had named, an append the replacement did not see, is live.
+    assert cases(spark, root) == [("N",), ("O",), ("R",), ("S",)]
+    tables.purge(spark, root)
+    assert cases(spark, root) == [("N",), ("O",), ("R",), ("S",)]
+
+
+def test_keys_hold_over_loads(spark):
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2021), load_id="from-before", action="append")  # without digests
+    with pytest.raises(keys.KeyClash, match="households 2021: 0 repeated, 1 taken"):
+        keys.append_unique(spark, root, *frames(spark, 2021, ("NEW1", "CASE002", "NEW3")), load_id="x")
+    assert len(cases(spark, root)) == 3 and tables.committed_load(spark, root, "x") is None
+    again = keys.append_unique(spark, root, *frames(spark, 2021, ("NEW1", "NEW2", "NEW3")), load_id="y")
+    assert again["households"] == 3 and keys.append_unique(spark, root, *frames(spark, 2021, ("CASE001",) * 3), load_id="y") == again
+    keys.append_unique(spark, root, *frames(spark, 2022))  # the same cases in another year
+    with pytest.raises(keys.KeyClash, match="1 repeated"):
+        keys.append_unique(spark, root, *frames(spark, 2023, ("HOT",) * 3))
+    # A deleted year frees its keys; a replaced one those it no longer has.
+    tables.delete_years(spark, root, [2021])
+    keys.append_unique(spark, root, *frames(spark, 2021, ("CASE002", "NEW2", "P")))
+    tables.write_all(spark, root, *frames(spark, 2021, ("Q", "R")), years=[2021])
+    tables.compact_years(spark, root, [2021])
+    keys.append_unique(spark, root, *frames(spark, 2021, ("NEW2", "P", "S")))
+    with pytest.raises(keys.KeyClash):
+        keys.append_unique(spark, root, *frames(spark, 2021, ("T", "U", "Q")))
+    assert len(cases(spark, root)) == 5
+
+
+def test_two_appends_of_one_key_at_once_are_never_both_live(spark, monkeypatch):
+    root = scratch_path(spark, "t")
+    checked = keys.report
+
+    def meanwhile(spark_, root_, load_id, live):
+        found = checked(spark_, root_, load_id, live).collect()
+        if load_id == "mine" and tables.committed_load(spark, root, "theirs") is None:
+            tables.write_all(spark, root, *frames(spark, 2021, ("SAME", "V", "W")), load_id="theirs", action="append")
+        schema = "table_name string, fiscal_year int, repeated_keys bigint, taken_keys bigint, rows_in_load bigint"
+        return spark.createDataFrame(found, schema)
+
+    monkeypatch.setattr(keys, "report", meanwhile)
+    with pytest.raises(keys.KeyClash):
+        keys.append_unique(spark, root, *frames(spark, 2021, ("K", "L", "SAME")), load_id="mine")
+    assert cases(spark, root) == [("SAME",), ("V",), ("W",)]
+
+
+def test_missing_parts_of_keys_are_told_apart(spark):
+    data = [("a", None), ("a", ""), (None, "a"), ("", "a"), ("a", "b"), ("a\x1fvb", None)]
+    frame = spark.createDataFrame(data, "x string, y string").select(keys.digest(["x", "y"]).alias("d"))
+    assert frame.distinct().count() == len(data)
+
+
+def summed(spark, root, refs, thresholds):
+    found = (rollups.state_error_rates(spark, root), rollups.error_element_rollup(spark, root, refs), rollups.demographic_profile(spark, root, refs))
+    return [sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr) for df in found]
+
+
+def computed(spark, root, refs, thresholds):
+    store = tables.read_tables(spark, root)
+    h = store["households"]
+    found = (rates.state_error_rates(h, thresholds), rates.error_element_rollup(store["qc_errors"], h, refs), rates.demographic_profile(store["household_members"], h, refs))
+    return [sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=repr) for df in found]
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test data not present")
+def test_sums_of_loads_add_up_to_the_whole(spark):
+    """Loads are appended, replaced, deleted and compacted; sums of every load equal a computation over all live rows."""
+    root, refs, thresholds = scratch_path(spark, "t"), fixtures.refs(spark), enrich.threshold_table(spark)
+    h, m, e = fixtures.households(spark, SMALL), fixtures.members(spark, SMALL), fixtures.errors(spark, SMALL)
+    first = F.col("case_id").cast("bigint") % 2 == 0
+
+    def load(where, load_id, action="append", **options):
+        tables.write_all(spark, root, *(df.filter(where) for df in (h, m, e)), load_id=load_id, action=action, **options)
+
+    load(first, "one")
+    assert rollups.refresh(spark, root, thresholds)["households"] == h.filter(first).count()
+    assert summed(spark, root, refs, thresholds) == computed(spark, root, refs, thresholds)
+    # A second load, and children of the first load's cases in a third one without their households.
+    load(~first & (F.col("fiscal_year") != 2020), "two")
+    late = [h.filter("false"), *(df.filter(first & (F.col("fiscal_year") == 2021)).limit(50) for df in (m, e))]
+    tables.write_all(spark, root, *late, load_id="late", action="append")
+    read = rollups.refresh(spark, root, thresholds)
+    assert read["households"] == h.filter(~first & (F.col("fiscal_year") != 2020)).count()
+    assert rollups.refresh(spark, root, thresholds) == dict.fromkeys(tables.TABLES, 0)
+    assert summed(spark, root, refs, thresholds) == computed(spark, root, refs, thresholds)
+    tables.delete_years(spark, root, [2019])
+    load(first & (F.col("fiscal_year") == 2018), "again", "replace", years=[2018])
+    rollups.refresh(spark, root, thresholds)
+    tables.purge(spark, root)
+    assert summed(spark, root, refs, thresholds) == computed(spark, root, refs, thresholds)
+    # Another threshold makes the sums of its year again, and no others.
+    other = thresholds.filter("fiscal_year <> 2018").unionByName(spark.sql("SELECT 2018 AS fiscal_year, CAST(5 AS DECIMAL(10,2)) AS threshold_amount"))
+    assert {r.fiscal_year for r in rollups.pending(spark, root, other).collect()} == {2018}
+    rollups.refresh(spark, root, other)
+    assert summed(spark, root, refs, other) == computed(spark, root, refs, other)
