@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.session import scratch_path
+from casemill.sources import files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,12 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folders of a settled frame that nothing reads any more; what was made from it is settled itself."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        files.delete(df.sparkSession, folder)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name the frame does not have."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm import words
-from casemill.llm.common import free_name, settled, slices
+from casemill.llm.common import discard, free_name, settled, slices
 
 WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
 SEED, SLICE_BYTES = 16, 1 << 20
@@ -237,6 +237,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     seeded = settled(texts.mapInArrow(_seed, SEEDED), "seeds")
     least = F.min(F.struct(F.col("place.d").alias("d"), "tie", "doc_id", "seeds", "at", "many")).alias("least")
     leaders = settled(seeded.withColumn("place", _place("low")).groupBy("body").agg(least).select("body", "least.*"), "leaders")
+    leader = settled(leaders.select("body", F.struct("d", "tie").alias("first")), "leader")
     posted = leaders.select("doc_id", "tie", F.explode(F.arrays_zip("seeds", "at", "many")).alias("x")).select(
         "doc_id", "tie", F.col("x.seeds").alias("seed"), "x.at", "x.many"
     )
@@ -246,6 +247,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("doc_id", "tie").agg(F.first("spans", True), F.first("near", True)).toDF("of_doc", "of_tie", "spans", "near")
     cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")))
     cut = settled(cut.select("doc_id", "tie", "text", "spans", "near").mapInArrow(_cut, CUT), "bodies")
+    # From here on only the places of chunks that are cut and the first text of each body matter.
+    ends = settled(seeded.select("doc_id", "tie", "body", "low", "high"), "copies")
+    for done in (found, leaders, seeded):
+        discard(done)
     bodies = cut.filter("seed is null")
     kept = bodies.filter("is_first").select(F.col("hash").alias("of_hash"), F.col("body").alias("first_body"))
     # Equal rows cut the same first span more than once.
@@ -266,8 +271,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     firsts = unlike.groupBy("seed", "hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).filter("times > 1")
     later = unlike.join(firsts.select("seed", "hash", "first"), ["seed", "hash"]).filter(F.col("place") > F.col("first"))
     later = later.select("doc_id", "tie", "low", "high").union(whole.select("doc_id", "tie", "start", "stop"))
-    leader = leaders.select("body", F.struct("d", "tie").alias("first"))
-    copies = seeded.join(leader, "body").filter(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie") > F.col("first"))
+    copies = ends.join(leader, "body").filter(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie") > F.col("first"))
     # No more than the words of a document.
     ends = later.union(copies.select("doc_id", "tie", "low", "high")).distinct().groupBy("doc_id", "tie").agg(
         F.collect_list(F.struct("low", "high")).alias("ends")
