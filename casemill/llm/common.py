@@ -12,16 +12,26 @@ from pyspark.sql import functions as F
 from casemill.session import scratch_path
 from casemill.sources import files
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: later jobs see one fixed result, whoever is lost."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared scratch folder and read back: later jobs see one fixed result, whoever is lost.
+
+    What the write has shuffled is removed behind it, so that disk holds one job's shuffles and not all of them.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:

@@ -11,14 +11,12 @@ them. Whatever stands in a window that has occurred before, by doc_id and place,
 as long as the texts agree. The seed of a window is its run of ``SEED`` words with the least hash; equal windows have equal
 seeds. Windows in a row with one seed form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
 occurs again are looked at: where whole contexts are equal, all but the first are repeats, and only the firsts of
-different contexts with one seed are compared window by window. Seeds and contexts or windows have 64 bits each and are
-compared together. Of equal texts only the first is searched; the others are passages as a whole.
+different contexts with one seed are compared window by window. Contexts are hashed where their seeds are found, and only the
+texts of unlike ones are read again. Seeds and contexts or windows have 64 bits each and are compared together. Of equal texts only the first is searched; the others are passages as a whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +27,6 @@ from casemill.llm.common import discard, free_name, settled, slices
 
 WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
 SEED, SLICE_BYTES = 16, 1 << 20
-BLANKS = " \t\n\v\f\r"
 CHUNK = "doc_id long, tie long, start int, stop int, hash long"
 _MOD, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
@@ -68,17 +65,51 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _chunk(batches):
-    for batch in batches:
-        columns = [[], [], [], [], []]
-        for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for start, stop, value in chunks(text or ""):
-                for column, x in zip(columns, (doc_id, tie, start, stop, value - (1 << 64) if value >> 63 else value), strict=True):
-                    column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tie", "start", "stop", "hash"]
-        )
+def _chunk(bits: int):
+    def run(batches):
+        for batch in batches:
+            columns = [[], [], [], [], []]
+            for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for start, stop, value in chunks(text or ""):
+                    value &= (1 << bits) - 1
+                    for column, x in zip(columns, (doc_id, tie, start, stop, value - (1 << 64) if value >> 63 else value), strict=True):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tie", "start", "stop", "hash"]
+            )
+
+    return run
+
+
+class Places:
+    """Where the words of a column of texts lie: hashes of runs of words, and their ends in characters.
+
+    An end is doubled, and one more where a line begins or ends there.
+    """
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.bounds = words.raw_bytes(texts)
+        self.starts, self.stops = words.word_spans(self.data, self.bounds)
+        self.first_word = np.searchsorted(self.starts, self.bounds)
+        self.inner = np.nonzero(self.data & 0xC0 == 0x80)[0]  # bytes within a character
+        self.view = memoryview(self.data)
+
+    def _chars(self, row, at):
+        base = self.bounds[row]
+        return at - base - np.searchsorted(self.inner, at) + np.searchsorted(self.inner, base)
+
+    def ends(self, row, first, last) -> tuple[np.ndarray, np.ndarray]:
+        start, stop = self.starts[first], self.stops[last]
+        opens = (start == self.bounds[row]) | (self.data[start - 1] == 10)
+        shuts = (stop == self.bounds[row + 1]) | (self.data[np.minimum(stop, len(self.data) - 1)] == 10)
+        return 2 * self._chars(row, start) + opens, 2 * self._chars(row, stop) + shuts
+
+    def hashes(self, first, last) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        spans = zip(self.starts[first].tolist(), self.stops[last].tolist(), strict=True)
+        return np.array([xxh3_64_intdigest(self.view[a:b]) for a, b in spans], np.uint64).view(np.int64)
 
 
 def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
@@ -103,15 +134,11 @@ def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     return row, first - (np.cumsum(many) - many)[row], np.diff(np.append(opens, len(least))), grams[least[opens]]
 
 
-def _edges(text: str, start: int, stop: int) -> tuple[int, int]:
-    """Both ends doubled, and one more where a line begins or ends there."""
-    return 2 * start + (start == 0 or text[start - 1] == "\n"), 2 * stop + (stop == len(text) or text[stop] == "\n")
-
-
-SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, at array<int>, many array<int>"
+SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, hashes array<long>, lows array<long>, highs array<long>"
 
 
 def _seed(batches):
+    """Texts of ``LONG_WORDS`` words or more with their ends, and the seed, hash and ends of their contexts."""
     from xxhash import xxh3_128_digest
 
     powers = words.Powers()
@@ -119,65 +146,69 @@ def _seed(batches):
         for a, b in slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(a, b - a)
             row, at, many, value = seeds(part.column("text"), powers)
-            mine, first = np.unique(row, return_index=True)
-            kept = part.take(pa.array(mine, pa.int64()))
-            texts = kept.column("text").to_pylist()
-            reach = [_edges(t, len(t) - len(t.lstrip(BLANKS)), len(t.rstrip(BLANKS))) for t in texts]
-            bounds = pa.array(np.append(first, len(row)), pa.int32())
+            if not len(row):
+                continue
+            places = Places(part.column("text"))
+            first = places.first_word[row] + at
+            last = first + many + LONG_WORDS - 2
+            mine, begins = np.unique(row, return_index=True)
+            whole = places.ends(mine, places.first_word[mine], places.first_word[mine + 1] - 1)
+            cuts = pa.array(np.append(begins, len(row)), pa.int32())
+            bodies = [xxh3_128_digest(places.view[places.bounds[i] : places.bounds[i + 1]]) for i in mine]
+            lists = (value.view(np.int64), places.hashes(first, last), *places.ends(row, first, last))
             yield pa.RecordBatch.from_arrays(
-                [kept.column("doc_id"), kept.column("tie"), pa.array([xxh3_128_digest(t.encode()) for t in texts], pa.binary()),
-                 pa.array([x for x, _ in reach], pa.int64()), pa.array([x for _, x in reach], pa.int64()),
-                 *(pa.ListArray.from_arrays(bounds, x) for x in (pa.array(value.view(np.int64)), pa.array(at, pa.int32()), pa.array(many, pa.int32())))],
-                names=["doc_id", "tie", "body", "low", "high", "seeds", "at", "many"],
+                [*(part.column(c).take(pa.array(mine, pa.int64())) for c in ("doc_id", "tie")), pa.array(bodies, pa.binary()),
+                 *(pa.array(x, pa.int64()) for x in whole), *(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in lists)],
+                names=["doc_id", "tie", "body", "low", "high", "seeds", "hashes", "lows", "highs"],
             )
 
 
-CUT = (
-    "doc_id long, tie long, start long, stop long, hash long, seed long, is_first boolean, body string,"
-    " lows array<long>, highs array<long>, hashes array<long>"
-)
-_CUT = pa.schema(
-    [(n, pa.int64()) for n in ("doc_id", "tie", "start", "stop", "hash", "seed")] + [("is_first", pa.bool_()), ("body", pa.string())]
-    + [(n, pa.list_(pa.int64())) for n in ("lows", "highs", "hashes")]
-)
-
-
-def contexts(text: str, wanted: list[dict]) -> list[tuple]:
-    """Rows of ``CUT`` from start on, for contexts with their first word (``at``), number of windows (``many``) and seed."""
-    from xxhash import xxh3_64_intdigest
-
-    def digest(start, stop):
-        value = xxh3_64_intdigest(text[start:stop].encode())
-        return value - (1 << 64) if value >> 63 else value
-
-    found = [m.span() for m in re.finditer(f"[^{BLANKS}]+", text)] if wanted else []
-    out = []
-    for x in wanted:
-        ends = [(found[i][0], found[i + LONG_WORDS - 1][1]) for i in range(x["at"], x["at"] + x["many"])]
-        start, stop = ends[0][0], ends[-1][1]
-        edges = [_edges(text, *e) for e in ends]
-        out.append(
-            (edges[0][0], edges[-1][1], digest(start, stop), x["seed"], None, None,
-             [e for e, _ in edges], [e for _, e in edges], [digest(*e) for e in ends])
-        )
-    return out
+CUT = "doc_id long, tie long, start long, stop long, hash long, seed long, is_first boolean, body string"
+_CUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "tie", "start", "stop", "hash", "seed")] + [("is_first", pa.bool_()), ("body", pa.string())])
+
+
+def _windows(owners: list[tuple], parts: list[str]) -> pa.RecordBatch:
+    """Rows of ``CUT`` for the windows of contexts: their doc_id, tie, seed and ends, and their texts."""
+    places = Places(pa.array(parts, pa.string()))
+    many = np.diff(places.first_word) - LONG_WORDS + 1
+    row = np.repeat(np.arange(len(parts)), many)
+    first = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + places.first_word[row]
+    last = first + LONG_WORDS - 1
+    low, high = places.ends(row, first, last)
+    doc_id, tie, seed, start, stop = zip(*owners, strict=True)
+    start, stop = np.array(start, np.int64), np.array(stop, np.int64)
+    # A context begins and ends a line only where its text does.
+    opens, shuts = first == places.first_word[row], last == places.first_word[row + 1] - 1
+    low = np.where(opens, start[row], low + (start[row] & ~1))
+    high = np.where(shuts, stop[row], high + (start[row] & ~1))
+    pick = pa.array(row, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc_id, pa.int64()).take(pick), pa.array(tie, pa.int64()).take(pick), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
+         pa.array(places.hashes(first, last), pa.int64()), pa.array(seed, pa.int64()).take(pick), pa.nulls(len(row), pa.bool_()),
+         pa.nulls(len(row), pa.string())], schema=_CUT,
+    )
 
 
 def _cut(batches):
-    """The bytes of chunks and, with ``seed``, the contexts of texts."""
+    """The bytes of chunks, and the windows of contexts."""
     for batch in batches:
         for a, b in slices(batch.column("text"), SLICE_BYTES):
-            columns = [[] for _ in _CUT]
-            for doc_id, tie, text, spans, wanted in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
-                rows = [(x["start"], x["stop"], x["hash"], None, x["is_first"], text[x["start"] : x["stop"]], None, None, None) for x in spans or ()]
-                for row in rows + contexts(text, wanted or []):
-                    for column, x in zip(columns, (doc_id, tie, *row), strict=True):
-                        column.append(x)
+            columns, owners, parts = [[] for _ in _CUT], [], []
+            for doc_id, tie, text, spans, near in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
+                for x in spans or ():
+                    row = (doc_id, tie, x["start"], x["stop"], x["hash"], None, x["is_first"], text[x["start"] : x["stop"]])
+                    for column, value in zip(columns, row, strict=True):
+                        column.append(value)
+                for x in near or ():
+                    owners.append((doc_id, tie, x["seed"], x["low"], x["high"]))
+                    parts.append(text[x["low"] >> 1 : x["high"] >> 1])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT, strict=True)], schema=_CUT)
+            if parts:
+                yield _windows(owners, parts)
 
 
 def regions(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The passages that windows (as of ``_edges``) make up, each with one blank or break that goes with it.
+    """The passages that windows (with ends as of ``Places``) make up, each with one blank or break that goes with it.
 
     That is the one behind, or the one before where a passage ends a line that it does not begin: lines do not run together.
     """
@@ -212,74 +243,73 @@ def _merge(batches):
 
 
 def _place(start):
-    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie", start)
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie", F.col(start).alias("low"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, bits: int = 64) -> DataFrame:
     """doc_id, tie (a hash of the text) and spans (start, stop; in characters, ascending) to remove: the repeated chunks
     (``lines``), the repeated ``passages`` of ``LONG_WORDS`` words or more, and ``every`` span of both, joined where they overlap.
 
-    Rows of one doc_id with equal texts count as one document. A row without doc_id comes last.
+    Rows of one doc_id with equal texts count as one document. A row without doc_id comes last. ``bits`` is how much of the hash of a
+    chunk is used to find it again; chunks whose bytes differ are never taken for each other.
     """
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"),
         F.col("text").cast("string").alias("text"),
     ).filter("text is not null")
-    found = settled(texts.mapInArrow(_chunk, CHUNK), "chunks").withColumn("place", _place("start"))
-    firsts = found.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
-    again = found.join(firsts.select("hash", "first"), "hash").select(
-        "doc_id", "tie", "start", "stop", "hash", (F.col("place") == F.col("first")).alias("is_first")
-    )
-    # A document's own spans: no more than its lines.
-    spans = again.dropDuplicates(["doc_id", "tie", "start"]).groupBy("doc_id", "tie").agg(
-        F.collect_list(F.struct("start", "stop", "hash", "is_first")).alias("spans")
-    )
+    found = settled(texts.mapInArrow(_chunk(bits), CHUNK), "chunks")
+    firsts = found.groupBy("hash").agg(F.min(_place("start")).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    again = found.join(firsts.drop("times"), "hash")
     seeded = settled(texts.mapInArrow(_seed, SEEDED), "seeds")
-    least = F.min(F.struct(F.col("place.d").alias("d"), "tie", "doc_id", "seeds", "at", "many")).alias("least")
-    leaders = settled(seeded.withColumn("place", _place("low")).groupBy("body").agg(least).select("body", "least.*"), "leaders")
-    leader = settled(leaders.select("body", F.struct("d", "tie").alias("first")), "leader")
-    posted = leaders.select("doc_id", "tie", F.explode(F.arrays_zip("seeds", "at", "many")).alias("x")).select(
-        "doc_id", "tie", F.col("x.seeds").alias("seed"), "x.at", "x.many"
+    ranked = seeded.withColumn("place", _place("low"))
+    groups = ranked.groupBy("body").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first <> last")
+    leader = settled(groups.select(F.col("body").alias("of_body"), "first"), "leaders")
+    ranked = ranked.join(leader, F.col("body") == F.col("of_body"), "left")
+    copies = settled(ranked.filter("place > first").select("doc_id", "tie", "low", "high"), "copies")
+    posted = ranked.filter("first is null or place = first").select(
+        "doc_id", "tie", F.explode(F.arrays_zip("seeds", "hashes", "lows", "highs")).alias("x")
+    ).select("doc_id", "tie", F.col("x.seeds").alias("seed"), F.col("x.hashes").alias("hash"), F.col("x.lows").alias("low"), F.col("x.highs").alias("high"))
+    shared = posted.groupBy("seed").agg(F.count("*").alias("times"), (F.min("hash") != F.max("hash")).alias("unlike")).filter("times > 1")
+    met = settled(posted.join(shared.drop("times"), "seed"), "contexts")
+    kinds = met.groupBy("seed", "hash").agg(
+        F.min(F.struct(_place("low").alias("first"), "doc_id", "high")).alias("least"), F.count("*").alias("times"), F.max("unlike").alias("unlike")
+    ).select("seed", "hash", "least.*", "times", "unlike")
+    kinds = settled(kinds, "kinds")
+    # A document's own spans and contexts: no more than its lines and words.
+    span = F.struct("start", "stop", "hash", (_place("start") == F.col("first")).alias("is_first"))
+    wanted = again.select("doc_id", "tie", span.alias("span")).withColumn("context", F.lit(None).cast("struct<seed:long,low:long,high:long>")).union(
+        kinds.filter("unlike").select("doc_id", "first.tie", F.lit(None), F.struct("seed", "first.low", "high"))
     )
-    shared = posted.groupBy("seed").agg(F.count("*").alias("times")).filter("times > 1").select("seed")
-    near = posted.join(shared, "seed").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("at", "many", "seed")).alias("near"))
-    wanted = spans.withColumn("near", F.lit(None).cast(near.schema["near"].dataType)).unionByName(near, allowMissingColumns=True)
-    wanted = wanted.groupBy("doc_id", "tie").agg(F.first("spans", True), F.first("near", True)).toDF("of_doc", "of_tie", "spans", "near")
+    wanted = wanted.groupBy("doc_id", "tie").agg(F.collect_set("span").alias("spans"), F.collect_set("context").alias("near"))
+    wanted = wanted.withColumnsRenamed({"doc_id": "of_doc", "tie": "of_tie"})
     cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tie") == F.col("of_tie")))
     cut = settled(cut.select("doc_id", "tie", "text", "spans", "near").mapInArrow(_cut, CUT), "bodies")
-    # From here on only the places of chunks that are cut and the first text of each body matter.
-    ends = settled(seeded.select("doc_id", "tie", "body", "low", "high"), "copies")
-    for done in (found, leaders, seeded):
+    for done in (found, seeded):
         discard(done)
     bodies = cut.filter("seed is null")
     kept = bodies.filter("is_first").select(F.col("hash").alias("of_hash"), F.col("body").alias("first_body"))
     # Equal rows cut the same first span more than once.
     kept = kept.dropDuplicates(["of_hash"])
     same = bodies.filter("not is_first").join(kept, (F.col("hash") == F.col("of_hash")) & (F.col("body") == F.col("first_body")))
-    lines = same.select("doc_id", "tie", "start", "stop").distinct().groupBy("doc_id", "tie").agg(
-        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("lines")
+    whole = met.join(kinds.filter("times > 1").select("seed", "hash", "first"), ["seed", "hash"]).filter(_place("low") > F.col("first"))
+    unlike = cut.filter("seed is not null").select("doc_id", "tie", "seed", "hash", F.col("start").alias("low"), F.col("stop").alias("high"))
+    firsts = unlike.groupBy("seed", "hash").agg(F.min(_place("low")).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    later = unlike.join(firsts.drop("times"), ["seed", "hash"]).filter(_place("low") > F.col("first"))
+    later = settled(later.select("doc_id", "tie", "low", "high"), "windows")
+    ends = copies
+    for rows in (later, whole):
+        ends = ends.union(rows.select("doc_id", "tie", "low", "high"))
+    both = same.select("doc_id", "tie", F.struct("start", "stop").alias("line"), F.lit(None).cast("struct<low:long,high:long>").alias("end")).union(
+        ends.select("doc_id", "tie", F.lit(None), F.struct("low", "high"))
     )
-    met = cut.filter("seed is not null").withColumn("place", _place("start"))
-    kinds = settled(met.groupBy("seed", "hash").agg(F.min("place").alias("first"), (F.count("*") > 1).alias("repeated")), "contexts")
-    whole = met.join(kinds.filter("repeated"), ["seed", "hash"]).filter(F.col("place") > F.col("first"))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
-    unlike = met.join(kinds.join(several, "seed"), ["seed", "hash"]).filter(F.col("place") == F.col("first"))
-    unlike = unlike.select("doc_id", "tie", "seed", F.explode(F.arrays_zip("lows", "highs", "hashes")).alias("x")).select(
-        "doc_id", "tie", "seed", F.col("x.lows").alias("low"), F.col("x.highs").alias("high"), F.col("x.hashes").alias("hash")
-    )
-    unlike = settled(unlike, "windows").withColumn("place", _place("low"))
-    firsts = unlike.groupBy("seed", "hash").agg(F.min("place").alias("first"), F.count("*").alias("times")).filter("times > 1")
-    later = unlike.join(firsts.select("seed", "hash", "first"), ["seed", "hash"]).filter(F.col("place") > F.col("first"))
-    later = later.select("doc_id", "tie", "low", "high").union(whole.select("doc_id", "tie", "start", "stop"))
-    copies = ends.join(leader, "body").filter(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "tie") > F.col("first"))
-    # No more than the words of a document.
-    ends = later.union(copies.select("doc_id", "tie", "low", "high")).distinct().groupBy("doc_id", "tie").agg(
-        F.collect_list(F.struct("low", "high")).alias("ends")
-    )
-    both = lines.withColumn("ends", F.lit(None).cast("array<struct<low:long,high:long>>")).unionByName(ends, allowMissingColumns=True)
-    both = both.groupBy("doc_id", "tie").agg(F.first("lines", True).alias("lines"), F.first("ends", True).alias("ends"))
+    # No more than the lines and words of a document.
+    both = both.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"), F.collect_set("end").alias("ends"))
+    both = both.withColumn("lines", F.when(F.size("lines") > 0, F.col("lines")))
     span = "array<struct<start:long,stop:long>>"
-    return both.mapInArrow(_merge, f"doc_id long, tie long, lines {span}, passages {span}, every {span}")
+    both = settled(both.mapInArrow(_merge, f"doc_id long, tie long, lines {span}, passages {span}, every {span}"), "spans")
+    for done in (met, kinds, cut, copies, leader, later):
+        discard(done)
+    return both
 
 
 def without(text: Column, spans: Column) -> Column:

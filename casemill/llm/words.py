@@ -87,6 +87,17 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, powers: Powers) -> tuple[n
     return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
 
 
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends, in bytes; the words are those of ``word_hashes``."""
+    opens = np.zeros(len(data) + 1, bool)
+    opens[bounds] = True
+    inside = ~_BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | opens[1 : len(data)]
+    last[:-1] &= ~inside[1:] | opens[1 : len(data)]
+    return np.nonzero(first)[0], np.nonzero(last)[0] + 1
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle in the order of the text, repeats included, and the number of each text."""
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))

@@ -194,14 +194,16 @@ def test_chunk_boundaries_resist_shifts():
     assert len(before & after) >= 0.8 * len(before)
 
 
-def test_other_bytes_under_one_hash_stay(spark, monkeypatch):
-    import xxhash
-
-    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda data: 5)
+def test_other_bytes_under_one_hash_stay(spark):
     rng = random.Random(7)
-    rows = [(i, words(rng, 60), "s") for i in range(4)]
-    # Tasks import the library afresh, so the collision is made in the driver's chunker alone.
-    assert {h for _, t, _ in rows for _, _, h in linededup.chunks(t)} == {5}
+    lines = [words(rng, 60) for _ in range(4)]
+    rows = [(i, f"{lines[i % 4]}\n{words(rng, 3)}", "s") for i in range(8)] + [(8, lines[0], "s")]
+    # Without any bits all chunks collide: only those equal to the first one of all go.
+    spans = {r.doc_id: r.lines for r in linededup.repeats(frame(spark, rows).repartition(3), bits=0).collect()}
+    assert {i for i, found in spans.items() if found} == {4, 8}
+    whole = {r.doc_id: r.lines for r in linededup.repeats(frame(spark, rows).repartition(3)).collect()}
+    assert {i for i, found in whole.items() if found} == {4, 5, 6, 7, 8}
+    assert all(rows[i][1][s.start : s.stop] == lines[i % 4] for i, found in whole.items() for s in found or ())
 
 
 def test_fingerprints_equal_the_exact_edit_and_come_near(spark):
