@@ -21,7 +21,8 @@ from casemill.llm.common import settled
 PIVOTS, PIVOT_SAMPLE = 32, 4096
 BLOCK_ROWS, MOST_BLOCKS = 4096, 4096  # beyond BLOCK_ROWS * MOST_BLOCKS rows the blocks grow
 STEP = 512
-NONE = -(1 << 62)
+NONE, MOST_SCORE = -(1 << 63), (1 << 63) - 1
+MOST_SQUARE = 1e60  # beyond it distances leave the range they are stored in, and nothing is spared
 MEETING = "block int, is_query boolean, vec_id long, vector binary, near binary, beat long"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -38,27 +39,31 @@ def _integers(scale: int):
                 if not np.isfinite(floats).all():
                     continue
                 whole = np.floor(scale * floats)
-                if (np.abs(whole) >= 1 << 31).any():
-                    raise ValueError(f"a component of {vec_id} leaves the range of 32-bit integers")
+                if not np.isfinite(whole).all():
+                    continue
                 ids.append(vec_id)
-                out.append(whole.astype("<i4").tobytes())
+                out.append(whole.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
     return run
 
 
-def integer_vectors(vectors: DataFrame, id_column: str, column: str, scale: int) -> DataFrame:
-    """vec_id and floor(scale * x) as packed 32-bit integers, one row for each id that has a finite vector."""
+def integer_vectors(vectors: DataFrame, id_column: str, column: str, scale: int, k: int) -> DataFrame:
+    """vec_id and floor(scale * x) as packed doubles, which hold these whole numbers exactly, for all finite vectors.
+
+    Of rows with one id and equal vectors ``k`` go on: more can't be among the k best of a query.
+    """
     wanted = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("vector"))
     rows = wanted.filter("vec_id is not null and vector is not null").mapInArrow(_integers(scale), "vec_id long, vector binary")
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    counted = rows.groupBy("vec_id", "vector").agg(F.count("*").alias("many"))
+    return counted.select("vec_id", "vector", F.explode(F.sequence(F.lit(1).cast("long"), F.least("many", F.lit(k).cast("long")))).alias("copy"))
 
 
 def stacked(packed: list[bytes], width: int) -> np.ndarray:
     """Rows of integers as doubles; shorter vectors have zeros behind."""
     out = np.zeros((len(packed), width))
     for i, raw in enumerate(packed):
-        out[i, : len(raw) // 4] = np.frombuffer(raw, "<i4")
+        out[i, : len(raw) // 8] = np.frombuffer(raw, "<f8")
     return out
 
 
@@ -124,6 +129,8 @@ def _ranges(batches):
 
 def highest(square: float, most: float, least_distance: np.ndarray) -> np.ndarray:
     """Upper bounds of the inner product; the slack covers the rounding of the stored distances."""
+    if not most < MOST_SQUARE:
+        return np.full(least_distance.shape, np.inf)
     return (square + most - least_distance.astype(np.float64) ** 2) / 2 + 1e-5 * (square + most) + 1e-3
 
 
@@ -133,7 +140,7 @@ def _route(blocks: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, mo
             rows = batch.to_pylist()
             out = []
             for row in rows:
-                near, vector = np.frombuffer(row["near"], "<f4"), np.frombuffer(row["vector"], "<i4").astype(np.float64)
+                near, vector = np.frombuffer(row["near"], "<f4"), np.frombuffer(row["vector"], "<f8")
                 gap = np.maximum(np.maximum(low - near, near - high), 0).max(axis=1)
                 for block in blocks[(highest(float(vector @ vector), most, gap) >= row["beat"]) & (blocks != row["block"])]:
                     out.append({**row, "block": int(block)})
@@ -153,12 +160,13 @@ def score_block(query_id, vector, near, beat, ids, points, table, most, k, whole
             break
         part = order[at : at + STEP]
         if whole:
-            scores = np.array([int(sum(int(x) * int(y) for x, y in zip(points[i], vector, strict=True))) for i in part], np.int64)
+            exact = (sum(int(x) * int(y) for x, y in zip(points[i], vector, strict=True)) for i in part)
+            scores = np.array([max(NONE, min(MOST_SCORE, x)) for x in exact], np.int64)
         else:
             scores = (points[part] @ vector).astype(np.int64)
         hit = scores >= beat
         best_ids, best = np.concatenate([best_ids, ids[part][hit]]), np.concatenate([best, scores[hit]])
-        keep = np.lexsort((best_ids, -best))[:k]
+        keep = np.lexsort((best_ids, ~best))[:k]
         best_ids, best = best_ids[keep], best[keep]
         if len(best) == k:
             beat = max(beat, int(best[-1]))
@@ -197,12 +205,14 @@ def top_k(
 
     Queries are the rows for which ``is_query``, an expression over ``vec_id``, holds; candidates are all
     rows but the query's own. Vectors that are null or hold null or non-finite components, and rows without
-    id, take no part; a shorter vector counts as having zeros behind. Of rows that share an id one counts.
+    id, take no part; a shorter vector counts as having zeros behind. Rows that share an id all count, as candidates of
+    others and, if the id is a query, as one query with the k best scores of all of them. A scaled component may be of any
+    size that a double holds; a score beyond 64 bits becomes the nearest number that fits.
     Further columns are not read. An empty table, or no query, gives no rows.
     """
     spark = vectors.sparkSession
-    rows = settled(integer_vectors(vectors, id_column, column, scale), "vectors")
-    sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()]
+    rows = settled(integer_vectors(vectors, id_column, column, scale, k), "vectors")
+    sample = [r["vector"] for r in rows.orderBy(F.xxhash64("vec_id", "vector"), "vec_id").limit(PIVOT_SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     norms = rows.mapInArrow(_norms, "width int, square double")
@@ -216,7 +226,7 @@ def top_k(
     first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
     lookup = spark.createDataFrame([(c, first[c], parts[c]) for c in parts], "of_cell int, first_block int, parts int")
     dealt = table.join(F.broadcast(lookup), F.col("cell") == F.col("of_cell"))  # a row for each pivot
-    dealt = dealt.withColumn("block", (F.col("first_block") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))
+    dealt = dealt.withColumn("block", (F.col("first_block") + F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts"))).cast("int"))
     ranges = dealt.select("block", "near").mapInArrow(_ranges, "block int, pivot int, low double, high double")
     # MOST_BLOCKS + PIVOTS blocks at most, a row for each of their pivots.
     bounds = ranges.groupBy("block", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("block", "pivot").toPandas()
@@ -244,7 +254,7 @@ def top_k(
 
 def _norms(batches):
     for batch in batches:
-        rows = [np.frombuffer(v, "<i4").astype(np.float64) for v in batch.column("vector").to_pylist()]
+        rows = [np.frombuffer(v, "<f8") for v in batch.column("vector").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([len(r) for r in rows], pa.int32()), pa.array([float(r @ r) for r in rows], pa.float64())], names=["width", "square"]
         )

@@ -90,16 +90,31 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows += [(None, hot), (0, rows[0][1])]
     df = spark.createDataFrame([(i, v, 1, "n") for i, v in rows], "vec_id bigint, embedding array<double>, vector int, near string")
     got = topk.top_k(df.repartition(4), "vec_id % 20 = 0", 20)
-    whole = {
-        i: [math.floor(64 * x) for x in v] for i, v in rows
+    assert sorted(map(tuple, got.collect())) == sorted(best_scores(rows))
+
+
+def best_scores(rows, k=20):
+    whole = [
+        (i, [math.floor(64 * x) for x in v]) for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
-    }
+    ]
     want = []
-    for q, a in whole.items():
-        if q % 20 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in whole.items() if i != q)[:20]
-            want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        pairs = [(a, i, b) for j, a in whole if j == q for i, b in whole if i != q]
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for a, i, b in pairs)[:k]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return want
+
+
+def test_top_k_keeps_rows_that_share_an_id_and_wide_components(spark):
+    rng = random.Random(3)
+    rows = [(i % 60, [rng.gauss(0, 1) for _ in range(4)]) for i in range(150)] + [(7, [9.0, 9.0, 9.0, 9.0])] * 30
+    schema = "vec_id bigint, embedding array<double>"
+    got = topk.top_k(spark.createDataFrame(rows, schema).repartition(3), "vec_id % 20 = 0")
+    assert sorted(map(tuple, got.collect())) == sorted(best_scores(rows))
+    wide = rows + [(61, [4e7, -4e7, 0.5, 1.0]), (62, [1e12, 1.0, 0.0, 0.0]), (80, [3.0, -2e4, 0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(wide, schema).repartition(3), "vec_id % 20 = 0")
+    assert sorted(map(tuple, got.collect())) == sorted(best_scores(wide))
 
 
 def test_top_k_with_few_rows(spark):
