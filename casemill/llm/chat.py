@@ -222,7 +222,7 @@ def repair(turns: DataFrame) -> DataFrame:
 
     Conversations are ordered by turn, nulls first, then by a hash of role and text; ``place`` ascends in that
     order, and the ``rendered`` texts of a conversation in that order are its rendering. Turns that repeat in conv_id,
-    turn, role and text count once. Roles are compared without case and blanks; any other, or null, is
+    turn, role and text all stay, one behind the other. Roles are compared without case and blanks; any other, or null, is
     unknown. A null conv_id is one more conversation; a null text is empty. Further columns are not read. An empty
     table gives no rows.
     """
@@ -232,7 +232,10 @@ def repair(turns: DataFrame) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     ).withColumn("mark", F.xxhash64("role", "text"))
     keys = ["conv_id", "turn", "role", "mark"]
-    ordered = rows.select(*keys).distinct().repartitionByRange("conv_id", "turn", "mark").sortWithinPartitions("conv_id", "turn", "mark", "role")
+    # Equal turns are counted before the shuffle; each copy is a turn of its own behind it.
+    copies = rows.groupBy(*keys).agg(F.count("*").alias("many")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "many")))
+    order = ("conv_id", "turn", "mark", "role", "copy")
+    ordered = copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*keys)
     placed = settled(ordered.mapInArrow(_sorted_rows, SORTED), "turns")
     # Two small matrices for each part.
     ends = placed.filter("kind = 'end'").select("part", "pos", "conv_id", "segment").collect()
