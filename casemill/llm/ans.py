@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.common import settled, store_of
+from casemill.llm.common import settled, shared_folder, store_of
 from casemill.llm.tokens import encoder_of, read_tokenizer, with_end
 from casemill.session import scratch_path
 
@@ -270,6 +270,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     settled manifest, a row for each file: path, part (ascending with doc_id), tokens, docs.
     """
     spark, text = docs.sparkSession, read_tokenizer(tokenizer_path)
+    folder = shared_folder(spark, folder)
     encoder = encoder_of(text)
     size, kind = max(encoder.tokenizer.get_vocab_size(), end_id + 1), encoder.kind.str
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -304,7 +305,7 @@ def decode_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> Da
     columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     # Frames are few and small as rows but not as work: a stated number keeps them in tasks of their own.
     tasks = frames.count()
-    return dealt.repartition(max(1, min(tasks, MOST_TASKS)), "path", "at").mapInArrow(_decode(f"{folder}/table", with_ids), columns)
+    return dealt.repartition(max(1, min(tasks, MOST_TASKS)), "path", "at").mapInArrow(_decode(f"{shared_folder(manifest.sparkSession, folder)}/table", with_ids), columns)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -68,12 +69,33 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return pool[np.repeat(starts - shift, lengths) + np.arange(total)]
 
 
+# Schemes of Spark's paths, and what the file systems of tasks call them.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def shared_folder(spark: SparkSession, path: str) -> str:
+    """The address under which tasks open what Spark knows as ``path``; to be asked on the driver.
+
+    A path without scheme lies on the default file system, as it does for Spark. A scheme that tasks cannot open raises
+    ValueError before anything is written. Tasks find the credentials of a store where pyarrow looks for them.
+    """
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path)
+    if not found:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+        found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", path)
+    scheme = found[1].lower()
+    if scheme not in _SCHEMES:
+        raise ValueError(f"tasks cannot open {scheme}: paths; choose one of {', '.join(sorted(_SCHEMES))} for {path}")
+    return _SCHEMES[scheme] + path[len(scheme) :]
+
+
 def store_of(path: str):
-    """The file system of a shared path and the path within it, for reads and writes of tasks."""
+    """The file system of an address from ``shared_folder`` and the path within it, for reads and writes of tasks."""
     from pyarrow import fs
 
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    if "://" not in path:
+        raise ValueError(f"{path} names no file system")
     return fs.FileSystem.from_uri(path)

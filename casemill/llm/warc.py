@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.common import settled, store_of, text_or_empty
+from casemill.llm.common import settled, shared_folder, store_of, text_or_empty
 from casemill.session import scratch_path
 
 BLOCK_LINES = 512
@@ -138,6 +138,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, date: str
     all responses; a row without page_id revisits if any equal payload has one. A null url has no
     target. Further columns are not read; an empty table writes nothing.
     """
+    folder = shared_folder(pages.sparkSession, folder)
     store, inner = store_of(folder)
     store.create_dir(inner, recursive=True)
     rows = pages.select(
@@ -197,6 +198,7 @@ def _write_shard(folder: str, block_lines: int):
 
 def write_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Sort captures by key and page_id over all tasks and write the index; returns the settled shards."""
+    folder = shared_folder(captures.sparkSession, folder)
     store, inner = store_of(folder)
     store.create_dir(inner, recursive=True)
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
@@ -287,11 +289,15 @@ def _read(folder: str, with_payload: bool):
             found = []
             for path, at, size in zip(*(batch.column(c).to_pylist() for c in ("file", "at", "size")), strict=True):
                 if path != name:
+                    if file is not None:
+                        file.close()
                     store, inner = store_of(f"{folder}/{path}")
                     file, name = store.open_input_file(inner), path
                 record = parse_record(file.read_at(size, at))
                 found.append({k: record[k] for k in (*fields, "payload")[: len(schema)]})
             yield pa.RecordBatch.from_pylist(found, schema=schema)
+        if file is not None:
+            file.close()
 
     return run
 
@@ -299,6 +305,7 @@ def _read(folder: str, with_payload: bool):
 def read_records(captures: DataFrame, folder: str, tasks: int, with_payload: bool = False) -> DataFrame:
     """Read the records that captures point to, in the order of the files; a damaged response raises."""
     ordered = captures.repartitionByRange(tasks, "file", "at").sortWithinPartitions("file", "at").select("file", "at", "size")
+    folder = shared_folder(captures.sparkSession, folder)
     return ordered.mapInArrow(_read(folder, with_payload), RECORD + (", payload binary" if with_payload else ""))
 
 

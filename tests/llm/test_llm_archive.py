@@ -7,6 +7,7 @@ import random
 import pytest
 
 from casemill.llm import topk, warc
+from casemill.llm.common import shared_folder, store_of
 from casemill.session import scratch_path
 
 PAGES = "page_id bigint, url string, html string, key string, digest int, payload string"
@@ -123,3 +124,27 @@ def test_top_k_with_few_rows(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], schema)
     assert [tuple(r) for r in topk.top_k(two, "vec_id % 20 = 0").collect()] == [(0, 1, 1, 64 * 32)]
     assert topk.top_k(two, "vec_id = 9").count() == 0
+
+
+def test_folders_mean_to_tasks_what_they_mean_to_spark(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    assert shared_folder(spark, str(tmp_path)) == f"file:{tmp_path}"
+    conf.set("fs.viewfs.mounttable.elsewhere.link./lake", f"file://{tmp_path}")
+    conf.set("fs.defaultFS", "viewfs://elsewhere")
+    try:
+        # A path without scheme is on the default file system, not on the disk of a task.
+        assert shared_folder(spark, "/lake/warc") == "viewfs://elsewhere/lake/warc"
+    finally:
+        conf.set("fs.defaultFS", before)
+    assert shared_folder(spark, "file:///a/b") == "file:///a/b"
+    for scheme in ("s3", "s3a", "s3n"):
+        assert shared_folder(spark, f"{scheme}://bucket/a b") == "s3://bucket/a b"
+    assert shared_folder(spark, "hdfs://name:8020/a") == "hdfs://name:8020/a"
+    with pytest.raises(ValueError, match="dbfs"):
+        shared_folder(spark, "dbfs:/a")
+    for write in (lambda: warc.write_archive(pages(spark, []), "unknown://a/b"), lambda: warc.write_index(pages(spark, []), "unknown://a/b")):
+        with pytest.raises(ValueError, match="unknown"):
+            write()
+    with pytest.raises(ValueError, match="no file system"):
+        store_of("/a/b")
