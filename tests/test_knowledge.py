@@ -253,3 +253,17 @@ def test_an_index_of_nothing_and_of_one_chunk(spark):
     assert balls.BallIndex(chunks.limit(0)).visits(questions, 3).count() == 0
     one = balls.BallIndex(chunks.filter("chunk_id = 'c0003'")).nearest(questions, 3)
     assert one.count() == 14 and {r.chunk_id for r in one.collect()} == {"c0003"}
+
+
+def test_store_statistics_count_all_types(spark):
+    from casemill.plans import knowledge as plans
+    from casemill.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    chunks = set()
+    for row in plans.documents(spark, folder).select("text", "filename").collect():
+        chunks.update(chunk_text(row.text or "", row.filename.endswith(".md"), 500, 50))
+    others = {r.training_type: r.entries for r in QUERIES["store_pair_statistics"](spark, folder).collect()}
+    got = {r.training_type: r.entries for r in QUERIES["store_statistics"](spark, folder).collect()}
+    assert set(others) == {"sql", "ddl"} and len(chunks) > 100
+    assert got == {**others, "documentation": len(chunks)}
