@@ -12,7 +12,7 @@ as long as the texts agree. The seed of a window is its run of ``SEED`` words wi
 seeds. Windows in a row with one seed form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
 occurs again are looked at: where whole contexts are equal, all but the first are repeats, and only the firsts of
 different contexts with one seed are compared window by window. Contexts are hashed where their seeds are found, and only the
-texts of unlike ones are read again. Seeds and contexts or windows have 64 bits each and are compared together. Of equal texts only the first is searched; the others are passages as a whole.
+texts of unlike ones are read again. Seeds have 58 bits, contexts and windows 64; both are compared together. Of equal texts only the first is searched; the others are passages as a whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
 SEED, SLICE_BYTES = 16, 1 << 20
 CHUNK = "doc_id long, tie long, start int, stop int, hash long"
 _MOD, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_PLACE = np.uint64(63)  # more than the runs of a window
 
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
@@ -111,27 +112,30 @@ class Places:
         spans = zip(self.starts[first].tolist(), self.stops[last].tolist(), strict=True)
         return np.array([xxh3_64_intdigest(self.view[a:b]) for a, b in spans], np.uint64).view(np.int64)
 
+    def dense_hashes(self, first, last, powers: words.Powers) -> np.ndarray:
+        """Of runs that lie close together, in the order of their first words; other values than those of ``hashes``."""
+        return words.span_hashes(self.data, self.starts[first], self.stops[last], powers).view(np.int64)
+
 
 def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     """Of a column of texts, the row, first word, number of windows and seed of each context."""
     hashes, counts = words.word_hashes(*words.raw_bytes(texts), powers)
-    grams, many = words.shingle_hashes(hashes, counts, SEED)
-    reach, size = LONG_WORDS - SEED + 1, 1
-    owner = np.repeat(np.arange(len(many)), many)
-    if len(grams) < reach:
+    reach = LONG_WORDS - SEED + 1
+    if len(hashes) < LONG_WORDS:
         return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    # Place of the least of ``size`` neighbours, the first one of equals.
-    least = np.arange(len(grams))
+    # The low bits tell neighbours apart, so that a change of the least is a change of its place.
+    grams = words.run_hashes(hashes, SEED) & ~_PLACE | np.arange(len(hashes) - SEED + 1, dtype=np.uint64) & _PLACE
+    least, size = grams, 1
     while size < reach:
         step = min(size, reach - size)
-        left, right = least[:-step], least[step:]
-        least, size = np.where(grams[left] <= grams[right], left, right), size + step
-    starts = np.nonzero(owner[reach - 1 :] == owner[: len(least)])[0]
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    owner = np.repeat(np.arange(len(counts)), counts)
+    starts = np.nonzero(owner[LONG_WORDS - 1 :] == owner[: len(least)])[0]
     least = least[starts]
-    opens = np.nonzero(np.concatenate([np.ones(min(1, len(least)), bool), least[1:] != least[:-1]]))[0]
+    opens = np.nonzero(np.concatenate([np.ones(min(1, len(starts)), bool), (np.diff(starts) > 1) | (least[1:] != least[:-1])]))[0]
     first = starts[opens]
     row = owner[first]
-    return row, first - (np.cumsum(many) - many)[row], np.diff(np.append(opens, len(least))), grams[least[opens]]
+    return row, first - (np.cumsum(counts) - counts)[row], np.diff(np.append(opens, len(starts))), least[opens] & ~_PLACE
 
 
 SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, hashes array<long>, lows array<long>, highs array<long>"
@@ -167,7 +171,7 @@ CUT = "doc_id long, tie long, start long, stop long, hash long, seed long, is_fi
 _CUT = pa.schema([(n, pa.int64()) for n in ("doc_id", "tie", "start", "stop", "hash", "seed")] + [("is_first", pa.bool_()), ("body", pa.string())])
 
 
-def _windows(owners: list[tuple], parts: list[str]) -> pa.RecordBatch:
+def _windows(owners: list[tuple], parts: list[str], powers: words.Powers) -> pa.RecordBatch:
     """Rows of ``CUT`` for the windows of contexts: their doc_id, tie, seed and ends, and their texts."""
     places = Places(pa.array(parts, pa.string()))
     many = np.diff(places.first_word) - LONG_WORDS + 1
@@ -184,13 +188,14 @@ def _windows(owners: list[tuple], parts: list[str]) -> pa.RecordBatch:
     pick = pa.array(row, pa.int64())
     return pa.RecordBatch.from_arrays(
         [pa.array(doc_id, pa.int64()).take(pick), pa.array(tie, pa.int64()).take(pick), pa.array(low, pa.int64()), pa.array(high, pa.int64()),
-         pa.array(places.hashes(first, last), pa.int64()), pa.array(seed, pa.int64()).take(pick), pa.nulls(len(row), pa.bool_()),
+         pa.array(places.dense_hashes(first, last, powers), pa.int64()), pa.array(seed, pa.int64()).take(pick), pa.nulls(len(row), pa.bool_()),
          pa.nulls(len(row), pa.string())], schema=_CUT,
     )
 
 
 def _cut(batches):
     """The bytes of chunks, and the windows of contexts."""
+    powers = words.Powers()
     for batch in batches:
         for a, b in slices(batch.column("text"), SLICE_BYTES):
             columns, owners, parts = [[] for _ in _CUT], [], []
@@ -204,7 +209,7 @@ def _cut(batches):
                     parts.append(text[x["low"] >> 1 : x["high"] >> 1])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CUT, strict=True)], schema=_CUT)
             if parts:
-                yield _windows(owners, parts)
+                yield _windows(owners, parts, powers)
 
 
 def regions(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:

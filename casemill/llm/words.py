@@ -32,6 +32,7 @@ def _tables():
 
 
 _VALUE, _BLANK = _tables()
+_BYTE = mix(np.arange(257, 513, dtype=np.uint64) * _ODD)
 
 
 class Powers:
@@ -98,6 +99,35 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.nonzero(first)[0], np.nonzero(last)[0] + 1
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hash of the bytes of each span as they are, capitals and blanks included; spans come in the order of their starts."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = int(np.searchsorted(starts, base + WINDOW, side="right"))
+        piece = data[base : int(stops[at:to].max())]
+        up, down = powers.to(len(piece) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * up[: len(piece)], dtype=np.uint64)])
+        a, b = starts[at:to] - base, stops[at:to] - base
+        out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD)
+        at = to
+    return out
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words, whatever texts they belong to."""
+    many = len(words) - size + 1
+    total, have, block, width = np.zeros(many, np.uint64), 0, words, 1
+    factor = int(_FACTOR)
+    while True:
+        lift = np.uint64(pow(factor, width, 1 << 64))
+        if size & width:
+            total, have = total * lift + block[have : have + many], have + width
+        if have == size:
+            return mix(total)
+        block, width = block[:-width] * lift + block[width:], 2 * width
+
+
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each shingle in the order of the text, repeats included, and the number of each text."""
     many = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
