@@ -235,19 +235,19 @@ def test_fingerprints_of_awkward_tables(spark):
 
 
 def test_hashes_of_runs_and_spans_tell_contents_apart(monkeypatch):
-    monkeypatch.setattr(words, "WINDOW", 64)
+    monkeypatch.setattr(w, "WINDOW", 64)
     rng = np.random.default_rng(3)
     values = rng.integers(0, 9, 200).astype(np.uint64)
     for size in (1, 2, 5, 7, 16, 31):
-        found = words.run_hashes(values, size)
+        found = w.run_hashes(values, size)
         runs = [tuple(values[i : i + size]) for i in range(len(found))]
         assert len(found) == 201 - size and len({*zip(runs, found.tolist(), strict=True)}) == len(set(runs)) == len(set(found.tolist()))
     data = rng.integers(97, 100, 3000).astype(np.uint8)
     starts = np.sort(rng.integers(0, 2900, 2500))
     stops = starts + rng.integers(1, 99, 2500)
-    found = words.span_hashes(data, starts, stops, words.Powers()).tolist()
+    found = w.span_hashes(data, starts, stops, w.Powers()).tolist()
     spans = [data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)]
     assert len({*zip(spans, found, strict=True)}) == len(set(spans)) == len(set(found))
     # Capitals count.
     pair = np.frombuffer(b"aA", np.uint8)
-    assert len(set(words.span_hashes(pair, np.array([0, 1]), np.array([1, 2]), words.Powers()).tolist())) == 2
+    assert len(set(w.span_hashes(pair, np.array([0, 1]), np.array([1, 2]), w.Powers()).tolist())) == 2
