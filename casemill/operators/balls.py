@@ -2,16 +2,18 @@
 
 Chunks are dealt to the nearest of a bounded number of centres. A ball knows how many chunks it has and
 the least and largest angle between them and its centre, so the angle between a question and its centre
-bounds the distance of the question from every chunk of the ball. A question first meets the balls of the
-least bounds, enough of them to hold k chunks, and so learns a distance it has to beat; then it meets only
-the other balls whose bound does not exceed that. Every ball is a cell, or several if it is large: its
-chunks are moved there once for each of the two rounds, however many questions there are, and questions
-pass by. Only a cell with more than ``LANE_QUESTIONS`` visitors is copied, once for each so many.
+bounds the distance of the question from every chunk of the ball. Every ball is a cell, or several if it is
+large. Questions of near balls share a lane, which is held by one task while chunks pass by: a question
+moves once a round, and a chunk once for each lane that its cell may matter to. A lane first meets the cells
+of the balls of the least bounds of its questions, enough of them to hold k chunks, so that each question
+learns a distance it has to beat; then it meets only the other cells whose bound does not exceed that for
+one of them. A task keeps the k nearest so far of each question, and no other pairs leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,15 +27,16 @@ FILTERS = ("user_id", "user_scope", "category", "tags")
 # The driver holds the centres, a row for each ball and the sample the centres come from.
 MOST_BALLS, SAMPLE_ROWS = 4096, 16384
 CELL_ROWS, LEAST_ROWS = 4096, 64
-LANE_QUESTIONS = 65_536
+# Questions of a lane: as many as give LANES lanes, between these two numbers.
+LANES, LEAST_QUESTIONS, LANE_QUESTIONS = 48, 256, 32_768
 QUESTION_BATCH = 512
 # Distances are kept to this many digits, below which only the noise of the arithmetic differs.
 DISTANCE_DIGITS = 12
 # Bounds give way by this much, far more than the rounding of angles.
 SLACK = 1e-7
 HITS = "question_id bigint, chunk_id string, document_key string, distance double"
-_CHUNK = "id string, document_key string, embedding array<double>, user_id string, category string, tags array<string>, shared boolean"
-_ASKED = "id string, embedding array<double>, user_id string, category string, tags array<string>, own_only boolean"
+_CHUNK = ("id", "document_key", "embedding", "user_id", "category", "tags", "shared")
+_ASKED = ("id", "embedding", "user_id", "category", "tags", "own_only")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,6 +45,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _kind(df: DataFrame) -> str:
+    return "array<float>" if dict(df.dtypes)["embedding"] == "array<float>" else "array<double>"
+
+
 def unit(vectors) -> np.ndarray:
     matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -76,17 +83,31 @@ def _assign(centres: np.ndarray):
             if len(batch):
                 points = unit(batch["embedding"])
                 around = angles(points, centres)
-                ball = np.where(points.any(axis=1), around.argmin(axis=1), len(centres) - 1)
-                yield batch.assign(ball=ball.astype("int32"), angle=around[np.arange(len(batch)), ball])
+                # The last ball is for zeros alone, however far others are from their centres, and for what is no number.
+                some = points.any(axis=1) & np.isfinite(points).all(axis=1)
+                near = around[:, :-1].argmin(axis=1) if len(centres) > 1 else 0
+                ball = np.where(some, near, len(centres) - 1)
+                angle = np.where(some, around[np.arange(len(batch)), ball], np.pi / 2)
+                yield batch.assign(ball=ball.astype("int32"), angle=angle)
 
     return run
 
 
+def chain(centres: np.ndarray) -> np.ndarray:
+    """An order of the centres in which each is followed by the nearest one left."""
+    left, order = np.ones(len(centres), bool), [0]
+    while len(order) < len(centres):
+        left[order[-1]] = False
+        order.append(int(np.where(left, centres @ centres[order[-1]], -np.inf).argmax()))
+    return np.array(order)
+
+
 class _Balls:
     """What routing needs of the balls: centres, ranges of angles, sizes and cells. Travels with the tasks."""
 
     def __init__(self, centres: np.ndarray, rows: list):
         rows = sorted(rows, key=lambda r: r["ball"])
+        rows = [rows[i] for i in chain(centres[[r["ball"] for r in rows]])]
         self.centres = centres[[r["ball"] for r in rows]]
         self.low, self.high, self.size = (np.array([r[c] for r in rows]) for c in ("low", "high", "n"))
         self.ball = np.array([r["ball"] for r in rows])
@@ -112,32 +133,55 @@ class _Balls:
         np.put_along_axis(visited, order, held < k, axis=1)
         return visited
 
-    def cells_of(self, visited: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Points and cells, a pair for each cell of each visited ball."""
-        points, balls = np.nonzero(visited)
-        parts = self.parts[balls]
-        points, first = np.repeat(points, parts), np.repeat(self.first[balls], parts)
-        return points, first + np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
+    def cells_of(self, visited: np.ndarray) -> np.ndarray:
+        """The cells of the balls that any of the points visits."""
+        balls = np.flatnonzero(visited.any(axis=0))
+        return np.concatenate([np.arange(f, f + p) for f, p in zip(self.first[balls], self.parts[balls], strict=True)] or [np.arange(0)])
+
+
+def _home(balls: _Balls):
+    """Questions with the ball of the least bound, and of several the one with the nearest centre."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), QUESTION_BATCH):
+                rows = batch.iloc[start : start + QUESTION_BATCH]
+                points = unit(rows["embedding"])
+                order = np.lexsort((angles(points, balls.centres), balls.bounds(points)), axis=1)
+                yield rows.assign(home=order[:, 0].astype("int32"))
+
+    return run
 
 
 def _route(balls: _Balls, k: int, within: float | None, again: bool):
-    """Questions with the cells they visit: the first ones, or ``again`` the others that may beat ``beat``."""
+    """Lanes with the cells their questions visit: the first ones, or ``again`` those that may beat ``beat``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lane, rows in batch.groupby("lane", sort=False):
+                for start in range(0, len(rows), QUESTION_BATCH):
+                    some = rows.iloc[start : start + QUESTION_BATCH]
+                    bounds = balls.bounds(unit(some["embedding"]))
+                    visited = bounds <= some["beat"].to_numpy(np.float64)[:, None] if again else balls.first_visits(bounds, k)
+                    if within is not None:
+                        visited &= bounds <= within
+                    yield pd.DataFrame({"cell": balls.cells_of(visited).astype("int64")}).assign(lane=lane)[["lane", "cell"]]
+
+    return run
+
+
+def _count(balls: _Balls, k: int, within: float | None):
+    """Questions with the number of cells that their own bounds name in the two rounds."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), QUESTION_BATCH):
                 rows = batch.iloc[start : start + QUESTION_BATCH]
                 bounds = balls.bounds(unit(rows["embedding"]))
-                visited = balls.first_visits(bounds, k)
-                if within is not None:
-                    visited &= bounds <= within
-                if again:
-                    beat = rows["beat"].to_numpy(np.float64)
-                    visited = ~visited & (bounds <= beat[:, None])
-                points, cells = balls.cells_of(visited)
-                if len(points):
-                    out = rows.iloc[points].reset_index(drop=True)
-                    yield out.assign(cell=cells.astype("int64"))
+                open_ = bounds <= (np.inf if within is None else within)
+                first = balls.first_visits(bounds, k) & open_
+                later = ~first & open_ & (bounds <= rows["beat"].to_numpy(np.float64)[:, None])
+                yield pd.DataFrame({"id": rows["id"], "a": first @ balls.parts, "b": later @ balls.parts})
 
     return run
 
@@ -151,68 +195,100 @@ def _tag_matrix(tags: pd.Series, place: dict[str, int]) -> np.ndarray:
     return out
 
 
-class _Cell:
-    """The chunks of a cell in the order of their ids, ready to be asked."""
-
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("id", kind="stable")
-        self.unit = unit(rows["embedding"])
-        self.ids, self.keys = rows["id"].to_numpy(), rows["document_key"].to_numpy()
-        self.user, self.known = rows["user_id"].to_numpy(), ~pd.isna(rows["user_id"]).to_numpy()
-        self.shared, self.category, self.tags = rows["shared"].to_numpy(bool), rows["category"].to_numpy(), rows["tags"]
-
-    def allowed(self, asked: pd.DataFrame) -> np.ndarray:
-        """[questions, chunks]: own chunks in private scope, shared or own ones otherwise; category equal, any tag shared."""
-        own = (asked["user_id"].to_numpy()[:, None] == self.user) & self.known
-        mask = own | (~asked["own_only"].eq(True).to_numpy(bool)[:, None] & self.shared)
-        open_ = asked["category"].isna().to_numpy() | (asked["category"] == "").to_numpy()
-        mask &= open_[:, None] | (asked["category"].to_numpy()[:, None] == self.category)
-        place = {name: i for i, name in enumerate(sorted({name for names in asked["tags"] if names is not None for name in names}))}
-        if place:
-            wanted = _tag_matrix(asked["tags"], place)
-            mask &= ~wanted.any(axis=1)[:, None] | (wanted @ _tag_matrix(self.tags, place).T > 0)
-        return mask
-
-    def nearest(self, asked: pd.DataFrame, k: int, filtered: bool, within: float | None) -> pd.DataFrame:
-        distances = np.round(1.0 - unit(asked["embedding"]) @ self.unit.T, DISTANCE_DIGITS)
+def _codes(*columns: pd.Series) -> list[np.ndarray]:
+    """Whole numbers that are equal where texts of the columns are; -1 for none."""
+    codes = pd.factorize(pd.concat(columns, ignore_index=True))[0]
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def allowed(asked: pd.DataFrame, chunks: pd.DataFrame) -> np.ndarray:
+    """[questions, chunks]: own chunks in private scope, shared or own ones otherwise; category equal, any tag shared."""
+    mine, theirs = _codes(asked["user_id"], chunks["user_id"])
+    mask = (mine[:, None] == theirs) & (theirs >= 0)
+    mask |= ~asked["own_only"].eq(True).to_numpy(bool)[:, None] & chunks["shared"].eq(True).to_numpy(bool)
+    wanted, given = _codes(asked["category"], chunks["category"])
+    mask &= ((wanted < 0) | (asked["category"] == "").to_numpy(bool))[:, None] | (wanted[:, None] == given)
+    place = {name: i for i, name in enumerate(sorted({name for names in asked["tags"] if names is not None for name in names}))}
+    if place:
+        tags = _tag_matrix(asked["tags"], place)
+        mask &= ~tags.any(axis=1)[:, None] | (tags @ _tag_matrix(chunks["tags"], place).T > 0)
+    return mask
+
+
+class _Block:
+    """Some questions with the k nearest chunks so far."""
+
+    def __init__(self, asked: pd.DataFrame, k: int, within: float | None):
+        self.asked, self.k, self.unit = asked, k, unit(asked["embedding"])
+        # Rounded distances beyond the limit are of no use.
+        self.limit = np.minimum(asked["beat"].fillna(np.inf).to_numpy(np.float64), np.inf if within is None else within)
+        self.rows, self.near = np.zeros(0, np.int64), np.zeros(0)
+        self.ids, self.keys = np.zeros(0, object), np.zeros(0, object)
+
+    def meet(self, chunks: pd.DataFrame, points: np.ndarray, filtered: bool) -> None:
+        distances = 1.0 - self.unit @ points.T
         if filtered:
-            distances = np.where(self.allowed(asked), distances, np.inf)
-        if within is not None:
-            distances[distances > within] = np.inf
-        width = min(k, len(self.ids))
-        limit = np.partition(distances, width - 1, axis=1)[:, width - 1 : width]
-        rows, columns = np.nonzero((distances <= limit) & np.isfinite(distances))
-        near = distances[rows, columns]
-        order = np.lexsort((columns, near, rows))  # columns are in id order, so they settle equal distances
-        rows, columns, near = rows[order], columns[order], near[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < width
-        rows, columns = rows[kept], columns[kept]
-        ids = asked["id"].astype("int64").to_numpy()
-        return pd.DataFrame({"question_id": ids[rows], "chunk_id": self.ids[columns], "document_key": self.keys[columns], "distance": near[kept]})
+            distances[~allowed(self.asked, chunks)] = np.inf
+        limit, tie = self.limit, 10.0**-DISTANCE_DIGITS
+        kept = distances <= limit[:, None] + tie
+        if len(points) > self.k and kept.sum() > 4 * self.k * len(limit):
+            least = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
+            kept &= distances <= (least + 2 * tie)[:, None]
+        rows, columns = np.nonzero(kept & np.isfinite(distances))
+        near = np.round(distances[rows, columns], DISTANCE_DIGITS)
+        close = near <= limit[rows]
+        rows, columns, near = rows[close], columns[close], near[close]
+        if not len(rows):
+            return
+        if len(rows) > self.k * len(limit):  # many equal distances; the columns are in id order
+            order = np.lexsort((columns, near, rows))
+            order = order[np.arange(len(order)) - np.searchsorted(rows, rows, side="left") < self.k]
+            rows, columns, near = rows[order], columns[order], near[order]
+        rows, near = np.concatenate([self.rows, rows]), np.concatenate([self.near, near])
+        ids = np.concatenate([self.ids, chunks["id"].to_numpy(object)[columns]])
+        keys = np.concatenate([self.keys, chunks["document_key"].to_numpy(object)[columns]])
+        order = np.lexsort((pd.factorize(ids, sort=True)[0], near, rows))  # ids settle equal distances
+        rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], side="left")
+        last = order[rank == self.k - 1]
+        self.limit[rows[last]] = near[last]
+        order = order[rank < self.k]
+        self.rows, self.near, self.ids, self.keys = rows[order], near[order], ids[order], keys[order]
+
+    def found(self) -> pd.DataFrame:
+        numbers = self.asked["id"].astype("int64").to_numpy()
+        return pd.DataFrame({"question_id": numbers[self.rows], "chunk_id": self.ids, "document_key": self.keys, "distance": self.near})
 
 
 def _meet(k: int, filtered: bool, within: float | None):
-    """Cells one after the other: the chunks of a cell first, which are held, then the questions that visit it."""
+    """Lanes one after the other: the questions of a lane first, which are held, then the chunks that pass by."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held, cell = None, [], None
+        at, blocks = None, []
         for batch in batches:
-            for key, rows in batch.groupby(["cell", "lane"], sort=False):
-                if key != at:
-                    at, held, cell = key, [], None
-                chunks, asked = rows[rows["is_chunk"]], rows[~rows["is_chunk"]]
-                if len(chunks):
-                    held.append(chunks)
-                if not len(asked) or (cell is None and not held):
-                    continue
-                if cell is None:
-                    cell, held = _Cell(pd.concat(held)), []
-                for start in range(0, len(asked), QUESTION_BATCH):
-                    yield cell.nearest(asked.iloc[start : start + QUESTION_BATCH], k, filtered, within)
+            for lane, rows in batch.groupby("lane", sort=False):
+                if lane != at:
+                    yield from (block.found() for block in blocks)
+                    at, blocks = lane, []
+                asked, chunks = rows[~rows["is_chunk"]], rows[rows["is_chunk"]]
+                blocks += [_Block(asked.iloc[i : i + QUESTION_BATCH], k, within) for i in range(0, len(asked), QUESTION_BATCH)]
+                if len(chunks) and blocks:
+                    chunks = chunks.sort_values("id", kind="stable")
+                    points = unit(chunks["embedding"])
+                    for block in blocks:
+                        block.meet(chunks, points, filtered)
+        yield from (block.found() for block in blocks)
 
     return run
 
 
+class _Round(NamedTuple):
+    """Hits of a round, the questions in their lanes with the distance to beat, and the number of lanes."""
+
+    hits: DataFrame
+    asked: DataFrame
+    lanes: int
+
+
 class BallIndex:
     """Chunks in balls, to be asked for the nearest ones of many questions.
 
@@ -228,8 +304,10 @@ class BallIndex:
             "tags": F.col("tags").cast("array<string>") if filtered else F.lit(None).cast("array<string>"),
             "shared": F.coalesce(F.col("visibility") == "shared", F.lit(False)) if filtered else F.lit(True),
         }
+        # Vectors of floats travel as such; all arithmetic is in doubles.
+        self.kind = _kind(chunks)
         stored = chunks.filter("embedding IS NOT NULL").select(
-            F.col("chunk_id").alias("id"), F.coalesce("parent_id", "filename").alias("document_key"), F.col("embedding").cast("array<double>").alias("embedding"),
+            F.col("chunk_id").alias("id"), F.coalesce("parent_id", "filename").alias("document_key"), F.col("embedding").cast(self.kind).alias("embedding"),
             *[column.alias(name) for name, column in columns.items()],
         )
         stored = written(stored, "chunks")
@@ -240,52 +318,81 @@ class BallIndex:
         wide = max(min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.rows // LEAST_ROWS), 1)
         many = min(MOST_BALLS, max(-(-self.rows // CELL_ROWS), wide))
         some = stored.filter(F.pmod(F.xxhash64("id"), F.lit(-(-self.rows // SAMPLE_ROWS))) == 0).select("id", "embedding").limit(SAMPLE_ROWS)
-        some = some.collect() or stored.select("id", "embedding").limit(1).collect()
-        points = unit([r["embedding"] for r in sorted(some, key=lambda r: r["id"])])
-        centres = centres_of(points[points.any(axis=1)], many) if points.any() else points[:0]
+        some = some.collect()
+        points = unit([r["embedding"] for r in sorted(some, key=lambda r: r["id"])]) if some else np.zeros((0, 0))
+        points = points[points.any(axis=1) & np.isfinite(points).all(axis=1)]
+        if not len(points):  # one that has a direction, if there is any
+            usable = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: F.abs(x) < float("inf"))
+            one = stored.filter(usable).select("embedding").head(1) or stored.select("embedding").head(1)
+            points = unit([r["embedding"] for r in one])
+            points = points[points.any(axis=1) & np.isfinite(points).all(axis=1)] if points.any() else points
+        centres = centres_of(points, many) if points.any() and np.isfinite(points).all() else points[:0]
         centres = np.vstack([centres, np.zeros((1, points.shape[1]))])  # the last ball has the vectors of zeros
-        placed = written(stored.mapInPandas(_assign(centres), f"{_CHUNK}, ball int, angle double"), "balls")
+        placed = written(stored.mapInPandas(_assign(centres), f"{stored.schema.simpleString()[7:-1]}, ball: int, angle: double"), "balls")
         found = placed.groupBy("ball").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).collect()
         self.balls = balls = _Balls(centres, found)  # MOST_BALLS rows at most
         lookup = self.spark.createDataFrame([(int(b), int(f), int(p)) for b, f, p in zip(balls.ball, balls.first, balls.parts, strict=True)], "ball int, first long, parts long")
-        dealt = placed.drop("angle").join(lookup, "ball").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")))
-        self.chunks = dealt.select("cell", F.lit(True).alias("is_chunk"), *(c.split()[0] for c in _CHUNK.split(", ")), F.lit(None).cast("boolean").alias("own_only"))
+        dealt = placed.drop("angle").join(F.broadcast(lookup), "ball").withColumn("cell", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")))
+        self.chunks = dealt.select("cell", *_CHUNK)
 
     def _asked(self, questions: DataFrame) -> DataFrame:
         wanted = {name: F.col(name) if self.filtered else F.lit(None) for name in ("user_id", "category", "tags")}
         own_only = F.col("user_scope") == "private" if self.filtered else F.lit(False)
         return questions.filter("embedding IS NOT NULL").select(
-            F.col("question_id").cast("bigint").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"),
+            F.col("question_id").cast("bigint").cast("string").alias("id"), F.col("embedding").cast(_kind(questions)).alias("embedding"),
             *[column.cast("array<string>" if name == "tags" else "string").alias(name) for name, column in wanted.items()],
             own_only.alias("own_only"),
         )
 
-    def _meeting(self, visits: DataFrame, k: int, within: float | None) -> DataFrame:
-        """The k nearest allowed chunks of each visited cell."""
-        busy = visits.groupBy("cell").agg(F.ceil(F.count("*") / LANE_QUESTIONS).cast("int").alias("lanes"))
-        lane = F.pmod(F.xxhash64("id"), F.col("lanes")).cast("int")
-        columns = ["cell", "lane", "is_chunk", "id", "document_key", "embedding", "user_id", "category", "tags", "shared", "own_only"]
-        # Cells that nobody visits have no lanes, and their chunks stay where they are.
-        held = self.chunks.join(busy, "cell").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-        asked = visits.join(busy, "cell").withColumns(
-            {"lane": lane, "is_chunk": F.lit(False), "document_key": F.lit(None).cast("string"), "shared": F.lit(None).cast("boolean")}
-        )
-        met = held.select(*columns).unionByName(asked.select(*columns))
-        parts = min(max(2 * self.balls.cells, 1), 4 * MOST_BALLS)
-        met = met.repartition(parts, "cell", "lane").sortWithinPartitions("cell", "lane", F.desc("is_chunk"))
+    def _in_lanes(self, questions: DataFrame) -> tuple[DataFrame, int]:
+        """Questions, written once, with the lane of their ball; and how many lanes there are."""
+        asked = self._asked(questions)
+        asked = written(asked.mapInPandas(_home(self.balls), f"{asked.schema.simpleString()[7:-1]}, home: int"), "asked")
+        sizes = asked.groupBy("home").agg(F.count("*").alias("n")).orderBy("home").collect()  # a row for each ball at most
+        most = min(LANE_QUESTIONS, max(-(-sum(r["n"] for r in sizes) // LANES), LEAST_QUESTIONS))
+        lanes, filled, rows = 0, most, []
+        for r in sizes:
+            if filled + r["n"] > most:
+                lanes, filled, parts = lanes + -(-r["n"] // most), -(-r["n"] // -(-r["n"] // most)), -(-r["n"] // most)
+                rows.append((r["home"], lanes - parts, parts))
+            else:
+                filled += r["n"]
+                rows.append((r["home"], lanes - 1, 1))
+        lookup = self.spark.createDataFrame(rows, "home int, from_lane int, parts int")
+        lane = F.col("from_lane") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        return asked.join(F.broadcast(lookup), "home").withColumn("lane", lane).select("lane", *_ASKED), lanes
+
+    def _meeting(self, asked: DataFrame, lanes: int, pairs: DataFrame, k: int, within: float | None) -> DataFrame:
+        """The k nearest allowed chunks of each question among the cells that its lane meets."""
+        shared = F.col("embedding").cast(_kind(asked) if _kind(asked) == self.kind else "array<double>").alias("embedding")
+        none = {"document_key": "string", "shared": "boolean", "own_only": "boolean", "beat": "double"}
+        columns = ["lane", "is_chunk", "id", "document_key", "user_id", "category", "tags", "shared", "own_only", "beat"]
+
+        def side(df: DataFrame, is_chunk: bool) -> DataFrame:
+            lacking = {name: F.lit(None).cast(kind) for name, kind in none.items() if name not in df.columns}
+            return df.withColumns({**lacking, "is_chunk": F.lit(is_chunk)}).select(*columns, shared)
+
+        # Lanes times cells at most, and small; cells that no lane visits stay where they are.
+        met = side(asked, False).unionByName(side(self.chunks.join(F.broadcast(pairs), "cell"), True))
+        met = met.repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", "is_chunk")
         return met.mapInPandas(_meet(k, self.filtered, within), HITS)
 
-    def _rounds(self, questions: DataFrame, k: int, within: float | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Hits of the first round, and the visits of both rounds."""
-        asked = self._asked(questions)
-        # Visits are found anew where they are needed; written down they would hold each question's vector many times.
-        first = asked.mapInPandas(_route(self.balls, k, within, False), f"{_ASKED}, cell bigint")
-        hits = written(top_per_group(self._meeting(first, k, within), ["question_id"], ["distance", "chunk_id"], k), "hits")
-        known = hits.groupBy(F.col("question_id").cast("string").alias("id")).agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+    def _rounds(self, questions: DataFrame, k: int, within: float | None) -> tuple[_Round, DataFrame, DataFrame]:
+        """The first round, and the cells that each lane meets in it and after it."""
+        asked, lanes = self._in_lanes(questions)
+
+        def pairs(df: DataFrame, again: bool) -> DataFrame:
+            return df.mapInPandas(_route(self.balls, k, within, again), "lane int, cell long").distinct()
+
         open_ = F.lit(within if within is not None else 2.0)
+        if not lanes:
+            nothing = self.spark.createDataFrame([], "lane int, cell long")
+            return _Round(self.spark.createDataFrame([], HITS), asked.withColumn("beat", open_), 0), nothing, nothing
+        first = written(pairs(asked, False), "pairs")
+        hits = written(top_per_group(self._meeting(asked, lanes, first, k, within), ["question_id"], ["distance", "chunk_id"], k), "hits")
+        known = hits.groupBy(F.col("question_id").cast("string").alias("id")).agg(F.count("*").alias("n"), F.max("distance").alias("last"))
         beats = asked.join(known, "id", "left").withColumn("beat", F.when(F.col("n") >= k, F.least("last", open_)).otherwise(open_)).drop("n", "last")
-        other = beats.mapInPandas(_route(self.balls, k, within, True), f"{_ASKED}, beat double, cell bigint").drop("beat")
-        return hits, first, other
+        return _Round(hits, beats, lanes), first, pairs(beats, True).join(F.broadcast(first), ["lane", "cell"], "left_anti")
 
     def nearest(self, questions: DataFrame, k: int, within: float | None = None) -> DataFrame:
         """question_id, chunk_id, document_key, distance: the k nearest chunks of each question, those ``within`` a distance if given.
@@ -295,19 +402,20 @@ class BallIndex:
         """
         if self.balls is None:
             return self.spark.createDataFrame([], HITS)
-        hits, _, other = self._rounds(questions, k, within)
-        found = hits.select("question_id", "chunk_id", "document_key", "distance").unionByName(self._meeting(other, k, within))
+        known, _, other = self._rounds(questions, k, within)
+        if not known.lanes:
+            return known.hits
+        later = self._meeting(known.asked, known.lanes, written(other, "pairs"), k, within)
+        found = known.hits.select("question_id", "chunk_id", "document_key", "distance").unionByName(later)
         return top_per_group(found, ["question_id"], ["distance", "chunk_id"], k)
 
     def visits(self, questions: DataFrame, k: int, within: float | None = None) -> DataFrame:
-        """question_id, cells, visited_first, visited_later: how many of the index's cells each question met."""
+        """question_id, cells, visited_first, visited_later: how many of the index's cells each question asks for."""
         if self.balls is None:
             return self.spark.createDataFrame([], "question_id long, cells long, visited_first long, visited_later long")
-        _, first, other = self._rounds(questions, k, within)
-        counted = first.select("id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(other.select("id", F.lit(0), F.lit(1)).toDF("id", "a", "b"))
-        counted = counted.groupBy("id").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        asked = self._asked(questions).select("id").join(counted, "id", "left")
-        return asked.select(
+        known, _, _ = self._rounds(questions, k, within)
+        counted = known.asked.select("id", "embedding", "beat").mapInPandas(_count(self.balls, k, within), "id string, a long, b long")
+        return counted.select(
             F.col("id").cast("long").alias("question_id"), F.lit(self.balls.cells).cast("long").alias("cells"),
-            F.coalesce("a", F.lit(0)).cast("long").alias("visited_first"), F.coalesce("b", F.lit(0)).cast("long").alias("visited_later"),
+            F.col("a").alias("visited_first"), F.col("b").alias("visited_later"),
         )

@@ -105,6 +105,29 @@ def test_nearest_matches_brute_force_with_copies(spark, monkeypatch, cell, lane,
         assert np.allclose([d for d, _ in got], [d for d, _ in want], atol=1e-8)
 
 
+@pytest.mark.parametrize("zeros", [0, 20000])
+def test_chunks_beyond_a_right_angle_from_every_centre_are_found(spark, zeros):
+    """They are no zeros, whose ball only holds distances of one; nor are they lost when the sample has zeros alone."""
+    data = [("n1", "a", [-1.0, 0.02]), ("n2", "b", [-1.0, -0.03])] + [(f"p{i:02d}", "c", [1.0, i / 100]) for i in range(30)]
+    schema = "chunk_id string, parent_id string, embedding array<float>"
+    chunks = spark.createDataFrame(data[: 2 if zeros else None], schema)
+    many = spark.range(zeros).select(F.concat(F.lit("z"), "id").alias("chunk_id"), F.lit("z").alias("parent_id"), F.expr("array(0f, 0f)").alias("embedding"))
+    chunks = chunks.unionByName(many).withColumn("filename", F.lit("f"))
+    asked = spark.createDataFrame([(1, [-1.0, 0.0]), (2, [0.0, 0.0])], "question_id bigint, embedding array<float>")
+    found = knowledge.nearest_chunks(chunks, asked, 2).orderBy("question_id", "distance").collect()
+    assert {r.chunk_id for r in found if r.question_id == 1} == {"n1", "n2"} and [r.question_id for r in found] == [1, 1, 2, 2]
+
+
+def test_no_more_than_k_hits_of_a_question_leave_a_lane(spark, monkeypatch):
+    monkeypatch.setattr(balls, "CELL_ROWS", 5)
+    chunks, made = vectors(spark, 120)
+    questions = chunks.select(F.substring("chunk_id", 2, 9).cast("bigint").alias("question_id"), "embedding")
+    seen, meet = [], balls.BallIndex._meeting
+    monkeypatch.setattr(balls.BallIndex, "_meeting", lambda *a: seen.append(meet(*a)) or seen[-1])
+    assert knowledge.nearest_chunks(chunks, questions, 30).count() == 120 * 30
+    assert [df.count() <= 120 * 30 for df in seen] == [True, True]
+
+
 def test_no_questions_give_no_sources(spark):
     chunks, made = vectors(spark, 20)
     schema = "question string, question_id bigint, embedding array<float>, user_id string"
