@@ -14,7 +14,8 @@ from casemill.functions import text as tx
 from casemill.functions.identity import pair_id
 from casemill.operators import audit, enrich, feedback, filters, rates, sessions
 from casemill.operators.ranking import top_per_group
-from casemill.sources import catalog, export, lookups
+from casemill.plans import fixtures as fx
+from casemill.sources import catalog, export, lookups, wide_csv
 
 
 @pytest.mark.parametrize("question", ["plain", 'say "x" \\ /', "tab\tline\nend\r", "é ü 漢  ", "bell\x07 esc\x1b"])
@@ -278,3 +279,17 @@ def test_stateful_feedback_is_the_same_for_any_order_of_batches(spark, monkeypat
     # A read costs the pairs and the changes of the batches since the last fold, of 160 votes.
     assert all(n <= 4 + 3 * 4 for n in written)
     assert stream.newest_votes(spark, scratch_path(spark, "none")).count() == 0
+
+
+def test_compressed_drops_are_read_and_listed(spark, tmp_path):
+    folder = str(tmp_path / "drops")
+    fx.write_wide_files(spark, "/root/testdata/sf0.001", folder, "source_year IN (2018, 2020)")
+    parts = [p for p in (tmp_path / "drops").rglob("part-*") if p.is_file()]
+    assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+    named = tmp_path / "drops" / "qc_pub_fy2022.csv.gz"
+    named.write_bytes(parts[0].read_bytes())
+    listed = {(r.filename, r.fiscal_year) for r in wide_csv.file_catalog(spark, folder).collect()}
+    assert listed == {("qc_pub_fy2018.csv", 2018), ("qc_pub_fy2020.csv", 2020), ("qc_pub_fy2022.csv.gz", 2022)}
+    years = {r.source_year: r["count"] for r in wide_csv.read_years(spark, folder, (2018, 2020)).groupBy("source_year").count().collect()}
+    want = {r.source_year: r["count"] for r in fx.wide(spark, "/root/testdata/sf0.001").groupBy("source_year").count().collect()}
+    assert years == {year: want[year] for year in (2018, 2020)}
