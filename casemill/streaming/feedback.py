@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from casemill.operators.feedback import apply_feedback, latest_feedback
 from casemill.sources import files
@@ -19,36 +16,30 @@ FOLD_EVERY = 32
 _CHANGE = "question string, sql string, value int, ts timestamp, event_id bigint"
 
 
-def _newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest vote of a pair, given out if it changes what is known; the state is its time and id."""
-    known = state.get if state.exists else None
-    best, value = known, None
-    for part in parts:
-        rows = zip(part["ts"].astype("int64"), part["event_id"].astype("int64"), part["value"], part["ts"], strict=True)
-        for ts, event_id, vote, moment in rows:
-            if best is None or (ts, event_id) > tuple(best[:2]):
-                best, value = (ts, event_id), (int(vote), moment)
-    if value is not None:
-        state.update((int(best[0]), int(best[1])))
-        yield pd.DataFrame({"question": [key[0]], "sql": [key[1]], "value": [value[0]], "ts": [value[1]], "event_id": [int(best[1])]}).astype(
-            {"value": "int32", "event_id": "int64"}
-        )
+def _votes(feedback: DataFrame) -> DataFrame:
+    return feedback.selectExpr(
+        "question", "sql", "CAST(value AS int) AS value", "CAST(ts AS timestamp) AS ts", "CAST(event_id AS bigint) AS event_id"
+    )
 
 
-def changes(feedback: DataFrame) -> DataFrame:
-    """The stream of newest votes: a batch gives a row for each pair that it changes, whatever order votes come in.
+def changes(votes: DataFrame, known: DataFrame) -> DataFrame:
+    """The newest vote of each pair of a batch that is newer than the known one, whatever order votes come in.
 
-    State is the time and event id of each pair's newest vote; an older or repeated vote gives no row.
+    An older or repeated vote gives no row. Both sides are joined as tables, so pairs are held by no task's memory.
     """
-    votes = feedback.select("question", "sql", F.col("value").cast("int").alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("bigint").alias("event_id"))
-    return votes.groupBy("question", "sql").applyInPandasWithState(_newest, _CHANGE, "ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
+    order = F.struct("ts", "event_id")
+    last = known.groupBy("question", "sql").agg(F.max(order).alias("_known"))
+    last = last.withColumnsRenamed({"question": "_question", "sql": "_sql"})
+    same = F.col("question").eqNullSafe(F.col("_question")) & F.col("sql").eqNullSafe(F.col("_sql"))
+    newer = F.col("_known").isNull() | (order > F.col("_known"))
+    return latest_feedback(votes).join(last, same, "left").filter(newer).select("question", "sql", "value", "ts", "event_id")
 
 
 def start_feedback(feedback: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Fold streamed feedback ``(question, sql, value, ts, event_id)`` into the newest vote of each pair.
 
-    A batch writes only the pairs it changes, under an id kept in the checkpoint and its batch number; a repeated
-    batch replaces its own files, and a second stream on the path has other ids. Every ``FOLD_EVERY`` batches the
+    A batch writes only the pairs it changes against what its stream has written before, under an id kept in the
+    checkpoint and its batch number; a repeated batch replaces its own files, and a second stream on the path has other ids. Every ``FOLD_EVERY`` batches the
     stream writes one folder in place of its earlier ones, which go at the next such time, so that readers
     under way keep their files. A read costs the pairs and the changes of a few batches, not the history.
     """
@@ -61,16 +52,19 @@ def start_feedback(feedback: DataFrame, path: str, checkpoint: str) -> Streaming
         ).partitionBy("batch_id").parquet(path)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        write(batch, f"{stream}-{batch_id}")
+        own = f"{stream}-{batch_id}"
+        # What an earlier try of this batch has written is not known yet; this one writes it again.
+        earlier = [place for place in _folders(spark, path).get(stream, {"live": []})["live"] if not place.endswith(f"batch_id={own}")]
+        write(changes(batch, _read(spark, earlier)), own)
         if batch_id % FOLD_EVERY != FOLD_EVERY - 1:
             return
-        before = _folders(spark, path).get(stream, {})
+        before = _folders(spark, path).get(stream, {"live": [], "gone": []})
         write(latest_feedback(_read(spark, before["live"])), f"{stream}-fold{batch_id}")
         for place in before["gone"]:
             files.delete(spark, place)
 
     return (
-        changes(feedback)
+        _votes(feedback)
         .writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

@@ -293,3 +293,15 @@ def test_compressed_drops_are_read_and_listed(spark, tmp_path):
     years = {r.source_year: r["count"] for r in wide_csv.read_years(spark, folder, (2018, 2020)).groupBy("source_year").count().collect()}
     want = {r.source_year: r["count"] for r in fx.wide(spark, "/root/testdata/sf0.001").groupBy("source_year").count().collect()}
     assert years == {year: want[year] for year in (2018, 2020)}
+
+
+def test_a_batch_gives_only_newer_votes_and_meets_tables_only(spark):
+    from casemill.streaming.feedback import changes
+
+    schema = "question string, sql string, value int, ts timestamp, event_id bigint"
+    day = [dt.datetime(2024, 1, n) for n in (1, 2, 3)]
+    known = spark.createDataFrame([("q", "old", 1, day[1], 5), ("q", "same", 1, day[1], 5), (None, "s", 1, day[1], 5)], schema)
+    batch = [("q", "old", 0, day[0], 9), ("q", "same", 1, day[1], 5), (None, "s", 0, day[1], 6), ("q", "new", 1, day[0], 1), ("q", "new", 0, day[2], 0)]
+    found = changes(spark.createDataFrame(batch, schema), known)
+    assert rows(found.coalesce(1), "sql") == [("q", "new", 0, day[2], 0), (None, "s", 0, day[1], 6)]
+    assert "Pandas" not in found._jdf.queryExecution().toString()
