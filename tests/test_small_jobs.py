@@ -305,3 +305,12 @@ def test_a_batch_gives_only_newer_votes_and_meets_tables_only(spark):
     found = changes(spark.createDataFrame(batch, schema), known)
     assert rows(found.coalesce(1), "sql") == [("q", "new", 0, day[2], 0), (None, "s", 0, day[1], 6)]
     assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_are_cut_some_hundred_at_a_time(spark):
+    from casemill.functions.chunking import chunks_of
+
+    texts = spark.createDataFrame([("a " * 400, "x.md"), (None, "y.txt"), ("b", None)], "text string, filename string")
+    cut = texts.select(chunks_of(texts["text"], texts["filename"]).alias("c"))
+    assert "ArrowEvalPython" not in cut._jdf.queryExecution().toString()
+    assert sorted(-1 if r.c is None else len(r.c) for r in cut.collect()) == [-1, 1, 2]
