@@ -222,19 +222,32 @@ def _select(rules: dict[str, str], engine: str) -> list[str]:
     return [f"{_dialect(expression, engine)} AS {name}" for name, expression in rules.items()]
 
 
-def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_year(rows: DataFrame, rules: dict[str, str], key: list[str], unique: bool) -> DataFrame:
+    """The narrow rows of a table as its wide ones, in the order of their years within a partition.
+
+    Sorted before they become wide, rows are written by year without a sort of wide rows. ``unique`` keeps one row
+    of each key, chosen among the narrow rows as well, so that no wide row is shuffled.
+    """
+    named = rows.selectExpr("*", *[f"{_dialect(rules[name], 'spark')} AS {name}" for name in key])
+    kept = named.dropDuplicates(key) if unique else named
+    others = [f"{name}" if name in key else f"{_dialect(rule, 'spark')} AS {name}" for name, rule in rules.items()]
+    return kept.sortWithinPartitions("fiscal_year").selectExpr(*others)
+
+
+def households(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     nation = table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS _state", "n_name", "n_regionkey")
-    orders = table(spark, sf_dir, "orders").selectExpr("*", "o_custkey % 25 AS _state")
-    return orders.join(nation, "_state", "left").selectExpr(*_select(HOUSEHOLD_RULES, "spark"))
+    orders = table(spark, sf_dir, "orders").selectExpr("*", "o_custkey % 25 AS _state").join(nation, "_state", "left")
+    return _by_year(orders, HOUSEHOLD_RULES, enrich.KEY, True) if unique else orders.selectExpr(*_select(HOUSEHOLD_RULES, "spark"))
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_select(MEMBER_RULES, "spark"))
+def members(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return _by_year(lines, MEMBER_RULES, [*enrich.KEY, "member_number"], True) if unique else lines.selectExpr(*_select(MEMBER_RULES, "spark"))
 
 
-def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def errors(spark: SparkSession, sf_dir: str, unique: bool = False) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    return lines.selectExpr(*_select(ERROR_RULES, "spark"))
+    return _by_year(lines, ERROR_RULES, [*enrich.KEY, "error_number"], True) if unique else lines.selectExpr(*_select(ERROR_RULES, "spark"))
 
 
 def refs(spark: SparkSession) -> dict[str, DataFrame]:

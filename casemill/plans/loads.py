@@ -302,8 +302,7 @@ def _keys_over_loads(spark: SparkSession, d: str) -> DataFrame:
 def _unique_appends(spark: SparkSession, d: str) -> DataFrame:
     """Appends with new keys stay; those that bring a key again are refused as a whole."""
     root = scratch_path(spark, "store")
-    found = zip(tables.TABLES, (fx.households(spark, d), fx.members(spark, d), fx.errors(spark, d)), strict=True)
-    frames = [df.dropDuplicates(keys.KEYS[name]) for name, df in found]
+    frames = fx.households(spark, d, unique=True), fx.members(spark, d, unique=True), fx.errors(spark, d, unique=True)
     for part in (0, 1, 0):
         with contextlib.suppress(keys.KeyClash):
             keys.append_unique(spark, root, *(df.filter(F.col("case_id").cast("bigint") % 2 == part) for df in frames))

@@ -48,7 +48,8 @@ def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
 def write_digests(spark: SparkSession, root: str, table: str, loads: DataFrame) -> None:
     """Digests of the given ``(fiscal_year, load_id)``, from their key columns alone; written again, they stay the same."""
     rows = spark.read.parquet(f"{root}/{table}").select(*KEYS[table], "load_id").join(loads, ["fiscal_year", "load_id"], "left_semi")
-    out = digests(rows, table).repartition("fiscal_year", "bucket").sortWithinPartitions("fiscal_year", "load_id", "bucket", "digest")
+    # Grouped rows stay where they are: digests are dealt evenly, and a second shuffle would move each key again.
+    out = digests(rows, table).sortWithinPartitions("fiscal_year", "load_id", "bucket", "digest")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fiscal_year", "load_id").parquet(f"{root}/keys/{table}")
 
 

@@ -314,3 +314,18 @@ def test_texts_are_cut_some_hundred_at_a_time(spark):
     cut = texts.select(chunks_of(texts["text"], texts["filename"]).alias("c"))
     assert "ArrowEvalPython" not in cut._jdf.queryExecution().toString()
     assert sorted(-1 if r.c is None else len(r.c) for r in cut.collect()) == [-1, 1, 2]
+
+
+def test_unique_rows_are_chosen_before_they_become_wide(spark, tmp_path):
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1)
+    twice = [line.selectExpr(f"* EXCEPT (l_orderkey, l_partkey, l_linenumber)", f"CAST({k} AS BIGINT) AS l_orderkey", f"CAST({p} AS BIGINT) AS l_partkey", "1 AS l_linenumber")
+             for k, p in ((7, 1), (7, 2), (8, 1), (8, 97))]
+    twice[0].unionByName(twice[1]).unionByName(twice[2]).unionByName(twice[3]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for make in (fx.members, fx.errors):
+        every, kept = make(spark, str(tmp_path)), make(spark, str(tmp_path), unique=True)
+        assert kept.columns == every.columns and kept.dtypes == every.dtypes
+        assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in every.collect()}
+        # The key of line 97 has a shifted year.
+        assert sorted((r.case_id, r.fiscal_year) for r in kept.collect()) == [("7", 2017), ("8", 2018), ("8", 2019)]
+        moved = [n for n in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in n]
+        assert moved and not any("verification_status" in n or "dependent_care_cost" in n for n in moved)
