@@ -329,3 +329,16 @@ def test_unique_rows_are_chosen_before_they_become_wide(spark, tmp_path):
         assert sorted((r.case_id, r.fiscal_year) for r in kept.collect()) == [("7", 2017), ("8", 2018), ("8", 2019)]
         moved = [n for n in kept._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in n]
         assert moved and not any("verification_status" in n or "dependent_care_cost" in n for n in moved)
+
+
+def test_a_session_built_elsewhere_keeps_generated_methods_small(spark):
+    from casemill.plans import QUERIES
+
+    key, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        for given, want in (("65535", "8000"), ("4000", "4000")):
+            spark.conf.set(key, given)
+            QUERIES["table_counts"](spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
