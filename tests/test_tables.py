@@ -2,6 +2,7 @@ import os
 
 import pytest
 from conftest import rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from casemill.operators import enrich, quality, rates, reshape
@@ -366,3 +367,30 @@ def test_sums_of_loads_add_up_to_the_whole(spark):
     assert {r.fiscal_year for r in rollups.pending(spark, root, other).collect()} == {2018}
     rollups.refresh(spark, root, other)
     assert summed(spark, root, refs, other) == computed(spark, root, refs, other)
+
+
+def test_staged_rows_are_counted_as_they_are_written(spark):
+    """A count of the wide rows would keep the steps before it from becoming one."""
+    seen = Observation("staged")
+    wide = spark.createDataFrame([("1", 2020, "1", "30"), ("2", 2021, None, "31")], "HHLDNO string, source_year int, FSAFIL1 string, AGE1 string")
+    staged = wide_csv.stage_wide(wide, "source_year", scratch_path(spark, "s"), seen)
+    assert seen.get["rows"] == 2
+    assert rows(staged.selectExpr("HHLDNO", "fiscal_year", "size(members)"), "HHLDNO") == [("1", 2020, 1), ("2", 2021, 0)]
+
+
+def test_wide_slots_follow_their_rules_for_odd_keys(spark, tmp_path):
+    """Also where a remainder is negative or missing; orders of one file are written as wide rows by several tasks."""
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    keys_of = [(k, c) for k in (-50, -7, 0, 1, 20, 9999999999, None) for c in (-13, 0, 8, None)] * 3
+    orders = spark.createDataFrame([(k, c, "F", 1.5, None, None) for k, c in keys_of], schema).coalesce(1)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0, "N_0", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    names = [f"{source}{n}" for source in ("REL", "DPCOST") for n in (1, 17)] + ["NATURE9"]
+    rules = {**fixtures.WIDE_PERSON_RULES, **fixtures.WIDE_ERROR_RULES}
+    plain = [f"{rules[name.rstrip('0123456789')].replace('{n}', name.lstrip('ABCDEFGHIJKLMNOPQRSTUVWXYZ'))} AS {name}" for name in names]
+    want = sorted(orders.selectExpr(*plain).collect(), key=str)
+    assert sorted(fixtures.wide(spark, str(tmp_path)).select(*names).collect(), key=str) == want
+    fixtures.write_wide_csv(spark, str(tmp_path), f"{tmp_path}/wide")
+    files_of = spark.read.option("header", True).csv(f"{tmp_path}/wide")
+    assert sorted(files_of.select(*names).collect(), key=str) == want
+    assert files_of.select(F.input_file_name()).distinct().count() > 1
