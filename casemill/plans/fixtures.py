@@ -166,10 +166,22 @@ WIDE_ERROR_RULES: dict[str, str] = {
 }
 
 # The variables without a rule of their own: whole numbers, or amounts where the type is one.
+_REMAINDERS: dict[str, tuple[str, int, str]] = {}  # rule -> its number, the divisor, what follows the remainder
 for _rules, _variables in ((WIDE_PERSON_RULES, spec.PERSON_VARIABLES), (WIDE_ERROR_RULES, spec.ERROR_VARIABLES)):
     for _i, (_source, (_, _kind)) in enumerate(_variables.items()):
         _cents_part = " || '.75'" if _kind.startswith("decimal") else ""
-        _rules.setdefault(_source, f"CAST((o_custkey * {{n}} + o_orderkey + {_i}) % {_i % 7 + 3} AS STRING){_cents_part}")
+        _rule = f"CAST((o_custkey * {{n}} + o_orderkey + {_i}) % {_i % 7 + 3} AS STRING){_cents_part}"
+        if _rules.setdefault(_source, _rule) == _rule:
+            _REMAINDERS[_rule] = f"(o_custkey * {{n}} + o_orderkey + {_i})", _i % 7 + 3, ".75" if _cents_part else ""
+
+
+def _spark_rule(rule: str) -> str:
+    """A slot rule for Spark. The few texts of a remainder are picked from a list, which is cheaper than writing numbers."""
+    if rule not in _REMAINDERS:
+        return rule
+    number, divisor, ending = _REMAINDERS[rule]
+    texts = ", ".join(f"'{value}{ending}'" for value in range(1 - divisor, divisor))
+    return f"get(array({texts}), CAST({number} % {divisor} AS INT) + {divisor - 1})"
 
 
 def wide_columns() -> list[str]:
@@ -182,7 +194,7 @@ def wide_columns() -> list[str]:
             out.append(f"CAST({rule} AS STRING) AS {source}")
     for rules, slots in ((WIDE_PERSON_RULES, spec.MEMBER_SLOTS), (WIDE_ERROR_RULES, spec.ERROR_SLOTS)):
         for n in range(1, slots + 1):
-            out += [f"{rule.replace('{n}', str(n))} AS {source}{n}" for source, rule in rules.items()]
+            out += [f"{_spark_rule(rule).replace('{n}', str(n))} AS {source}{n}" for source, rule in rules.items()]
     return out
 
 
@@ -193,20 +205,44 @@ def _wide_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.selectExpr("*", "CAST(2017 + o_orderkey % 7 AS INT) AS source_year")
 
 
+# Wide rows a task writes, some 40 MB compressed; a file is read by one task as well.
+_ROWS_A_TASK = 60_000
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Orders by ranges of their years, in as many parts as it takes to write them as wide rows.
+
+    A wide row takes a hundred times the work of the order it is made from, so the few parts that orders are read in are too few.
+    A part has few years, so a write by year makes little more than a file a part.
+    """
+    parts = max(-(-rows.count() // _ROWS_A_TASK), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(parts, "source_year", "o_orderkey", "o_custkey")
+
+
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide survey rows with the fiscal year in ``source_year``."""
     return _wide_orders(spark, sf_dir).selectExpr(*wide_columns(), "source_year")
 
 
+# Hundreds of columns repeat, and the least effort of gzip finds most of that.
+_CSV = {"header": True, "escape": '"', "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
+def write_wide_csv(spark: SparkSession, sf_dir: str, path: str, condition: str = "true", columns=lambda df: df) -> None:
+    """The wide rows of some orders as one CSV dataset; ``columns`` may change the frame without its years before."""
+    rows = _spread(_wide_orders(spark, sf_dir).filter(condition)).selectExpr(*wide_columns())
+    columns(rows).write.options(**_CSV).csv(path)
+
+
 def write_wide_files(spark: SparkSession, sf_dir: str, folder: str, condition: str = "true") -> None:
-    """The wide rows as one CSV dataset per fiscal year, named after the year; compressed, since hundreds of columns repeat.
+    """The wide rows as one CSV dataset per fiscal year, named after the year.
 
     The orders are sorted by file before they become wide, so the write need not sort wide rows.
     """
-    rows = _wide_orders(spark, sf_dir).filter(condition)
+    rows = _spread(_wide_orders(spark, sf_dir).filter(condition))
     named = rows.withColumn("file", F.concat(F.lit("qc_pub_fy"), F.col("source_year").cast("string"), F.lit(".csv")))
     sorted_rows = named.sortWithinPartitions("file").selectExpr(*wide_columns(), "file")
-    sorted_rows.write.partitionBy("file").option("header", True).option("compression", "gzip").csv(folder)
+    sorted_rows.write.partitionBy("file").options(**_CSV).csv(folder)
 
 
 def duck_slots(rules: dict[str, str], slots: int) -> str:

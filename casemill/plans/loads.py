@@ -100,11 +100,11 @@ def _row_number_key(spark: SparkSession, d: str) -> DataFrame:
 def _wide_csv_scan(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "wide")
     # Quoted commas and doubled quotes in the names; the second folder has the columns in another order.
-    wide = fx.wide(spark, d).withColumn("STATENAME", F.concat(F.lit('"'), "STATENAME", F.lit('", QC')))
-    for late in (False, True):
-        part = wide.filter("source_year >= 2020" if late else "source_year < 2020").drop("source_year")
-        part = part.select(*reversed(part.columns)) if late else part
-        part.write.option("header", True).option("escape", '"').option("compression", "gzip").csv(f"{path}/{'late' if late else 'early'}.csv")
+    def quoted(df: DataFrame) -> DataFrame:
+        return df.withColumn("STATENAME", F.concat(F.lit('"'), "STATENAME", F.lit('", QC')))
+
+    fx.write_wide_csv(spark, d, f"{path}/early.csv", "source_year < 2020", quoted)
+    fx.write_wide_csv(spark, d, f"{path}/late.csv", "source_year >= 2020", lambda df: quoted(df).select(*reversed(df.columns)))
     rows = wide_csv.read_wide_csv(spark, f"{path}/*.csv")
     return rows.groupBy(F.col("STATENAME").alias("state_name")).agg(
         F.count(F.lit(1)).alias("rows_read"),
@@ -116,7 +116,7 @@ def _wide_csv_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("wide_row_count", "S1", "SELECT count(*) AS row_count FROM orders")
 def _wide_row_count(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "wide")
-    fx.wide(spark, d).drop("source_year").write.option("header", True).option("compression", "gzip").csv(path)
+    fx.write_wide_csv(spark, d, path)
     return wide_csv.row_count(spark, path)
 
 
