@@ -14,6 +14,7 @@ from casemill.session import scratch_path
 from casemill.sources import files
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,15 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Hold the batches that tasks hand to Python to ``BATCH_BYTES`` each; by Spark's default ten thousand texts go at once.
+
+    Every batch stands in the JVM and in Python. A size set by the caller stays.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def discard(df: DataFrame) -> None:
     """Remove the folders of a settled frame that nothing reads any more; what was made from it is settled itself."""
     for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:

@@ -9,10 +9,10 @@ place, are removed if their bytes equal the first one's.
 Passages are found without regard to lines. A window is a run of ``LONG_WORDS`` words with the blanks between
 them. Whatever stands in a window that has occurred before, by doc_id and place, is a repeated passage, so a passage is
 as long as the texts agree. The seed of a window is its run of ``SEED`` words with the least hash; equal windows have equal
-seeds. Windows in a row with one seed form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
+seeds. Windows in a row with one seed, the first of equal runs, form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
 occurs again are looked at: where whole contexts are equal, all but the first are repeats, and only the firsts of
 different contexts with one seed are compared window by window. Contexts are hashed where their seeds are found, and only the
-texts of unlike ones are read again. Seeds have 58 bits, contexts and windows 64; both are compared together. Of equal texts only the first is searched; the others are passages as a whole.
+texts of unlike ones are read again. Seeds, contexts and windows have 64 bits; both are compared together. Of equal texts only the first is searched; the others are passages as a whole.
 """
 
 from __future__ import annotations
@@ -26,10 +26,9 @@ from casemill.llm import words
 from casemill.llm.common import discard, free_name, settled, slices
 
 WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
-SEED, SLICE_BYTES = 16, 1 << 20
+SEED, SLICE_BYTES, MERGE_ROWS = 16, 1 << 20, 256
 CHUNK = "doc_id long, tie long, start int, stop int, hash long"
 _MOD, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
-_PLACE = np.uint64(63)  # more than the runs of a window
 
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
@@ -69,16 +68,17 @@ def chunks(text: str) -> list[tuple[int, int, int]]:
 def _chunk(bits: int):
     def run(batches):
         for batch in batches:
-            columns = [[], [], [], [], []]
-            for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start, stop, value in chunks(text or ""):
-                    value &= (1 << bits) - 1
-                    for column, x in zip(columns, (doc_id, tie, start, stop, value - (1 << 64) if value >> 63 else value), strict=True):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tie", "start", "stop", "hash"]
-            )
+            for a, b in slices(batch.column("text"), SLICE_BYTES):
+                columns = [[], [], [], [], []]
+                for doc_id, tie, text in zip(*(c.to_pylist() for c in batch.slice(a, b - a).columns), strict=True):
+                    for start, stop, value in chunks(text or ""):
+                        value &= (1 << bits) - 1
+                        for column, x in zip(columns, (doc_id, tie, start, stop, value - (1 << 64) if value >> 63 else value), strict=True):
+                            column.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tie", "start", "stop", "hash"]
+                )
 
     return run
 
@@ -123,8 +123,7 @@ def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     reach = LONG_WORDS - SEED + 1
     if len(hashes) < LONG_WORDS:
         return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    # The low bits tell neighbours apart, so that a change of the least is a change of its place.
-    grams = words.run_hashes(hashes, SEED) & ~_PLACE | np.arange(len(hashes) - SEED + 1, dtype=np.uint64) & _PLACE
+    grams = words.run_hashes(hashes, SEED)
     least, size = grams, 1
     while size < reach:
         step = min(size, reach - size)
@@ -132,10 +131,13 @@ def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.nonzero(owner[LONG_WORDS - 1 :] == owner[: len(least)])[0]
     least = least[starts]
-    opens = np.nonzero(np.concatenate([np.ones(min(1, len(starts)), bool), (np.diff(starts) > 1) | (least[1:] != least[:-1])]))[0]
+    # Of equal runs the first is the seed: it is left behind where a window begins with it. So no two windows of a context are equal,
+    # and contexts do not depend on what texts stand before in the column.
+    left = (np.diff(starts) > 1) | (least[1:] != least[:-1]) | (grams[starts[:-1]] == least[:-1])
+    opens = np.nonzero(np.concatenate([np.ones(min(1, len(starts)), bool), left]))[0]
     first = starts[opens]
     row = owner[first]
-    return row, first - (np.cumsum(counts) - counts)[row], np.diff(np.append(opens, len(starts))), least[opens] & ~_PLACE
+    return row, first - (np.cumsum(counts) - counts)[row], np.diff(np.append(opens, len(starts))), least[opens]
 
 
 SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, hashes array<long>, lows array<long>, highs array<long>"
@@ -229,22 +231,24 @@ def regions(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _merge(batches):
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    for batch in batches:
-        passages, every = [], []
-        for lines, ends in zip(batch.column("lines").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-            found = regions([(x["low"], x["high"]) for x in ends or ()])
-            met = []
-            for start, stop in sorted(found + [(x["start"], x["stop"] + 1) for x in lines or ()]):
-                if met and start < met[-1][1]:
-                    met[-1][1] = max(met[-1][1], stop)
-                else:
-                    met.append([start, stop])
-            for column, rows in ((passages, found), (every, met)):
-                column.append([{"start": x, "stop": y - 1} for x, y in rows] or None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("tie"), batch.column("lines"), pa.array(passages, span), pa.array(every, span)],
-            names=["doc_id", "tie", "lines", "passages", "every"],
-        )
+    for whole in batches:
+        for at in range(0, whole.num_rows, MERGE_ROWS):
+            batch = whole.slice(at, MERGE_ROWS)
+            passages, every = [], []
+            for lines, ends in zip(batch.column("lines"), batch.column("ends"), strict=True):  # a document's windows at a time
+                found = regions([(x["low"], x["high"]) for x in ends.as_py() or ()])
+                met = []
+                for start, stop in sorted(found + [(x["start"], x["stop"] + 1) for x in lines.as_py() or ()]):
+                    if met and start < met[-1][1]:
+                        met[-1][1] = max(met[-1][1], stop)
+                    else:
+                        met.append([start, stop])
+                for column, rows in ((passages, found), (every, met)):
+                    column.append([{"start": x, "stop": y - 1} for x, y in rows] or None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("tie"), batch.column("lines"), pa.array(passages, span), pa.array(every, span)],
+                names=["doc_id", "tie", "lines", "passages", "every"],
+            )
 
 
 def _place(start):

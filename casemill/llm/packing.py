@@ -130,9 +130,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     )
     # At most `capacity` rows reach the driver.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    schema = "of_length long, from_rank long, to_rank long, first_bin long, in_bin long, at long"
-    # A few rows for each length, whatever the input: bounded by the capacity.
-    found = F.broadcast(spark.createDataFrame(places(counts, capacity).itertuples(index=False, name=None), schema))
+    schema = pa.schema([(n, pa.int64()) for n in ("of_length", "from_rank", "to_rank", "first_bin", "in_bin", "at")])
+    # A few rows for each length, whatever the input: bounded by the capacity. As an Arrow table, they start no Python on the executors.
+    found = F.broadcast(spark.createDataFrame(pa.Table.from_pandas(places(counts, capacity), schema, preserve_index=False)))
     ranked = pieces.join(
         starts, (F.col("length") == F.col("of_length")) & (F.col("block") == F.col("of_block")), "inner"
     ).select(*pieces.columns, (F.col("ranks_before") + F.col("rank_in_block")).alias("rank"))

@@ -1,7 +1,7 @@
 """The corpus pipeline: documents without toxic ones, repeated passages and near copies, mixed and packed.
 
 Each stage works on all that the one before kept, gets it as ``docs`` and returns a frame, which is written
-and read again. All but the last return the columns of documents.
+and read again. All but the last return the columns of documents. A stage that hands texts to Python holds the size of their batches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import linededup, mixing, neardup, packing, toxicity
-from casemill.llm.common import settled, table
+from casemill.llm.common import limit_batches, settled, table
 from casemill.llm.queries import tokenizer_path
 
 MOST_REPEAT = 1.5
@@ -19,6 +19,7 @@ CAPACITY, END_ID = 2048, 0
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold, as they are; null and empty texts are scored like any other."""
+    limit_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(model.score(F.col("text")) < toxicity.THRESHOLD)
 
@@ -28,6 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document of which nothing is left goes; one that was null or empty before stays.
     """
+    limit_batches(spark)
     cut = linededup.remove_repeats(docs, passages=True)
     spans = F.col(next(c for c in cut.columns if c not in docs.columns))
     left = cut.filter(spans.isNull() | (F.col("text") != ""))
@@ -42,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without words, and rows without doc_id, are near nothing and stay.
     """
+    limit_batches(spark)
     kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("of_doc")).distinct()
     left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["of_doc"]), "left_semi")
     return left.dropDuplicates(["doc_id", "text"])
@@ -54,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document in sequences of at most ``CAPACITY`` tokens."""
+    limit_batches(spark)
     return packing.pack_documents(docs, tokenizer_path(), CAPACITY, END_ID)
 
 

@@ -282,6 +282,22 @@ def test_pipeline_stages_equal_brute_force(spark):
     assert packed.select("doc_id").distinct().count() == len({r[0] for r in rows})
 
 
+@pytest.mark.parametrize("stage", ["drop_repeated_lines", "drop_near_copies", "pack_sequences"])
+def test_pipeline_holds_the_size_of_batches(spark, stage):
+    import corpus_pipeline as pipeline
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = frame(spark, [(i, words(random.Random(i), 3000), "s") for i in range(900)]).coalesce(1)
+    getattr(pipeline, stage)(spark, docs, "")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    met = [r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(met) > 12 << 20 and max(met) < 5 << 20
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test data not present")
 def test_pipeline_runs_over_an_empty_table(spark, tmp_path):
     import corpus_pipeline as pipeline

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -185,6 +186,39 @@ def test_passages_of_random_texts_equal_brute_force(spark):
         assert left.split() == want[i]
 
 
+def test_contexts_do_not_depend_on_the_texts_before(spark):
+    text, met = "word " * 54, set()
+    for before in range(70):
+        row, _, many, _ = linededup.seeds(pa.array([" ".join(map(str, range(before))), text]), w.Powers())
+        met.add(tuple(many[row == 1].tolist()))
+    assert met == {(1,) * 5}
+    rows = [(i, f"{words(random.Random(i), 60)} {text}{words(random.Random(-i), 7)}", "s") for i in range(1, 65)]
+    got = linededup.repeats(frame(spark, rows).coalesce(1)).filter("passages is not null").select("doc_id").collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}
+
+
+def most_memory(run, batch):
+    tracemalloc.start()
+    found = sum(b.num_rows for b in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, most
+
+
+def test_batches_are_read_a_part_at_a_time():
+    texts = [words(random.Random(i), 700) for i in range(3000)]
+    size = sum(map(len, texts))
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(3000), "tie": range(3000), "text": texts})
+    found, most = most_memory(linededup._chunk(64), batch)
+    assert found == 3000 and most < size / 2
+    ends = [{"low": 20 * i, "high": 20 * i + 600} for i in range(150)]
+    kinds = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    lists = pa.array([None] * 2000, kinds[0]), pa.array([ends] * 2000, kinds[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(range(2000)), *lists], names=["doc_id", "tie", "lines", "ends"])
+    found, most = most_memory(linededup._merge, batch)
+    assert found == 2000 and most < 100 * 2000 * 150 / 10
+
+
 def test_chunk_boundaries_resist_shifts():
     rng = random.Random(6)
     shared = "\n".join(words(rng, 8) for _ in range(60))

@@ -63,6 +63,13 @@ def test_packing_equals_brute_force_pieces_and_fills_bins(spark):
     assert packing.pack_documents(frame(spark, []), PATH, 64, 0).count() == 0
 
 
+def test_places_of_ranks_start_no_python_on_executors(spark):
+    pieces = spark.range(9).selectExpr("id as doc_id", "10 + id % 3 as length", "0 as block", "id div 3 as rank_in_block")
+    got = packing.pack(pieces, 64)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 9 and got.agg({"sequence_id": "max"}).first()[0] == 1
+
+
 def test_fullest_combination_equals_brute_force():
     rng = random.Random(3)
     for _ in range(200):
