@@ -9,10 +9,10 @@ place, are removed if their bytes equal the first one's.
 Passages are found without regard to lines. A window is a run of ``LONG_WORDS`` words with the blanks between
 them. Whatever stands in a window that has occurred before, by doc_id and place, is a repeated passage, so a passage is
 as long as the texts agree. The seed of a window is its run of ``SEED`` words with the least hash; equal windows have equal
-seeds. Windows in a row with one seed, the first of equal runs, form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
+seeds. Windows in a row with one seed form a context, of up to ``2 * LONG_WORDS - SEED`` words. Only contexts whose seed
 occurs again are looked at: where whole contexts are equal, all but the first are repeats, and only the firsts of
 different contexts with one seed are compared window by window. Contexts are hashed where their seeds are found, and only the
-texts of unlike ones are read again. Seeds, contexts and windows have 64 bits; both are compared together. Of equal texts only the first is searched; the others are passages as a whole.
+texts of unlike ones are read again. Seeds have 58 bits, contexts and windows 64; both are compared together. Of equal texts only the first is searched; the others are passages as a whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ WINDOW, MASK, LEAST_LINES, LEAST_BYTES, LONG_WORDS = 2, 3, 2, 64, 50
 SEED, SLICE_BYTES, MERGE_ROWS = 16, 1 << 20, 256
 CHUNK = "doc_id long, tie long, start int, stop int, hash long"
 _MOD, _FACTOR = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_PLACE = np.uint64(63)  # more than the runs of a window
 
 
 def chunks(text: str) -> list[tuple[int, int, int]]:
@@ -123,7 +124,8 @@ def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     reach = LONG_WORDS - SEED + 1
     if len(hashes) < LONG_WORDS:
         return tuple(np.empty(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))
-    grams = words.run_hashes(hashes, SEED)
+    # The low bits tell neighbours apart, so that a change of the least is a change of its place.
+    grams = words.run_hashes(hashes, SEED) & ~_PLACE | np.arange(len(hashes) - SEED + 1, dtype=np.uint64) & _PLACE
     least, size = grams, 1
     while size < reach:
         step = min(size, reach - size)
@@ -131,13 +133,23 @@ def seeds(texts: pa.Array, powers: words.Powers) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(counts)), counts)
     starts = np.nonzero(owner[LONG_WORDS - 1 :] == owner[: len(least)])[0]
     least = least[starts]
-    # Of equal runs the first is the seed: it is left behind where a window begins with it. So no two windows of a context are equal,
-    # and contexts do not depend on what texts stand before in the column.
-    left = (np.diff(starts) > 1) | (least[1:] != least[:-1]) | (grams[starts[:-1]] == least[:-1])
-    opens = np.nonzero(np.concatenate([np.ones(min(1, len(starts)), bool), left]))[0]
+    opens = np.nonzero(np.concatenate([np.ones(min(1, len(starts)), bool), (np.diff(starts) > 1) | (least[1:] != least[:-1])]))[0]
     first = starts[opens]
     row = owner[first]
-    return row, first - (np.cumsum(counts) - counts)[row], np.diff(np.append(opens, len(starts))), least[opens]
+    return row, first - (np.cumsum(counts) - counts)[row], np.diff(np.append(opens, len(starts))), least[opens] & ~_PLACE
+
+
+def parts(batches):
+    """Parts of about ``SLICE_BYTES`` of a task's texts, whatever batches these come in."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        *full, (at, _) = [*slices(batch.column("text"), SLICE_BYTES)] or [(0, 0)]
+        for a, b in full:
+            yield batch.slice(a, b - a)
+        held = batch.slice(at)
+    if held is not None:
+        yield held
 
 
 SEEDED = "doc_id long, tie long, body binary, low long, high long, seeds array<long>, hashes array<long>, lows array<long>, highs array<long>"
@@ -148,25 +160,23 @@ def _seed(batches):
     from xxhash import xxh3_128_digest
 
     powers = words.Powers()
-    for batch in batches:
-        for a, b in slices(batch.column("text"), SLICE_BYTES):
-            part = batch.slice(a, b - a)
-            row, at, many, value = seeds(part.column("text"), powers)
-            if not len(row):
-                continue
-            places = Places(part.column("text"))
-            first = places.first_word[row] + at
-            last = first + many + LONG_WORDS - 2
-            mine, begins = np.unique(row, return_index=True)
-            whole = places.ends(mine, places.first_word[mine], places.first_word[mine + 1] - 1)
-            cuts = pa.array(np.append(begins, len(row)), pa.int32())
-            bodies = [xxh3_128_digest(places.view[places.bounds[i] : places.bounds[i + 1]]) for i in mine]
-            lists = (value.view(np.int64), places.hashes(first, last), *places.ends(row, first, last))
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c).take(pa.array(mine, pa.int64())) for c in ("doc_id", "tie")), pa.array(bodies, pa.binary()),
-                 *(pa.array(x, pa.int64()) for x in whole), *(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in lists)],
-                names=["doc_id", "tie", "body", "low", "high", "seeds", "hashes", "lows", "highs"],
-            )
+    for part in parts(batches):
+        row, at, many, value = seeds(part.column("text"), powers)
+        if not len(row):
+            continue
+        places = Places(part.column("text"))
+        first = places.first_word[row] + at
+        last = first + many + LONG_WORDS - 2
+        mine, begins = np.unique(row, return_index=True)
+        whole = places.ends(mine, places.first_word[mine], places.first_word[mine + 1] - 1)
+        cuts = pa.array(np.append(begins, len(row)), pa.int32())
+        bodies = [xxh3_128_digest(places.view[places.bounds[i] : places.bounds[i + 1]]) for i in mine]
+        lists = (value.view(np.int64), places.hashes(first, last), *places.ends(row, first, last))
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(c).take(pa.array(mine, pa.int64())) for c in ("doc_id", "tie")), pa.array(bodies, pa.binary()),
+             *(pa.array(x, pa.int64()) for x in whole), *(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in lists)],
+            names=["doc_id", "tie", "body", "low", "high", "seeds", "hashes", "lows", "highs"],
+        )
 
 
 CUT = "doc_id long, tie long, start long, stop long, hash long, seed long, is_first boolean, body string"

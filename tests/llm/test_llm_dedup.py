@@ -186,15 +186,15 @@ def test_passages_of_random_texts_equal_brute_force(spark):
         assert left.split() == want[i]
 
 
-def test_contexts_do_not_depend_on_the_texts_before(spark):
-    text, met = "word " * 54, set()
-    for before in range(70):
-        row, _, many, _ = linededup.seeds(pa.array([" ".join(map(str, range(before))), text]), w.Powers())
-        met.add(tuple(many[row == 1].tolist()))
-    assert met == {(1,) * 5}
-    rows = [(i, f"{words(random.Random(i), 60)} {text}{words(random.Random(-i), 7)}", "s") for i in range(1, 65)]
-    got = linededup.repeats(frame(spark, rows).coalesce(1)).filter("passages is not null").select("doc_id").collect()
-    assert {r.doc_id for r in got} == {r[0] for r in rows}
+def test_seeds_do_not_depend_on_the_size_of_batches(monkeypatch):
+    monkeypatch.setattr(linededup, "SLICE_BYTES", 5000)
+    texts = [f"{words(random.Random(i), i % 90)} {'word ' * 54}" for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(200), "tie": range(200), "text": texts})
+    whole = pa.Table.from_batches(linededup._seed([batch])).to_pylist()
+    assert len(whole) == 200
+    for many in (1, 7, 64):
+        cut = [batch.slice(at, many) for at in range(0, 200, many)]
+        assert pa.Table.from_batches(linededup._seed(iter([batch.slice(0, 0), *cut]))).to_pylist() == whole
 
 
 def most_memory(run, batch):
