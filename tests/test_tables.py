@@ -5,10 +5,12 @@ from conftest import rows
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from casemill import spec
 from casemill.operators import enrich, quality, rates, reshape
 from casemill.plans import fixtures
 from casemill.session import scratch_path
 from casemill.sources import keys, rollups, tables, wide_csv
+from casemill.streaming import loads
 from casemill.streaming.loads import start_file_loads
 
 
@@ -394,3 +396,60 @@ def test_wide_slots_follow_their_rules_for_odd_keys(spark, tmp_path):
     files_of = spark.read.option("header", True).csv(f"{tmp_path}/wide")
     assert sorted(files_of.select(*names).collect(), key=str) == want
     assert files_of.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_lines_are_staged_as_the_csv_reader_reads_them(spark, tmp_path):
+    names = [*spec.HOUSEHOLD_VARIABLES][:8] + [f"{v}{n}" for v in spec.PERSON_VARIABLES for n in (1, 2)] + ["ELEMENT1", "it's`\\"]
+    header = ",".join(names)
+    at = {name: i for i, name in enumerate(names)}
+
+    def line(**cells):
+        row = [""] * len(names)
+        for name, value in cells.items():
+            row[at[name]] = value
+        return ",".join(row)
+
+    lines = [
+        line(HHLDNO="1", STATENAME='"a, ""b"""', FSAFIL1="1", AGE1="7", WAGES1="5.50"), line(HHLDNO=" 2 ", FSAFIL1="NA", FSAFIL2="3", SEX2='""'),
+        "", "   ", header, line(HHLDNO="3", ELEMENT1="311") + ",more,still more", "4,short", line(HHLDNO='"5', FSAFIL2="2"), line(), line(HHLDNO="6\t", FSAFIL1='é"x"'),
+    ]
+    paths = []
+    for name, part in (("qc_pub_fy2021 a+b.csv", lines), ("qc_pub_fy2022.csv", lines[:3]), ("none.csv", lines[:1]), ("qc_pub_fy2023.csv", [])):
+        (tmp_path / name).write_text("\n".join([header, *part]) + "\n", encoding="utf-8")
+        paths.append(f"{tmp_path}/{name}")
+    wide = wide_csv.scans_with_year(spark, {tuple(names): paths})[0]
+    want, got = wide_csv.nested(wide, "source_year"), wide_csv.nested_years(spark, names, paths)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.count() == 11
+
+
+def test_a_stream_takes_hundreds_of_columns_through_no_step(spark, tmp_path, monkeypatch):
+    """Each step between the files and the staged rows would copy every column."""
+    widest = []
+
+    def watched(parts, path, seen=None):
+        for part in parts:
+            node = part._jdf.queryExecution().optimizedPlan()
+            nodes = [node]
+            while nodes:
+                node = nodes.pop()
+                widest.append(node.output().size())
+                nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return wide_csv.stage(parts, path, seen)
+
+    monkeypatch.setattr(loads, "stage_rows", watched)
+    folder = f"{tmp_path}/drops"
+    fixtures.write_wide_files(spark, "/root/testdata/sf0.001", folder, "source_year = 2018 AND o_orderkey < 700")
+    loads.start_file_loads(spark, folder, f"{tmp_path}/store", f"{tmp_path}/mark", f"{tmp_path}/stage").awaitTermination()
+    assert 0 < max(widest) < 100
+    assert tables.read_table(spark, f"{tmp_path}/store", "households").count() == 100
+
+
+def test_wide_files_hold_the_wide_rows(spark, tmp_path):
+    few = "o_orderkey < 200"
+    fixtures.write_wide_csv(spark, "/root/testdata/sf0.001", f"{tmp_path}/one.csv", few)
+    fixtures.write_wide_files(spark, "/root/testdata/sf0.001", f"{tmp_path}/years", few)
+    one, years = (wide_csv.scan_lines(spark, wide_csv.files_under(spark, f"{tmp_path}/{p}")) for p in ("one.csv", "years/*"))
+    assert sorted(r.line for r in one.collect()) == sorted(r.line for r in years.collect())
+    headers = wide_csv.by_header(spark, [f for p in ("one.csv", "years/*") for f in wide_csv.files_under(spark, f"{tmp_path}/{p}")])
+    assert len(headers) == 1 and one.count() == 200
