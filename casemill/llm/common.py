@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.session import scratch_path
+from casemill.session import scratch_path, without_shuffles
 from casemill.sources import files
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
@@ -27,12 +26,9 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     What the write has shuffled is removed behind it, so that disk holds one job's shuffles and not all of them.
     """
     spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = scratch_path(spark, label)
+    with without_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -42,6 +44,20 @@ def limit_methods(spark: SparkSession) -> None:
         spark.conf.set(key, DEFAULTS[key])
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def without_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a write within has shuffled is removed behind it, so that disk holds one job's shuffles and not all of them."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a local one only when that is unset in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

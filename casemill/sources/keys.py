@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.operators.enrich import KEY
+from casemill.session import scratch_path, without_shuffles
 from casemill.sources import files, tables
 
 KEYS = {"households": KEY, "household_members": [*KEY, "member_number"], "qc_errors": [*KEY, "error_number"]}
 BUCKETS = 64
+_REPORT = "table_name string, fiscal_year int, repeated_keys bigint, taken_keys bigint, rows_in_load bigint"
 _DIGESTS = "digest binary, rows bigint, bucket int, fiscal_year int, load_id string"
 
 
@@ -47,10 +49,12 @@ def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def write_digests(spark: SparkSession, root: str, table: str, loads: DataFrame) -> None:
     """Digests of the given ``(fiscal_year, load_id)``, from their key columns alone; written again, they stay the same."""
-    rows = spark.read.parquet(f"{root}/{table}").select(*KEYS[table], "load_id").join(loads, ["fiscal_year", "load_id"], "left_semi")
+    # The driver makes the frame of loads from its rows, so it is small, which Spark can't tell: without the hint all rows are shuffled by load.
+    rows = spark.read.parquet(f"{root}/{table}").select(*KEYS[table], "load_id").join(F.broadcast(loads), ["fiscal_year", "load_id"], "left_semi")
     # Grouped rows stay where they are: digests are dealt evenly, and a second shuffle would move each key again.
     out = digests(rows, table).sortWithinPartitions("fiscal_year", "load_id", "bucket", "digest")
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fiscal_year", "load_id").parquet(f"{root}/keys/{table}")
+    with without_shuffles(spark):
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fiscal_year", "load_id").parquet(f"{root}/keys/{table}")
 
 
 def complete_digests(spark: SparkSession, root: str, table: str, loads: set[tuple[int, str]]) -> None:
@@ -76,12 +80,14 @@ def clashes(spark: SparkSession, root: str, table: str, incoming: DataFrame, liv
     ``incoming`` and ``live`` are ``(fiscal_year, load_id)``; digests meet by year, bucket and digest.
     """
     key = ["fiscal_year", "bucket", "digest"]
-    stored = _stored(spark, root, table)
-    new = stored.join(incoming, ["fiscal_year", "load_id"], "left_semi").groupBy(*key).agg(F.sum("rows").alias("rows_in_load"))
-    years = incoming.select("fiscal_year").distinct()
-    taken = stored.join(years, "fiscal_year", "left_semi").join(live, ["fiscal_year", "load_id"], "left_semi").join(incoming, ["fiscal_year", "load_id"], "left_anti")
-    taken = taken.groupBy(*key).agg(F.sum("rows").alias("rows_stored"))
-    found = new.join(taken, key, "left").withColumn("rows_stored", F.coalesce("rows_stored", F.lit(0)))
+    loads = incoming.select("fiscal_year", "load_id").distinct().withColumn("_new", F.lit(True))
+    others = live.join(F.broadcast(incoming.select("fiscal_year").distinct()), "fiscal_year", "left_semi").join(F.broadcast(incoming), ["fiscal_year", "load_id"], "left_anti")
+    loads = loads.unionByName(others.select("fiscal_year", "load_id").distinct().withColumn("_new", F.lit(False)))
+    # Both sides in one shuffle; the loads are few rows.
+    found = _stored(spark, root, table).join(F.broadcast(loads), ["fiscal_year", "load_id"]).groupBy(*key).agg(
+        F.sum(F.when(F.col("_new"), F.col("rows"))).alias("rows_in_load"), F.sum(F.when(~F.col("_new"), F.col("rows"))).alias("rows_stored")
+    )
+    found = found.filter("rows_in_load IS NOT NULL").withColumn("rows_stored", F.coalesce("rows_stored", F.lit(0)))
     return found.filter((F.col("rows_in_load") > 1) | (F.col("rows_stored") > 0)).drop("bucket")
 
 
@@ -94,7 +100,8 @@ def clashing_rows(spark: SparkSession, root: str, table: str, load_id: str, foun
 def report(spark: SparkSession, root: str, load_id: str, live: set[tuple[int, str]] | None = None) -> DataFrame:
     """Clashes of a written load by table and year: keys that it repeats, keys that live loads hold, and its rows of both.
 
-    The driver holds a row for each live load of the years that the load writes.
+    The driver holds a row for each live load of the years that the load writes. Tables are counted one after the other,
+    so that disk holds the shuffled digests of one.
     """
     live = live_now(spark, root) if live is None else live
     parts = []
@@ -110,7 +117,10 @@ def report(spark: SparkSession, root: str, load_id: str, live: set[tuple[int, st
             F.count_if(F.col("rows_stored") > 0).alias("taken_keys"),
             F.sum("rows_in_load").alias("rows_in_load"),
         )
-        parts.append(counted.select(F.lit(table).alias("table_name"), "*"))
+        path = scratch_path(spark, "clashes")
+        with without_shuffles(spark):
+            counted.select(F.lit(table).alias("table_name"), "*").coalesce(1).write.parquet(path)
+        parts.append(spark.read.schema(_REPORT).parquet(path))
     return reduce(DataFrame.unionByName, parts)
 
 

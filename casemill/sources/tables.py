@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from casemill import spec
 from casemill.operators import quality, rates, reshape
-from casemill.session import scratch_path
+from casemill.session import scratch_path, without_shuffles
 from casemill.sources import files
 from casemill.sources.wide_csv import read_wide_csv, stage_wide
 
@@ -130,12 +130,14 @@ def write_table(
     out = df.withColumn("load_id", F.lit(load_id))
     if observation is not None:
         out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("fiscal_year", "load_id")
-        .parquet(f"{root}/{table}")
-    )
+    with without_shuffles(df.sparkSession):
+        (
+            out.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
+            .partitionBy("fiscal_year", "load_id")
+            .parquet(f"{root}/{table}")
+        )
 
 
 def _years_of(spark: SparkSession, root: str, load_id: str) -> set[int]:

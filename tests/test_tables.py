@@ -453,3 +453,23 @@ def test_wide_files_hold_the_wide_rows(spark, tmp_path):
     assert sorted(r.line for r in one.collect()) == sorted(r.line for r in years.collect())
     headers = wide_csv.by_header(spark, [f for p in ("one.csv", "years/*") for f in wide_csv.files_under(spark, f"{tmp_path}/{p}")])
     assert len(headers) == 1 and one.count() == 200
+
+
+def test_digests_meet_in_one_shuffle_by_digest(spark):
+    """Dealt by year and load instead, the keys of a year would all go to one task, and each join would move them again."""
+    root = scratch_path(spark, "t")
+    tables.write_all(spark, root, *frames(spark, 2021), load_id="a", action="append")
+    tables.write_all(spark, root, *frames(spark, 2021, ("CASE002", "X", "X")), load_id="b", action="append")
+    tables.write_all(spark, root, *frames(spark, 2022, ("CASE001",) * 3), load_id="c", action="append")
+    loads_of = {x: spark.createDataFrame([(y, x)], "fiscal_year int, load_id string") for x, y in (("a", 2021), ("b", 2021), ("c", 2022))}
+    for frame in loads_of.values():
+        keys.write_digests(spark, root, "households", frame)
+    new, live = loads_of["b"], loads_of["a"].unionByName(loads_of["b"]).unionByName(loads_of["c"])
+    found = keys.clashes(spark, root, "households", new, live)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and sum("hashpartitioning(" in line and "digest" in line for line in plan.splitlines()) == 1
+    assert rows(found.select("fiscal_year", "rows_in_load", "rows_stored"), "rows_in_load") == [(2021, 1, 1), (2021, 2, 0)]
+    report = keys.report(spark, root, "b")
+    assert [tuple(r) for r in report.filter("table_name = 'households'").collect()] == [("households", 2021, 1, 1, 3)]
+    report = keys.report(spark, root, "c")
+    assert [tuple(r) for r in report.filter("table_name = 'households'").collect()] == [("households", 2022, 1, 0, 3)]
