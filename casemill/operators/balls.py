@@ -30,6 +30,8 @@ CELL_ROWS, LEAST_ROWS = 4096, 64
 # Questions of a lane: as many as give LANES lanes, between these two numbers.
 LANES, LEAST_QUESTIONS, LANE_QUESTIONS = 48, 256, 32_768
 QUESTION_BATCH = 512
+# Chunks that meet a batch of questions at once, so that their products stay near the processor; pairs whose distances are taken at once.
+TILE, EXACT_PAIRS = 1024, 65_536
 # Distances are kept to this many digits, below which only the noise of the arithmetic differs.
 DISTANCE_DIGITS = 12
 # Bounds give way by this much, far more than the rounding of angles.
@@ -215,39 +217,102 @@ def allowed(asked: pd.DataFrame, chunks: pd.DataFrame) -> np.ndarray:
     return mask
 
 
+def allowed_pairs(asked: pd.DataFrame, chunks: pd.DataFrame, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The values of ``allowed`` at some pairs."""
+    mine, theirs = asked["user_id"].to_numpy(object)[rows], chunks["user_id"].to_numpy(object)[columns]
+    mask = (mine == theirs) & ~pd.isna(theirs)
+    mask |= ~asked["own_only"].eq(True).to_numpy(bool)[rows] & chunks["shared"].eq(True).to_numpy(bool)[columns]
+    wanted, given = asked["category"].to_numpy(object)[rows], chunks["category"].to_numpy(object)[columns]
+    mask &= pd.isna(wanted) | (wanted == "") | (wanted == given)
+    tags = [frozenset(names) if names is not None else frozenset() for names in asked["tags"]]
+    theirs = chunks["tags"].to_numpy(object)
+    for i in np.flatnonzero(mask & np.array([bool(t) for t in tags], bool)[rows]):
+        names = theirs[columns[i]]
+        mask[i] = names is not None and not tags[rows[i]].isdisjoint(names)
+    return mask
+
+
+def _below(values: np.ndarray) -> np.ndarray:
+    """Numbers of single precision that are less."""
+    return np.nextafter(values.astype(np.float32), np.float32(-np.inf))
+
+
+class _Passing:
+    """Some chunks in the order of their ids, with their directions in double and in single precision."""
+
+    def __init__(self, chunks: pd.DataFrame):
+        chunks = chunks.sort_values("id", kind="stable")
+        self.points = unit(chunks["embedding"])
+        self.rough = self.points.astype(np.float32)
+        self.chunks = chunks.drop(columns="embedding")
+        self.ids, self.keys = chunks["id"].to_numpy(object), chunks["document_key"].to_numpy(object)
+
+
 class _Block:
-    """Some questions with the k nearest chunks so far."""
+    """Some questions with the k nearest chunks so far.
+
+    Products in single precision tell which pairs may be near enough, by more than their error; only these
+    are looked at further, and their distances are taken in double precision.
+    """
 
     def __init__(self, asked: pd.DataFrame, k: int, within: float | None):
-        self.asked, self.k, self.unit = asked, k, unit(asked["embedding"])
+        self.asked, self.k, self.unit = asked.drop(columns="embedding"), k, unit(asked["embedding"])
+        self.rough = self.unit.astype(np.float32)
         # Rounded distances beyond the limit are of no use.
         self.limit = np.minimum(asked["beat"].fillna(np.inf).to_numpy(np.float64), np.inf if within is None else within)
         self.rows, self.near = np.zeros(0, np.int64), np.zeros(0)
         self.ids, self.keys = np.zeros(0, object), np.zeros(0, object)
-
-    def meet(self, chunks: pd.DataFrame, points: np.ndarray, filtered: bool) -> None:
-        distances = 1.0 - self.unit @ points.T
-        if filtered:
-            distances[~allowed(self.asked, chunks)] = np.inf
-        limit, tie = self.limit, 10.0**-DISTANCE_DIGITS
-        kept = distances <= limit[:, None] + tie
-        if len(points) > self.k and kept.sum() > 4 * self.k * len(limit):
-            least = np.partition(distances, self.k - 1, axis=1)[:, self.k - 1]
-            kept &= distances <= (least + 2 * tie)[:, None]
-        rows, columns = np.nonzero(kept & np.isfinite(distances))
-        near = np.round(distances[rows, columns], DISTANCE_DIGITS)
-        close = near <= limit[rows]
+        self.waiting: list[tuple[np.ndarray, ...]] = []
+        # A product of unit vectors is off by less than its length times the unit of rounding, here with room to spare.
+        self.error = (self.unit.shape[1] + 8) * 2.0**-23
+
+    def meet(self, passing: _Passing, filtered: bool) -> None:
+        for start in range(0, len(passing.points), TILE):
+            self._meet(passing, slice(start, start + TILE), filtered)
+
+    def _meet(self, passing: _Passing, tile: slice, filtered: bool) -> None:
+        likeness, tie, many = self.rough @ passing.rough[tile].T, 10.0**-DISTANCE_DIGITS, self.k * len(self.limit)
+        width, floor = likeness.shape[1], 1.0 - self.limit - tie - self.error
+        hits = np.flatnonzero(likeness >= _below(floor)[:, None])
+        chosen = False
+        if width > self.k and len(hits) > 4 * many:
+            if filtered:
+                likeness[~allowed(self.asked, passing.chunks.iloc[tile])] = -np.inf
+            last = -np.partition(-likeness, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+            floor = np.fmax(floor, last - 2 * self.error - 2 * tie)
+            hits, chosen = np.flatnonzero((likeness >= _below(floor)[:, None]) & (likeness > -np.inf)), filtered
+        if not len(hits):
+            return
+        rows, columns = np.divmod(hits, width)
+        columns += tile.start
+        if filtered and not chosen:
+            open_ = allowed_pairs(self.asked, passing.chunks, rows, columns)
+            rows, columns = rows[open_], columns[open_]
+        near = np.empty(len(rows))
+        for at in range(0, len(rows), EXACT_PAIRS):
+            some = slice(at, at + EXACT_PAIRS)
+            near[some] = 1.0 - np.einsum("ij,ij->i", self.unit[rows[some]], passing.points[columns[some]])
+        near = np.round(near, DISTANCE_DIGITS)
+        close = np.isfinite(near) & (near <= self.limit[rows])
         rows, columns, near = rows[close], columns[close], near[close]
         if not len(rows):
             return
-        if len(rows) > self.k * len(limit):  # many equal distances; the columns are in id order
+        if len(rows) > many:  # many equal distances; the columns are in id order
             order = np.lexsort((columns, near, rows))
             order = order[np.arange(len(order)) - np.searchsorted(rows, rows, side="left") < self.k]
             rows, columns, near = rows[order], columns[order], near[order]
-        rows, near = np.concatenate([self.rows, rows]), np.concatenate([self.near, near])
-        ids = np.concatenate([self.ids, chunks["id"].to_numpy(object)[columns]])
-        keys = np.concatenate([self.keys, chunks["document_key"].to_numpy(object)[columns]])
-        order = np.lexsort((pd.factorize(ids, sort=True)[0], near, rows))  # ids settle equal distances
+        self.waiting.append((rows, near, passing.ids[columns], passing.keys[columns]))
+        if sum(len(w[0]) for w in self.waiting) >= many:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Keep the k nearest of those so far and of those that wait."""
+        held = [(self.rows, self.near, self.ids, self.keys), *self.waiting]
+        rows, near, ids, keys = (np.concatenate(columns) for columns in zip(*held, strict=True))
+        self.waiting = []
+        order = np.lexsort((near, rows))
+        if ((rows[order][1:] == rows[order][:-1]) & (near[order][1:] == near[order][:-1])).any():
+            order = np.lexsort((pd.factorize(ids, sort=True)[0], near, rows))  # ids settle equal distances
         rank = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], side="left")
         last = order[rank == self.k - 1]
         self.limit[rows[last]] = near[last]
@@ -255,6 +320,7 @@ class _Block:
         self.rows, self.near, self.ids, self.keys = rows[order], near[order], ids[order], keys[order]
 
     def found(self) -> pd.DataFrame:
+        self._settle()
         numbers = self.asked["id"].astype("int64").to_numpy()
         return pd.DataFrame({"question_id": numbers[self.rows], "chunk_id": self.ids, "document_key": self.keys, "distance": self.near})
 
@@ -272,10 +338,9 @@ def _meet(k: int, filtered: bool, within: float | None):
                 asked, chunks = rows[~rows["is_chunk"]], rows[rows["is_chunk"]]
                 blocks += [_Block(asked.iloc[i : i + QUESTION_BATCH], k, within) for i in range(0, len(asked), QUESTION_BATCH)]
                 if len(chunks) and blocks:
-                    chunks = chunks.sort_values("id", kind="stable")
-                    points = unit(chunks["embedding"])
+                    passing = _Passing(chunks)
                     for block in blocks:
-                        block.meet(chunks, points, filtered)
+                        block.meet(passing, filtered)
         yield from (block.found() for block in blocks)
 
     return run

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -290,3 +291,48 @@ def test_store_statistics_count_all_types(spark):
     got = {r.training_type: r.entries for r in QUERIES["store_statistics"](spark, folder).collect()}
     assert set(others) == {"sql", "ddl"} and len(chunks) > 100
     assert got == {**others, "documentation": len(chunks)}
+
+
+def _meeting_tables(n_chunks, n_asked, seed):
+    random = np.random.default_rng(seed)
+    base = random.normal(size=(40, 16))
+    # Near copies that single precision can't tell apart, equal ones, zeros and what is no number.
+    vectors = base[random.integers(0, 40, n_chunks)] * (1 + random.integers(0, 3, (n_chunks, 16)) * 1e-9)
+    vectors[:3], vectors[3] = 0.0, np.nan
+    some = lambda values, n: [values[i] for i in random.integers(0, len(values), n)]
+    chunks = pd.DataFrame({
+        "id": [f"c{i}" for i in random.permutation(n_chunks)], "document_key": some(["a", "b", None], n_chunks), "embedding": list(vectors),
+        "user_id": some(["u1", "u2", None], n_chunks), "category": some(["x", "y", "", None], n_chunks),
+        "tags": some([["s", "t"], ["t"], [], None], n_chunks), "shared": some([True, False], n_chunks),
+    })
+    asked = pd.DataFrame({
+        "id": [str(i) for i in range(n_asked)], "embedding": list(base[random.integers(0, 40, n_asked)] + random.choice([0.0, 0.3], (n_asked, 1))),
+        "user_id": some(["u1", "u3", None], n_asked), "category": some(["x", "", None], n_asked), "tags": some([["s"], ["q", "t"], [], None], n_asked),
+        "own_only": some([True, False, None], n_asked), "beat": some([0.2, None, 1.7], n_asked),
+    })
+    return chunks, asked
+
+
+def test_pairs_are_allowed_as_whole_tables_are():
+    chunks, asked = _meeting_tables(300, 60, 1)
+    found = np.indices((60, 300)).reshape(2, -1)
+    assert (balls.allowed_pairs(asked, chunks, *found).reshape(60, 300) == balls.allowed(asked, chunks)).all()
+
+
+@pytest.mark.parametrize("filtered, k, within", [(False, 5, None), (True, 3, 0.6), (True, 40, None), (False, 700, 1.1)])
+def test_single_precision_chooses_pairs_and_settles_none(filtered, k, within):
+    chunks, asked = _meeting_tables(2500, 70, k)
+    block = balls._Block(asked, k, within)
+    for at in range(0, 2500, 1100):
+        block.meet(balls._Passing(chunks.iloc[at : at + 1100]), filtered)
+    got = block.found()
+    points, theirs = balls.unit(asked["embedding"]), balls.unit(chunks["embedding"])
+    near = np.round(1.0 - np.einsum("ik,jk->ij", points, theirs), balls.DISTANCE_DIGITS)
+    open_ = balls.allowed(asked, chunks) if filtered else np.ones(near.shape, bool)
+    for i, beat in enumerate(asked["beat"]):
+        most = min(np.inf if beat is None or np.isnan(beat) else beat, np.inf if within is None else within)
+        ids = chunks["id"].to_numpy(object)
+        want = sorted((near[i, j], ids[j]) for j in np.flatnonzero(open_[i] & (near[i] <= most)))[:k]
+        mine = got[got["question_id"] == i]
+        assert sorted(zip(mine["distance"], mine["chunk_id"])) == want
+    assert block.rough.dtype == np.float32
